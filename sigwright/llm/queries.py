@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigwright.llm import pieces, toxicity
+from sigwright.llm import media, pieces, toxicity
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
@@ -26,12 +26,19 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents stored as a media file, read back and described."""
+    outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.store_texts(table(spark, sf_dir, "documents"), keep=("doc_id",), outputs=outputs)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every whole text of documents, learnt from labels outside the held-out fold."""
     return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
 }
