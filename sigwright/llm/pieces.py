@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Distinct chunks that one worker remembers before it starts anew.
-CACHE_ENTRIES = 400_000
+#: Chunks in one generation of a worker's cache; it holds two, and what is met again stays.
+CACHE_ENTRIES = 500_000
 
 
 class PieceCodec:
@@ -74,9 +74,13 @@ class PieceCodec:
         automaton.make_automaton()
         self.automaton = automaton
         self.byte_ids = [byte_ids[b] for b in range(256)]
-        self.chunks = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        #: Neighbouring characters inside pieces: between any others no merge ever happens.
+        self.inside = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        self.chunks = re.compile(" *[^ \n]+| +|\n")
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, tuple[bytes, str, str]] = {}
+        self._decimal: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self._odd: dict[str, str] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: again and again the best ranked, then leftmost, neighbouring pair."""
@@ -96,7 +100,7 @@ class PieceCodec:
         """Whether merging the joined text keeps exactly these two tokens (left may be empty)."""
         if (known := self._pairs.get((left, right))) is None:
             known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self._pairs) > 4 * CACHE_ENTRIES:
+            if len(self._pairs) >= CACHE_ENTRIES:
                 self._pairs.clear()
             self._pairs[left, right] = known
         return known
@@ -107,8 +111,7 @@ class PieceCodec:
         fits: list[list[int]] = [[] for _ in range(n)]
         for end, length in self.automaton.iter(chunk):
             fits[end - length + 1].append(length)
-        for lengths in fits:
-            lengths.sort()
+        for lengths in fits:  # ascending, as ends are
             if not lengths or lengths[0] != 1:
                 lengths.insert(0, 1)  # a character outside the vocabulary stands alone
         failed = bytearray(n // 8 + 1)
@@ -165,26 +168,49 @@ class PieceCodec:
             parts.append(_utf8(bytes(run)))
         return "".join(parts)
 
-    def chunk(self, chunk: str) -> tuple[bytes, str, str]:
-        """(ids as int32 bytes, ids as decimal text, decoded text) of one chunk."""
-        if (known := self._known.get(chunk)) is None:
-            ids = self.token_ids(self.tokens(chunk))
-            known = pa.array(ids, pa.int32()).buffers()[1].to_pybytes()[: 4 * len(ids)], ",".join(map(str, ids)), self.surfaces(ids)
-            if len(self._known) >= CACHE_ENTRIES:
-                self._known.clear()
-            if len(chunk) <= 256:
-                self._known[chunk] = known
+    def decimal(self, chunk: str) -> str:
+        """Ids, as decimals joined by commas, of a chunk in which marks are written as spaces.
+
+        A chunk that its ids do not decode to is noted in ``_odd``.
+        """
+        if (known := self._decimal.get(chunk)) is not None:
+            return known
+        if (known := self._older.get(chunk)) is not None:
+            self._decimal[chunk] = known
+            return known
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1].replace(" ", MARK) not in self.inside]
+        if cuts:
+            parts = [chunk[i:j] for i, j in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+            known = ",".join([self.decimal(x) for x in parts])
+            surface = "".join([self._odd.get(x, x) for x in parts])
+        else:
+            ids = self.token_ids(self.tokens(chunk.replace(" ", MARK)))
+            known = ",".join(map(str, ids))
+            surface = self.surfaces(ids)
+        if surface != chunk:
+            self._odd[chunk] = surface
+        self._decimal[chunk] = known
         return known
 
-    def parts(self, text: str) -> list[tuple[bytes, str, str]]:
-        if not text:
-            return []
-        return list(map(self.chunk, self.chunks.findall(self.prefix + text.replace(" ", MARK))))
+    def split(self, text: str) -> list[str]:
+        if len(self._decimal) >= CACHE_ENTRIES:
+            self._older, self._decimal = self._decimal, {}
+            if len(self._odd) >= CACHE_ENTRIES:
+                self._older, self._odd = {}, {}
+        return self.chunks.findall((self.prefix and " ") + text.replace(MARK, " ")) if text else []
 
-    def encode(self, text: str) -> list[int]:
-        import numpy as np
+    def encode_decimal(self, text: str) -> tuple[str, str]:
+        """The ids of a text as decimals joined by commas, and what they decode to."""
+        chunks = self.split(text)
+        known = self._decimal.get
+        decimal = ",".join([known(x) or self.decimal(x) for x in chunks])
+        odd = self._odd
+        decoded = "".join([odd.get(x, x) for x in chunks] if odd else chunks)
+        return decimal, decoded[len(self.prefix) :]
 
-        return np.frombuffer(b"".join(p[0] for p in self.parts(text)), "int32").tolist()
+    def encode(self, text: str) -> list[int]:
+        decimal, _ = self.encode_decimal(text)
+        return list(map(int, decimal.split(","))) if decimal else []
 
     def decode(self, ids) -> str:
         """As the library's decode(): the first token that is no control token loses one leading space."""
@@ -214,6 +240,18 @@ def _utf8(run: bytes) -> str:
         return "".join(out)
 
 
+_codecs: dict[bytes, PieceCodec] = {}
+
+
+def worker_codec(model: bytes) -> PieceCodec:
+    """One codec for each worker process: what it has learnt about chunks serves its later tasks."""
+    key = hashlib.sha256(model).digest()
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = PieceCodec(model)
+    return _codecs[key]
+
+
 def encode_documents(
     docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = (), outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")
 ) -> DataFrame:
@@ -234,24 +272,20 @@ def encode_documents(
     schema = T.StructType([*(source.schema[i] for i in range(len(keep))), *(T.StructField(o, kinds[o]) for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model.value)
-        skip = len(codec.prefix)
+        codec = worker_codec(model.value)
         for batch in batches:
             columns: dict[str, list] = {o: [] for o in outputs}
             for value in batch.column(len(keep)):
-                parts = codec.parts(value.as_py() or "")
-                ids, decimal, surfaces = zip(*parts, strict=True) if parts else ((), (), ())
-                joined = b"".join(ids)
-                decoded = "".join(surfaces)[skip:]
+                decimal, decoded = codec.encode_decimal(value.as_py() or "")
                 for o, column in columns.items():
                     if o == "n_tokens":
-                        column.append(len(joined) // 4)
+                        column.append(decimal.count(",") + 1 if decimal else 0)
                     elif o == "ids":
-                        column.append(memoryview(joined).cast("i").tolist())
+                        column.append(list(map(int, decimal.split(","))) if decimal else [])
                     elif o == "decoded":
                         column.append(decoded)
                     elif o == "ids_sha256":
-                        column.append(hashlib.sha256(",".join(decimal).encode()).hexdigest())
+                        column.append(hashlib.sha256(decimal.encode()).hexdigest())
                     else:
                         column.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
