@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwright.llm import media, mixing, pieces, topk, toxicity
+from sigwright.llm import media, mixing, pieces, topk, toxicity, urls
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
@@ -37,6 +37,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and boosted trees over the URL of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents stored as a media file, read back and described."""
     outputs = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -51,6 +56,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
+    "op7_urls": op7_urls,
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
