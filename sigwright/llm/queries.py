@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwright.llm import media, mixing, pieces, topk, toxicity, urls
+from sigwright.llm import media, mixing, neardup, pieces, topk, toxicity, urls
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
@@ -27,6 +27,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents, by 3-word shingles and a similarity of 0.85."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other rows of every embedding whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -54,6 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neardup": op1_neardup,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
     "op7_urls": op7_urls,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_neardup": neardup.ORACLE,
     "op5_topk": topk.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
