@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwright.llm import media, mixing, neardup, pieces, topk, toxicity, urls
+from sigwright.llm import media, mixing, neardup, pieces, substrings, topk, toxicity, urls
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
@@ -32,6 +32,11 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that repeat what another document keeps."""
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other rows of every embedding whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -60,6 +65,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
+    "op4_substrings": op4_substrings,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
     "op7_urls": op7_urls,
