@@ -1,18 +1,66 @@
-"""Corpus pipeline over documents: each stage applies one operator to all that its predecessor kept."""
+"""Corpus pipeline over documents: each stage applies one operator to all that its predecessor kept.
+
+Every stage but the last returns the columns of documents. Stages are written as Parquet to the shared folder
+and read again, so none repeats the work before it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigwright.llm import mixing, neardup, pieces, substrings, toxicity
+from sigwright.llm.queries import tokenizer_path
+from sigwright.runtime import Cut, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the labels outside the held-out fold."""
+    model = toxicity.fit(toxicity.labelled_documents(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score_documents(docs, model, keep=tuple(docs.columns), score="__score")
+    return scored.filter(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return neardup.first_of_each(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that another document keeps are cut out; n_chars follows the text."""
+    return _counted(substrings.deduplicated(docs), docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them; n_chars follows the text."""
+    return _counted(mixing.materialise(docs), docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text and what they decode to."""
+    return pieces.encode_documents(docs, tokenizer_path(), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids_sha256", "ids", "decoded"))
+
+
+def _counted(made: DataFrame, docs: DataFrame) -> DataFrame:
+    return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_copies),
+    ("substrings", passages),
+    ("mixing", mixed),
+    ("pieces", tokens),
+]
+#: SQL can express neither the classifier nor the tokenizer; stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents in order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = Cut(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)
