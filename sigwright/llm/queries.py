@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwright.llm import media, mixing, neardup, pieces, substrings, topk, toxicity, urls
+from sigwright.llm import media, mixing, neardup, pieces, quotes, substrings, topk, toxicity, urls
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
@@ -32,6 +32,11 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in reply order and without quotes."""
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that repeat what another document keeps."""
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
+    "op2_quotes": op2_quotes,
     "op4_substrings": op4_substrings,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_neardup": neardup.ORACLE,
+    "op2_quotes": quotes.ORACLE,
     "op5_topk": topk.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
