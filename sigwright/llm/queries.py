@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwright.llm import media, mixing, neardup, pieces, quotes, substrings, topk, toxicity, urls
+from sigwright.llm import media, mixing, neardup, pieces, quality, quotes, substrings, topk, toxicity, urls
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
@@ -37,6 +37,11 @@ def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of all documents, with sources as hosts and their languages as paths."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that repeat what another document keeps."""
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_quotes": op2_quotes,
+    "op3_quality": op3_quality,
     "op4_substrings": op4_substrings,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
