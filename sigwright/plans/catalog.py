@@ -1,10 +1,555 @@
-"""Registered queries of the library's own operators and their SQL equivalents."""
+"""Registered queries of the library's own operators and their SQL equivalents.
+
+Every query runs one operator over whole tables. The SQL is built from common table expressions of its own
+and shares nothing with the operators but the definition of the synthetic sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigwright.functions import bloom, dna
+from sigwright.operators import count, estimate, index, kmers, prepare, select, similarity
+from sigwright.options import EstimateOptions, SelectOptions
+from sigwright.plans import synth
+from sigwright.plans.stages import Keys, build_keys
+from sigwright.runtime import Cut, cut, shared_dir, table
+from sigwright.sources import store, text
+from sigwright.streaming.counts import CountJob
+
+K, M, READ = synth.K, synth.KEYS_PER_REGION, synth.READ
+ROUNDS = 5
+OPTIONS = EstimateOptions(k=K, read_length=READ)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = _with(sql)
+        return f
+
+    return add
+
+
+# ---- common table expressions -------------------------------------------------------------------------
+
+
+def _dna(x: str) -> str:
+    return f"translate(md5({x}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+def _comp(x: str) -> str:
+    return f"translate({x}, 'ACGT', 'TGCA')"
+
+
+def _canon(x: str) -> str:
+    return f"least({x}, reverse({x}), reverse({_comp(x)}), {_comp(x)})"
+
+
+def _four(x: str) -> str:
+    return f"[{x}, reverse({x}), reverse({_comp(x)}), {_comp(x)}]"
+
+
+_GID = "p_name || '#' || p_brand"
+_SEQ = " || ".join((_dna("p_brand"), _dna(f"'g' || {_GID}"), _dna("'p' || p_partkey"), _dna("'q' || p_partkey")))
+_READ_SQL = f"substring(seq, CAST(1 + (({{start}}) % (len(seq) - {READ} + 1)) AS BIGINT), {READ})"
+#: name: (what it reads, SQL)
+_CTES: dict[str, tuple[tuple[str, ...], str]] = {
+    "tx": ((), f"SELECT {_GID} AS gid, CAST(row_number() OVER (PARTITION BY {_GID} ORDER BY p_partkey) - 1 AS INTEGER) AS tidx, 'T' || p_partkey AS tid, {_SEQ} AS seq FROM part"),
+    "win": (("tx",), f"SELECT gid, tidx, CAST(pos AS INTEGER) AS pos, substring(seq, pos + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, len(seq) - {K})) AS pos FROM tx)"),
+    "gk": (("tx",), f"SELECT DISTINCT gid, substring(s, pos + 1, {K}) AS kmer FROM (SELECT gid, s, unnest(range(0, len(s) - {K})) AS pos FROM (SELECT gid, unnest({_four('seq')}) AS s FROM tx))"),
+    "dup": (("gk",), "SELECT kmer, count(*) AS n_genes FROM gk GROUP BY kmer HAVING count(*) >= 2"),
+    "sig": (("win", "dup"), "SELECT * FROM win WHERE kmer NOT IN (SELECT kmer FROM dup)"),
+    "reg": (("sig", "tx"), f"""SELECT i.gid, i.tidx, t.tid, CAST(len(t.seq) AS INTEGER) AS length, i.position, i.n_windows, substring(t.seq, i.position + 1, i.n_windows + {K}) AS seq
+        FROM (SELECT gid, tidx, min(pos) AS position, CAST(count(*) AS INTEGER) AS n_windows
+              FROM (SELECT *, pos - row_number() OVER (PARTITION BY gid, tidx ORDER BY pos) AS island FROM sig) GROUP BY gid, tidx, island) i
+        JOIN tx t ON t.gid = i.gid AND t.tidx = i.tidx"""),
+    "keys": (("reg",), f"""SELECT DISTINCT gid, {_canon('s')} AS key FROM (
+        SELECT gid, substring(seq, o + 1, {K}) AS s FROM (
+          SELECT gid, seq, unnest(range(20, len(seq) - {K}, greatest(10, least({50 + (10 - M) * 10}, CAST(trunc((length - 20) / {M}) AS BIGINT))))) AS o FROM reg WHERE len(seq) - {K} > 20))"""),
+    "okey": (("keys",), f"SELECT gid, key, unnest({_four('key')}) AS kmer FROM keys"),
+    "occ": (("okey", "reg"), f"""SELECT o.gid, o.key, r.tidx, CAST(r.position + r.p AS INTEGER) AS position FROM okey o
+        JOIN (SELECT gid, tidx, position, p, substring(seq, p + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, len(seq) - {K})) AS p FROM reg)) r ON r.gid = o.gid AND r.kmer = o.kmer"""),
+    "perk": (("occ",), "SELECT gid, tidx, count(DISTINCT key) AS n_keys FROM occ GROUP BY gid, tidx"),
+    "kpos": (("occ", "perk"), "SELECT o.* FROM occ o JOIN perk USING (gid, tidx) WHERE n_keys > 2"),
+    "r1": ((), f"""SELECT l_orderkey * 10 + l_linenumber AS read_id, CASE WHEN l_linenumber = 7 THEN left(s, 29) || 'N' || substring(s, 31) ELSE s END AS seq
+        FROM (SELECT l_orderkey, l_linenumber, {_READ_SQL.format(start='l_orderkey')} AS s FROM lineitem JOIN (SELECT p_partkey, {_SEQ} AS seq FROM part) ON l_partkey = p_partkey)"""),
+    "r2": ((), f"SELECT reverse({_comp('s')}) AS seq FROM (SELECT {_READ_SQL.format(start='l_suppkey + l_orderkey')} AS s FROM lineitem JOIN (SELECT p_partkey, {_SEQ} AS seq FROM part) ON l_partkey = p_partkey)"),
+    "rk": (("r1",), f"SELECT kmer FROM (SELECT substring(seq, p + 1, {K}) AS kmer FROM (SELECT seq, unnest(range(0, len(seq) - {K} + 1)) AS p FROM r1)) WHERE kmer NOT LIKE '%N%'"),
+    "kc": (("okey", "rk"), "SELECT gid, key, CAST(sum(coalesce(n, 0)) AS BIGINT) AS count FROM okey LEFT JOIN (SELECT kmer, count(*) AS n FROM rk GROUP BY kmer) USING (kmer) GROUP BY gid, key"),
+    "cls": (("kc", "kpos", "tx"), """SELECT gid, weights, CAST(sum(count) AS BIGINT) AS total_counts, count(*) AS occurrences FROM (
+        SELECT kc.gid, kc.key, any_value(kc.count) AS count, list(coalesce(w.n, 0) ORDER BY t.tidx) AS weights
+        FROM kc JOIN tx t ON t.gid = kc.gid LEFT JOIN (SELECT gid, key, tidx, count(*) AS n FROM kpos GROUP BY ALL) w ON w.gid = kc.gid AND w.key = kc.key AND w.tidx = t.tidx
+        GROUP BY kc.gid, kc.key) GROUP BY gid, weights"""),
+    "cw": (("cls",), "SELECT * FROM (SELECT gid, weights, total_counts, occurrences, CAST(unnest(range(0, len(weights))) AS INTEGER) AS tidx, unnest(weights) AS w FROM cls) WHERE w > 0"),
+    "kt": (("cw",), "SELECT gid, tidx, CAST(sum(w * occurrences) AS BIGINT) AS n_kmers FROM cw GROUP BY gid, tidx"),
+    "live": (("cls",), "SELECT gid FROM cls GROUP BY gid HAVING max(total_counts) > 0"),
+    "pi0": (("tx", "live"), "SELECT gid, tidx, 1.0 / count(*) OVER (PARTITION BY gid) AS pi, 0.0::DOUBLE AS found FROM tx WHERE gid IN (SELECT gid FROM live)"),
+    "smp": (("tx",), f"""SELECT gid, substring(seq, o + 1, {K}) AS kmer FROM (
+        SELECT gid, seq, {K // 2 + 1} + i * ((len(seq) - {2 * K}) // 19) AS o FROM (SELECT *, unnest(range(0, 20)) AS i FROM tx))"""),
+    "cont": (("smp", "gk"), """SELECT s.gid AS gid1, g.gid AS gid2, count(*) AS dup, any_value(t.total) AS total FROM smp s JOIN gk g ON g.kmer = s.kmer AND g.gid <> s.gid
+        JOIN (SELECT gid, count(*) AS total FROM smp GROUP BY gid) t ON t.gid = s.gid GROUP BY s.gid, g.gid"""),
+    "edge": (("cont",), "SELECT DISTINCT least(gid1, gid2) AS src, greatest(gid1, gid2) AS dst FROM cont WHERE dup / total >= 0.1"),
+    "gene": (("tx",), "SELECT CAST(row_number() OVER (ORDER BY gid) - 1 AS BIGINT) AS idx, gid FROM (SELECT DISTINCT gid FROM tx)"),
+    "iedge": (("edge", "gene"), "SELECT a.idx AS a, b.idx AS b FROM edge JOIN gene a ON a.gid = src JOIN gene b ON b.gid = dst UNION ALL SELECT b.idx, a.idx FROM edge JOIN gene a ON a.gid = src JOIN gene b ON b.gid = dst"),
+    "reach": (("iedge", "gene"), "SELECT idx, idx AS other FROM gene UNION SELECT r.idx, e.b FROM reach r JOIN iedge e ON e.a = r.other"),
+    "root": (("reach",), "SELECT idx, min(other) AS root FROM reach GROUP BY idx"),
+    "gtfl": ((), f"""SELECT p_partkey * 3 + e AS line, concat_ws(chr(9), CASE WHEN p_partkey % 13 = 0 THEN 'GL1' ELSE CAST(len({_GID}) % 3 + 1 AS VARCHAR) END, 'synth', CASE WHEN (p_partkey + e) % 4 = 0 THEN 'CDS' ELSE 'exon' END,
+          CAST((p_partkey * 37 + e * 101) % 1900 + 1 AS VARCHAR), CAST((p_partkey * 37 + e * 101) % 1900 + 1 + p_size % 40 + 9 AS VARCHAR), '.', CASE WHEN len({_GID}) % 2 = 0 THEN '+' ELSE '-' END, '.',
+          concat(CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'gene_id "' || {_GID} || '"; ' END, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'gene_name "' || p_name || '"; ' END,
+                 'transcript_id "T' || p_partkey || '"; gene_biotype "' || CASE WHEN p_partkey % 7 = 0 THEN 'pseudogene' ELSE 'protein_coding' END || '";')) AS value
+        FROM (SELECT *, unnest(range(0, 3)) AS e FROM part)"""),
+    "gtf": (("gtfl",), """SELECT line, p[1] AS seqname, p[3] AS feature, CAST(p[4] AS INTEGER) AS "start", CAST(p[5] AS INTEGER) AS "end", p[7] AS strand,
+        nullif(regexp_extract(p[9], 'gene_id "([^"]*)"', 1), '') AS gid, coalesce(nullif(regexp_extract(p[9], 'gene_name "([^"]*)"', 1), ''), nullif(regexp_extract(p[9], 'gene_id "([^"]*)"', 1), '')) AS gname,
+        nullif(regexp_extract(p[9], 'transcript_id "([^"]*)"', 1), '') AS tid, nullif(regexp_extract(p[9], 'gene_biotype "([^"]*)"', 1), '') AS biotype
+        FROM (SELECT line, string_split(value, chr(9)) AS p FROM gtfl)"""),
+    "exon": (("gtf",), """SELECT gid, gname, tid, seqname, strand, "start", "end" + 1 AS "end", line FROM gtf WHERE feature = 'exon' AND gid IS NOT NULL AND biotype = 'protein_coding'"""),
+    "geno": ((), f"SELECT CAST(c AS VARCHAR) AS seqname, string_agg(s, '' ORDER BY n_nationkey) AS seq FROM (SELECT n_nationkey % 3 + 1 AS c, n_nationkey, {' || '.join(_dna(chr(39) + f'n{i}-' + chr(39) + ' || n_nationkey') for i in range(8))} AS s FROM nation) WHERE c < 3 GROUP BY c"),
+    "oex": (("exon",), """SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, CAST(coalesce(sum("end" - "start") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+        FROM exon WINDOW w AS (PARTITION BY gid, tid ORDER BY CASE WHEN strand = '+' THEN line ELSE -line END)"""),
+}
+for _i in range(ROUNDS):
+    _CTES[f"part{_i}"] = (("cw", "kt", f"pi{_i}"), f"SELECT cw.gid, weights, total_counts, cw.tidx, w * occurrences / n_kmers * pi AS x, sum(w * occurrences / n_kmers * pi) OVER (PARTITION BY cw.gid, weights) AS s FROM cw JOIN kt USING (gid, tidx) JOIN pi{_i} p ON p.gid = cw.gid AND p.tidx = cw.tidx")
+    _CTES[f"sum{_i}"] = ((f"part{_i}",), f"SELECT gid, tidx, sum(CASE WHEN s > 0 THEN total_counts * x / s ELSE 0 END) AS found FROM part{_i} GROUP BY gid, tidx")
+    _CTES[f"pi{_i + 1}"] = ((f"sum{_i}", f"pi{_i}"), f"SELECT gid, tidx, CASE WHEN all_found > 0 THEN found / all_found ELSE 0 END AS pi, found FROM (SELECT *, sum(found) OVER (PARTITION BY gid) AS all_found FROM (SELECT p.gid, p.tidx, CASE WHEN coalesce(s.found, 0) < 1e-7 THEN 0 ELSE s.found END AS found FROM pi{_i} p LEFT JOIN sum{_i} s ON s.gid = p.gid AND s.tidx = p.tidx))")
+_CTES["em"] = ((f"pi{ROUNDS}", "kt"), f"SELECT p.gid, p.tidx, p.found, coalesce(p.found / k.n_kmers, 0) AS density FROM pi{ROUNDS} p LEFT JOIN kt k ON k.gid = p.gid AND k.tidx = p.tidx")
+
+
+def _with(sql: str) -> str:
+    """sql behind the expressions that it names as {name}, and those they read."""
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        for below in _CTES[name][0]:
+            visit(below)
+        if name not in order:
+            order.append(name)
+
+    for name in _CTES:
+        if "{" + name + "}" in sql:
+            visit(name)
+            sql = sql.replace("{" + name + "}", name)
+    if not order:
+        return sql
+    recursive = "RECURSIVE " * ("reach" in order)
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in order) + "\n" + sql
+
+
+# ---- what several queries begin with ------------------------------------------------------------------
+
+
+def _tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.transcripts(spark, sf_dir)
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.signature_regions(_tx(spark, sf_dir), K)
+
+
+def _built(spark: SparkSession, sf_dir: str) -> Keys:
+    return build_keys(cut(_tx(spark, sf_dir), "transcripts"), SelectOptions(K, M))
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[Keys, DataFrame]:
+    built = _built(spark, sf_dir)
+    counts = count.key_counts(built.keys, synth.first_mates(spark, sf_dir), K)
+    return built, cut(estimate.weight_classes(counts, built.positions, built.transcripts), "classes")
+
+
+def _text(weights: str = "weights") -> F.Column:
+    return F.concat_ws(",", F.transform(weights, lambda w: w.cast("string"))).alias("weights")
+
+
+# ---- scalar functions ---------------------------------------------------------------------------------
+
+
+@register(f"SELECT tid, {_comp('seq')} AS seq FROM {{tx}}")
+def complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tx(spark, sf_dir).select("tid", dna.complement(F.col("seq")).alias("seq"))
+
+
+@register(f"SELECT tid, reverse({_comp('seq')}) AS seq FROM {{tx}}")
+def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tx(spark, sf_dir).select("tid", dna.reverse_complement(F.col("seq")).alias("seq"))
+
+
+@register(f"SELECT tid, CAST(i AS INTEGER) AS i, seq FROM (SELECT tid, unnest(range(0, 4)) AS i, unnest({_four('seq')}) AS seq FROM {{tx}})")
+def orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tx(spark, sf_dir).select("tid", F.posexplode(dna.orientations(F.col("seq"))).alias("i", "seq"))
+
+
+@register(f"SELECT gid, tidx, pos, {_canon('kmer')} AS kmer FROM {{win}}")
+def canonical_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.windows(_tx(spark, sf_dir), K).withColumn("kmer", dna.canonical(F.col("kmer")))
+
+
+_RECORD = "CASE p_partkey % 5 WHEN 0 THEN p_name || '|' WHEN 1 THEN p_name || '||' || p_brand WHEN 2 THEN '' WHEN 3 THEN p_name || chr(10) || p_brand || '|' ELSE '|' || p_type END"
+
+
+@register(f"""SELECT p_partkey, CAST(len(parts) AS INTEGER) AS n, array_to_string(parts, ',') AS parts FROM (
+  SELECT p_partkey, CASE WHEN x = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(CASE WHEN right(x, 1) IN ('|', chr(10)) THEN left(x, len(x) - 1) ELSE x END, '[|\n]') END AS parts
+  FROM (SELECT p_partkey, {_RECORD} AS x FROM part))""")
+def split_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", dna.split_record(F.expr(_RECORD.replace("chr(10)", "'\\n'"))).alias("p"))
+    return parts.select("p_partkey", F.size("p").alias("n"), F.array_join("p", ",").alias("parts"))
+
+
+@register(f"""SELECT tid, n, CAST(i AS INTEGER) AS i, substring(seq, o + 1, {K}) AS sample FROM (
+  SELECT tid, n, seq, i, {K // 2 + 1} + i * (CASE WHEN n < {2 * K} THEN 1000000 ELSE (n - {2 * K}) // 19 END) AS o
+  FROM (SELECT tid, left(seq, CAST(1 + substring(tid, 2)::BIGINT % 70 AS BIGINT)) AS seq, CAST(1 + substring(tid, 2)::BIGINT % 70 AS INTEGER) AS n, unnest(range(0, 20)) AS i FROM {{tx}})) WHERE o <= n""")
+def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (1 + F.substr("tid", F.lit(2)).cast("long") % 70).cast("int")
+    short = _tx(spark, sf_dir).select("tid", n.alias("n"), F.substr("seq", F.lit(1), n).alias("seq"))
+    return short.select("tid", "n", F.posexplode(dna.even_samples(F.col("seq"), K)).alias("i", "sample"))
+
+
+@register("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, m, CAST(greatest(10, least(50 + (10 - m) * 10, CAST(trunc((p_partkey - 20) / m) AS BIGINT))) AS INTEGER) AS stride FROM (SELECT p_partkey, CAST(unnest([3, 5, 10, 14]) AS INTEGER) AS m FROM part)")
+def stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    rows = [part.select("p_partkey", F.lit(m).alias("m"), dna.stride(F.col("p_partkey"), m).alias("stride")) for m in (3, 5, 10, 14)]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
+
+
+@register("""WITH words AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS similarity FROM words a JOIN words b ON b.item_id = a.item_id + 1""")
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
+    other = words.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("w").alias("v"))
+    return words.join(other, F.col("item_id") == F.col("a")).select("a", "b", F.round(dna.jaccard(F.col("w"), F.col("v")), 9).alias("similarity"))
+
+
+@register("""SELECT p_partkey, p_size, CAST(ceil(bits / 8.0) AS BIGINT) AS n_bytes, CAST(round(ln(2) * (CAST(ceil(bits / 8.0) AS BIGINT) * 8) / capacity) AS INTEGER) AS hashes,
+  round(exp(-(CAST(ceil(bits / 8.0) AS BIGINT) * 8.0 / capacity) * ln(2) * ln(2)), 12) AS rate, CAST(floor(-(CAST(ceil(bits / 8.0) AS BIGINT) * 8 / ln(fp) * ln(2) * ln(2))) AS BIGINT) AS capacity
+FROM (SELECT *, ceil(-(capacity * ln(fp)) / (ln(2) * ln(2))) AS bits FROM (SELECT p_partkey, p_size, p_partkey * 10 + 1 AS capacity, CAST(1.0 / (p_size * 100) AS DOUBLE) AS fp FROM part))""")
+def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") * 10 + 1).alias("items"), (1.0 / (F.col("p_size") * 100)).alias("fp"))
+    rows = rows.withColumn("n_bytes", bloom.bytes_for(F.col("items"), F.col("fp")))
+    n, items, fp = F.col("n_bytes"), F.col("items"), F.col("fp")
+    return rows.select("p_partkey", "p_size", "n_bytes", bloom.hashes_for(n, items).alias("hashes"), F.round(bloom.rate_for(n, items), 12).alias("rate"), bloom.capacity_for(n, fp).alias("capacity"))
+
+
+@register("SELECT gid, tidx, pos, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 13), lambda i: CAST(ascii(substring(kmer, i, 1)) AS BIGINT))), lambda h, c: (h * 33 + c) % 4294967296) AS BIGINT) AS hash FROM {win}")
+def rolling_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.windows(_tx(spark, sf_dir), K).select("gid", "tidx", "pos", dna.polynomial_hash(F.col("kmer")).alias("hash"))
+
+
+@register(f"""SELECT gid, tidx, pos, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 13), lambda i: CAST(ascii(substring(kmer, i, 1)) AS BIGINT))), lambda h, c: (h * 33 + c) % 4294967296) AS BIGINT) AS hash
+FROM (SELECT gid, tidx, pos, substring(seq, pos + 2, {K}) AS kmer FROM (SELECT gid, tidx, seq, CAST(unnest(range(0, len(seq) - {K})) AS INTEGER) AS pos FROM {{tx}}))""")
+def rolling_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kmers.windows(_tx(spark, sf_dir), K).join(_tx(spark, sf_dir).select("gid", "tidx", "seq"), ["gid", "tidx"])
+    rolled = dna.polynomial_roll(dna.polynomial_hash(F.col("kmer")), K, F.substr("seq", F.col("pos") + K + 1, F.lit(1)), F.substr("kmer", F.lit(1), F.lit(1)))
+    return rows.select("gid", "tidx", "pos", rolled.alias("hash"))
+
+
+@register("SELECT tid, key, CAST(len(p) AS INTEGER) AS n, array_to_string(p, ',') AS positions FROM (SELECT tid, key, list_filter(range(0, len(seq) - len(key) + 1), lambda i: substring(seq, i + 1, len(key)) = key) AS p FROM (SELECT tid, seq, unnest(['A', 'ACG', 'AAAA']) AS key FROM {tx}))")
+def find_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tx(spark, sf_dir).select("tid", "seq", F.explode(F.array(*map(F.lit, ("A", "ACG", "AAAA")))).alias("key"))
+    found = rows.select("tid", "key", dna.all_positions(F.col("seq"), F.col("key")).alias("p"))
+    return found.select("tid", "key", F.size("p").alias("n"), F.concat_ws(",", F.col("p").cast("array<string>")).alias("positions"))
+
+
+@register("""SELECT CAST(l AS INTEGER) AS length, CAST(p AS INTEGER) AS position, CAST(CASE WHEN p > l - 180 + 95 - 40 THEN 0 ELSE least(p + 1, 56, l - 180 + 95 - p - 40 + 1) END AS INTEGER) AS ways
+FROM (SELECT DISTINCT CAST(100 + p_partkey % 300 AS INTEGER) AS l, CAST(p_size AS INTEGER) AS p FROM part)""")
+def covering_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select((100 + F.col("p_partkey") % 300).cast("int").alias("length"), F.col("p_size").cast("int").alias("position")).distinct()
+    return rows.withColumn("ways", dna.covering_starts(F.col("length"), F.col("position"), 40))
+
+
+@register("SELECT p_partkey, CAST(i - 1 AS INTEGER) AS i, round(0.5 + (i - 1) * 0.25, 6) AS x FROM (SELECT p_partkey, unnest(range(1, 7)) AS i FROM part)")
+def float_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(dna.float_range(0.5, 2.0, 0.25)).alias("i", "x"))
+    return rows.withColumn("x", F.round("x", 6))
+
+
+@register("""SELECT tid, starts_with(seq, 'AC') AS starts, ends_with(seq, 'GT') AS ends, CAST(strpos(seq, 'GA') - 1 AS INTEGER) AS first_at,
+  CAST(CASE WHEN strpos(reverse(seq), 'AG') = 0 THEN -1 ELSE len(seq) - 2 - strpos(reverse(seq), 'AG') + 1 END AS INTEGER) AS last_at, seq < reverse(seq) AS smaller, substring(seq, 4, 5) AS middle FROM {tx}""")
+def string_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("seq")
+    return _tx(spark, sf_dir).select(
+        "tid", s.startswith("AC").alias("starts"), s.endswith("GT").alias("ends"), (F.instr(s, "GA") - 1).alias("first_at"), dna.last_index(s, F.lit("GA")).alias("last_at"), (s < F.reverse(s)).alias("smaller"), F.substr(s, F.lit(4), F.lit(5)).alias("middle")
+    )
+
+
+@register("SELECT p_brand, CASE WHEN min(p_size) = 1 THEN 0.0 ELSE round(avg(p_size - 1), 9) END AS mean, CAST(max(abs(p_size - 25)) AS INTEGER) AS spread FROM part GROUP BY p_brand")
+def zero_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.groupBy("p_brand").agg(F.round(dna.zero_mean(F.col("p_size") - 1), 9).alias("mean"), F.max(F.abs(F.col("p_size") - 25)).cast("int").alias("spread"))
+
+
+@register("SELECT p_partkey, CASE WHEN s = 0 THEN 0.0 ELSE round(x / s, 9) END AS share FROM (SELECT p_partkey, p_size % 7 AS x, sum(p_size % 7) OVER (PARTITION BY p_name) AS s FROM part)")
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", (F.col("p_size") % 7).alias("x"))
+    total = part.groupBy("p_name").agg(F.sum("x").alias("s"))
+    return part.join(total, "p_name").select("p_partkey", F.round(dna.share_of(F.col("x"), F.col("s")), 9).alias("share"))
+
+
+# ---- k-mers, index, regions ---------------------------------------------------------------------------
+
+
+@register("SELECT gid, tidx, pos, kmer FROM {win}")
+def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.windows(_tx(spark, sf_dir), K)
+
+
+@register("SELECT kmer, count(*) AS n FROM {rk} GROUP BY kmer")
+def read_kmers_no_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.read_kmers(synth.first_mates(spark, sf_dir), K).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@register("SELECT gid, kmer FROM {gk}")
+def gene_distinct_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.gene_kmers(_tx(spark, sf_dir), K)
+
+
+@register("SELECT kmer, n_genes FROM {dup}")
+def dup_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.duplicated_kmers(_tx(spark, sf_dir), K)
+
+
+@register("SELECT gid, tidx, pos, kmer FROM {sig}")
+def sigmer_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.signature_windows(_tx(spark, sf_dir), K)
+
+
+@register("SELECT gid, tidx, tid, length, position, n_windows, seq FROM {reg}")
+def sigmer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _regions(spark, sf_dir)
+
+
+# ---- keys ---------------------------------------------------------------------------------------------
+
+
+@register("SELECT gid, key FROM {keys}")
+def selected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.selected_keys(_regions(spark, sf_dir), K, M)
+
+
+@register("SELECT gid, key, tidx, position FROM {kpos}")
+def key_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).positions
+
+
+@register("SELECT gid, tidx, n_keys FROM {perk} WHERE n_keys > 2")
+def keys_per_transcript_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = cut(_regions(spark, sf_dir), "regions")
+    return select.keys_per_transcript(select.key_occurrences(regions, select.selected_keys(regions, K, M), K)).filter("n_keys > 2")
+
+
+@register("SELECT gid, tidx, n_keys FROM {perk} WHERE n_keys <= 2")
+def skipped_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = cut(_regions(spark, sf_dir), "regions")
+    return select.skipped_transcripts(select.key_occurrences(regions, select.selected_keys(regions, K, M), K))
+
+
+@register(f"SELECT (SELECT count(*) FROM {{keys}}) AS selected, CAST(coalesce(sum(len(seq) - {K} + 1), 0) AS BIGINT) AS scanned FROM {{reg}}")
+def select_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = cut(_regions(spark, sf_dir), "regions")
+    return select.totals(regions, select.selected_keys(regions, K, M), K)
+
+
+@register("""SELECT gid, key, coalesce(infos, '') AS infos FROM {keys} LEFT JOIN (
+  SELECT gid, key, string_agg(tidx || ':' || positions, ';' ORDER BY tidx) AS infos FROM (SELECT gid, key, tidx, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions FROM {kpos} GROUP BY ALL) GROUP BY gid, key) USING (gid, key)""")
+def nested_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = _built(spark, sf_dir)
+    info = F.transform("transcript_infos", lambda x: F.concat(x["tidx"].cast("string"), F.lit(":"), F.concat_ws(",", x["positions"].cast("array<string>"))))
+    return select.nested_keys(built.keys, built.positions).select("gid", "key", F.array_join(info, ";").alias("infos"))
+
+
+@register("SELECT k.gid, k.tidx, count(*) AS n FROM {kpos} k JOIN {tx} t ON t.gid = k.gid AND t.tidx = k.tidx WHERE k.position >= len(t.seq) GROUP BY ALL")
+def positions_out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = _built(spark, sf_dir)
+    return built.positions.join(built.transcripts, ["gid", "tidx"]).filter(F.col("position") >= F.char_length("seq")).groupBy("gid", "tidx").agg(F.count("*").alias("n"))
+
+
+# ---- counts -------------------------------------------------------------------------------------------
+
+
+@register("SELECT gid, key, count FROM {kc}")
+def key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
+    return count.key_counts(keys, synth.first_mates(spark, sf_dir), K)
+
+
+@register(f"""SELECT gid, key, CAST(sum(coalesce(n, 0)) AS BIGINT) AS count FROM {{okey}} LEFT JOIN (
+  SELECT kmer, count(*) AS n FROM (SELECT substring(seq, p + 1, {K}) AS kmer FROM (SELECT seq, unnest(range(0, len(seq) - {K} + 1)) AS p FROM (SELECT seq FROM {{r1}} UNION ALL SELECT seq FROM {{r2}}))) WHERE kmer NOT LIKE '%N%' GROUP BY kmer) USING (kmer) GROUP BY gid, key""")
+def key_counts_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
+    return count.key_counts(keys, count.both_mates(synth.first_mates(spark, sf_dir), synth.second_mates(spark, sf_dir)), K)
+
+
+@register("SELECT kmer, CAST(sum(n) AS BIGINT) AS n FROM (SELECT kmer, 0 AS n FROM {okey} UNION ALL SELECT kmer, 1 FROM {rk} WHERE kmer IN (SELECT kmer FROM {okey})) GROUP BY kmer")
+def exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
+    return count.exact_counts(count.oriented_keys(keys), synth.first_mates(spark, sf_dir), K)
+
+
+@register("SELECT count(*) FILTER (kmer IN (SELECT kmer FROM {okey})) AS hits, count(*) FILTER (kmer NOT IN (SELECT kmer FROM {okey})) AS misses FROM {rk}")
+def lookup_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
+    wanted = count.oriented_keys(keys).select("kmer").distinct().withColumn("hit", F.lit(1))
+    by_kmer = kmers.read_kmers(synth.first_mates(spark, sf_dir), K).groupBy("kmer").agg(F.count("*").alias("n")).join(wanted, "kmer", "left")
+    return by_kmer.agg(F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("hits"), F.sum(F.when(F.col("hit").isNull(), F.col("n")).otherwise(0)).alias("misses"))
+
+
+@register("SELECT gid, key, count FROM {kc}")
+def streaming_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
+    staged = Cut(synth.first_mates(spark, sf_dir).repartition(8), "reads")
+    arriving = spark.readStream.schema(staged.df.schema).option("maxFilesPerTrigger", 4).parquet(staged.path)
+    return CountJob(arriving, keys, K).finish()
+
+
+# ---- estimates ----------------------------------------------------------------------------------------
+
+
+@register("SELECT gid, array_to_string(weights, ',') AS weights, total_counts, occurrences FROM {cls}")
+def weight_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classes(spark, sf_dir)[1].select("gid", _text(), "total_counts", "occurrences")
+
+
+@register("SELECT gid, tidx, n_kmers FROM {kt}")
+def effective_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimate.effective_kmers(_classes(spark, sf_dir)[1])
+
+
+@register("SELECT gid FROM {live}")
+def counted_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimate.counted_genes(_classes(spark, sf_dir)[1])
+
+
+@register("SELECT gid, tidx, round(found, 6) AS n_reads_kmers, round(density, 6) AS density FROM {em}")
+def em_fixed_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = estimate.estimate_genes(_classes(spark, sf_dir)[1], OPTIONS, ROUNDS)
+    return rows.select("gid", "tidx", F.round("n_reads_kmers", 6).alias("n_reads_kmers"), F.round("density", 6).alias("density"))
+
+
+@register()
+def em_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimate.estimate_genes(_classes(spark, sf_dir)[1], OPTIONS)
+
+
+@register("""SELECT a.gid, a.tidx AS covering, b.tidx AS covered FROM {tx} a JOIN {tx} b ON a.gid = b.gid AND a.tidx <> b.tidx
+WHERE a.gid IN (SELECT gid FROM {cls}) AND NOT EXISTS (SELECT 1 FROM {cls} c WHERE c.gid = a.gid AND c.weights[a.tidx + 1] = 0 AND c.weights[b.tidx + 1] <> 0)""")
+def covered_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built, classes = _classes(spark, sf_dir)
+    return estimate.covered_transcripts(classes, built.transcripts.join(classes.select("gid").distinct(), "gid", "left_semi"))
+
+
+@register("""SELECT gid, round(sum(CASE WHEN p > 0 AND total_counts > 0 THEN total_counts * ln(p) ELSE 0.0 END), 6) AS log_likelihood FROM (
+  SELECT cw.gid, cw.weights, total_counts, sum(1.0 / n * w * occurrences / n_kmers) AS p FROM {cw} cw JOIN {kt} USING (gid, tidx) JOIN (SELECT gid, count(*) AS n FROM {tx} GROUP BY gid) t ON t.gid = cw.gid GROUP BY ALL) GROUP BY gid""")
+def loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built, classes = _classes(spark, sf_dir)
+    sizes = built.transcripts.groupBy("gid").agg(F.count("*").alias("n"))
+    shares = built.transcripts.select("gid", "tidx").join(sizes, "gid").select("gid", "tidx", (1.0 / F.col("n")).alias("share"))
+    return estimate.log_likelihood(classes, shares).select("gid", F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
+@register(f"""SELECT tid, CAST(length AS INTEGER) AS length, round(est_reads, 6) AS est_reads, round(CASE WHEN s > 0 THEN est_reads / (length / 1000.0) / (s / 1e6) ELSE 0 END, 4) AS rpkm,
+  round(CASE WHEN d > 0 THEN est_reads / length / d * 1e6 ELSE 0 END, 4) AS tpm
+FROM (SELECT *, sum(est_reads) OVER () AS s, sum(est_reads / length) OVER () AS d FROM (
+  SELECT tid, length, (CASE WHEN x < 0.1 THEN 0 ELSE x END) / {READ - K} AS est_reads FROM (SELECT t.tid, len(t.seq) AS length, coalesce(e.density, 0) * len(t.seq) AS x FROM {{tx}} t LEFT JOIN {{em}} e ON e.gid = t.gid AND e.tidx = t.tidx)))""")
+def rpkm_tpm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built, classes = _classes(spark, sf_dir)
+    rows = estimate.abundance(built.transcripts, estimate.estimate_genes(classes, OPTIONS, ROUNDS), OPTIONS)
+    return rows.select("tid", "length", F.round("est_reads", 6).alias("est_reads"), F.round("rpkm", 4).alias("rpkm"), F.round("tpm", 4).alias("tpm"))
+
+
+# ---- similarity and clusters --------------------------------------------------------------------------
+
+
+@register("SELECT gid1, gid2, dup, total FROM {cont}")
+def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.containment(_tx(spark, sf_dir), K)
+
+
+@register("SELECT src, dst FROM {edge}")
+def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similarity_edges(similarity.containment(_tx(spark, sf_dir), K))
+
+
+def _roots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tx = cut(_tx(spark, sf_dir), "transcripts")
+    genes = cut(text.numbered_genes(tx), "genes")
+    return tx, genes, similarity.clusters(genes, similarity.similarity_edges(similarity.containment(tx, K)))
+
+
+@register("SELECT idx, root FROM {root}")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _roots(spark, sf_dir)[2]
+
+
+@register("""SELECT h.gid, CAST(row_number() OVER (PARTITION BY r.root ORDER BY g.idx, t.tidx) - 1 AS INTEGER) AS tidx, t.tid, t.seq
+FROM {tx} t JOIN {gene} g ON g.gid = t.gid JOIN {root} r ON r.idx = g.idx JOIN {gene} h ON h.idx = r.root""")
+def merged_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx, genes, roots = _roots(spark, sf_dir)
+    return similarity.merged(tx, genes, roots)
+
+
+# ---- annotations and genomes --------------------------------------------------------------------------
+
+
+@register('SELECT line, seqname, feature, "start", "end", strand, gid, gname, tid, biotype FROM {gtf}')
+def gtf_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.parse_gtf(synth.gtf_lines(spark, sf_dir)).select("line", "seqname", "feature", "start", "end", "strand", "gid", "gname", "tid", "biotype")
+
+
+def _exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.exon_rows(text.parse_gtf(synth.gtf_lines(spark, sf_dir)))
+
+
+@register('SELECT gid, gname, tid, seqname, strand, "start", "end", line FROM {exon}')
+def exon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exons(spark, sf_dir).drop("tname")
+
+
+@register("SELECT line FROM {gtfl} WHERE regexp_matches(value, '^MT|^[XY]|^[0-9]*\\t')")
+def main_chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.gtf_lines(spark, sf_dir).filter(F.col("value").rlike("^MT|^[XY]|^[0-9]*\t")).select("line")
+
+
+@register("SELECT gname AS gid, count(DISTINCT strand) AS n_strands FROM {exon} GROUP BY gname HAVING count(DISTINCT strand) > 1")
+def mixed_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.mixed_strands(_exons(spark, sf_dir).withColumn("gid", F.col("gname")))
+
+
+@register('SELECT gid, tid, line, ord, "offset" FROM {oex}')
+def exon_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.ordered_exons(_exons(spark, sf_dir)).select("gid", "tid", "line", "ord", "offset")
+
+
+_CONCAT = """SELECT gid, CAST(row_number() OVER (PARTITION BY gid ORDER BY line, tid) - 1 AS INTEGER) AS tidx, tid, seq, has_seq FROM (
+  SELECT o.gid, o.tid, min(o.line) AS line, string_agg(coalesce(substring(g.seq, o."start", o."end" - o."start"), ''), '' ORDER BY o.ord) AS seq, bool_and(g.seq IS NOT NULL) AS has_seq
+  FROM {oex} o LEFT JOIN {geno} g USING (seqname) GROUP BY o.gid, o.tid)"""
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.assembled(prepare.with_sequence(_exons(spark, sf_dir), synth.genome(spark, sf_dir)))
+
+
+@register(_CONCAT)
+def exon_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assembled(spark, sf_dir)
+
+
+@register(f"SELECT gid, '>' || gid || '|' || string_agg(tid, '|' ORDER BY tidx) || chr(10) || string_agg(seq, '|' ORDER BY tidx) AS value FROM ({_CONCAT}) WHERE has_seq GROUP BY gid")
+def gene_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.gene_records(_assembled(spark, sf_dir).filter("has_seq"))
+
+
+@register(f"SELECT gid, sum(len(seq))::BIGINT AS bases FROM ({_CONCAT}) WHERE gid >= 'b' AND gid < 'p' AND has_seq GROUP BY gid")
+def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    genes = store.KeyedStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = _assembled(spark, sf_dir).groupBy("gid").agg(F.sum(F.char_length("seq")).cast("long").alias("bases"), F.bool_or("has_seq").alias("has_seq"))
+    genes.put(rows.withColumn("bases", F.lit(-1).cast("long")), version=0)
+    genes.put(rows, version=1)
+    return genes.scan("b", "p").filter("has_seq").select("gid", "bases")
