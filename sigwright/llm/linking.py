@@ -1,20 +1,26 @@
 """Exact links between members of buckets, for groups of any size.
 
-A bucket says which sets may be similar; only an exact comparison makes a link. Comparing all members of a
-bucket with one another would grow with the square of its size, so links are found in steps. In a star step
-each member is compared with one leader of its bucket; what is linked becomes one component. Buckets whose
-members are all in one component are done. Last, members of different components that still share a bucket
-are compared directly, if their signatures are near enough. Components are those of all links.
+Buckets say which sets may be similar; only an exact comparison makes a link. Rows for all pairs of a bucket
+would grow with the square of its size, so pairs are never rows. First, near components: ids that share a
+bucket and, where signatures are given, are near enough by them. They hold every link. Then each component's
+sets are compared in tiles of two blocks of bounded size, from which only links that join something leave.
+Before either step a star, everyone against one leader, settles most of what is alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigwright.operators.components import connected_components
 from sigwright.runtime import Cut
 
+#: Members of one block of a tile: of signatures, and of whole sets.
+SIG_BLOCK = 1024
+SET_BLOCK = 256
+
 
 def active_buckets(keys: DataFrame) -> DataFrame:
     """(key, id) rows of buckets with two ids or more; of buckets with the same members one stays."""
@@ -25,8 +31,36 @@ def active_buckets(keys: DataFrame) -> DataFrame:
     return keys.join(chosen, "key")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) rows of pairs whose sets have den * intersection >= num * union."""
+def linked_components(buckets: DataFrame, sets: DataFrame, num: int, den: int, far: int | None = None) -> DataFrame:
+    """(id, root) of ids with a link, den * intersection >= num * union. buckets: (key, id) of active buckets;
+    sets: (id, set array<long>), and sig binary of 16-bit symbols where far is given: ids of which the
+    signatures differ in more symbols are not near.
+    """
+    near = Cut(_bucket_components(buckets) if far is None else _near_components(buckets, sets.select("id", "sig"), far), "near").df
+    sets = sets.select("id", "set")
+    led = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    stars = Cut(_verified(led, sets, num, den), "star-links").df
+    linked = stars.select(F.col("a").alias("node"), F.lit(True).alias("linked"))
+    marked = near.join(linked, "node", "left").withColumn("label", F.when(F.col("linked"), F.col("root")).otherwise(F.col("node")))
+    # with its leader everyone has been compared: only two others can still be linked
+    rest = marked.groupBy("root").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("root")).alias("left")).filter("n > 2 AND left > 0")
+    members = marked.select("root", F.col("node").alias("id"), "label").join(rest.select("root", "n"), "root").join(sets, "id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        column = group.column("set").combine_chunks()
+        flat, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        ids = group.column("id").to_numpy()
+        links = set_links(flat, ends, group.column("label").to_numpy(), group.column("block").to_numpy(), num, den)
+        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
+
+    tiles = _tiled(members, "root", SET_BLOCK).select("root", "one", "two", "block", "id", "label", "set")
+    found = Cut(tiles.groupBy("root", "one", "two").applyInArrow(compare, "a long, b long"), "tile-links").df
+    return connected_components(stars.unionByName(found), "a", "b").select(F.col("node").alias("id"), "root")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) rows of pairs that are linked."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -36,35 +70,104 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").filter(linked).select("a", "b")
 
 
-def linked_components(buckets: DataFrame, sets: DataFrame, num: int, den: int, far: int | None = None) -> DataFrame:
-    """(id, root) of ids with a link. buckets: (key, id) of active buckets; sets: (id, set array<long>[, sig
-    array]); num / den: least similarity; far: ids whose signatures differ in more symbols are not compared
-    in the last step.
-    """
-    start = buckets.select("key", "id", F.col("id").alias("label"))
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    for leader in (F.min, F.max):
-        marked = start if roots is None else _labelled(buckets, roots)
-        lead = marked.groupBy("key").agg(leader(F.struct("id", "label")).alias("l"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "l")
-        pairs = marked.join(lead, "key").filter("label <> l.label").select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b")).distinct()
-        found = Cut(verified(pairs, sets, num, den), "links").df
-        links = found if links is None else links.unionByName(found)
-        roots = Cut(connected_components(links, "a", "b"), "roots").df
-    marked = _labelled(buckets, roots)
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    marked = marked.join(open_keys, "key")
-    near = F.lit(True)
-    if far is not None:
-        marked = marked.join(sets.select("id", "sig"), "id")
-        near = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda d: d)) <= far
-    one, two = (marked.select("key", *(F.col(c).alias(f"{c}_{s}") for c in marked.columns if c != "key")) for s in "ab")
-    pairs = one.join(two, "key").filter((F.col("label_a") < F.col("label_b")) & near)
-    pairs = pairs.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
-    found = Cut(verified(pairs, sets, num, den), "links").df
-    contracted = links.unionByName(found)
-    return connected_components(contracted, "a", "b").select(F.col("node").alias("id"), "root")
-
-
-def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+def _bucket_components(buckets: DataFrame) -> DataFrame:
+    lead = buckets.groupBy("key").agg(F.min("id").alias("l"))
+    return connected_components(buckets.join(lead, "key").select("id", "l").distinct(), "id", "l")
+
+
+def _near_components(buckets: DataFrame, sigs: DataFrame, far: int) -> DataFrame:
+    """(node, root) of components of ids that share a bucket and differ in ``far`` symbols at most."""
+    lead = buckets.groupBy("key").agg(F.min("id").alias("l"), F.count("*").alias("n"))
+    pairs = buckets.join(lead, "key").filter("id <> l").select("id", "l").distinct()
+    one, two = sigs.select("id", F.col("sig").alias("x")), sigs.select(F.col("id").alias("l"), F.col("sig").alias("y"))
+    stars = Cut(pairs.join(one, "id").join(two, "l").filter(differing(F.col("x"), F.col("y")) <= far).select("id", "l"), "sig-links").df
+    roots = Cut(connected_components(stars, "id", "l"), "sig-roots").df
+    marked = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    rest = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 2 AND lo <> hi")
+    members = marked.join(rest.select("key", "n"), "key").join(sigs, "id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids = group.column("id").to_numpy()
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        links = sig_links(sig, group.column("label").to_numpy(), group.column("block").to_numpy(), far)
+        return pa.table({"id": pa.array([ids[i] for i, _ in links], pa.int64()), "l": pa.array([ids[j] for _, j in links], pa.int64())})
+
+    tiles = _tiled(members, "key", SIG_BLOCK).select("key", "one", "two", "block", "id", "label", "sig")
+    found = tiles.groupBy("key", "one", "two").applyInArrow(compare, "id long, l long")
+    return connected_components(stars.unionByName(Cut(found.distinct(), "sig-tiles").df), "id", "l")
+
+
+def differing(x: Column, y: Column) -> Column:
+    """Number of 16-bit symbols in which two signatures differ."""
+    digits = F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 2).cast("int")), lambda i: F.substring(x, 2 * i + 1, 2) != F.substring(y, 2 * i + 1, 2))
+    return F.size(F.filter(digits, lambda d: d))
+
+
+def _tiled(members: DataFrame, group: str, block: int) -> DataFrame:
+    """members, with n the size of their group, once for each tile (one <= two) of their block."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", group), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+
+
+def _joiner(labels: np.ndarray):
+    """(roots, join): roots by member, and a function that joins member i with others and gives the links that
+    joined something."""
+    _, roots = np.unique(labels, return_inverse=True)
+
+    def join(i: int, others: np.ndarray) -> list[tuple[int, int]]:
+        out = []
+        fresh = others[roots[others] != roots[i]]
+        while len(fresh):
+            j = int(fresh[0])
+            out.append((i, j))
+            roots[roots == roots[j]] = roots[i]
+            fresh = fresh[roots[fresh] != roots[i]]
+        return out
+
+    return roots, join
+
+
+def _partners(blocks: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The members to go through, and whether the tile has two blocks."""
+    low = blocks.min()
+    return np.flatnonzero(blocks == low), bool((blocks != low).any())
+
+
+def sig_links(sigs: np.ndarray, labels: np.ndarray, blocks: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """Pairs of members within ``far`` symbols that join labels; in a tile of two blocks, between these."""
+    roots, join = _joiner(labels)
+    out: list[tuple[int, int]] = []
+    mine, two = _partners(blocks)
+    for i in mine.tolist():
+        others = np.flatnonzero((roots != roots[i]) & ((blocks != blocks[i]) if two else True))
+        if len(others):
+            out += join(i, others[(sigs[others] != sigs[i]).sum(1) <= far])
+    return out
+
+
+def set_links(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, blocks: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of members with linked sets that join labels; member i has the values flat[ends[i]:ends[i + 1]]."""
+    roots, join = _joiner(labels)
+    sizes = np.diff(ends)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, value = np.unique(flat, return_inverse=True)
+    order = np.argsort(value, kind="stable")
+    holders = owner[order]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(value))])
+    out: list[tuple[int, int]] = []
+    mine, two = _partners(blocks)
+    for i in mine.tolist():
+        other = (roots != roots[i]) & (den * np.minimum(sizes, sizes[i]) >= num * np.maximum(sizes, sizes[i]))
+        if two:
+            other &= blocks != blocks[i]
+        if not other.any():
+            continue
+        v = value[ends[i] : ends[i + 1]]
+        counts = starts[v + 1] - starts[v]
+        at = np.repeat(starts[v] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        both = np.bincount(holders[at], minlength=len(sizes))
+        out += join(i, np.flatnonzero(other & (den * both >= num * (sizes + sizes[i] - both))))
+    return out

@@ -105,12 +105,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             for i, mark, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = shingle_set(value.as_py(), shingle)
                 if len(found) and xxhash.xxh3_128_hexdigest(found.tobytes()) == mark:
-                    rows.append((i, found.view(np.int64), hasher.symbols_of(hasher.minima(found))[0].view(np.int16)))
+                    rows.append((i, found.view(np.int64), hasher.symbols_of(hasher.minima(found))[0].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int16()))], names=["id", "set", "sig"]
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], names=["id", "set", "sig"]
             )
 
-    sets = Cut(texts.mapInArrow(full, "id long, set array<long>, sig array<short>"), "sets").df
+    sets = Cut(texts.mapInArrow(full, "id long, set array<long>, sig binary"), "sets").df
     roots = linked_components(buckets, sets, num, den, far)
     named = signed.join(nodes.select("mark", F.col("id").alias("node")), "mark", "left")
     # an id with several texts joins their nodes
