@@ -111,13 +111,13 @@ def scaled_reads(x: Column, read_length: int, k: int) -> Column:
 
 
 def rpkm(reads: Column, length: Column, total_reads: Column) -> Column:
-    """Reads per kilobase and million; 0 where there are no reads at all."""
-    return F.when(total_reads > 0, reads / (length / 1000.0) / (total_reads / 1e6)).otherwise(F.lit(0.0))
+    """Reads per kilobase and million; 0 where there are no reads at all or the length is 0."""
+    return F.when((total_reads > 0) & (length > 0), reads / (length / 1000.0) / (total_reads / 1e6)).otherwise(F.lit(0.0))
 
 
 def tpm(reads: Column, length: Column, total_density: Column) -> Column:
-    """Transcripts per million; 0 where there are no reads at all."""
-    return F.when(total_density > 0, reads / length / total_density * 1e6).otherwise(F.lit(0.0))
+    """Transcripts per million; 0 where there are no reads at all or the length is 0."""
+    return F.when((total_density > 0) & (length > 0), reads / length / total_density * 1e6).otherwise(F.lit(0.0))
 
 
 def float_range(start: float, stop: float, step: float) -> Column:

@@ -135,7 +135,7 @@ def abundance(transcripts: DataFrame, estimates: DataFrame, options: EstimateOpt
     x = F.coalesce(F.col("density"), F.lit(0.0)) * F.col("length")
     last = F.max_by(F.struct("length", F.when(x < options.least_abundance, 0.0).otherwise(x).alias("x")), F.struct("gid", "tidx"))
     rows = full.groupBy("tid").agg(last.alias("r")).select("tid", "r.length", dna.scaled_reads(F.col("r.x"), options.read_length, options.k).alias("est_reads"))
-    totals = rows.agg(F.sum("est_reads").alias("all_reads"), F.sum(F.col("est_reads") / F.col("length")).alias("all_density"))
+    totals = rows.agg(F.sum("est_reads").alias("all_reads"), F.sum(F.try_divide("est_reads", "length")).alias("all_density"))
     return rows.crossJoin(F.broadcast(totals)).select(
         "tid", "length", "est_reads", dna.rpkm(F.col("est_reads"), F.col("length"), F.col("all_reads")).alias("rpkm"), dna.tpm(F.col("est_reads"), F.col("length"), F.col("all_density")).alias("tpm")
     )

@@ -65,14 +65,15 @@ def genome(spark: SparkSession, paths: Paths) -> DataFrame:
 def parse_gtf(lines: DataFrame) -> DataFrame:
     """Rows of GTF from (line, value): the nine columns, gid, gname, tid, tname and biotype.
 
-    Comments and lines with another number of columns are left out. Names default to ids.
+    Comments and lines with another number of columns are left out; a place that is no number is null. Names
+    default to ids.
     """
     parts = F.split(F.regexp_replace("value", "\\s+\\z", ""), "\t")
     rows = lines.filter(~F.col("value").startswith("#")).withColumn("p", parts).filter(F.size("p") == 9)
     p = [F.col("p")[i] for i in range(9)]
     gid, tid = dna.gtf_attribute(p[8], "gene_id"), dna.gtf_attribute(p[8], "transcript_id")
     return rows.select(
-        "line", p[0].alias("seqname"), p[1].alias("source"), p[2].alias("feature"), p[3].cast("int").alias("start"), p[4].cast("int").alias("end"), p[5].alias("score"), p[6].alias("strand"), p[7].alias("frame"), p[8].alias("extra"),
+        "line", p[0].alias("seqname"), p[1].alias("source"), p[2].alias("feature"), p[3].try_cast("int").alias("start"), p[4].try_cast("int").alias("end"), p[5].alias("score"), p[6].alias("strand"), p[7].alias("frame"), p[8].alias("extra"),
         gid.alias("gid"), F.coalesce(dna.gtf_attribute(p[8], "gene_name"), gid).alias("gname"), tid.alias("tid"), F.coalesce(dna.gtf_attribute(p[8], "transcript_name"), tid).alias("tname"), dna.gtf_attribute(p[8], "gene_biotype").alias("biotype"),
     )
 
