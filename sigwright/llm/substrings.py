@@ -137,7 +137,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(BANDS * ROWS)
-        for batch in batches:
+        for batch in _slices(batches):
             parts: list[list[np.ndarray]] = [[] for _ in names]
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 p = paragraphs(value.as_py())
@@ -161,12 +161,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             bands = batch.column(1).flatten().to_numpy().reshape(len(nodes), BANDS)
             _, new = np.unique(nodes, return_index=True)
             new = np.array([i for i in new.tolist() if int(nodes[i]) not in sent], np.int64)
-            if len(sent) > 500_000:
+            if len(sent) > 100_000:
                 sent.clear()
             sent.update(nodes[new].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(bands[new].ravel()), pa.array(np.repeat(nodes[new], BANDS))], names=["key", "id"])
 
-    keys = found.select("node", "bands").mapInArrow(deal, "key long, id long").repartition(shuffle_partitions(spark), "key")
+    keys = found.select("node", "bands").mapInArrow(deal, "key long, id long").repartition(4 * shuffle_partitions(spark), "key")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
     buckets = Cut(active_buckets(keys.join(shared, "key")), "paragraph-buckets").df
     wanted = found.select("doc_id", "node").join(buckets.select(F.col("id").alias("node")).distinct(), "node")
@@ -174,7 +174,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     texts = source.join(wanted, source["doc_id"] == wanted["at"]).select("nodes", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, sets = [], []
             for nodes, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 p = paragraphs(value.as_py())
@@ -212,6 +212,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return runs.filter(F.col("n_words") >= MIN_RUN).drop("island")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Shorter batches, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """A text without spans; the blanks behind a removed span go with it."""
     out, at = [], 0
