@@ -16,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigwright.llm.labelled import SAMPLE_ROWS, held_out, sample
 from sigwright.runtime import Cut
 
 ORDERS = (4, 5, 6)
 BITS = 18
 #: Buckets kept by the model.
 FEATURES = 2048
-#: Bound of the labelled sample: rows with the smallest hashes of their id.
-SAMPLE_ROWS = 8000
 STEPS = 200
 THRESHOLD = 0.3
 
@@ -64,24 +63,20 @@ def buckets(text: str) -> Iterator[np.ndarray]:
             yield (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
-    """Fits on labelled (id, text, label 0/1) rows, of which the ``sample_rows`` smallest hashes of ids are used.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
+    """Fits on a bounded sample of the labelled documents outside the held-out fold (see labelled.sample).
 
-    Rows with a null id, text or label are left out; ids that occur again count once, with their largest
-    label and text. With one class only, or no row, the model scores every text with the smoothed share of
-    label 1. What reaches the driver is bounded by 2**BITS counts and sample_rows * FEATURES indices.
+    With one class only, or no row, the model scores every text with the smoothed share of label 1. What
+    reaches the driver is bounded by 2**BITS counts and sample_rows * FEATURES indices.
     """
-    known = labelled.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).dropna()
-    ids = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    chosen = known.join(F.broadcast(ids), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
-    sample = Cut(chosen.select("text", "label").repartition(24), "toxic-sample")
+    chosen = Cut(sample(docs, labels, label, sample_rows).select("text", "label").repartition(24), "toxic-sample")
     try:
-        return _fit(sample.df)
+        return _fit(chosen.df)
     finally:
-        sample.drop()
+        chosen.drop()
 
 
-def _fit(sample: DataFrame) -> ToxicModel:
+def _fit(rows_in: DataFrame) -> ToxicModel:
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +92,7 @@ def _fit(sample: DataFrame) -> ToxicModel:
         at = np.flatnonzero(docs.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(docs[0, at], totals[0])), pa.array(np.append(docs[1, at], totals[1]))], names=["bucket", "clean", "toxic"])
 
-    rows = sample.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    rows = rows_in.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     total = rows[rows.bucket == -1]
     clean, toxic = (int(total.clean.sum()), int(total.toxic.sum())) if len(total) else (0, 0)
     slot = np.zeros(size, np.int16)
@@ -119,7 +114,7 @@ def _fit(sample: DataFrame) -> ToxicModel:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["label", "features"])
 
     # rows are sorted: sums in the fit, and so the model, do not depend on the order of tasks
-    fitted = sorted((r.label, bytes(r.features)) for r in sample.mapInArrow(indices, "label int, features binary").collect())
+    fitted = sorted((r.label, bytes(r.features)) for r in rows_in.mapInArrow(indices, "label int, features binary").collect())
     y = np.array([label > 0 for label, _ in fitted], float)
     owner = np.repeat(np.arange(len(y)), [len(x) // 4 for _, x in fitted])
     flat = np.frombuffer(b"".join(x for _, x in fitted), np.int32)
@@ -155,18 +150,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, text: str = "text", keep
     return source.mapInArrow(run, f"{fields}{', ' if fields else ''}`{score}` double")
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(doc_id, text, label) of labelled documents outside the held-out fold, crc32(doc_id as text) mod 4 = 2."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().filter(~held_out("doc_id"))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
-def held_out(id_col: str):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= THRESHOLD) of every row of docs."""
-    scored = score_documents(docs, fit(labelled_documents(docs, labels)), keep=("doc_id",))
+    scored = score_documents(docs, fit(docs, labels), keep=("doc_id",))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
