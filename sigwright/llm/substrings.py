@@ -29,9 +29,9 @@ NUM, DEN = 80, 100
 BANDS, ROWS = 4, 2
 RADIUS = 3
 #: Words of the least paragraph that is looked at.
-MIN_WORDS = 8
+MIN_WORDS = 5
 #: Repeated paragraphs with so many words between them at most are one passage, removed with these words.
-GAP = 8
+GAP = 4
 #: Words in repeated paragraphs of the least passage that is removed.
 MIN_RUN = 20
 _BLANK = np.zeros(256, bool)
@@ -42,10 +42,13 @@ _ENDS[list(b".!?")] = True
 
 @dataclass
 class Paragraphs:
-    """first and last (behind) word, and start and end byte, of the paragraphs of one text, with its shingles."""
+    """first and last (behind) word of the paragraphs of one text, and its shingles. whole_first, whole_last,
+    start and end (words and bytes) include short parts of the line that go with a paragraph."""
 
     first: np.ndarray
     last: np.ndarray
+    whole_first: np.ndarray
+    whole_last: np.ndarray
     start: np.ndarray
     end: np.ndarray
     shingles: np.ndarray
@@ -76,7 +79,7 @@ def paragraphs(text: str | None) -> Paragraphs:
     n = len(h)
     if not n:
         none = np.zeros(0, np.int64)
-        return Paragraphs(none, none, none, none, np.zeros(0, np.uint64))
+        return Paragraphs(none, none, none, none, none, none, np.zeros(0, np.uint64))
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, start)
     hard = np.ones(n, bool)
@@ -97,7 +100,17 @@ def paragraphs(text: str | None) -> Paragraphs:
         hard[pos[alive]] = True
     first = np.flatnonzero(hard)
     last = np.append(first[1:], n)
-    return Paragraphs(first, last, start[first], end[last - 1], ordered_shingles(h, SHINGLE))
+    # a part too short to be looked at goes with the paragraph before it in its line, else with the one behind
+    long = last - first >= MIN_WORDS
+    whole_first, whole_last = first.copy(), last.copy()
+    short = np.flatnonzero(~long)
+    behind = short[(short > 0) & long[short - 1] & (line[first[short]] == line[first[short - 1]])]
+    whole_last[behind - 1] = last[behind]
+    short = np.setdiff1d(short, behind)
+    short = short[short + 1 < len(first)]
+    before = short[long[short + 1] & (line[first[short]] == line[first[short + 1]])]
+    whole_first[before + 1] = first[before]
+    return Paragraphs(first, last, whole_first, whole_last, start[whole_first], end[whole_last - 1], ordered_shingles(h, SHINGLE))
 
 
 def node_ids(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -144,7 +157,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                 at = p.long()
                 if len(at):
                     owner, values = p.sets(at)
-                    made = (np.full(len(at), i), p.first[at], p.last[at], p.start[at], p.end[at], node_ids(owner, values, len(at)), band_keys(p, at, hasher))
+                    made = (np.full(len(at), i), p.whole_first[at], p.whole_last[at], p.start[at], p.end[at], node_ids(owner, values, len(at)), band_keys(p, at, hasher))
                     for part, x in zip(parts, made, strict=True):
                         part.append(x)
             if parts[0]:
