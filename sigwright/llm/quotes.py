@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from sigwright.runtime import Cut, shuffle_partitions
 
-#: Quote marks at the start of a line.
-MARKS = "^((?:[ \\t]*>)+)"
+#: Quote marks at the start of a line. One class of characters: groups would recurse on very many marks.
+MARKS = "^[ \\t>]*>"
 #: A line before a quotation that names its author, in the languages of the corpus.
 ATTRIBUTION = "(?i)^.{0,200}(?:wrote|writes|schrieb|a écrit|escribió)[ \\t]*:[ \\t]*$"
 
@@ -26,7 +26,7 @@ def quote_lines(text: Column) -> Column:
     return F.transform(
         lines,
         lambda x: F.struct(
-            F.char_length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", "")).alias("level"),
+            F.char_length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("level"),
             F.regexp_replace(x, MARKS + "[ \\t]?", "").alias("body"),
         ),
     )
@@ -107,8 +107,8 @@ ORACLE = r"""
 WITH RECURSIVE raw AS (
   SELECT row_number() OVER () AS id, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
 lines AS (
-  SELECT id, conv_id, turn, i, len(regexp_replace(regexp_extract(l, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
-         regexp_replace(l, '^((?:[ \t]*>)+)[ \t]?', '') AS body
+  SELECT id, conv_id, turn, i, len(regexp_replace(regexp_extract(l, '^[ \t>]*>'), '[^>]', '', 'g')) AS level,
+         regexp_replace(l, '^[ \t>]*>[ \t]?', '') AS body
   FROM (SELECT id, conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM raw)),
 marked AS (
   SELECT *, level = 0 AND NOT (coalesce(lead(level) OVER (PARTITION BY id ORDER BY i), 0) > 0
