@@ -11,20 +11,29 @@ from pyspark.sql import functions as F
 from sigwright.functions import dna
 
 
+def exploded(rows: DataFrame, k: int, *keep: str, seq: str = "seq", include_last: bool = False) -> DataFrame:
+    """keep columns, pos and kmer of the windows of seq; sequences that are too short, or null, give none.
+
+    Positions are exploded, not arrays of k-mers: both steps stay in generated code, and a row's sequence is
+    cut in place.
+    """
+    last = F.char_length(seq) - k + (1 if include_last else 0)
+    each = rows.filter(last >= 1).select(*keep, F.col(seq).alias("__seq"), F.explode(F.sequence(F.lit(0), last - 1)).alias("pos"))
+    return each.select(*keep, "pos", F.substr("__seq", F.col("pos") + 1, F.lit(k)).alias("kmer"))
+
+
 def windows(transcripts: DataFrame, k: int, include_last: bool = False) -> DataFrame:
-    """(gid, tidx, pos, kmer) of the forward windows; sequences that are too short give none."""
-    at = F.explode(dna.kmers(F.col("seq"), k, include_last))
-    return transcripts.select("gid", "tidx", at.alias("w")).select("gid", "tidx", "w.pos", "w.kmer")
+    """(gid, tidx, pos, kmer) of the forward windows."""
+    return exploded(transcripts, k, "gid", "tidx", include_last=include_last)
 
 
 def gene_kmers(transcripts: DataFrame, k: int) -> DataFrame:
     """Distinct (gid, kmer) over all four orientations. Each orientation leaves out its own last window, so the
     set is not closed under them at the ends of sequences."""
     oriented = transcripts.select("gid", F.explode(dna.orientations(F.col("seq"))).alias("seq"))
-    return oriented.select("gid", F.explode(dna.kmers(F.col("seq"), k)).alias("w")).select("gid", F.col("w.kmer").alias("kmer")).distinct()
+    return exploded(oriented, k, "gid").select("gid", "kmer").distinct()
 
 
 def read_kmers(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """(kmer) of all windows of reads, the last included, but for those with an N."""
-    at = F.explode(dna.kmers(F.col(seq), k, include_last=True))
-    return reads.select(at.alias("w")).select(F.col("w.kmer").alias("kmer")).filter(~F.col("kmer").contains("N"))
+    return exploded(reads, k, seq=seq, include_last=True).select("kmer").filter(~F.col("kmer").contains("N"))

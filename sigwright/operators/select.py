@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigwright.functions import dna
+from sigwright.operators.kmers import exploded
 
 
 def sampled(regions: DataFrame, k: int, keys_per_region: int) -> DataFrame:
@@ -27,8 +28,8 @@ def key_occurrences(regions: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     A palindrome has equal orientations and so stands at a place twice.
     """
     oriented = keys.select("gid", "key", F.explode(dna.orientations(F.col("key"))).alias("kmer"))
-    places = regions.select("gid", "tidx", "position", F.explode(dna.kmers(F.col("seq"), k)).alias("w"))
-    places = places.select("gid", "tidx", (F.col("position") + F.col("w.pos")).alias("position"), F.col("w.kmer").alias("kmer"))
+    places = exploded(regions, k, "gid", "tidx", "position")
+    places = places.select("gid", "tidx", (F.col("position") + F.col("pos")).alias("position"), "kmer")
     return oriented.join(places, ["gid", "kmer"]).select("gid", "key", "tidx", "position")
 
 
