@@ -59,6 +59,15 @@ def test_annotation_to_transcripts(spark, tmp_path):
     assert prepare.exon_rows(gtf, protein_coding_only=False).count() == 6
 
 
+def test_exons_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "BLOCK", 4)
+    chromosome = "ACGTTGCAAGGCTTACC"
+    places = [(1, 5), (4, 6), (3, 15), (16, 40), (30, 35), (5, 5), (1, 18), (8, 9)]
+    exons = spark.createDataFrame([("c", a, b, i) for i, (a, b) in enumerate(places)] + [("d", 1, 3, 99)], "seqname string, start int, end int, line long")
+    got = {r.line: (r.seq, r.has_seq) for r in prepare.with_sequence(exons, spark.createDataFrame([("c", chromosome), ("e", "")], "seqname string, seq string")).collect()}
+    assert got == {i: (chromosome[a - 1 : b - 1], True) for i, (a, b) in enumerate(places)} | {99: (None, False)}
+
+
 def test_overlaps_and_reports(spark, tmp_path):
     pairs = spark.createDataFrame([("a", "b", 3, 20)], "gid1 string, gid2 string, dup long, total long")
     text.write_overlaps(pairs, str(tmp_path / "o"))
