@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sigwright.llm.linking import active_buckets, linked_components
 from sigwright.llm.shingles import GOLDEN, MinHasher, shingle_set
 from sigwright.operators.components import connected_components
-from sigwright.runtime import Cut
+from sigwright.runtime import Cut, release_memory
 
 SYMBOLS = 48
 MISS = 1e-6
@@ -78,6 +78,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 marks.append(xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None)
                 sigs.append(hasher.symbols_of(hasher.minima(found))[0].tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.string()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "mark", "sig"])
+        release_memory()
 
     signed = Cut(source.mapInArrow(sign, "doc_id long, n_shingles long, mark string, sig binary"), "signed").df
     nodes = Cut(signed.filter("mark IS NOT NULL AND doc_id IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("id"), F.max("sig").alias("sig")), "nodes").df
@@ -109,6 +110,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], names=["id", "set", "sig"]
             )
+        release_memory()
 
     sets = Cut(texts.mapInArrow(full, "id long, set array<long>, sig binary"), "sets").df
     roots = linked_components(buckets, sets, num, den, far)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigwright.llm.labelled import SAMPLE_ROWS, held_out, sample
-from sigwright.runtime import Cut
+from sigwright.runtime import Cut, release_memory
 
 ORDERS = (4, 5, 6)
 BITS = 18
@@ -145,6 +145,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, text: str = "text", keep
         for batch in batches:
             scores = [own.score(value.as_py() or "") for value in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, score])
+        release_memory()
 
     fields = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keep)
     return source.mapInArrow(run, f"{fields}{', ' if fields else ''}`{score}` double")
