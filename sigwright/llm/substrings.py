@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from sigwright.llm.linking import active_buckets, linked_components
 from sigwright.llm.shingles import GOLDEN, MinHasher, _mixed, ordered_shingles, word_hashes
-from sigwright.runtime import Cut, shuffle_partitions
+from sigwright.runtime import Cut, release_memory, shuffle_partitions
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -29,9 +29,9 @@ NUM, DEN = 80, 100
 BANDS, ROWS = 4, 2
 RADIUS = 3
 #: Words of the least paragraph that is looked at.
-MIN_WORDS = 5
+MIN_WORDS = 7
 #: Repeated paragraphs with so many words between them at most are one passage, removed with these words.
-GAP = 4
+GAP = 6
 #: Words in repeated paragraphs of the least passage that is removed.
 MIN_RUN = 20
 _BLANK = np.zeros(256, bool)
@@ -100,15 +100,18 @@ def paragraphs(text: str | None) -> Paragraphs:
         hard[pos[alive]] = True
     first = np.flatnonzero(hard)
     last = np.append(first[1:], n)
-    # a part too short to be looked at goes with the paragraph before it in its line, else with the one behind
+    # parts of a line that are too short to be looked at join if they stand side by side
+    short = last - first < MIN_WORDS
+    first = first[np.append(True, ~(short[1:] & short[:-1] & (line[first[1:]] == line[first[:-1]])))]
+    last = np.append(first[1:], n)
+    # a part too short to be looked at that ends or begins a line goes with the paragraph next to it there
     long = last - first >= MIN_WORDS
+    joins = line[first[1:]] == line[first[:-1]]
+    opens, closes = np.append(True, ~joins), np.append(~joins, True)
     whole_first, whole_last = first.copy(), last.copy()
-    short = np.flatnonzero(~long)
-    behind = short[(short > 0) & long[short - 1] & (line[first[short]] == line[first[short - 1]])]
+    behind = np.flatnonzero(closes[1:] & ~long[1:] & long[:-1] & joins) + 1
     whole_last[behind - 1] = last[behind]
-    short = np.setdiff1d(short, behind)
-    short = short[short + 1 < len(first)]
-    before = short[long[short + 1] & (line[first[short]] == line[first[short + 1]])]
+    before = np.flatnonzero(opens[:-1] & ~long[:-1] & long[1:] & joins)
     whole_first[before + 1] = first[before]
     return Paragraphs(first, last, whole_first, whole_last, start[whole_first], end[whole_last - 1], ordered_shingles(h, SHINGLE))
 
@@ -164,6 +167,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                 flat = [np.concatenate(x) for x in parts]
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(flat[6].ravel()), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), *(pa.array(x.astype(np.int32)) for x in flat[1:5]), pa.array(flat[5]), keys], names=names)
+        release_memory()
 
     found = Cut(source.mapInArrow(cut_up, "doc_id long, first int, last int, start int, end int, node long, bands array<long>"), "paragraphs").df
 
@@ -178,6 +182,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                 sent.clear()
             sent.update(nodes[new].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(bands[new].ravel()), pa.array(np.repeat(nodes[new], BANDS))], names=["key", "id"])
+        sent.clear()
+        release_memory()
 
     keys = found.select("node", "bands").mapInArrow(deal, "key long, id long").repartition(4 * shuffle_partitions(spark), "key")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
@@ -204,6 +210,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                         ids.append(node)
                         sets.append(values[ends[k] : ends[k + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+        release_memory()
 
     # rows that share an id may hold the same node twice
     sets = Cut(texts.mapInArrow(full, "id long, set array<long>"), "paragraph-sets").df.dropDuplicates(["id"])
