@@ -14,15 +14,25 @@ from __future__ import annotations
 
 import hashlib
 import re
+import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sigwright.runtime import release_memory
+
 MARK = "▁"
 #: Chunks in one generation of a worker's cache; it holds two, and what is met again stays.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
+#: Marks, a byte each, for chunks met once; a power of two.
+SEEN = 1 << 21
+#: Seconds for which an idle worker keeps its codec.
+IDLE_SECONDS = 3.0
+#: Rows of an output batch.
+SLICE_ROWS = 200
 
 
 class PieceCodec:
@@ -80,6 +90,7 @@ class PieceCodec:
         self._pairs: dict[tuple[str, str], bool] = {}
         self._decimal: dict[str, str] = {}
         self._older: dict[str, str] = {}
+        self._seen, self._marked = bytearray(SEEN), 0
         self._odd: dict[str, str] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -189,7 +200,15 @@ class PieceCodec:
             surface = self.surfaces(ids)
         if surface != chunk:
             self._odd[chunk] = surface
-        self._decimal[chunk] = known
+        # what is met for the first time is only marked: most chunks never come again
+        mark = hash(chunk) & (SEEN - 1)
+        if self._seen[mark]:
+            self._decimal[chunk] = known
+        else:
+            self._seen[mark] = 1
+            self._marked += 1
+            if self._marked > SEEN // 2:
+                self._seen, self._marked = bytearray(SEEN), 0
         return known
 
     def split(self, text: str) -> list[str]:
@@ -240,11 +259,28 @@ def _utf8(run: bytes) -> str:
         return "".join(out)
 
 
+def _column(output: str, found: list[tuple[str, str]]) -> pa.Array:
+    """A column of encode_documents from (decimals, decoded text) rows."""
+    if output == "n_tokens":
+        return pa.array([d.count(",") + 1 if d else 0 for d, _ in found], pa.int64())
+    if output == "ids":
+        lists = [np.array(d.split(","), np.int32) if d else np.zeros(0, np.int32) for d, _ in found]
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+    if output == "decoded":
+        return pa.array([t for _, t in found], pa.string())
+    texts = (d if output == "ids_sha256" else t for d, t in found)
+    return pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())
+
+
 _codecs: dict[bytes, PieceCodec] = {}
+_idle: list[threading.Timer] = []
 
 
 def worker_codec(model: bytes) -> PieceCodec:
-    """One codec for each worker process: what it has learnt about chunks serves its later tasks."""
+    """One codec for each worker process: what it has learnt about chunks serves its next tasks."""
+    while _idle:
+        _idle.pop().cancel()
     key = hashlib.sha256(model).digest()
     if key not in _codecs:
         _codecs.clear()
@@ -252,6 +288,19 @@ def worker_codec(model: bytes) -> PieceCodec:
     return _codecs[key]
 
 
+def _rest() -> None:
+    """Forgets the codec unless a task asks for it soon: a worker lives on for other work."""
+
+    def forget() -> None:
+        _codecs.clear()
+        release_memory()
+
+    timer = threading.Timer(IDLE_SECONDS, forget)
+    timer.daemon = True
+    _idle.append(timer)
+    timer.start()
+
+
 def encode_documents(
     docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = (), outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")
 ) -> DataFrame:
@@ -273,24 +322,11 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(model.value)
-        for batch in batches:
-            columns: dict[str, list] = {o: [] for o in outputs}
-            for value in batch.column(len(keep)):
-                decimal, decoded = codec.encode_decimal(value.as_py() or "")
-                for o, column in columns.items():
-                    if o == "n_tokens":
-                        column.append(decimal.count(",") + 1 if decimal else 0)
-                    elif o == "ids":
-                        column.append(list(map(int, decimal.split(","))) if decimal else [])
-                    elif o == "decoded":
-                        column.append(decoded)
-                    elif o == "ids_sha256":
-                        column.append(hashlib.sha256(decimal.encode()).hexdigest())
-                    else:
-                        column.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], *(pa.array(c, {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}.get(o, pa.string())) for o, c in columns.items())],
-                names=[f.name for f in schema],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                found = [codec.encode_decimal(value.as_py() or "") for value in batch.column(len(keep))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(_column(o, found) for o in outputs)], names=schema.names)
+        _rest()
 
     return source.mapInArrow(run, schema)
