@@ -1,7 +1,8 @@
 """Substring deduplication by paragraphs (operator 4).
 
-A paragraph is a line, or a part of one: lines are cut further at ends of sentences that the words around
-them choose (the smallest hash of the next three words within RADIUS words of the line), so that a passage is
+A paragraph is a block, or a part of one. A block is a line of MIN_WORDS words or more, or all shorter lines
+that stand together. Blocks are cut further at ends of sentences and of short lines that the words around
+them choose (the smallest hash of the next three words within RADIUS words of the block), so that a passage is
 cut alike wherever it stands. Paragraphs get MinHash bands; those that collide are compared by exact Jaccard
 similarity of their shingle sets; linked ones form clusters. In each cluster the document with the smallest
 id keeps its paragraphs. In other documents, neighbouring paragraphs of clusters that began elsewhere are
@@ -29,7 +30,7 @@ NUM, DEN = 80, 100
 BANDS, ROWS = 4, 2
 RADIUS = 3
 #: Words of the least paragraph that is looked at.
-MIN_WORDS = 7
+MIN_WORDS = SHINGLE
 #: Repeated paragraphs with so many words between them at most are one passage, removed with these words.
 GAP = 6
 #: Words in repeated paragraphs of the least passage that is removed.
@@ -82,17 +83,23 @@ def paragraphs(text: str | None) -> Paragraphs:
         return Paragraphs(none, none, none, none, none, none, np.zeros(0, np.uint64))
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, start)
-    hard = np.ones(n, bool)
-    hard[1:] = line[1:] != line[:-1]
-    soft = np.zeros(n, bool)
-    soft[1:] = _ENDS[data[end[:-1] - 1]]
+    opening = np.ones(n, bool)
+    opening[1:] = line[1:] != line[:-1]
+    heads = np.flatnonzero(opening)
+    narrow = np.diff(np.append(heads, n)) < MIN_WORDS
+    # short lines side by side are one block
+    hard = opening.copy()
+    hard[heads[1:]] = ~(narrow[1:] & narrow[:-1])
+    block = np.cumsum(hard)
+    soft = opening.copy()
+    soft[1:] |= _ENDS[data[end[:-1] - 1]]
     pos = np.flatnonzero(soft & ~hard)
     if len(pos):
         ahead = np.concatenate([h, np.zeros(2, np.uint64)])
         key = _mixed(ahead[pos] * np.uint64(GOLDEN) + (ahead[pos + 1] ^ (ahead[pos + 1] >> np.uint64(31))) + ahead[pos + 2] * np.uint64(3))
         alive = np.ones(len(pos), bool)
         for j in range(1, RADIUS + 1):
-            near = (pos[j:] - pos[:-j] <= RADIUS) & (line[pos[j:]] == line[pos[:-j]])
+            near = (pos[j:] - pos[:-j] <= RADIUS) & (block[pos[j:]] == block[pos[:-j]])
             if not near.any():
                 break
             alive[:-j] &= ~(near & (key[j:] < key[:-j]))
@@ -100,13 +107,13 @@ def paragraphs(text: str | None) -> Paragraphs:
         hard[pos[alive]] = True
     first = np.flatnonzero(hard)
     last = np.append(first[1:], n)
-    # parts of a line that are too short to be looked at join if they stand side by side
+    # parts of a block that are too short to be looked at join if they stand side by side
     short = last - first < MIN_WORDS
-    first = first[np.append(True, ~(short[1:] & short[:-1] & (line[first[1:]] == line[first[:-1]])))]
+    first = first[np.append(True, ~(short[1:] & short[:-1] & (block[first[1:]] == block[first[:-1]])))]
     last = np.append(first[1:], n)
     # a part too short to be looked at that ends or begins a line goes with the paragraph next to it there
     long = last - first >= MIN_WORDS
-    joins = line[first[1:]] == line[first[:-1]]
+    joins = ~opening[first[1:]]
     opens, closes = np.append(True, ~joins), np.append(~joins, True)
     whole_first, whole_last = first.copy(), last.copy()
     behind = np.flatnonzero(closes[1:] & ~long[1:] & long[:-1] & joins) + 1

@@ -93,3 +93,27 @@ def test_query_finds_what_repeats(spark, small):
         known = {tuple(w[i : i + 5]) for w in kept for i in range(len(w) - 4)}
         mine = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
         assert sum(x in known for x in mine) >= 0.6 * len(mine) and r.doc_id not in r.sources
+
+
+@pytest.mark.parametrize("widths", [(5,), (6,), (3,), (1, 2), (10, 4, 4)])
+def test_passages_in_short_and_mixed_lines_go(documents, widths):
+    r = random.Random(8)
+
+    def lines(n):
+        out, at = [], 0
+        while n > 0:
+            width = min(n, widths[at % len(widths)])
+            out.append(" ".join(f"{r.choice('abcdefgh')}{r.randrange(4000)}" for _ in range(width)))
+            at, n = at + 1, n - width
+        return out
+
+    passage = lines(60)
+    rows = [(i, "\n".join(lines(40) + (passage if i % 4 == 1 else []) + lines(40))) for i in range(12)]
+    p = substrings.paragraphs("\n".join(passage))
+    assert (p.last[p.long()] - p.first[p.long()]).sum() >= 60 * (0.5 if widths == (10, 4, 4) else 0.8)
+    out = {x.doc_id: x.text for x in substrings.deduplicated(documents(rows)).collect()}
+    for i, text in rows:
+        if i in (5, 9):
+            assert len(out[i].split()) <= len(text.split()) - 40
+        else:
+            assert out[i] == text
