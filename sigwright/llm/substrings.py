@@ -7,6 +7,11 @@ cut alike wherever it stands. Paragraphs get MinHash bands; those that collide a
 similarity of their shingle sets; linked ones form clusters. In each cluster the document with the smallest
 id keeps its paragraphs. In other documents, neighbouring paragraphs of clusters that began elsewhere are
 removed where they hold MIN_RUN words or more together.
+
+Beside paragraphs, all windows of MIN_RUN words that documents share word by word are found, wherever they
+begin. A window is known by the least hash of the SEED-word shingles in it: documents with equal windows share
+that hash, so only windows whose least hash stands in several documents are compared, by hashes of all their
+words. The document with the smallest id keeps a window, in the others it is removed.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ MIN_WORDS = SHINGLE
 GAP = 6
 #: Words in repeated paragraphs of the least passage that is removed.
 MIN_RUN = 20
+#: Words of the shingles of which a window of MIN_RUN words is known by the least.
+SEED = 12
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ENDS = np.zeros(256, bool)
@@ -44,7 +51,8 @@ _ENDS[list(b".!?")] = True
 @dataclass
 class Paragraphs:
     """first and last (behind) word of the paragraphs of one text, and its shingles. whole_first, whole_last,
-    start and end (words and bytes) include short parts of the line that go with a paragraph."""
+    start and end (words and bytes) include short parts of the line that go with a paragraph. word_start and
+    word_end are the bytes of all words."""
 
     first: np.ndarray
     last: np.ndarray
@@ -53,10 +61,35 @@ class Paragraphs:
     start: np.ndarray
     end: np.ndarray
     shingles: np.ndarray
+    word_start: np.ndarray
+    word_end: np.ndarray
 
     def long(self) -> np.ndarray:
         return np.flatnonzero(self.last - self.first >= MIN_WORDS)
 
+    def least_seeds(self) -> np.ndarray:
+        """For each window of MIN_RUN words the least hash of the SEED-word shingles in it."""
+        low, width = self._joined(SEED), 1
+        span = MIN_RUN - SEED + 1
+        while width < span and len(low):
+            step = min(width, span - width)
+            low, width = np.minimum(low[:-step], low[step:]), width + step
+        return low
+
+    def windows(self) -> np.ndarray:
+        """Hashes of all words of each window of MIN_RUN words."""
+        return self._joined(MIN_RUN)
+
+    def _joined(self, words: int) -> np.ndarray:
+        n = len(self.word_start) - words + 1
+        if n < 1:
+            return np.zeros(0, np.uint64)
+        out = np.full(n, words, np.uint64)
+        for at in [*range(0, words - SHINGLE, SHINGLE), words - SHINGLE]:
+            out = out * np.uint64(GOLDEN) + self.shingles[at : at + n]
+            out ^= out >> np.uint64(29)
+        return _mixed(out)
+
     def sets(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(owner, shingle) of the distinct shingles of paragraphs ``at``, sorted; owner counts in ``at``."""
         sizes = self.last[at] - self.first[at] - (SHINGLE - 1)
@@ -80,7 +113,7 @@ def paragraphs(text: str | None) -> Paragraphs:
     n = len(h)
     if not n:
         none = np.zeros(0, np.int64)
-        return Paragraphs(none, none, none, none, none, none, np.zeros(0, np.uint64))
+        return Paragraphs(none, none, none, none, none, none, np.zeros(0, np.uint64), none, none)
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, start)
     opening = np.ones(n, bool)
@@ -120,7 +153,7 @@ def paragraphs(text: str | None) -> Paragraphs:
     whole_last[behind - 1] = last[behind]
     before = np.flatnonzero(opens[:-1] & ~long[:-1] & long[1:] & joins)
     whole_first[before + 1] = first[before]
-    return Paragraphs(first, last, whole_first, whole_last, start[whole_first], end[whole_last - 1], ordered_shingles(h, SHINGLE))
+    return Paragraphs(first, last, whole_first, whole_last, start[whole_first], end[whole_last - 1], ordered_shingles(h, SHINGLE), start, end)
 
 
 def node_ids(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -144,27 +177,36 @@ def band_keys(p: Paragraphs, at: np.ndarray, hasher: MinHasher) -> np.ndarray:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each passage to remove: doc_id, start and end (bytes of the text in UTF-8, end behind),
-    n_words, n_paragraphs, copy_of (the document that keeps the passage's first paragraph) and sources (all
-    documents that keep paragraphs of it).
+    n_words, n_paragraphs (repeated paragraphs; 0 where no whole paragraph repeats), copy_of (the document that
+    keeps the passage's first words) and sources (all documents that keep parts of it).
+
+    Every run of MIN_RUN words or more that a document with a smaller id has word by word (case and blanks
+    aside) is inside such a passage, whatever its lines and sentences.
 
     Repeats within one document stay, so do those shorter than MIN_RUN words. Null ids and texts, and texts
-    without long paragraphs, give no row. Rows with one id are one document. Empty tables give no row; other
+    without long paragraphs and windows, give no row. Rows with one id are one document. Empty tables give no row; other
     columns are not read. Shingles and sets are compared by 64-bit hashes.
 
     Equal sets are one node before nodes are compared. Bands are dealt once, after each task has left out
-    nodes that it has already sent.
+    nodes that it has already sent. Windows are rows only where their least seed is in several documents.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    names = ["doc_id", "first", "last", "start", "end", "node", "bands"]
+    names = ["doc_id", "first", "last", "start", "end", "node", "bands", "seeds"]
+    partitions = 4 * shuffle_partitions(spark)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(BANDS * ROWS)
         for batch in _slices(batches):
-            parts: list[list[np.ndarray]] = [[] for _ in names]
+            parts: list[list[np.ndarray]] = [[] for _ in names[:-1]]
+            ids, seeds = [], []
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 p = paragraphs(value.as_py())
                 at = p.long()
+                least = np.unique(p.least_seeds())
+                if len(least):
+                    ids.append(i)
+                    seeds.append(least.view(np.int64))
                 if len(at):
                     owner, values = p.sets(at)
                     made = (np.full(len(at), i), p.whole_first[at], p.whole_last[at], p.start[at], p.end[at], node_ids(owner, values, len(at)), band_keys(p, at, hasher))
@@ -173,10 +215,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             if parts[0]:
                 flat = [np.concatenate(x) for x in parts]
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(flat[6].ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), *(pa.array(x.astype(np.int32)) for x in flat[1:5]), pa.array(flat[5]), keys], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[0], pa.int64()), *(pa.array(x.astype(np.int32)) for x in flat[1:5]), pa.array(flat[5]), keys, pa.nulls(len(keys), pa.list_(pa.int64()))], names=names
+                )
+            if ids:
+                empty = [pa.nulls(len(ids), pa.int32())] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *empty, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], names=names)
         release_memory()
 
-    found = Cut(source.mapInArrow(cut_up, "doc_id long, first int, last int, start int, end int, node long, bands array<long>"), "paragraphs").df
+    read = Cut(source.mapInArrow(cut_up, "doc_id long, first int, last int, start int, end int, node long, bands array<long>, seeds array<long>"), "paragraphs").df
+    found = read.filter("node IS NOT NULL").drop("seeds")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -192,47 +240,76 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         sent.clear()
         release_memory()
 
-    keys = found.select("node", "bands").mapInArrow(deal, "key long, id long").repartition(4 * shuffle_partitions(spark), "key")
+    keys = found.select("node", "bands").mapInArrow(deal, "key long, id long").repartition(partitions, "key")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
     buckets = Cut(active_buckets(keys.join(shared, "key")), "paragraph-buckets").df
     wanted = found.select("doc_id", "node").join(buckets.select(F.col("id").alias("node")).distinct(), "node")
     wanted = wanted.groupBy("node").agg(F.min("doc_id").alias("at")).groupBy("at").agg(F.collect_list("node").alias("nodes"))
-    texts = source.join(wanted, source["doc_id"] == wanted["at"]).select("nodes", "text")
+    seeds = read.filter("seeds IS NOT NULL").select("doc_id", F.explode("seeds").alias("key")).repartition(partitions, "key")
+    spread_seeds = seeds.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
+    seeded = seeds.join(spread_seeds, "key").groupBy(F.col("doc_id").alias("at")).agg(F.collect_list("key").alias("seeds"))
+    wanted = wanted.join(seeded, "at", "full")
+    texts = source.join(wanted, source["doc_id"] == wanted["at"]).select("doc_id", "nodes", "seeds", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            ids, sets = [], []
-            for nodes, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, sets, owners, spans = [], [], [], []
+            for doc, nodes, seeds, value in zip(*(batch.column(i) for i in range(4)), strict=True):
                 p = paragraphs(value.as_py())
+                if seeds.is_valid:
+                    at = np.flatnonzero(np.isin(p.least_seeds(), seeds.values.to_numpy().view(np.uint64)))
+                    owners.append(doc.as_py())
+                    spans.append((at, p.windows()[at].view(np.int64), p.word_start[at], p.word_end[at + MIN_RUN - 1]))
                 at = p.long()
-                if not len(at):
+                if not nodes.is_valid or not len(at):
                     continue
                 owner, values = p.sets(at)
                 got = node_ids(owner, values, len(at)).tolist()
-                left = set(nodes)
+                left = set(nodes.values.to_pylist())
                 ends = np.searchsorted(owner, np.arange(len(at) + 1))
                 for k, node in enumerate(got):
                     if node in left:
                         left.discard(node)
                         ids.append(node)
                         sets.append(values[ends[k] : ends[k + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            n, m = len(ids), len(owners)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(sets, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(owners, pa.int64())]),
+                    *(
+                        pa.concat_arrays([pa.nulls(n, pa.list_(kind)), pa.array([x[i].astype(kind.to_pandas_dtype()) for x in spans], pa.list_(kind))])
+                        for i, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int32()))
+                    ),
+                ],
+                names=["id", "set", "doc_id", "first", "window", "start", "end"],
+            )
         release_memory()
 
+    kind = "id long, set array<long>, doc_id long, first array<int>, window array<long>, start array<int>, end array<int>"
+    reread = Cut(texts.mapInArrow(full, kind), "paragraph-sets").df
     # rows that share an id may hold the same node twice
-    sets = Cut(texts.mapInArrow(full, "id long, set array<long>"), "paragraph-sets").df.dropDuplicates(["id"])
+    sets = reread.filter("id IS NOT NULL").select("id", "set").dropDuplicates(["id"])
     roots = Cut(linked_components(buckets, sets, NUM, DEN), "paragraph-roots").df
     slim = found.drop("bands")
     named = slim.join(roots, slim["node"] == roots["id"], "left").select("doc_id", "first", "last", "start", "end", F.coalesce("root", "node").alias("cluster"))
     spread = named.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("other")).filter("kept_in <> other").select("cluster", "kept_in")
     copies = named.join(spread, "cluster").filter("doc_id <> kept_in").drop("cluster").distinct()
-    in_order = Window.partitionBy("doc_id").orderBy("first", "last", "start", "end", "kept_in")
-    apart = F.coalesce(F.col("first") - F.lag("last").over(in_order) > GAP, F.lit(True)).cast("int")
-    runs = copies.withColumn("apart", apart).withColumn("island", F.sum("apart").over(in_order)).groupBy("doc_id", "island").agg(
+    zipped = F.explode(F.arrays_zip("first", "window", "start", "end")).alias("w")
+    windows = reread.filter("doc_id IS NOT NULL").select("doc_id", zipped).select("doc_id", "w.*")
+    keepers = windows.groupBy("window").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("other")).filter("kept_in <> other").select("window", "kept_in")
+    verbatim = windows.join(keepers, "window").filter("doc_id <> kept_in").select("doc_id", "first", (F.col("first") + MIN_RUN).alias("last"), "start", "end", "kept_in")
+    copies = copies.withColumn("paragraph", F.lit(1)).unionByName(verbatim.withColumn("paragraph", F.lit(0)))
+    in_order = Window.partitionBy("doc_id").orderBy("first", "last", "start", "end", "kept_in", "paragraph")
+    behind = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = copies.withColumn("behind", behind).withColumn("fresh", F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.coalesce("behind", F.lit(0)))))
+    apart = F.coalesce(F.col("first") - F.col("behind") > GAP, F.lit(True)).cast("int")
+    runs = placed.withColumn("apart", apart).withColumn("island", F.sum("apart").over(in_order)).groupBy("doc_id", "island").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.sum(F.col("last") - F.col("first")).alias("n_words"),
-        F.count("*").alias("n_paragraphs"),
+        F.sum("fresh").alias("n_words"),
+        F.sum("paragraph").alias("n_paragraphs"),
         F.min(F.struct("first", "kept_in"))["kept_in"].alias("copy_of"),
         F.array_sort(F.collect_set("kept_in")).alias("sources"),
     )

@@ -117,3 +117,31 @@ def test_passages_in_short_and_mixed_lines_go(documents, widths):
             assert len(out[i].split()) <= len(text.split()) - 40
         else:
             assert out[i] == text
+
+
+@pytest.mark.parametrize("kind", ["middle", "no punctuation", "other ends", "one word a line"])
+def test_all_words_of_a_passage_go_wherever_it_stands(documents, kind):
+    r = random.Random(9)
+    prose = sentences(r, 90).split()
+    if kind == "no punctuation":
+        prose = [w.strip(".").lower() for w in prose]
+    if kind == "other ends":
+        prose = [w.replace(".", r.choice(["。", '."', ".)", ":", ";"])) for w in prose]
+    passage, own, rows = prose[3:58], prose[58:], []
+    for i in range(12):
+        mine = [f"{w[:-1]}{i}{w[-1]}" for w in own[7 * i : 7 * i + 150]]
+        rows.append((i, mine[:61] + (passage if i % 4 == 1 else []) + mine[61:]))
+    rows = [(i, ("\n" if kind == "one word a line" and i == 5 else " ").join(words)) for i, words in rows]
+    got = {x.doc_id: x for x in substrings.repeated_passages(documents(rows)).collect()}
+    assert set(got) == {5, 9} and all(x.n_words == 55 and x.copy_of == 1 for x in got.values())
+    assert all(dict(rows)[i].encode()[x.start : x.end].decode().split() == passage for i, x in got.items())
+
+
+def test_shared_windows_have_the_same_seed():
+    r = random.Random(10)
+    run = [f"w{r.randrange(99)}" for _ in range(substrings.MIN_RUN)]
+    for _ in range(50):
+        a, b = ([f"x{r.randrange(99)}" for _ in range(r.randrange(40))] for _ in "ab")
+        p, q = substrings.paragraphs(" ".join(a + run + b)), substrings.paragraphs("\n".join(b + run + a))
+        assert p.windows()[len(a)] == q.windows()[len(b)] and p.least_seeds()[len(a)] == q.least_seeds()[len(b)]
+        assert len(p.windows()) == len(p.least_seeds()) == len(a) + len(b) + 1
