@@ -31,8 +31,8 @@ from sigwright.runtime import Cut, release_memory, shuffle_partitions
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-#: 4 bands of 2 rows: a pair of similarity 0.8 collides with probability 0.983, one of 0.9 with 0.9987.
-BANDS, ROWS = 4, 2
+#: 6 bands of 2 rows: a pair of similarity 0.8 collides with probability 0.998, one of 0.9 with 0.99995.
+BANDS, ROWS = 6, 2
 RADIUS = 3
 #: Words of the least paragraph that is looked at.
 MIN_WORDS = SHINGLE
@@ -198,7 +198,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher(BANDS * ROWS)
         for batch in _slices(batches):
-            parts: list[list[np.ndarray]] = [[] for _ in names[:-1]]
+            parts: list[list[np.ndarray]] = [[] for _ in names]
             ids, seeds = [], []
             for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 p = paragraphs(value.as_py())
@@ -209,12 +209,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                     seeds.append(least.view(np.int64))
                 if len(at):
                     owner, values = p.sets(at)
-                    made = (np.full(len(at), i), p.whole_first[at], p.whole_last[at], p.start[at], p.end[at], node_ids(owner, values, len(at)), band_keys(p, at, hasher))
+                    # a set so small that no other is similar enough needs no bands: only equal ones match, as one node
+                    near = np.bincount(owner, minlength=len(at)) * (DEN - NUM) >= NUM
+                    keys = band_keys(p, at[near], hasher).ravel()
+                    made = (np.full(len(at), i), p.whole_first[at], p.whole_last[at], p.start[at], p.end[at], node_ids(owner, values, len(at)), near * BANDS, keys)
                     for part, x in zip(parts, made, strict=True):
                         part.append(x)
             if parts[0]:
                 flat = [np.concatenate(x) for x in parts]
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(flat[6].ravel()), BANDS).cast(pa.list_(pa.int64()))
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(flat[6])), pa.int32()), pa.array(flat[7]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat[0], pa.int64()), *(pa.array(x.astype(np.int32)) for x in flat[1:5]), pa.array(flat[5]), keys, pa.nulls(len(keys), pa.list_(pa.int64()))], names=names
                 )
@@ -240,7 +243,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         sent.clear()
         release_memory()
 
-    keys = found.select("node", "bands").mapInArrow(deal, "key long, id long").repartition(partitions, "key")
+    keys = found.select("node", "bands").filter(F.size("bands") > 0).mapInArrow(deal, "key long, id long").repartition(partitions, "key")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
     buckets = Cut(active_buckets(keys.join(shared, "key")), "paragraph-buckets").df
     wanted = found.select("doc_id", "node").join(buckets.select(F.col("id").alias("node")).distinct(), "node")

@@ -145,3 +145,24 @@ def test_shared_windows_have_the_same_seed():
         p, q = substrings.paragraphs(" ".join(a + run + b)), substrings.paragraphs("\n".join(b + run + a))
         assert p.windows()[len(a)] == q.windows()[len(b)] and p.least_seeds()[len(a)] == q.least_seeds()[len(b)]
         assert len(p.windows()) == len(p.least_seeds()) == len(a) + len(b) + 1
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    r = random.Random(11)
+    hasher = substrings.MinHasher(substrings.BANDS * substrings.ROWS)
+
+    def keys(words):
+        p = substrings.paragraphs(" ".join(words))
+        return substrings.band_keys(p, p.long(), hasher)[0]
+
+    hits = 0
+    for _ in range(3000):
+        words = [f"w{r.randrange(1 << 40)}" for _ in range(44)]
+        hits += bool((keys(words) == keys(words[:36])).any())
+    assert hits >= 0.994 * 3000
+
+
+def test_small_sets_match_when_they_are_equal(documents):
+    lines = ["a b c d e", "f g h i j k", "l m n o p q r", "s t u v w x y z", "1 2 3 4 5 6 7 8 9"]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[::-1]))]
+    assert [(x.doc_id, x.n_words, x.n_paragraphs) for x in substrings.repeated_passages(documents(rows)).collect()] == [(2, 35, 5)]
