@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from sigwright.llm.linking import active_buckets, linked_components
 from sigwright.llm.shingles import GOLDEN, MinHasher, _mixed, ordered_shingles, word_hashes
-from sigwright.runtime import Cut, release_memory, shuffle_partitions
+from sigwright.runtime import Cut, release_memory, release_shuffles, shuffle_partitions
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -226,8 +226,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *empty, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], names=names)
         release_memory()
 
-    read = Cut(source.mapInArrow(cut_up, "doc_id long, first int, last int, start int, end int, node long, bands array<long>, seeds array<long>"), "paragraphs").df
-    found = read.filter("node IS NOT NULL").drop("seeds")
+    cuts = Cut(source.mapInArrow(cut_up, "doc_id long, first int, last int, start int, end int, node long, bands array<long>, seeds array<long>"), "paragraph-keys")
+    read = cuts.df
+    found = Cut(read.filter("node IS NOT NULL").drop("bands", "seeds"), "paragraphs").df
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -243,15 +244,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         sent.clear()
         release_memory()
 
-    keys = found.select("node", "bands").filter(F.size("bands") > 0).mapInArrow(deal, "key long, id long").repartition(partitions, "key")
+    keys = read.filter("node IS NOT NULL").select("node", "bands").filter(F.size("bands") > 0).mapInArrow(deal, "key long, id long").repartition(partitions, "key")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
-    buckets = Cut(active_buckets(keys.join(shared, "key")), "paragraph-buckets").df
+    bucket_cut = Cut(active_buckets(keys.join(shared, "key")), "paragraph-buckets")
+    buckets = bucket_cut.df
+    release_shuffles(spark)
     wanted = found.select("doc_id", "node").join(buckets.select(F.col("id").alias("node")).distinct(), "node")
     wanted = wanted.groupBy("node").agg(F.min("doc_id").alias("at")).groupBy("at").agg(F.collect_list("node").alias("nodes"))
     seeds = read.filter("seeds IS NOT NULL").select("doc_id", F.explode("seeds").alias("key")).repartition(partitions, "key")
     spread_seeds = seeds.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
-    seeded = seeds.join(spread_seeds, "key").groupBy(F.col("doc_id").alias("at")).agg(F.collect_list("key").alias("seeds"))
-    wanted = wanted.join(seeded, "at", "full")
+    seeded = Cut(seeds.join(spread_seeds, "key").groupBy(F.col("doc_id").alias("at")).agg(F.collect_list("key").alias("seeds")), "paragraph-seeds")
+    cuts.drop()
+    release_shuffles(spark)
+    wanted = wanted.join(seeded.df, "at", "full")
     texts = source.join(wanted, source["doc_id"] == wanted["at"]).select("doc_id", "nodes", "seeds", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,18 +296,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         release_memory()
 
     kind = "id long, set array<long>, doc_id long, first array<int>, window array<long>, start array<int>, end array<int>"
-    reread = Cut(texts.mapInArrow(full, kind), "paragraph-sets").df
+    reread_cut = Cut(texts.mapInArrow(full, kind), "paragraph-sets")
+    reread = reread_cut.df
+    seeded.drop()
+    release_shuffles(spark)
+    zipped = F.explode(F.arrays_zip("first", "window", "start", "end")).alias("w")
+    windows = reread.filter("doc_id IS NOT NULL").select("doc_id", zipped).select("doc_id", "w.*").repartition(partitions, "window")
+    keepers = windows.groupBy("window").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("other")).filter("kept_in <> other").select("window", "kept_in")
+    verbatim = Cut(windows.join(keepers, "window").filter("doc_id <> kept_in").select("doc_id", "first", (F.col("first") + MIN_RUN).alias("last"), "start", "end", "kept_in"), "paragraph-windows").df
+    release_shuffles(spark)
     # rows that share an id may hold the same node twice
     sets = reread.filter("id IS NOT NULL").select("id", "set").dropDuplicates(["id"])
     roots = Cut(linked_components(buckets, sets, NUM, DEN), "paragraph-roots").df
-    slim = found.drop("bands")
-    named = slim.join(roots, slim["node"] == roots["id"], "left").select("doc_id", "first", "last", "start", "end", F.coalesce("root", "node").alias("cluster"))
+    reread_cut.drop()
+    bucket_cut.drop()
+    release_shuffles(spark)
+    named = found.join(roots, found["node"] == roots["id"], "left").select("doc_id", "first", "last", "start", "end", F.coalesce("root", "node").alias("cluster"))
     spread = named.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("other")).filter("kept_in <> other").select("cluster", "kept_in")
     copies = named.join(spread, "cluster").filter("doc_id <> kept_in").drop("cluster").distinct()
-    zipped = F.explode(F.arrays_zip("first", "window", "start", "end")).alias("w")
-    windows = reread.filter("doc_id IS NOT NULL").select("doc_id", zipped).select("doc_id", "w.*")
-    keepers = windows.groupBy("window").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("other")).filter("kept_in <> other").select("window", "kept_in")
-    verbatim = windows.join(keepers, "window").filter("doc_id <> kept_in").select("doc_id", "first", (F.col("first") + MIN_RUN).alias("last"), "start", "end", "kept_in")
     copies = copies.withColumn("paragraph", F.lit(1)).unionByName(verbatim.withColumn("paragraph", F.lit(0)))
     in_order = Window.partitionBy("doc_id").orderBy("first", "last", "start", "end", "kept_in", "paragraph")
     behind = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))

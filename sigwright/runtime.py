@@ -72,3 +72,8 @@ def release_memory() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to: it does so when the driver collects them."""
+    spark._jvm.System.gc()
