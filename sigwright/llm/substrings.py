@@ -330,7 +330,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return runs.filter(F.col("n_words") >= MIN_RUN).drop("island")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Shorter batches, so that what a worker makes of one stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
