@@ -1,18 +1,23 @@
 """Exact links between members of buckets, for groups of any size.
 
 Buckets say which sets may be similar; only an exact comparison makes a link. Rows for all pairs of a bucket
-would grow with the square of its size, so pairs are never rows. First, near components: ids that share a
-bucket and, where signatures are given, are near enough by them. They hold every link. Then each component's
-sets are compared in tiles of two blocks of bounded size, from which only links that join something leave.
-Before either step a star, everyone against one leader, settles most of what is alike.
+would grow with the square of its size, so pairs are never rows. Where signatures are given, near components
+come first: ids that share a bucket and are near enough by them; a star, everyone against the leader, settles
+most of each. What is left meets by its rarest shingles: two sets at the least similarity share one of so many
+of their rarest, which common shingles (templates, licences) are not among. Sets that meet so, in a class of
+sizes, are compared with the first of them, and what that leaves open in tiles of two blocks of bounded size,
+from which only links that join something leave.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sigwright.operators.components import connected_components
 from sigwright.runtime import Cut
@@ -34,17 +39,63 @@ def active_buckets(keys: DataFrame) -> DataFrame:
 def linked_components(buckets: DataFrame, sets: DataFrame, num: int, den: int, far: int | None = None) -> DataFrame:
     """(id, root) of ids with a link, den * intersection >= num * union. buckets: (key, id) of active buckets;
     sets: (id, set array<long>), and sig binary of 16-bit symbols where far is given: ids of which the
-    signatures differ in more symbols are not near.
+    signatures differ in more symbols are not near. Rows of sets with one id are one member with several sets.
     """
-    near = Cut(_bucket_components(buckets) if far is None else _near_components(buckets, sets.select("id", "sig"), far), "near").df
-    sets = sets.select("id", "set")
-    led = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    stars = Cut(_verified(led, sets, num, den), "star-links").df
-    linked = stars.select(F.col("a").alias("node"), F.lit(True).alias("linked"))
-    marked = near.join(linked, "node", "left").withColumn("label", F.when(F.col("linked"), F.col("root")).otherwise(F.col("node")))
-    # with its leader everyone has been compared: only two others can still be linked
-    rest = marked.groupBy("root").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("root")).alias("left")).filter("n > 2 AND left > 0")
-    members = marked.select("root", F.col("node").alias("id"), "label").join(rest.select("root", "n"), "root").join(sets, "id")
+    if far is None:
+        links = None
+        members = sets.select("id", "set", F.col("id").alias("label"))
+    else:
+        near = Cut(_near_components(buckets, sets.select("id", "sig"), far), "near").df
+        sets = sets.select("id", "set")
+        led = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        links = Cut(_verified(led, sets, num, den), "star-links").df
+        linked = links.select(F.col("a").alias("node"), F.lit(True).alias("linked")).distinct()
+        marked = near.join(linked, "node", "left").withColumn("label", F.when(F.col("linked"), F.col("root")).otherwise(F.col("node")))
+        # with its leader everyone has been compared: only two others can still be linked
+        rest = marked.groupBy("root").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("root")).alias("left")).filter("n > 2 AND left > 0")
+        members = marked.join(rest.select("root"), "root").select(F.col("node").alias("id"), "label").join(sets, "id").select("id", "set", "label")
+    keyed_cut = Cut(_meeting(members, num, den), "meeting")
+    keyed = keyed_cut.df
+    lead = keyed.groupBy("key").agg(F.min(F.struct("label", "id", "size")).alias("l"))
+    led = keyed.join(lead, "key").filter((F.col("label") != F.col("l.label")) & _sizes_fit(F.col("size"), F.col("l.size"), num, den))
+    stars = Cut(_verified(led.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct(), sets, num, den), "meeting-stars").df
+    links = stars if links is None else links.unionByName(stars)
+    roots = connected_components(links, "a", "b").select(F.col("node").alias("id"), "root")
+    # with their leader all members of a bucket have been compared, and what it joined has one label by now
+    labels = keyed.drop("label").join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+    open_ = labels.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 2 AND lo <> hi").select("key", "n")
+    left = Cut(labels.join(open_, "key"), "meeting-open").df
+    if left.limit(1).count():
+        found = Cut(_compared(left, sets, num, den), "tile-links").df
+        roots = connected_components(links.unionByName(found), "a", "b").select(F.col("node").alias("id"), "root")
+    keyed_cut.drop()
+    return roots
+
+
+def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
+    return den * F.least(x, y) >= num * F.greatest(x, y)
+
+
+def _meeting(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, id, label, size) of members (id, set, label) by their rarest shingles and class of size; only keys
+    with two labels. Members with a link between them share a key."""
+    rows = members.select("id", "label", F.xxhash64("id", "set").alias("row"), F.size("set").alias("size"), "set")
+    tokens = rows.select("id", "label", "row", "size", F.explode("set").alias("shingle"))
+    common = tokens.groupBy("shingle").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("held > 1").select("shingle", "held", (F.col("lo") != F.col("hi")).alias("apart"))
+    shared = tokens.join(common, "shingle")
+    # shingles that nobody else holds are the rarest of all: they take their places and join nothing
+    own = Window.partitionBy("row")
+    places = F.col("size") - F.ceil(F.lit(num) * F.col("size") / den) + 1 - (F.col("size") - F.count("*").over(own))
+    ranked = shared.withColumns({"places": places, "rank": F.row_number().over(own.orderBy("held", "shingle"))}).filter("rank <= places AND apart")
+    size_class = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num) + 1e-9).cast("int")
+    classes = ranked.select("id", "label", "size", "shingle", F.explode(F.array(size_class, size_class + 1)).alias("class"))
+    keyed = classes.select(F.xxhash64("shingle", "class").alias("key"), "id", "label", "size")
+    several = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    return keyed.join(several, "key")
+
+
+def _compared(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that join labels within keys; left: (key, id, label, size, n)."""
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
@@ -54,9 +105,8 @@ def linked_components(buckets: DataFrame, sets: DataFrame, num: int, den: int, f
         links = set_links(flat, ends, group.column("label").to_numpy(), group.column("block").to_numpy(), num, den)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
-    tiles = _tiled(members, "root", SET_BLOCK).select("root", "one", "two", "block", "id", "label", "set")
-    found = Cut(tiles.groupBy("root", "one", "two").applyInArrow(compare, "a long, b long"), "tile-links").df
-    return connected_components(stars.unionByName(found), "a", "b").select(F.col("node").alias("id"), "root")
+    tiles = _tiled(left.select("key", "id", "label", "n").join(sets, "id"), "key", SET_BLOCK).select("key", "one", "two", "block", "id", "label", "set")
+    return tiles.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -64,17 +114,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    small, large = F.least(F.size("set_a"), F.size("set_b")), F.greatest(F.size("set_a"), F.size("set_b"))
+    a, b = F.size("set_a"), F.size("set_b")
     # sets of too different sizes can't be linked: no intersection needed
-    linked = (den * small >= num * large) & (den * both >= num * (small + large - both))
+    linked = _sizes_fit(a, b, num, den) & (den * both >= num * (a + b - both))
     return pairs.join(left, "a").join(right, "b").filter(linked).select("a", "b")
 
 
-def _bucket_components(buckets: DataFrame) -> DataFrame:
-    lead = buckets.groupBy("key").agg(F.min("id").alias("l"))
-    return connected_components(buckets.join(lead, "key").select("id", "l").distinct(), "id", "l")
-
-
 def _near_components(buckets: DataFrame, sigs: DataFrame, far: int) -> DataFrame:
     """(node, root) of components of ids that share a bucket and differ in ``far`` symbols at most."""
     lead = buckets.groupBy("key").agg(F.min("id").alias("l"), F.count("*").alias("n"))

@@ -106,13 +106,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             for i, mark, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = shingle_set(value.as_py(), shingle)
                 if len(found) and xxhash.xxh3_128_hexdigest(found.tobytes()) == mark:
-                    rows.append((i, found.view(np.int64), hasher.symbols_of(hasher.minima(found))[0].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], names=["id", "set", "sig"]
-            )
+                    rows.append((i, mark, found.view(np.int64), hasher.symbols_of(hasher.minima(found))[0].tobytes()))
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["id", "mark", "set", "sig"])
         release_memory()
 
-    sets = Cut(texts.mapInArrow(full, "id long, set array<long>, sig binary"), "sets").df
+    sets = Cut(texts.mapInArrow(full, "id long, mark string, set array<long>, sig binary"), "sets").df
+    if sets.groupBy("id", "mark").count().filter("count > 1").limit(1).count():  # rows that occur again
+        sets = Cut(sets.dropDuplicates(["id", "mark"]), "sets").df
     roots = linked_components(buckets, sets, num, den, far)
     named = signed.join(nodes.select("mark", F.col("id").alias("node")), "mark", "left")
     # an id with several texts joins their nodes
@@ -128,10 +129,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose document is the one of its group that stays: that with the smallest id."""
-    judged = near_duplicates(docs, id_col, text, **options)
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """The rows of docs whose document is the one of its group that stays: that with the smallest id.
+
+    Of rows that share a kept id and a text one stays, whatever their other columns; texts that differ all stay,
+    as they are one document. Rows with a null id stay.
+    """
+    judged = near_duplicates(docs, id_col, text, **options).select("doc_id", "kept")
+    # one look at the judgements serves both the documents that go and the ids with several rows
+    marks = Cut(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("NOT kept OR n > 1"), "near-marks").df
+    here = docs[id_col].cast("long")
+    gone = marks.select(F.col("doc_id").alias("__gone"))
+    single = docs.join(gone, here == F.col("__gone"), "left_anti")
+    several = marks.filter("kept AND n > 1").select(F.col("doc_id").alias("__again"))
+    if not several.limit(1).count():
+        return single
+    return single.unionByName(docs.join(several, here == F.col("__again"), "left_semi").dropDuplicates([id_col, text]))
 
 
 #: DuckDB SQL for op1: 3-word shingles, similarity 0.85.

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 GOLDEN = 0x9E3779B97F4A7C15
@@ -63,3 +68,62 @@ class MinHasher:
     def symbols_of(self, minima: np.ndarray) -> np.ndarray:
         """The b-bit symbols of minima, runs x symbols."""
         return ((minima * np.uint64(GOLDEN)) >> np.uint64(48)).astype(np.uint16).T
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_RANDOM = np.random.default_rng(64)
+_BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]
+_POWER = _RANDOM.integers(1, 1 << 63, 1, np.uint64) * np.uint64(2) + np.uint64(1)
+_powers = np.cumprod(np.repeat(_POWER, 256))
+
+
+@dataclass
+class FlatWords:
+    """The words of several texts in flat arrays: 64-bit hashes (A-Z lower-cased), first and last (behind) byte
+    within their text. Text i has the words first[i] to first[i + 1]."""
+
+    h: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+
+
+def flat_words(texts: pa.Array) -> FlatWords:
+    """The words of a column of texts; null has none. A word's hash sums its bytes' random numbers times powers
+    of a random odd number, then mixes the sum."""
+    global _powers
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    base = offsets - offsets[0]
+    solid = np.concatenate([[False], ~_BLANK[data], [False]])
+    opening = np.zeros(len(data) + 1, bool)
+    opening[base] = True
+    start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | opening[:-1]))
+    end = np.flatnonzero(solid[1:-1] & (~solid[2:] | opening[1:])) + 1
+    first = np.searchsorted(start, base)
+    lengths = end - start
+    while len(lengths) and lengths.max() > len(_powers):
+        _powers = np.concatenate([_powers, _powers * _powers[-1]])
+    heads = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(heads, lengths)
+    parts = _BYTE[data[solid[1:-1]]] * _powers[place]
+    h = _mixed(np.add.reduceat(parts, heads)) if len(heads) else np.zeros(0, np.uint64)
+    shift = np.repeat(base[:-1], np.diff(first))
+    return FlatWords(h, start - shift, end - shift, first)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of about ``size`` bytes of text at most, or of one row."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        at, held = 0, 0
+        for i, n in enumerate(lengths.tolist()):
+            if held and held + n > size:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)

@@ -1,17 +1,17 @@
-"""Substring deduplication by paragraphs (operator 4).
-
-A paragraph is a block, or a part of one. A block is a line of MIN_WORDS words or more, or all shorter lines
-that stand together. Blocks are cut further at ends of sentences and of short lines that the words around
-them choose (the smallest hash of the next three words within RADIUS words of the block), so that a passage is
-cut alike wherever it stands. Paragraphs get MinHash bands; those that collide are compared by exact Jaccard
-similarity of their shingle sets; linked ones form clusters. In each cluster the document with the smallest
-id keeps its paragraphs. In other documents, neighbouring paragraphs of clusters that began elsewhere are
-removed where they hold MIN_RUN words or more together.
-
-Beside paragraphs, all windows of MIN_RUN words that documents share word by word are found, wherever they
-begin. A window is known by the least hash of the SEED-word shingles in it: documents with equal windows share
-that hash, so only windows whose least hash stands in several documents are compared, by hashes of all their
-words. The document with the smallest id keeps a window, in the others it is removed.
+"""Substring deduplication by paragraph MinHash banding (operator 4).
+
+A paragraph begins where the words around it say so: at each word whose hash, together with the next two, is
+the least within ``radius`` words. So a passage is cut alike wherever it stands, whatever its lines and
+sentences; paragraphs have ``radius`` + 1 words or more and twice that on average. A paragraph's bands are the
+least hashes of its word shingles, as many as its size calls for: sets at the least similarity share one of them
+for certain. Paragraphs that collide are compared by exact Jaccard similarity, linked ones form clusters by
+components, and equal sets are one node before that. In each cluster the document with the smallest id keeps
+its paragraphs.
+
+Where the copied paragraphs of a document end, the words beyond are compared one by one with those beyond the
+kept paragraph, so a passage is known to its first and last word. Only words that one of these comparisons has
+shown to repeat are removed, and a few changed ones between two parts that follow each other in the kept
+document as well.
 """
 
 from __future__ import annotations
@@ -21,320 +21,298 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigwright.llm.linking import active_buckets, linked_components
-from sigwright.llm.shingles import GOLDEN, MinHasher, _mixed, ordered_shingles, word_hashes
-from sigwright.runtime import Cut, release_memory, release_shuffles, shuffle_partitions
-
-SHINGLE = 5
-NUM, DEN = 80, 100
-#: 6 bands of 2 rows: a pair of similarity 0.8 collides with probability 0.998, one of 0.9 with 0.99995.
-BANDS, ROWS = 6, 2
-RADIUS = 3
-#: Words of the least paragraph that is looked at.
-MIN_WORDS = SHINGLE
-#: Repeated paragraphs with so many words between them at most are one passage, removed with these words.
-GAP = 6
-#: Words in repeated paragraphs of the least passage that is removed.
-MIN_RUN = 20
-#: Words of the shingles of which a window of MIN_RUN words is known by the least.
-SEED = 12
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?")] = True
+from sigwright.llm.shingles import GOLDEN, FlatWords, _mixed, flat_words, ordered_shingles, text_slices
+from sigwright.runtime import Cut, release_memory, release_shuffles
+
+NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+@dataclass(frozen=True)
+class Options:
+    """shingle: words of a shingle. num / den: least similarity of linked paragraphs. radius: words to each side
+    of a paragraph's beginning that it is chosen among, shingle - 1 or more. least: repeated words of the least
+    passage that is removed. bridge: changed words between two repeated parts of one passage, at most."""
+
+    shingle: int = 5
+    num: int = 80
+    den: int = 100
+    radius: int = 4
+    least: int = 40
+    bridge: int = 6
+
+
+DEFAULT = Options()
 
 
 @dataclass
 class Paragraphs:
-    """first and last (behind) word of the paragraphs of one text, and its shingles. whole_first, whole_last,
-    start and end (words and bytes) include short parts of the line that go with a paragraph. word_start and
-    word_end are the bytes of all words."""
+    """Paragraphs of several texts, as flat word numbers: text, first and last (behind) word, node (hash of the
+    shingle set), size of the set; owner and shingle of all sets, sorted; bands: whether a shingle is one."""
 
+    text: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    whole_first: np.ndarray
-    whole_last: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    shingles: np.ndarray
-    word_start: np.ndarray
-    word_end: np.ndarray
-
-    def long(self) -> np.ndarray:
-        return np.flatnonzero(self.last - self.first >= MIN_WORDS)
-
-    def least_seeds(self) -> np.ndarray:
-        """For each window of MIN_RUN words the least hash of the SEED-word shingles in it."""
-        low, width = self._joined(SEED), 1
-        span = MIN_RUN - SEED + 1
-        while width < span and len(low):
-            step = min(width, span - width)
-            low, width = np.minimum(low[:-step], low[step:]), width + step
-        return low
-
-    def windows(self) -> np.ndarray:
-        """Hashes of all words of each window of MIN_RUN words."""
-        return self._joined(MIN_RUN)
-
-    def _joined(self, words: int) -> np.ndarray:
-        n = len(self.word_start) - words + 1
-        if n < 1:
-            return np.zeros(0, np.uint64)
-        out = np.full(n, words, np.uint64)
-        for at in [*range(0, words - SHINGLE, SHINGLE), words - SHINGLE]:
-            out = out * np.uint64(GOLDEN) + self.shingles[at : at + n]
-            out ^= out >> np.uint64(29)
-        return _mixed(out)
-
-    def sets(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, shingle) of the distinct shingles of paragraphs ``at``, sorted; owner counts in ``at``."""
-        sizes = self.last[at] - self.first[at] - (SHINGLE - 1)
-        owner = np.repeat(np.arange(len(at)), sizes)
-        index = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.first[at][owner]
-        values = self.shingles[index]
-        order = np.lexsort((values, owner))
-        owner, values = owner[order], values[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-        return owner[new], values[new]
-
-
-def paragraphs(text: str | None) -> Paragraphs:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, np.uint8)
-    solid = np.concatenate([[False], ~_BLANK[data], [False]])
-    edge = np.flatnonzero(solid[1:] != solid[:-1])
-    start, end = edge[::2], edge[1::2]
-    h = word_hashes(raw.lower().split())
-    n = len(h)
-    if not n:
+    node: np.ndarray
+    owner: np.ndarray
+    shingle: np.ndarray
+    bands: np.ndarray
+
+
+def beginnings(words: FlatWords, options: Options = DEFAULT) -> np.ndarray:
+    """The flat numbers of the words at which paragraphs begin. Texts are cut without regard to each other; no
+    paragraph has fewer words than a shingle, unless its text has."""
+    n, r = len(words.h), options.radius
+    sizes = np.diff(words.first)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    left = words.first[1:][text] - np.arange(n)
+    ahead = np.concatenate([words.h, np.zeros(2, np.uint64)])
+    key = _mixed(ahead[:-2] * np.uint64(GOLDEN) + (ahead[1:-1] ^ (ahead[1:-1] >> np.uint64(31))) + ahead[2:] * np.uint64(3))
+    key[left < 3] = NOTHING
+    at = np.arange(n) + r * (text + 1)
+    spread = np.full(n + r * (len(sizes) + 1), NOTHING)
+    spread[at] = key
+    low, width = spread, 1
+    while width < r:
+        step = min(width, r - width)
+        low, width = np.minimum(low[:-step], low[step:]), width + step
+    done = np.arange(n) - words.first[:-1][text]
+    cut = (key < low[at - r]) & (key <= low[at + 1]) & (done >= options.shingle) & (left >= options.shingle) | (done == 0)
+    return np.flatnonzero(cut)
+
+
+def paragraphs(words: FlatWords, options: Options = DEFAULT) -> Paragraphs:
+    first = beginnings(words, options)
+    last = np.append(first[1:], len(words.h))
+    sizes = last - first - (options.shingle - 1)
+    first, last, sizes = first[sizes > 0], last[sizes > 0], sizes[sizes > 0]
+    text = np.searchsorted(words.first, first, "right") - 1
+    if not len(first):
         none = np.zeros(0, np.int64)
-        return Paragraphs(none, none, none, none, none, none, np.zeros(0, np.uint64), none, none)
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, start)
-    opening = np.ones(n, bool)
-    opening[1:] = line[1:] != line[:-1]
-    heads = np.flatnonzero(opening)
-    narrow = np.diff(np.append(heads, n)) < MIN_WORDS
-    # short lines side by side are one block
-    hard = opening.copy()
-    hard[heads[1:]] = ~(narrow[1:] & narrow[:-1])
-    block = np.cumsum(hard)
-    soft = opening.copy()
-    soft[1:] |= _ENDS[data[end[:-1] - 1]]
-    pos = np.flatnonzero(soft & ~hard)
-    if len(pos):
-        ahead = np.concatenate([h, np.zeros(2, np.uint64)])
-        key = _mixed(ahead[pos] * np.uint64(GOLDEN) + (ahead[pos + 1] ^ (ahead[pos + 1] >> np.uint64(31))) + ahead[pos + 2] * np.uint64(3))
-        alive = np.ones(len(pos), bool)
-        for j in range(1, RADIUS + 1):
-            near = (pos[j:] - pos[:-j] <= RADIUS) & (block[pos[j:]] == block[pos[:-j]])
-            if not near.any():
-                break
-            alive[:-j] &= ~(near & (key[j:] < key[:-j]))
-            alive[j:] &= ~(near & (key[:-j] <= key[j:]))
-        hard[pos[alive]] = True
-    first = np.flatnonzero(hard)
-    last = np.append(first[1:], n)
-    # parts of a block that are too short to be looked at join if they stand side by side
-    short = last - first < MIN_WORDS
-    first = first[np.append(True, ~(short[1:] & short[:-1] & (block[first[1:]] == block[first[:-1]])))]
-    last = np.append(first[1:], n)
-    # a part too short to be looked at that ends or begins a line goes with the paragraph next to it there
-    long = last - first >= MIN_WORDS
-    joins = ~opening[first[1:]]
-    opens, closes = np.append(True, ~joins), np.append(~joins, True)
-    whole_first, whole_last = first.copy(), last.copy()
-    behind = np.flatnonzero(closes[1:] & ~long[1:] & long[:-1] & joins) + 1
-    whole_last[behind - 1] = last[behind]
-    before = np.flatnonzero(opens[:-1] & ~long[:-1] & long[1:] & joins)
-    whole_first[before + 1] = first[before]
-    return Paragraphs(first, last, whole_first, whole_last, start[whole_first], end[whole_last - 1], ordered_shingles(h, SHINGLE), start, end)
-
-
-def node_ids(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of shingle sets."""
-    starts = np.searchsorted(owner, np.arange(n))
-    return _mixed(np.add.reduceat(_mixed(values + np.uint64(GOLDEN)), starts)).view(np.int64)
-
-
-def band_keys(p: Paragraphs, at: np.ndarray, hasher: MinHasher) -> np.ndarray:
-    """paragraphs x BANDS keys."""
-    runs = np.stack([p.first[at], p.last[at] - (SHINGLE - 1)], 1).ravel()
-    minima = [np.minimum.reduceat(np.append((p.shingles * a + b), np.uint64(0)), runs)[::2] for a, b in zip(hasher.a, hasher.b, strict=True)]
-    out = []
-    for band in range(BANDS):
-        key = np.full(len(at), band + 1, np.uint64)
-        for m in minima[band * ROWS : (band + 1) * ROWS]:
-            key = _mixed(key * np.uint64(GOLDEN) + m)
-        out.append(key)
-    return np.stack(out, 1).view(np.int64)
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each passage to remove: doc_id, start and end (bytes of the text in UTF-8, end behind),
-    n_words, n_paragraphs (repeated paragraphs; 0 where no whole paragraph repeats), copy_of (the document that
-    keeps the passage's first words) and sources (all documents that keep parts of it).
-
-    Every run of MIN_RUN words or more that a document with a smaller id has word by word (case and blanks
-    aside) is inside such a passage, whatever its lines and sentences.
-
-    Repeats within one document stay, so do those shorter than MIN_RUN words. Null ids and texts, and texts
-    without long paragraphs and windows, give no row. Rows with one id are one document. Empty tables give no row; other
-    columns are not read. Shingles and sets are compared by 64-bit hashes.
-
-    Equal sets are one node before nodes are compared. Bands are dealt once, after each task has left out
-    nodes that it has already sent. Windows are rows only where their least seed is in several documents.
-    """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    names = ["doc_id", "first", "last", "start", "end", "node", "bands", "seeds"]
-    partitions = 4 * shuffle_partitions(spark)
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(BANDS * ROWS)
-        for batch in _slices(batches):
-            parts: list[list[np.ndarray]] = [[] for _ in names]
-            ids, seeds = [], []
-            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                p = paragraphs(value.as_py())
-                at = p.long()
-                least = np.unique(p.least_seeds())
-                if len(least):
-                    ids.append(i)
-                    seeds.append(least.view(np.int64))
-                if len(at):
-                    owner, values = p.sets(at)
-                    # a set so small that no other is similar enough needs no bands: only equal ones match, as one node
-                    near = np.bincount(owner, minlength=len(at)) * (DEN - NUM) >= NUM
-                    keys = band_keys(p, at[near], hasher).ravel()
-                    made = (np.full(len(at), i), p.whole_first[at], p.whole_last[at], p.start[at], p.end[at], node_ids(owner, values, len(at)), near * BANDS, keys)
-                    for part, x in zip(parts, made, strict=True):
-                        part.append(x)
-            if parts[0]:
-                flat = [np.concatenate(x) for x in parts]
-                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(flat[6])), pa.int32()), pa.array(flat[7]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[0], pa.int64()), *(pa.array(x.astype(np.int32)) for x in flat[1:5]), pa.array(flat[5]), keys, pa.nulls(len(keys), pa.list_(pa.int64()))], names=names
-                )
-            if ids:
-                empty = [pa.nulls(len(ids), pa.int32())] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *empty, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.int64()))], names=names)
+        return Paragraphs(none, none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool))
+    owner = np.repeat(np.arange(len(first)), sizes)
+    shingle = ordered_shingles(words.h, options.shingle)[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner]]
+    bits = np.uint64(max(1, len(first).bit_length()))
+    shingle = shingle[np.argsort(owner.astype(np.uint64) << (np.uint64(64) - bits) | shingle >> bits)]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])
+    owner, shingle = owner[new], shingle[new]
+    size = np.bincount(owner)
+    starts = np.cumsum(size) - size
+    node = _mixed(np.add.reduceat(_mixed(shingle + np.uint64(GOLDEN)), starts)).view(np.int64)
+    return Paragraphs(text, first, last, node, owner, shingle, np.arange(len(owner)) - starts[owner] < n_bands(size, options)[owner])
+
+
+def n_bands(size: np.ndarray, options: Options = DEFAULT) -> np.ndarray:
+    """Bands of sets of a size: by so many least shingles two sets at the least similarity must meet. None for
+    sets so small that only an equal one is similar enough."""
+    bands = size + -options.num * size // options.den + 1
+    return np.where(size * (options.den - options.num) >= options.num, bands, 0)
+
+
+def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def _cut_up(source: DataFrame, options: Options) -> DataFrame:
+    """One row for each paragraph of each text: places, node and, once in a batch, the bands."""
+    names = ["doc_id", "text_hash", "first", "last", "start", "end", "node", "bands"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 2):
+            words = flat_words(batch.column(2))
+            p = paragraphs(words, options)
+            if not len(p.first):
+                continue
+            rows = pa.array(p.text)
+            before = words.first[p.text]
+            fresh = np.zeros(len(p.node), bool)
+            fresh[np.unique(p.node, return_index=True)[1]] = True
+            sent = p.bands & fresh[p.owner]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(p.owner[sent], minlength=len(p.node)))])
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p.shingle[sent].view(np.int64)))
+            places = (p.first - before, p.last - before, words.start[p.first], words.end[p.last - 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.astype(np.int32)) for x in places), pa.array(p.node), bands], names=names)
         release_memory()
 
-    cuts = Cut(source.mapInArrow(cut_up, "doc_id long, first int, last int, start int, end int, node long, bands array<long>, seeds array<long>"), "paragraph-keys")
-    read = cuts.df
-    found = Cut(read.filter("node IS NOT NULL").drop("bands", "seeds"), "paragraphs").df
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            bands = batch.column(1).flatten().to_numpy().reshape(len(nodes), BANDS)
-            _, new = np.unique(nodes, return_index=True)
-            new = np.array([i for i in new.tolist() if int(nodes[i]) not in sent], np.int64)
-            if len(sent) > 100_000:
-                sent.clear()
-            sent.update(nodes[new].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(bands[new].ravel()), pa.array(np.repeat(nodes[new], BANDS))], names=["key", "id"])
-        sent.clear()
-        release_memory()
-
-    keys = read.filter("node IS NOT NULL").select("node", "bands").filter(F.size("bands") > 0).mapInArrow(deal, "key long, id long").repartition(partitions, "key")
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
-    bucket_cut = Cut(active_buckets(keys.join(shared, "key")), "paragraph-buckets")
-    buckets = bucket_cut.df
-    release_shuffles(spark)
-    wanted = found.select("doc_id", "node").join(buckets.select(F.col("id").alias("node")).distinct(), "node")
-    wanted = wanted.groupBy("node").agg(F.min("doc_id").alias("at")).groupBy("at").agg(F.collect_list("node").alias("nodes"))
-    seeds = read.filter("seeds IS NOT NULL").select("doc_id", F.explode("seeds").alias("key")).repartition(partitions, "key")
-    spread_seeds = seeds.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("key")
-    seeded = Cut(seeds.join(spread_seeds, "key").groupBy(F.col("doc_id").alias("at")).agg(F.collect_list("key").alias("seeds")), "paragraph-seeds")
-    cuts.drop()
-    release_shuffles(spark)
-    wanted = wanted.join(seeded.df, "at", "full")
-    texts = source.join(wanted, source["doc_id"] == wanted["at"]).select("doc_id", "nodes", "seeds", "text")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            ids, sets, owners, spans = [], [], [], []
-            for doc, nodes, seeds, value in zip(*(batch.column(i) for i in range(4)), strict=True):
-                p = paragraphs(value.as_py())
-                if seeds.is_valid:
-                    at = np.flatnonzero(np.isin(p.least_seeds(), seeds.values.to_numpy().view(np.uint64)))
-                    owners.append(doc.as_py())
-                    spans.append((at, p.windows()[at].view(np.int64), p.word_start[at], p.word_end[at + MIN_RUN - 1]))
-                at = p.long()
-                if not nodes.is_valid or not len(at):
-                    continue
-                owner, values = p.sets(at)
-                got = node_ids(owner, values, len(at)).tolist()
+    return source.mapInArrow(run, "doc_id long, text_hash long, first int, last int, start int, end int, node long, bands array<long>")
+
+
+def _look_up(texts: DataFrame, options: Options) -> DataFrame:
+    """From (doc_id, text_hash, nodes, places, text): the set of each node (id, set), and for each place (at, side)
+    the hashes of the words beyond it and the bytes where these end: behind it (side 1) or, backwards, before it
+    (side 0), as far as a run of equal words can go that makes no whole paragraph."""
+    reach = options.radius + 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 4):
+            words = flat_words(batch.column(4))
+            p = paragraphs(words, options)
+            by_text = np.searchsorted(p.text, np.arange(batch.num_rows + 1))
+            by_owner = np.searchsorted(p.owner, np.arange(len(p.node) + 1))
+            ids, sets, where, places, hashes, bytes_ = [], [], [], [], [], []
+            for i, (nodes, asked) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
+                mine = slice(by_text[i], by_text[i + 1])
+                begin, end = words.first[i], words.first[i + 1]
                 left = set(nodes.values.to_pylist())
-                ends = np.searchsorted(owner, np.arange(len(at) + 1))
-                for k, node in enumerate(got):
-                    if node in left:
-                        left.discard(node)
-                        ids.append(node)
-                        sets.append(values[ends[k] : ends[k + 1]].view(np.int64))
-            n, m = len(ids), len(owners)
+                for k in np.flatnonzero(np.isin(p.node[mine], np.fromiter(left, np.int64, len(left)))) + by_text[i] if left else ():
+                    if int(p.node[k]) in left:
+                        left.discard(int(p.node[k]))
+                        ids.append(int(p.node[k]))
+                        sets.append(p.shingle[by_owner[k] : by_owner[k + 1]].view(np.int64))
+                for at, side in {(a["at"], a["side"]) for a in asked}:
+                    if side:
+                        k = by_text[i] + np.searchsorted(p.first[mine], begin + at)
+                        to = min(end, (p.last[k] if k < by_text[i + 1] else end) + reach)
+                        h, b = words.h[begin + at : to], words.end[begin + at : to]
+                    else:
+                        k = by_text[i] + np.searchsorted(p.last[mine], begin + at)
+                        since = max(begin, (p.first[k] if k < by_text[i + 1] else begin) - reach)
+                        h, b = words.h[since : begin + at][::-1], words.start[since : begin + at][::-1]
+                    where.append(i)
+                    places.append((at, side))
+                    hashes.append(h.view(np.int64))
+                    bytes_.append(b.astype(np.int32))
+            n, m, rows = len(ids), len(where), pa.array(where, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(sets, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(owners, pa.int64())]),
-                    *(
-                        pa.concat_arrays([pa.nulls(n, pa.list_(kind)), pa.array([x[i].astype(kind.to_pandas_dtype()) for x in spans], pa.list_(kind))])
-                        for i, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int32()))
-                    ),
+                    *(pa.concat_arrays([pa.nulls(n, pa.int64()), batch.column(j).take(rows)]) for j in (0, 1)),
+                    *(pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array([x[j] for x in places], pa.int32())]) for j in (0, 1)),
+                    pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))]),
+                    pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.array(bytes_, pa.list_(pa.int32()))]),
                 ],
-                names=["id", "set", "doc_id", "first", "window", "start", "end"],
+                names=["id", "set", "doc_id", "text_hash", "at", "side", "words", "bytes"],
             )
         release_memory()
 
-    kind = "id long, set array<long>, doc_id long, first array<int>, window array<long>, start array<int>, end array<int>"
-    reread_cut = Cut(texts.mapInArrow(full, kind), "paragraph-sets")
-    reread = reread_cut.df
-    seeded.drop()
-    release_shuffles(spark)
-    zipped = F.explode(F.arrays_zip("first", "window", "start", "end")).alias("w")
-    windows = reread.filter("doc_id IS NOT NULL").select("doc_id", zipped).select("doc_id", "w.*").repartition(partitions, "window")
-    keepers = windows.groupBy("window").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("other")).filter("kept_in <> other").select("window", "kept_in")
-    verbatim = Cut(windows.join(keepers, "window").filter("doc_id <> kept_in").select("doc_id", "first", (F.col("first") + MIN_RUN).alias("last"), "start", "end", "kept_in"), "paragraph-windows").df
-    release_shuffles(spark)
-    # rows that share an id may hold the same node twice
-    sets = reread.filter("id IS NOT NULL").select("id", "set").dropDuplicates(["id"])
-    roots = Cut(linked_components(buckets, sets, NUM, DEN), "paragraph-roots").df
-    reread_cut.drop()
-    bucket_cut.drop()
-    release_shuffles(spark)
-    named = found.join(roots, found["node"] == roots["id"], "left").select("doc_id", "first", "last", "start", "end", F.coalesce("root", "node").alias("cluster"))
-    spread = named.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("other")).filter("kept_in <> other").select("cluster", "kept_in")
-    copies = named.join(spread, "cluster").filter("doc_id <> kept_in").drop("cluster").distinct()
-    copies = copies.withColumn("paragraph", F.lit(1)).unionByName(verbatim.withColumn("paragraph", F.lit(0)))
-    in_order = Window.partitionBy("doc_id").orderBy("first", "last", "start", "end", "kept_in", "paragraph")
-    behind = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = copies.withColumn("behind", behind).withColumn("fresh", F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.coalesce("behind", F.lit(0)))))
-    apart = F.coalesce(F.col("first") - F.col("behind") > GAP, F.lit(True)).cast("int")
-    runs = placed.withColumn("apart", apart).withColumn("island", F.sum("apart").over(in_order)).groupBy("doc_id", "island").agg(
+    return texts.mapInArrow(run, "id long, set array<long>, doc_id long, text_hash long, at int, side int, words array<long>, bytes array<int>")
+
+
+def _equal_words(x: Column, y: Column) -> Column:
+    """How many words at the start of two lists are equal."""
+    differs = F.array_position(F.zip_with(x, y, lambda a, b: ~a.eqNullSafe(b)), True)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(x)).cast("int")
+
+
+def _extended(edges: DataFrame, beyond: DataFrame) -> DataFrame:
+    """The copied paragraphs at edges, with the words beyond them that the kept document has as well."""
+    beyond = beyond.dropDuplicates(["doc_id", "text_hash", "at", "side"])
+    kept = beyond.select(F.col("doc_id").alias("kept_in"), F.col("text_hash").alias("kept_hash"), F.col("at").alias("kept_at"), "side", F.col("words").alias("kept_words"))
+    more = _equal_words(F.col("words"), F.col("kept_words"))
+    rows = edges.join(beyond, ["doc_id", "text_hash", "at", "side"]).join(kept, ["kept_in", "kept_hash", "kept_at", "side"]).withColumn("more", more).filter("more > 0")
+    reached = F.element_at("bytes", F.col("more"))
+    behind = F.col("side") == 1
+    return rows.select(
+        "doc_id", "text_hash", "kept_in",
+        F.when(behind, F.col("first")).otherwise(F.col("first") - F.col("more")).alias("first"),
+        F.when(behind, F.col("last") + F.col("more")).otherwise(F.col("last")).alias("last"),
+        F.when(behind, F.col("start")).otherwise(reached).alias("start"),
+        F.when(behind, reached).otherwise(F.col("end")).alias("end"),
+        F.when(behind, F.col("kept_first")).otherwise(F.col("kept_first") - F.col("more")).alias("kept_first"),
+        F.when(behind, F.col("kept_last") + F.col("more")).otherwise(F.col("kept_last")).alias("kept_last"),
+    )
+
+
+def _passages(parts: DataFrame, options: Options) -> DataFrame:
+    """Passages from repeated parts of texts: parts that meet are one span, spans that a few changed words part
+    and that follow each other in the same kept document as well are one too. Spans with few words between them
+    count as one passage when it comes to its least length."""
+    text = Window.partitionBy("doc_id", "text_hash")
+    order = text.orderBy("first", "last", "start", "end", "kept_in", "kept_first", "kept_last", "paragraph")
+    behind = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("first") > behind, F.lit(True)).cast("int")
+    spans = parts.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order)).groupBy("doc_id", "text_hash", "span").agg(
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.sum("fresh").alias("n_words"),
         F.sum("paragraph").alias("n_paragraphs"),
-        F.min(F.struct("first", "kept_in"))["kept_in"].alias("copy_of"),
-        F.array_sort(F.collect_set("kept_in")).alias("sources"),
+        F.min(F.struct("first", "kept_in", "kept_first")).alias("opens"),
+        F.max(F.struct("last", F.col("kept_in"), "kept_last")).alias("closes"),
+        F.collect_set("kept_in").alias("sources"),
+    )
+    by_span = text.orderBy("first")
+    gap = F.col("first") - F.lag("last").over(by_span)
+    before = F.lag("closes").over(by_span)
+    same = (before["kept_in"] == F.col("opens.kept_in")) & (F.col("opens.kept_first") - before["kept_last"]).between(0, options.bridge)
+    close = F.coalesce(gap <= options.bridge, F.lit(False))
+    spans = spans.withColumn("island", F.when(close, 0).otherwise(1)).withColumn("join", F.when(close & F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    spans = spans.withColumn("island", F.sum("island").over(by_span)).withColumn("join", F.sum("join").over(by_span))
+    rows = spans.groupBy("doc_id", "text_hash", "island", "join").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        (F.max("last") - F.min("first")).cast("long").alias("n_words"),
+        F.sum("n_paragraphs").alias("n_paragraphs"),
+        F.min("opens")["kept_in"].alias("copy_of"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
     )
-    return runs.filter(F.col("n_words") >= MIN_RUN).drop("island")
+    long = F.sum("n_words").over(Window.partitionBy("doc_id", "text_hash", "island"))
+    return rows.withColumn("passage_words", long).filter(F.col("passage_words") >= options.least).select("doc_id", "text_hash", "start", "end", "n_words", "n_paragraphs", "passage_words", "copy_of", "sources")
+
 
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", options: Options = DEFAULT) -> DataFrame:
+    """One row for each span to remove: doc_id and text_hash (xxhash64 of the text), start and end (bytes of the
+    text in UTF-8, end behind), n_words, n_paragraphs (repeated ones that it holds), passage_words (of all spans
+    with no more than ``bridge`` words between them), copy_of (the document that keeps the span's first words)
+    and sources (all documents that keep parts of it).
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
-    """Shorter batches, so that what a worker makes of one stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    Repeats within one document stay, so do passages of fewer than ``least`` repeated words. Rows with one id are
+    one document: they keep nothing from each other, but each text has spans of its own. Null ids and texts, and
+    texts with fewer words than a shingle, give no row; rows that occur again give theirs once. Empty tables give no
+    row; other columns are not read. Words, shingles and sets are compared by 64-bit hashes.
+    """
+    spark = docs.sparkSession
+    source = _source(docs, id_col, text)
+    cuts = Cut(_cut_up(source, options), "paragraphs")
+    found = cuts.df.drop("bands")
+    keys = cuts.df.filter(F.size("bands") > 0).select(F.explode("bands").alias("key"), F.col("node").alias("id"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
+    bucket_cut = Cut(active_buckets(keys.join(shared, "key")), "paragraph-buckets")
+    buckets = bucket_cut.df
+    release_shuffles(spark)
+    # paragraphs of which another document has an equal one, and those that share a band with an unequal one
+    equal = found.groupBy("node").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("other")).filter("kept_in <> other")
+    wanted = equal.select("node", "kept_in", F.lit(False).alias("near")).unionByName(buckets.select(F.col("id").alias("node"), F.lit(None).cast("long").alias("kept_in"), F.lit(True).alias("near")))
+    wanted = wanted.groupBy("node").agg(F.max("kept_in").alias("kept_in"), F.max("near").alias("near"))
+    chosen_cut = Cut(found.join(wanted, "node"), "paragraphs-chosen")
+    chosen = chosen_cut.df
+    cuts.drop()
+    release_shuffles(spark)
+    keeps = chosen.filter("doc_id = kept_in").groupBy("node").agg(F.min(F.struct(F.col("text_hash").alias("kept_hash"), F.col("first").alias("kept_first"), F.col("last").alias("kept_last"))).alias("k"))
+    in_text = Window.partitionBy("doc_id", "text_hash").orderBy("first")
+    copies = chosen.filter("doc_id > kept_in").drop("near").join(keeps, "node").select("*", "k.*").drop("k")
+    copies = copies.withColumn("again", F.lag("first").over(in_text).eqNullSafe(F.col("first"))).filter("NOT again").drop("again")
+    opens = ~F.lag("last").over(in_text).eqNullSafe(F.col("first")) & (F.col("first") > 0)
+    closes = ~F.lead("first").over(in_text).eqNullSafe(F.col("last"))
+    copied_cut = Cut(copies.withColumns({"opens": opens, "closes": closes}), "paragraphs-copied")
+    copied = copied_cut.df
+    edge = lambda side, at, kept_at: copied.filter("closes" if side else "opens").select("*", F.lit(side).alias("side"), F.col(at).alias("at"), F.col(kept_at).alias("kept_at"))
+    edges = edge(0, "first", "kept_first").unionByName(edge(1, "last", "kept_last"))
+    places = edges.select("doc_id", "text_hash", "at", "side").unionByName(edges.select(F.col("kept_in").alias("doc_id"), F.col("kept_hash").alias("text_hash"), F.col("kept_at").alias("at"), "side")).distinct()
+    sets_of = chosen.filter("near").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("d")).select("d.*", "node")
+    asked = places.select("doc_id", "text_hash", F.lit(None).cast("long").alias("node"), F.struct("at", "side").alias("place")).unionByName(
+        sets_of.withColumn("place", F.lit(None).cast("struct<at int, side int>"))
+    ).groupBy("doc_id", "text_hash").agg(F.collect_list("node").alias("nodes"), F.collect_list("place").alias("places"))
+    texts = source.join(asked, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "nodes", "places", "text")
+    reread_cut = Cut(_look_up(texts, options), "paragraph-words")
+    reread = reread_cut.df
+    release_shuffles(spark)
+    # rows that occur again give the same set again
+    sets = reread.filter("id IS NOT NULL").select("id", "set").dropDuplicates(["id"])
+    roots = linked_components(buckets, sets, options.num, options.den)
+    linked = chosen.join(roots, chosen["node"] == roots["id"]).select("doc_id", "text_hash", "first", "last", "start", "end", F.col("root").alias("cluster"))
+    kept = linked.groupBy("cluster").agg(F.min("doc_id").alias("kept_in"))
+    no_place = F.lit(None).cast("int")
+    near = linked.join(kept, "cluster").filter("doc_id <> kept_in").drop("cluster").withColumns({"kept_first": no_place, "kept_last": no_place, "paragraph": F.lit(1)})
+    exact = copied.select("doc_id", "text_hash", "first", "last", "start", "end", "kept_in", "kept_first", "kept_last", F.lit(1).alias("paragraph"))
+    extended = _extended(edges, reread.filter("id IS NULL").drop("id", "set")).withColumn("paragraph", F.lit(0))
+    return _passages(exact.unionByName(near.distinct()).unionByName(extended), options)
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -343,17 +321,18 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     for start, end in sorted(spans):
         out.append(raw[at:start])
         at = end
-        while at < len(raw) and _BLANK[raw[at]]:
+        while at < len(raw) and raw[at] in b" \t\n\r\x0b\x0c":
             at += 1
     out.append(raw[at:])
     return b"".join(out).rstrip(b" \t\n\r\x0b\x0c") if spans else raw
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the passages of repeated_passages cut out of their texts; documents of which nothing but
-    blanks is left go. Rows without such passages stay as they are, in all columns."""
-    spans = repeated_passages(docs, id_col, text).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    joined = docs.join(spans, docs[id_col].cast("long") == F.col("__id"), "left").drop("__id")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", options: Options = DEFAULT) -> DataFrame:
+    """docs with the passages of repeated_passages cut out of the texts that hold them; documents of which nothing
+    but blanks is left go. Rows without such passages stay as they are, in all columns."""
+    spans = repeated_passages(docs, id_col, text, options)
+    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    joined = docs.join(spans, (docs[id_col].cast("long") == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash")), "left").drop("__id", "__hash")
     names = docs.columns
     at = names.index(text)
 
@@ -363,7 +342,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             for i, (value, spans) in enumerate(zip(batch.column(at), batch.column(len(names)).to_pylist(), strict=True)):
                 own = value.as_py()
                 if spans and own is not None:
-                    own = without(own.encode(), [(s["start"], s["end"]) for s in spans]).decode("utf-8", "replace")
+                    own = without(own.encode(), [(s["start"], s["end"]) for s in spans]).decode()
                     if not own:
                         continue
                 keep.append(i)
