@@ -36,10 +36,11 @@ def active_buckets(keys: DataFrame) -> DataFrame:
     return keys.join(chosen, "key")
 
 
-def linked_components(buckets: DataFrame, sets: DataFrame, num: int, den: int, far: int | None = None) -> DataFrame:
-    """(id, root) of ids with a link, den * intersection >= num * union. buckets: (key, id) of active buckets;
-    sets: (id, set array<long>), and sig binary of 16-bit symbols where far is given: ids of which the
-    signatures differ in more symbols are not near. Rows of sets with one id are one member with several sets.
+def linked_components(buckets: DataFrame | None, sets: DataFrame, num: int, den: int, far: int | None = None) -> DataFrame:
+    """(id, root) of ids with a link, den * intersection >= num * union. sets: (id, set array<long>), of all ids that
+    may have one. Where far is given, sets have sig, a binary of 16-bit symbols, and only ids that share a bucket
+    ((key, id) of active buckets) and differ in no more symbols are compared at first; links join their components
+    alone. Rows of sets with one id are one member with several sets.
     """
     if far is None:
         links = None

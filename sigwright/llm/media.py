@@ -27,6 +27,8 @@ FRAME_TICKS = 24
 FRAMES_A_CHUNK = 16
 #: Every so many frames one is marked as a place to start from.
 KEY_EVERY = 12
+#: Boxes that may stand around one another at most.
+DEPTH = 16
 #: Boxes that only hold other boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
@@ -122,7 +124,9 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] =
         if size < body - start or start + size > end:
             raise BadMedia(f"box {kind!r} does not fit")
         yield (*path, kind), body, start + size
-        if kind in CONTAINERS and len(path) < 16:
+        if kind in CONTAINERS:
+            if len(path) == DEPTH:
+                raise BadMedia("boxes are nested too deeply")
             yield from walk(data, body, start + size, (*path, kind))
         start += size
 
@@ -137,7 +141,8 @@ def _entries(data, body: int, end: int, width: int, kind: str = ">u4", head: int
 
 
 def probe(data) -> list[Track]:
-    """The tracks of an ISO media file, with their sample tables decoded. Raises BadMedia."""
+    """The tracks of an ISO media file, with their sample tables decoded. Raises BadMedia; a file's own counts never
+    make it allocate more than a few numbers for each byte of the file."""
     tracks: list[Track] = []
     raw: dict[str, np.ndarray] = {}
     try:
@@ -159,8 +164,12 @@ def probe(data) -> list[Track]:
                 tracks[-1].codec = bytes(data[body + 12 : body + 16]).decode("latin-1")
             elif kind == b"stss":
                 tracks[-1].sync = _entries(data, body, end, 1)[:, 0] - 1
+                if (tracks[-1].sync < 0).any():
+                    raise BadMedia("the sync table does not fit")
             elif kind == b"stsz":
                 one, n = struct.unpack_from(">II", data, body + 4)
+                if one * n > len(data):
+                    raise BadMedia("the samples are longer than the file")
                 raw["sizes"] = np.full(n, one, np.int64) if one else _entries(data, body, end, 1, head=8)[:, 0]
             elif kind == b"stts":
                 raw["times"] = _entries(data, body, end, 2)
@@ -185,10 +194,13 @@ def _place(track: Track, raw: dict[str, np.ndarray]) -> None:
         return
     if not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks):
         raise BadMedia("the chunk table does not fit")
-    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    if per.sum() < len(sizes):
+    # counts come from the file and may be anything: what is allocated has the size of a table that is there
+    behind = np.cumsum(np.minimum(np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))), len(sizes)))
+    if not len(behind) or behind[-1] < len(sizes):
         raise BadMedia("the chunks hold too few samples")
-    owner = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
+    if (chunks < 0).any():
+        raise BadMedia("a chunk lies outside the file")
+    owner = np.searchsorted(behind, np.arange(len(sizes)), "right")
     before = np.cumsum(sizes) - sizes
     first = np.searchsorted(owner, owner)
     track.sizes, track.offsets = sizes, chunks[owner] + before - before[first]

@@ -275,29 +275,37 @@ def _column(output: str, found: list[tuple[str, str]]) -> pa.Array:
 
 _codecs: dict[bytes, PieceCodec] = {}
 _idle: list[threading.Timer] = []
+_turn = threading.Lock()
 
 
 def worker_codec(model: bytes) -> PieceCodec:
     """One codec for each worker process: what it has learnt about chunks serves its next tasks."""
-    while _idle:
-        _idle.pop().cancel()
     key = hashlib.sha256(model).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = PieceCodec(model)
-    return _codecs[key]
+    with _turn:
+        while _idle:
+            _idle.pop().cancel()
+        codec = _codecs.get(key)
+        if codec is None:
+            _codecs.clear()
+            codec = _codecs[key] = PieceCodec(model)
+        return codec
 
 
 def _rest() -> None:
     """Forgets the codec unless a task asks for it soon: a worker lives on for other work."""
 
     def forget() -> None:
-        _codecs.clear()
+        with _turn:
+            if timer not in _idle:  # a task came after the timer went off
+                return
+            _idle.remove(timer)
+            _codecs.clear()
         release_memory()
 
     timer = threading.Timer(IDLE_SECONDS, forget)
     timer.daemon = True
-    _idle.append(timer)
+    with _turn:
+        _idle.append(timer)
     timer.start()
 
 

@@ -18,18 +18,22 @@ from pyspark.sql.window import Window
 
 from sigwright.runtime import Cut
 
-TILE = 1024
+#: Queries of a tile and rows of a shard; a shard is sent once for each tile. Scores are made STEP rows at a time.
+TILE = 4096
 SHARD = 4096
+STEP = 1024
 FAN = 16
 SCALE = 256
 #: Integers up to here are exact in double arithmetic.
 EXACT = 1 << 53
+#: Types that blocks are sent in, by code: the first that holds all components.
+KINDS = (np.int16, np.float32, np.float64)
 
 
 def whole_vectors(rows: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
     """(id, v array<double>) with floor(scale * x) for each x; rows with a null id, a null vector, or a null or
-    non-finite component are left out. Rows that occur again stay."""
-    finite = F.forall(F.col(vector), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    non-finite component, before or after scaling, are left out. Rows that occur again stay."""
+    finite = F.forall(F.col(vector), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")), F.lit(False)))
     # the product is taken in doubles: floor() of a large one would not fit a long
     v = F.transform(F.col(vector), lambda x: _floor(x.cast("double") * scale))
     return rows.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
@@ -52,54 +56,78 @@ def _packed(vectors: DataFrame, rows: int, others: int, me: str, other: str) ->
 
         def full(key) -> pa.RecordBatch:
             ids, data = zip(*waiting.pop(key), strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([b"".join(data)])], names=[me, "dim", "ids", "data"]
-            )
+            kind, block = packed(np.concatenate(data))
+            heads = [pa.array([x], pa.int32()) for x in (*key, kind)]
+            return pa.RecordBatch.from_arrays([*heads, pa.array([np.array(ids, np.int64).tobytes()]), pa.array([block])], names=[me, "dim", "kind", "ids", "data"])
 
         for batch in batches:
             lists = batch.column(1)
             flat = lists.values.to_numpy(zero_copy_only=False)
             ends = lists.offsets.to_numpy()
             for i, key, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ends[:-1], ends[1:], strict=True):
-                waiting.setdefault((key, int(b - a)), []).append((i, flat[a:b].tobytes()))
+                waiting.setdefault((key, int(b - a)), []).append((i, flat[a:b].copy()))
                 if len(waiting[key, int(b - a)]) >= rows:
                     yield full((key, int(b - a)))
         for key in list(waiting):
             yield full(key)
 
-    packed = kept.mapInArrow(pack, f"{me} int, dim int, ids binary, data binary")
+    packed = kept.mapInArrow(pack, f"{me} int, dim int, kind int, ids binary, data binary")
     return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
+def packed(flat: np.ndarray) -> tuple[int, bytes]:
+    """Code of the smallest of KINDS that holds whole numbers exactly, and the numbers in it."""
+    most = np.abs(flat).max(initial=0)
+    kind = 0 if most < 1 << 15 else 1 if most <= 1 << 24 else 2
+    return kind, flat.astype(KINDS[kind]).tobytes()
+
+
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, score) of each query's k best rows but its own, ties to the smaller row id."""
-    bound = (np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
-    if bound < EXACT:
-        scores = queries @ rows.T
-        worst = -np.inf
-    else:  # exact integers without a bound
-        whole = [[int(x) for x in r] for r in rows]
-        scores = np.array([[sum(a * b for a, b in zip(map(int, q), r, strict=True)) for r in whole] for q in queries], object).reshape(len(queries), len(rows))
-        worst = None
+    """(query id, row id, score) of each query's k best rows but its own, ties to the smaller row id.
+
+    Products in doubles are exact while they and their sums stay below EXACT. Beyond, they are within a known
+    distance of the integer, and only rows that may be among the k best are computed again as integers.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(queries) or not len(rows):
+        return none, none, none
+    scores = queries @ rows.T
     own = query_ids[:, None] == row_ids[None, :]
-    out: tuple[list, list, list] = ([], [], [])
-    if worst is None:
-        for i in range(len(queries)):
-            order = sorted((-s, int(r)) for s, r, o in zip(scores[i], row_ids, own[i], strict=True) if not o)[:k]
-            out[0].extend([query_ids[i]] * len(order))
-            out[1].extend(r for _, r in order)
-            out[2].extend(-s for s, _ in order)
-        return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array([_long(s) for s in out[2]], np.int64)
-    scores[own] = worst
+    scores[own] = -np.inf
     take = min(k, scores.shape[1])
-    least = np.partition(scores, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
-    at, col = np.nonzero((scores >= least[:, None]) & ~own)
-    found = scores[at, col]
-    order = np.lexsort((row_ids[col], -found, at))
-    at, col, found = at[order], col[order], found[order]
-    rank = np.arange(len(at)) - np.searchsorted(at, at)
-    keep = rank < k
-    return query_ids[at[keep]], row_ids[col[keep]], found[keep].astype(np.int64)
+    size = np.abs(queries).max(1, initial=0)[:, None] * np.abs(rows).sum(1)[None, :]
+    odd = size >= EXACT
+    if not odd.any():
+        least = np.partition(scores, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
+        at, col = np.nonzero((scores >= least[:, None]) & ~own)
+        found = scores[at, col]
+        order = np.lexsort((row_ids[col], -found, at))
+        at, col, found = at[order], col[order], found[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return query_ids[at[keep]], row_ids[col[keep]], found[keep].astype(np.int64)
+    miss = np.where(odd, size * (queries.shape[1] + 2) * 2.0**-52, 0.0)
+    low = scores - miss
+    least = np.partition(low, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
+    at, col = np.nonzero((scores + miss >= least[:, None]) & ~own)
+    starts = np.searchsorted(at, np.arange(len(queries) + 1))
+    out: list[tuple[int, int, int]] = []
+    for i in range(len(queries)):
+        mine = col[starts[i] : starts[i + 1]]
+        whole = list(map(int, queries[i].tolist())) if odd[i, mine].any() else None
+        exact = [sum(a * int(b) for a, b in zip(whole, rows[j].tolist(), strict=True)) if odd[i, j] else int(scores[i, j]) for j in mine.tolist()]
+        ranked = sorted((-s, int(r)) for s, r in zip(exact, row_ids[mine].tolist(), strict=True))[:k]
+        out += [(int(query_ids[i]), r, _long(-s)) for s, r in ranked]
+    return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
+
+
+def best_of_shard(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best`` over any number of rows, in steps, each query's lists cut to k."""
+    lists = [best(queries, query_ids, rows[at : at + step], row_ids[at : at + step], k) for at in range(0, len(rows), step)]
+    query, row, score = (np.concatenate([x[c] for x in lists]) for c in range(3))
+    order = np.lexsort((row, ~score, query))
+    query, row, score = query[order], row[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], row[keep], score[keep]
 
 
 def _long(score: int) -> int:
@@ -123,22 +151,21 @@ def top_k(
     asked = Cut(whole_vectors(rows.filter(is_query), id_col, vector, scale).groupBy("id").agg(F.max("v").alias("v")), "topk-queries").df
     tiles = max(1, -(-asked.count() // tile))
     shards = max(1, -(-vectors.count() // shard))
-    left = _packed(asked, tile, shards, "t", "s").select("t", "s", "dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    left = _packed(asked, tile, shards, "t", "s").select("t", "s", "dim", F.col("kind").alias("qkind"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
     right = _packed(vectors, shard, tiles, "s", "t")
     n = max(1, min(tiles * shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     met = left.repartition(n, "t", "s", "dim").join(right.repartition(n, "t", "s", "dim"), ["t", "s", "dim"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, dim, qids, qdata, ids, data in zip(*(batch.column(i) for i in range(6)), strict=True):
+            for s, dim, qkind, qids, qdata, kind, ids, data in zip(*(batch.column(i) for i in range(8)), strict=True):
                 d = dim.as_py()
                 q, r = (np.frombuffer(x.as_buffer(), np.int64) for x in (qids, ids))
-                a, b = (np.frombuffer(x.as_buffer(), np.float64).reshape(len(i), d) for x, i in ((qdata, q), (data, r)))
-                for at in range(0, len(r), shard):
-                    found = best(a, q, b[at : at + shard], r[at : at + shard], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), s.as_py(), np.int32)), *map(pa.array, found)], names=["s", "query_id", "vec_id", "score"])
+                a, b = (np.frombuffer(x.as_buffer(), KINDS[code.as_py()]).astype(np.float64).reshape(len(i), d) for code, x, i in ((qkind, qdata, q), (kind, data, r)))
+                found = best_of_shard(a, q, b, r, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), s.as_py(), np.int32)), *map(pa.array, found)], names=["s", "query_id", "vec_id", "score"])
 
-    lists = met.select("s", "dim", "qids", "qdata", "ids", "data").mapInArrow(score, "s int, query_id long, vec_id long, score long")
+    lists = met.select("s", "dim", "qkind", "qids", "qdata", "kind", "ids", "data").mapInArrow(score, "s int, query_id long, vec_id long, score long")
     order = (F.col("score").desc(), F.col("vec_id"))
     while shards > FAN:
         lists = lists.withColumn("s", F.floor(F.col("s") / FAN).cast("int"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 
@@ -54,6 +55,42 @@ def test_variable_sizes_chunks_and_sync(spark):
     assert media.probe_media(df.limit(0), keep=("id",)).count() == 0
 
 
+def test_counts_that_the_file_cannot_hold(spark):
+    many = 0xFFFFFFFF
+    good = [media.full(b"stsz", struct.pack(">II", 1, 5)), media.full(b"stsc", media.table([1], [5], [1])), media.full(b"stco", media.table([100]))]
+    stsc = [good[0], media.full(b"stsc", media.table([1], [many], [1])), good[2]]
+    assert media.probe(movie(stsc))[0].offsets.tolist() == media.probe(movie(good))[0].offsets.tolist() == [100, 101, 102, 103, 104]
+    bad = [
+        [media.full(b"stsz", struct.pack(">II", 1, many)), *good[1:]],
+        [media.full(b"stsz", struct.pack(">II", 0, many)), *good[1:]],
+        [media.full(b"stsz", struct.pack(">II", 0, 5)), *good[1:]],
+        [good[0], media.full(b"stsc", media.table([1], [1], [1])), good[2]],
+        [good[0], media.full(b"stsc", struct.pack(">I", many)), good[2]],
+        [*good[:2], media.full(b"co64", struct.pack(">IQ", 1, 1 << 63))],
+        [*good, media.full(b"stss", media.table([0]))],
+    ]
+    deep = b""
+    for _ in range(40):
+        deep = media.box(b"moov", deep)
+    files = [(i, movie(t)) for i, t in enumerate(bad)] + [(99, deep)]
+    got = media.probe_media(spark.createDataFrame(files, "id long, media binary"), keep=("id",)).collect()
+    assert len(got) == len(files) and all(r.error and r.track is None for r in got)
+
+
+def test_damaged_files_are_read_or_refused():
+    r = random.Random(1)
+    whole = media.mux(media.padded(b"some text" * 500))
+    for _ in range(3000):
+        data = bytearray(whole[:700])
+        for _ in range(r.randint(1, 4)):
+            data[r.randrange(len(data))] = r.choice([0, 1, 127, 128, 255, r.randrange(256)])
+        try:
+            for track in media.probe(bytes(data)):
+                track.keyframes()
+        except media.BadMedia:
+            pass
+
+
 def test_large_and_open_boxes():
     inner = media.box(b"free", b"x" * 10)
     large = struct.pack(">I4sQ", 1, b"moov", 16 + len(inner)) + inner

@@ -1,6 +1,8 @@
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,30 @@ def test_large_components_stay_exact(spark):
     assert run(spark, rows) == brute(rows, lambda i: i % 3 == 0, 5)
 
 
+def test_one_large_vector_costs_little():
+    r = np.random.default_rng(1)
+    queries, rows = (r.integers(-256, 256, (n, 32)).astype(float) for n in (256, 1024))
+    began = time.time()
+    plain = topk.best(queries, np.arange(256), rows, np.arange(1000, 2024), 5)
+    base = time.time() - began
+    rows[7, 3] = 2.0**70
+    began = time.time()
+    got = topk.best(queries, np.arange(256), rows, np.arange(1000, 2024), 5)
+    assert time.time() - began < 20 * base + 0.5
+    for q in range(256):
+        mine = [(int(row), int(s)) for i, row, s in zip(*got, strict=True) if i == q]
+        exact = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(queries[q], x, strict=True)))), i) for i, x in enumerate(rows))[:5] if q < 4 else None
+        assert len(mine) == 5 and (exact is None or mine == [(1000 + i, -s) for s, i in exact])
+    assert len(plain[0]) == len(got[0]) == 5 * 256
+
+
+def test_all_large_vectors_equal_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, [float(np.float32(r.choice([1e20, -3e20, 7e19, 1.5, 1e20 + 1e13]))) for _ in range(3)]) for i in range(25)]
+    want = [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, n, i, s in brute(rows, lambda i: i % 3 == 0, 5)]
+    assert run(spark, rows, tile=8, shard=32) == want
+
+
 def test_many_ties_go_to_small_ids(spark):
     rows = [(i, [0.5, 0.5]) for i in range(40)]
     assert run(spark, rows, tile=8, shard=8) == brute(rows, lambda i: i % 3 == 0, 5)
