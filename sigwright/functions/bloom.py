@@ -1,4 +1,4 @@
-"""Sizing of Bloom filters in closed form, and membership tests with Spark's own filter."""
+"""Sizing of Bloom filters in closed form, filters as tables of bitmaps, and Spark's own filter on the driver."""
 
 from __future__ import annotations
 
@@ -31,6 +31,39 @@ def capacity_for(n_bytes: Column, fp: Column) -> Column:
     return F.when((n_bytes > 0) & (fp > 0), F.floor(-(n_bytes * 8 / F.log(fp) * LN2_SQUARED)).cast("long"))
 
 
+def probe_positions(value: Column, hashes: int, bits: int) -> Column:
+    """array<long> of the places of a value: a linear combination of two 60-bit halves of its MD5 digest."""
+    half = lambda at: F.pmod(F.conv(F.substr(F.md5(value.cast("string").cast("binary")), F.lit(at), F.lit(15)), 16, 10).cast("long"), F.lit(bits))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(half(1) + i * half(16), F.lit(bits)))
+
+
+def size_for(capacity: int, fp: float) -> tuple[int, int]:
+    """(bits, hashes) of a filter for so many items at a false positive rate."""
+    bits = 8 * math.ceil(math.ceil(-capacity * math.log(fp) / LN2_SQUARED) / 8)
+    return bits, max(1, round(math.log(2) * bits / capacity))
+
+
+def filter_table(df: DataFrame, column: str, capacity: int, fp: float = 0.001) -> DataFrame:
+    """(bucket, bitmap): a Bloom filter of a column's values, cut into bitmaps of 4 KB that tasks make and merge, so
+    that no task holds the whole. Nulls are left out."""
+    bits, hashes = size_for(capacity, fp)
+    places = df.filter(F.col(column).isNotNull()).select(F.explode(probe_positions(F.col(column), hashes, bits)).alias("p"))
+    return places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+
+
+def maybe_members(df: DataFrame, column: str, bitmaps: DataFrame, capacity: int, fp: float = 0.001) -> DataFrame:
+    """Distinct (value, member) of a column's values: member is true for all that filter_table was given, and for
+    about a share ``fp`` of others. capacity and fp must be those of the filter."""
+    bits, hashes = size_for(capacity, fp)
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    probes = values.select("value", F.explode(probe_positions(F.col("value"), hashes, bits)).alias("p"))
+    probes = probes.select("value", F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("at")).join(bitmaps, "bucket", "left")
+    byte = F.conv(F.hex(F.substr("bitmap", (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # a power of two by division: the place in the byte is a column
+    bit = F.floor(byte / F.pow(F.lit(2.0), F.col("at") % 8)) % 2
+    return probes.groupBy("value").agg((F.min(F.coalesce(bit, F.lit(0))) == 1).alias("member"))
+
+
 class MemberFilter:
     """An approximate set of a column's values, built by a distributed aggregation (``add`` and ``contains``).
 

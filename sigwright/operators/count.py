@@ -9,8 +9,8 @@ from sigwright.functions import dna
 from sigwright.operators.kmers import read_kmers
 
 
-#: Rows of wanted k-mers, each under 200 bytes, up to which they are sent to every task.
-_BROADCAST_ROWS = 200_000
+#: Bytes of wanted k-mers (and 64 more for each) up to which they are sent to every task.
+_BROADCAST_BYTES = 32 << 20
 
 
 def oriented_keys(keys: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def kmer_counts(reads: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     task and cut the reads before anything is shuffled; else counts, combined per task, meet them.
     """
     found, wanted = read_kmers(reads, k), wanted.select("kmer")
-    if wanted.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS:
+    held = wanted.agg(F.coalesce(F.sum(F.octet_length("kmer") + 64), F.lit(0)).alias("n")).first().n
+    if held <= _BROADCAST_BYTES:
         found = found.join(F.broadcast(wanted), "kmer", "left_semi")
         return found.groupBy("kmer").agg(F.count("*").alias("n"))
     return found.groupBy("kmer").agg(F.count("*").alias("n")).join(wanted, "kmer", "left_semi")
@@ -46,6 +47,13 @@ def exact_counts(patterns: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     return patterns.select("kmer").distinct().join(kmer_counts(reads, patterns.select("kmer").distinct(), k), "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def lookup_statistics(reads: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """One row: hits, read k-mers that are wanted (distinct kmer rows), and misses, those that are not."""
+    by_kmer = read_kmers(reads, k).groupBy("kmer").agg(F.count("*").alias("n")).join(wanted.select("kmer").withColumn("hit", F.lit(1)), "kmer", "left")
+    hit = F.col("hit") == 1
+    return by_kmer.agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("n"))), F.lit(0)).alias("misses"))
+
+
 def both_mates(first: DataFrame, second: DataFrame | None) -> DataFrame:
     """(read_id, mate, seq) of single or paired reads."""
     one = first.select("read_id", F.lit(1).cast("tinyint").alias("mate"), "seq")

@@ -114,6 +114,18 @@ def estimate_genes(classes: DataFrame, options: EstimateOptions = EstimateOption
     return rows.groupBy("gid").applyInArrow(run, EM_SCHEMA)
 
 
+def one_round(classes: DataFrame, found: DataFrame, least_count: float = 1e-7) -> DataFrame:
+    """(gid, tidx, again): counts by transcript after one round of expectation maximisation from found (gid, tidx,
+    found), without leaving the JVM. Transcripts that get less than the least count are left out."""
+    whole = found.groupBy("gid").agg(F.sum("found").alias("whole"))
+    pi = found.join(whole, "gid").select("gid", "tidx", F.when(F.col("whole") > 0, F.col("found") / F.col("whole")).otherwise(0.0).alias("pi"))
+    parts = class_weights(classes).join(effective_kmers(classes), ["gid", "tidx"]).join(pi, ["gid", "tidx"])
+    parts = parts.select("gid", "weights", "tidx", "total_counts", (F.col("w") * F.col("occurrences") / F.col("n_kmers") * F.col("pi")).alias("x"))
+    sums = parts.groupBy("gid", "weights").agg(F.sum("x").alias("s"))
+    given = parts.join(sums, ["gid", "weights"]).select("gid", "tidx", F.when(F.col("s") > 0, F.col("total_counts") * F.col("x") / F.col("s")).otherwise(0.0).alias("y"))
+    return given.groupBy("gid", "tidx").agg(F.sum("y").alias("again")).filter(F.col("again") >= least_count)
+
+
 def log_likelihood(classes: DataFrame, shares: DataFrame) -> DataFrame:
     """(gid, log_likelihood) of shares (gid, tidx, share): sum of count * ln(sum of share * weight * occurrences / kmers).
 

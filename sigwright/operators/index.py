@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sigwright.operators.kmers import gene_kmers, windows
+from sigwright.functions import dna
+from sigwright.operators.kmers import exploded, gene_kmers, windows
+from sigwright.runtime import cut
 
 
 def duplicated_kmers(transcripts: DataFrame, k: int) -> DataFrame:
@@ -18,9 +20,21 @@ def duplicated_kmers(transcripts: DataFrame, k: int) -> DataFrame:
     return gene_kmers(transcripts, k).groupBy("kmer").agg(F.count("*").alias("n_genes")).filter("n_genes >= 2")
 
 
+def shared_kmers(transcripts: DataFrame, k: int) -> DataFrame:
+    """(kmer) of those k-mers, without the number of genes: one shuffle, by k-mer, of the least and largest gene that
+    a task has seen. Genes are compared by 64-bit hashes of their ids."""
+    oriented = transcripts.select(F.xxhash64("gid").alias("gene"), F.explode(dna.orientations(F.col("seq"))).alias("seq"))
+    found = exploded(oriented, k, "gene").groupBy("kmer").agg(F.min("gene").alias("lo"), F.max("gene").alias("hi"))
+    return found.filter("lo <> hi").select("kmer")
+
+
 def signature_windows(transcripts: DataFrame, k: int, duplicated: DataFrame | None = None) -> DataFrame:
-    """(gid, tidx, pos, kmer) of windows whose k-mer no other gene has."""
-    duplicated = duplicated_kmers(transcripts, k) if duplicated is None else duplicated
+    """(gid, tidx, pos, kmer) of windows whose k-mer no other gene has.
+
+    Duplicated k-mers are written before they are used, so their size is known: where Spark's bound for broadcasts
+    holds them, windows are not shuffled for this.
+    """
+    duplicated = cut(shared_kmers(transcripts, k), "shared-kmers") if duplicated is None else duplicated
     return windows(transcripts, k).join(duplicated.select("kmer"), "kmer", "left_anti").select("gid", "tidx", "pos", "kmer")
 
 

@@ -60,3 +60,23 @@ def totals(regions: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     """One row: selected keys, and signature k-mers looked through (one more than windows for each region)."""
     scanned = regions.agg(F.coalesce(F.sum(F.char_length("seq") - k + 1), F.lit(0)).cast("long").alias("scanned"))
     return keys.agg(F.count("*").alias("selected")).crossJoin(scanned)
+
+
+def out_of_bounds(positions: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(gid, tidx, n) of transcripts with places that lie behind their end: an assertion on the input."""
+    places = positions.join(transcripts.select("gid", "tidx", F.char_length("seq").alias("length")), ["gid", "tidx"])
+    return places.filter(F.col("position") >= F.col("length")).groupBy("gid", "tidx").agg(F.count("*").alias("n"))
+
+
+def key_records(counts: DataFrame, positions: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(gid, keys, tids, lengths): a gene's record, as the format SelectedKey of sources.framed has it.
+
+    keys is array<struct<key, transcript_infos, count>> in order of keys, tids and lengths are in order of
+    transcripts. counts: (gid, key, count). Genes without keys have no record.
+    """
+    nested = nested_keys(counts.select("gid", "key"), positions).join(counts, ["gid", "key"])
+    each = F.struct("key", "transcript_infos", F.col("count").cast("int").alias("count"))
+    keys = nested.groupBy("gid").agg(F.array_sort(F.collect_list(each), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)).alias("keys"))
+    own = transcripts.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("tidx", "tid", F.char_length("seq").alias("length")))).alias("t"))
+    of = lambda c: F.transform("t", lambda x: x[c]).alias(f"{c}s")
+    return keys.join(own, "gid").select("gid", "keys", of("tid"), of("length"))

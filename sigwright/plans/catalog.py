@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from sigwright.functions import bloom, dna
 from sigwright.operators import count, estimate, index, kmers, prepare, select, similarity
-from sigwright.options import EstimateOptions, SelectOptions
+from sigwright.options import ClusterOptions, EstimateOptions, SelectOptions
 from sigwright.plans import synth
 from sigwright.plans.stages import Keys, build_keys
-from sigwright.runtime import Cut, cut, shared_dir, table
-from sigwright.sources import store, text
-from sigwright.streaming.counts import CountJob
+from sigwright.runtime import Cut, cut, scratch, table
+from sigwright.sources import framed, store, text
+from sigwright.streaming.counts import CountJob, EstimateJob
 
 K, M, READ = synth.K, synth.KEYS_PER_REGION, synth.READ
 ROUNDS = 5
@@ -204,11 +204,12 @@ def split_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""SELECT tid, n, CAST(i AS INTEGER) AS i, substring(seq, o + 1, {K}) AS sample FROM (
   SELECT tid, n, seq, i, {K // 2 + 1} + i * (CASE WHEN n < {2 * K} THEN 1000000 ELSE (n - {2 * K}) // 19 END) AS o
-  FROM (SELECT tid, left(seq, CAST(1 + substring(tid, 2)::BIGINT % 70 AS BIGINT)) AS seq, CAST(1 + substring(tid, 2)::BIGINT % 70 AS INTEGER) AS n, unnest(range(0, 20)) AS i FROM {{tx}})) WHERE o <= n""")
+  FROM (SELECT tid, left(seq, n) AS seq, n, unnest(range(0, 20)) AS i FROM (SELECT tid, seq, CAST(unnest([1 + substring(tid, 2)::BIGINT % 70, len(seq)]) AS INTEGER) AS n FROM {{tx}}))) WHERE o <= n""")
 def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = (1 + F.substr("tid", F.lit(2)).cast("long") % 70).cast("int")
-    short = _tx(spark, sf_dir).select("tid", n.alias("n"), F.substr("seq", F.lit(1), n).alias("seq"))
-    return short.select("tid", "n", F.posexplode(dna.even_samples(F.col("seq"), K)).alias("i", "sample"))
+    """Whole sequences, and short ones, which have a rule of their own."""
+    short = (1 + F.substr("tid", F.lit(2)).cast("long") % 70).cast("int")
+    both = _tx(spark, sf_dir).select("tid", "seq", F.explode(F.array(short, F.char_length("seq"))).alias("n"))
+    return both.select("tid", "n", F.substr("seq", F.lit(1), F.col("n")).alias("seq")).select("tid", "n", F.posexplode(dna.even_samples(F.col("seq"), K)).alias("i", "sample"))
 
 
 @register("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, m, CAST(greatest(10, least(50 + (10 - m) * 10, CAST(trunc((p_partkey - 20) / m) AS BIGINT))) AS INTEGER) AS stride FROM (SELECT p_partkey, CAST(unnest([3, 5, 10, 14]) AS INTEGER) AS m FROM part)")
@@ -363,10 +364,36 @@ def nested_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.nested_keys(built.keys, built.positions).select("gid", "key", F.array_join(info, ";").alias("infos"))
 
 
-@register("SELECT k.gid, k.tidx, count(*) AS n FROM {kpos} k JOIN {tx} t ON t.gid = k.gid AND t.tidx = k.tidx WHERE k.position >= len(t.seq) GROUP BY ALL")
+@register("SELECT k.gid, k.tidx, count(*) AS n FROM (SELECT gid, tidx, position + CASE WHEN tidx % 3 = 1 THEN 60 ELSE 0 END AS position FROM {kpos}) k JOIN {tx} t ON t.gid = k.gid AND t.tidx = k.tidx WHERE k.position >= len(t.seq) GROUP BY ALL")
 def positions_out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of every third transcript are moved, so that there is something to find."""
     built = _built(spark, sf_dir)
-    return built.positions.join(built.transcripts, ["gid", "tidx"]).filter(F.col("position") >= F.char_length("seq")).groupBy("gid", "tidx").agg(F.count("*").alias("n"))
+    moved = built.positions.withColumn("position", F.col("position") + F.when(F.col("tidx") % 3 == 1, 60).otherwise(0))
+    return select.out_of_bounds(moved, built.transcripts)
+
+
+@register("""SELECT n.gid, array_to_string(tids, ',') AS tids, array_to_string(lengths, ',') AS lengths, keys FROM (
+  SELECT gid, list(tid ORDER BY tidx) AS tids, list(len(seq) ORDER BY tidx) AS lengths FROM {tx} GROUP BY gid) n
+JOIN (SELECT gid, string_agg(key || '=' || count || '@' || coalesce(infos, ''), ' ' ORDER BY key) AS keys FROM {kc} LEFT JOIN (
+  SELECT gid, key, string_agg(tidx || ':' || positions, ';' ORDER BY tidx) AS infos FROM (SELECT gid, key, tidx, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions FROM {kpos} GROUP BY ALL) GROUP BY gid, key) USING (gid, key) GROUP BY gid) USING (gid)""")
+def key_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of counted keys, written as framed messages and read back."""
+    built = _built(spark, sf_dir)
+    records = select.key_records(count.key_counts(built.keys, synth.first_mates(spark, sf_dir), K), built.positions, built.transcripts)
+    framed.register(spark)
+    path = scratch(spark, "records")
+    framed.encoded(records, "SelectedKey").write.format("framed").mode("append").save(path)
+    info = lambda x: F.concat(x["tidx"].cast("string"), F.lit(":"), F.concat_ws(",", x["positions"].cast("array<string>")))
+    one = lambda k: F.concat(k["key"], F.lit("="), k["count"].cast("string"), F.lit("@"), F.array_join(F.transform(k["transcript_infos"], info), ";"))
+    back = framed.decoded(spark.read.format("framed").load(path), "SelectedKey")
+    return back.select("gid", F.array_join("tids", ",").alias("tids"), F.concat_ws(",", F.col("lengths").cast("array<string>")).alias("lengths"), F.array_join(F.transform("keys", one), " ").alias("keys"))
+
+
+@register("SELECT gid, key, tidx, CAST(count(*) AS INTEGER) AS weight FROM {kpos} GROUP BY ALL")
+def key_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = _built(spark, sf_dir)
+    nested = select.nested_keys(built.keys, built.positions).select("gid", "key", F.explode("transcript_infos").alias("i"))
+    return nested.select("gid", "key", "i.tidx", dna.key_weight(F.col("i.positions")).alias("weight"))
 
 
 # ---- counts -------------------------------------------------------------------------------------------
@@ -394,9 +421,43 @@ def exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT count(*) FILTER (kmer IN (SELECT kmer FROM {okey})) AS hits, count(*) FILTER (kmer NOT IN (SELECT kmer FROM {okey})) AS misses FROM {rk}")
 def lookup_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
-    wanted = count.oriented_keys(keys).select("kmer").distinct().withColumn("hit", F.lit(1))
-    by_kmer = kmers.read_kmers(synth.first_mates(spark, sf_dir), K).groupBy("kmer").agg(F.count("*").alias("n")).join(wanted, "kmer", "left")
-    return by_kmer.agg(F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("hits"), F.sum(F.when(F.col("hit").isNull(), F.col("n")).otherwise(0)).alias("misses"))
+    return count.lookup_statistics(synth.first_mates(spark, sf_dir), count.oriented_keys(keys).select("kmer").distinct(), K)
+
+
+#: A filter far too small for its keys, so that there are false positives to agree on.
+_CAPACITY, _RATE = 2000, 0.1
+_BITS, _HASHES = bloom.size_for(_CAPACITY, _RATE)
+
+
+def _member_rows(name: str) -> str:
+    """SQL of the rows of maybe_members for the k-mers of reads against a filter of oriented keys."""
+    places = lambda x: f"unnest(list_transform(range(0, {_HASHES}), lambda i: ((('0x' || substring(md5({x}), 1, 15))::BIGINT % {_BITS}) + i * (('0x' || substring(md5({x}), 16, 15))::BIGINT % {_BITS})) % {_BITS}))"
+    return f"""(SELECT kmer, bool_and(p IN (SELECT {places('kmer')} FROM {{okey}})) AS member FROM (SELECT kmer, {places('kmer')} AS p FROM (SELECT DISTINCT kmer FROM {{rk}})) GROUP BY kmer) {name}"""
+
+
+@register(f"SELECT m.kmer, m.member FROM {_member_rows('m')}")
+def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read k-mers against a Bloom filter of keys, false positives and all."""
+    keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
+    bitmaps = bloom.filter_table(count.oriented_keys(keys), "kmer", _CAPACITY, _RATE)
+    return bloom.maybe_members(kmers.read_kmers(synth.first_mates(spark, sf_dir), K), "kmer", bitmaps, _CAPACITY, _RATE).withColumnRenamed("value", "kmer")
+
+
+@register("SELECT count(*) FILTER (kmer IN (SELECT kmer FROM {okey})) AS wanted, 0::BIGINT AS missed, true AS few FROM (SELECT DISTINCT kmer FROM {rk})")
+def bloom_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No wanted k-mer is missed by a filter of the right size, and of the others few pass: at most twice the rate, and 20."""
+    keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
+    wanted = cut(count.oriented_keys(keys).select("kmer").distinct(), "wanted")
+    n = max(1, wanted.count())
+    found = bloom.maybe_members(kmers.read_kmers(synth.first_mates(spark, sf_dir), K), "kmer", bloom.filter_table(wanted, "kmer", n, 0.01), n, 0.01)
+    full = found.join(wanted.withColumn("wanted", F.lit(True)), found["value"] == wanted["kmer"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+    passed = F.count_if(F.col("member") & ~F.col("wanted")) <= 20 + 0.02 * F.count_if(~F.col("wanted"))
+    return full.agg(F.count_if("wanted").alias("wanted"), F.count_if(F.col("wanted") & ~F.col("member")).alias("missed"), passed.alias("few"))
+
+
+@register(f"SELECT tid, CAST(i - 1 AS INTEGER) AS i, p FROM (SELECT tid, unnest(range(1, 8)) AS i, unnest(list_transform(range(0, 7), lambda i: ((('0x' || substring(md5(seq), 1, 15))::BIGINT % 1000003) + i * (('0x' || substring(md5(seq), 16, 15))::BIGINT % 1000003)) % 1000003)) AS p FROM {{tx}})")
+def bloom_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tx(spark, sf_dir).select("tid", F.posexplode(bloom.probe_positions(F.col("seq"), 7, 1_000_003)).alias("i", "p"))
 
 
 @register("SELECT gid, key, count FROM {kc}")
@@ -431,6 +492,17 @@ def em_fixed_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("gid", "tidx", F.round("n_reads_kmers", 6).alias("n_reads_kmers"), F.round("density", 6).alias("density"))
 
 
+@register("SELECT gid, round(sum(total_counts), 3) AS total, true AS settled FROM {cls} WHERE gid IN (SELECT gid FROM {live}) AND list_sum(weights) > 0 GROUP BY gid HAVING sum(total_counts) > 0")
+def em_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Converged estimates by what defines them: counts are conserved, and another round, as a DataFrame, moves nothing."""
+    classes = _classes(spark, sf_dir)[1]
+    found = cut(estimate.estimate_genes(classes, OPTIONS), "converged")
+    again = estimate.one_round(classes, found.select("gid", "tidx", F.col("n_reads_kmers").alias("found")))
+    both = found.join(again, ["gid", "tidx"], "left").withColumn("moved", F.abs(F.coalesce("again", F.lit(0.0)) - F.col("n_reads_kmers")))
+    rows = both.groupBy("gid").agg(F.round(F.sum("n_reads_kmers"), 3).alias("total"), (F.max(F.col("moved")) <= F.lit(1e-6) * F.greatest(F.lit(1.0), F.sum("n_reads_kmers"))).alias("settled"))
+    return rows.filter("total > 0")
+
+
 @register()
 def em_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate.estimate_genes(_classes(spark, sf_dir)[1], OPTIONS)
@@ -510,9 +582,12 @@ def exon_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exons(spark, sf_dir).drop("tname")
 
 
-@register("SELECT line FROM {gtfl} WHERE regexp_matches(value, '^MT|^[XY]|^[0-9]*\\t')")
+@register("""SELECT seqname, feature, "start", "end", strand, gid, gname, tid, biotype FROM {gtf} WHERE regexp_full_match(seqname, '[0-9]+|(X|Y|MT).*')""")
 def main_chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.gtf_lines(spark, sf_dir).filter(F.col("value").rlike("^MT|^[XY]|^[0-9]*\t")).select("line")
+    """An annotation file, written and read, without what lies elsewhere."""
+    path = scratch(spark, "gtf")
+    synth.gtf_lines(spark, sf_dir).select("value").write.text(path)
+    return text.gtf(spark, path, main_chromosomes=True).select("seqname", "feature", "start", "end", "strand", "gid", "gname", "tid", "biotype")
 
 
 @register("SELECT gname AS gid, count(DISTINCT strand) AS n_strands FROM {exon} GROUP BY gname HAVING count(DISTINCT strand) > 1")
@@ -546,10 +621,130 @@ def gene_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT gid, sum(len(seq))::BIGINT AS bases FROM ({_CONCAT}) WHERE gid >= 'b' AND gid < 'p' AND has_seq GROUP BY gid")
 def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    genes = store.KeyedStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    genes = store.KeyedStore(spark, scratch(spark, "store"))
     rows = _assembled(spark, sf_dir).groupBy("gid").agg(F.sum(F.char_length("seq")).cast("long").alias("bases"), F.bool_or("has_seq").alias("has_seq"))
     genes.put(rows.withColumn("bases", F.lit(-1).cast("long")), version=0)
     genes.put(rows, version=1)
     return genes.scan("b", "p").filter("has_seq").select("gid", "bases")
+
+
+# ---- files --------------------------------------------------------------------------------------------
+
+
+@register("SELECT tid AS header, seq FROM {tx}")
+def transcript_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "transcripts")
+    text.write_transcripts(_tx(spark, sf_dir), path)
+    return text.fasta(spark, path)
+
+
+def _unspaced(rows: DataFrame) -> DataFrame:
+    """With gene ids that have no blanks: a FASTA header ends at one."""
+    return rows.withColumn("gid", F.translate("gid", " ", "_"))
+
+
+@register("SELECT replace(gid, ' ', '_') AS gid, tidx, tid, seq FROM {tx}")
+def gene_fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "genes")
+    text.write_genes(_unspaced(_tx(spark, sf_dir)), path)
+    return text.transcripts(text.genes(spark, path))
+
+
+@register("SELECT CAST(mate AS TINYINT) AS mate, seq, count(*) AS n FROM (SELECT 1 AS mate, seq FROM {r1} UNION ALL SELECT 2, seq FROM {r2}) GROUP BY ALL")
+def paired_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [scratch(spark, "mate") for _ in range(2)]
+    for path, mate in zip(paths, (synth.first_mates(spark, sf_dir), synth.second_mates(spark, sf_dir)), strict=True):
+        text.write_transcripts(mate.select(F.col("read_id").cast("string").alias("tid"), "seq"), path)
+    return text.reads(spark, paths[0], paths[1]).groupBy("mate", "seq").agg(F.count("*").alias("n"))
+
+
+@register("SELECT CAST(1 AS TINYINT) AS mate, seq, count(*) AS n FROM {r1} GROUP BY ALL")
+def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualities begin with @ and +, as they may."""
+    path = scratch(spark, "fastq")
+    quality = F.concat(F.when(F.col("read_id") % 2 == 0, "@").otherwise("+"), F.repeat(F.lit("I"), F.char_length("seq") - 1))
+    record = F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), quality)
+    synth.first_mates(spark, sf_dir).select(record.alias("value")).write.text(path)
+    return text.reads(spark, path, fastq=True).groupBy("mate", "seq").agg(F.count("*").alias("n"))
+
+
+@register("SELECT seqname, seq FROM {geno}")
+def genome_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chromosomes in lines of 60 bases, with more than a name in the header."""
+    path = scratch(spark, "genome")
+    text.write_genome(synth.genome(spark, sf_dir).withColumn("seqname", F.concat("seqname", F.lit(" dna:chromosome x"))), path)
+    return text.genome(spark, path)
+
+
+@register("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(tid) + len(seq) + 3) AS BIGINT) AS bytes FROM {tx}")
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "sized")
+    text.write_transcripts(_tx(spark, sf_dir), path)
+    return text.fasta(spark, path).agg(F.count("*").alias("n")).withColumn("bytes", F.lit(store.total_size(spark, path)))
+
+
+@register("SELECT gid1, gid2, dup, total FROM {cont}")
+def overlap_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "overlaps")
+    text.write_overlaps(similarity.containment(_tx(spark, sf_dir), K), path)
+    return text.read_overlaps(spark, path)
+
+
+_MERGED = """SELECT replace(h.gid, ' ', '_') AS gid, row_number() OVER (PARTITION BY r.root ORDER BY g.idx, t.tidx) AS place, t.tid, t.seq FROM {tx} t JOIN {gene} g ON g.gid = t.gid JOIN {root} r ON r.idx = g.idx JOIN {gene} h ON h.idx = r.root"""
+
+
+@register(f"SELECT gid, '>' || gid || '|' || string_agg(tid, '|' ORDER BY place) || chr(10) || string_agg(seq, '|' ORDER BY place) AS value FROM ({_MERGED}) GROUP BY gid")
+def clustered_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes as a file, clustered, written and read back as records."""
+    path = scratch(spark, "clusters")
+    tx = cut(_tx(spark, sf_dir), "transcripts")
+    text.write_genes(_unspaced(similarity.cluster_transcripts(tx, cut(text.numbered_genes(tx), "genes"), ClusterOptions(K))), path)
+    return text.gene_records(text.transcripts(text.genes(spark, path)))
+
+
+@register("SELECT gid, tid, seq, CAST(length AS INTEGER) AS length, position FROM (SELECT r.gid, t.tid, r.seq, len(t.seq) AS length, r.position FROM {reg} r JOIN {tx} t ON t.gid = r.gid AND t.tidx = r.tidx)")
+def framed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as nested messages, a frame for each gene, read through Spark's reader of binary files."""
+    framed.register(spark)
+    path = scratch(spark, "regions")
+    per = _regions(spark, sf_dir).groupBy("gid", "tid", "length").agg(F.collect_list(F.struct("seq", "position")).alias("signatures"))
+    genes = per.groupBy(F.col("gid").alias("id")).agg(F.collect_list(F.struct(F.col("tid").alias("id"), "length", "signatures")).alias("transcripts"))
+    framed.encoded(genes, "GeneSignatures").write.format("framed").mode("append").save(path)
+    back = framed.decoded(framed.read_binary(spark, path), "GeneSignatures").select(F.col("id").alias("gid"), F.explode("transcripts").alias("t"))
+    return back.select("gid", F.col("t.id").alias("tid"), F.col("t.length").alias("length"), F.explode("t.signatures").alias("s")).select("gid", "tid", "s.seq", "length", "s.position")
+
+
+@register(f"""SELECT tid, CAST(length AS INTEGER) AS length, CAST(format('{{:.5e}}', est_reads) AS DOUBLE) AS est_reads, CAST(format('{{:.5e}}', CASE WHEN s > 0 THEN est_reads / (length / 1000.0) / (s / 1e6) ELSE 0 END) AS DOUBLE) AS rpkm,
+  CAST(format('{{:.5e}}', CASE WHEN d > 0 THEN est_reads / length / d * 1e6 ELSE 0 END) AS DOUBLE) AS tpm
+FROM (SELECT *, sum(est_reads) OVER () AS s, sum(est_reads / length) OVER () AS d FROM (
+  SELECT tid, length, (CASE WHEN x < 0.1 THEN 0 ELSE x END) / {READ - K} AS est_reads FROM (SELECT t.tid, len(t.seq) AS length, coalesce(e.density, 0) * len(t.seq) AS x FROM {{tx}} t LEFT JOIN {{em}} e ON e.gid = t.gid AND e.tidx = t.tidx)))""")
+def abundance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report, as numbers of six significant digits."""
+    path = scratch(spark, "report")
+    built, classes = _classes(spark, sf_dir)
+    text.write_abundance(estimate.abundance(built.transcripts, estimate.estimate_genes(classes, OPTIONS, ROUNDS), OPTIONS), path)
+    return spark.read.csv(path, sep="\t", schema="tid string, length int, est_reads double, rpkm double, tpm double")
+
+
+@register("SELECT gid, tidx, position, n_windows FROM {reg}")
+def remembered_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made once, then read: the second call would raise if it made them again."""
+    folder = scratch(spark, "remembered")
+    columns = ("gid", "tidx", "position", "n_windows")
+    store.remembered(spark, "regions", 1, lambda: _regions(spark, sf_dir).select(*columns), folder)
+
+    def never() -> DataFrame:
+        raise RuntimeError("made again")
+
+    return store.remembered(spark, "regions", 1, never, folder)
+
+
+@register("SELECT gid, round(sum(total_counts), 3) AS total FROM {cls} WHERE gid IN (SELECT gid FROM {live}) AND list_sum(weights) > 0 GROUP BY gid HAVING sum(total_counts) > 0")
+def streaming_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates that follow a stream, after its end: all counts have found transcripts."""
+    built = _built(spark, sf_dir)
+    staged = Cut(synth.first_mates(spark, sf_dir).repartition(8), "reads")
+    arriving = spark.readStream.schema(staged.df.schema).option("maxFilesPerTrigger", 4).parquet(staged.path)
+    job = EstimateJob(arriving, built.keys, built.positions, built.transcripts, OPTIONS, interval=None)
+    job.finish()
+    return job.estimates.groupBy("gid").agg(F.round(F.sum("n_reads_kmers"), 3).alias("total")).filter("total > 0")

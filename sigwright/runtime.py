@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+log = logging.getLogger("sigwright")
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -26,34 +30,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local run has a folder of
+    its own, and anything else is an error: executors don't see each other's disks."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a path, which must be there, removed when the driver ends."""
+    for name in (path, f"/tmp/checkpoints/{spark.sparkContext.applicationId}"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(name)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    removed_at_exit(spark, path)
+    return f"{path}/data"
 
 
 class Cut:
     """A DataFrame written as Parquet to the shared folder and read back.
 
-    The written copy outlives lost executors and ends the lineage. ``drop`` removes it once no plan
-    reads it any more.
+    The written copy outlives lost executors and ends the lineage. ``drop`` removes it once no plan reads it
+    any more; what is left goes when the driver ends.
     """
 
     def __init__(self, df: DataFrame, name: str = "cut"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        removed_at_exit(self.spark, self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    """Removes a file or folder of any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``Cut`` for results that stay in use until the session ends."""
-    return Cut(df, name).df
+def cut(df: DataFrame, name: str = "cut", **measures: Column) -> DataFrame:
+    """``Cut`` for results that stay in use until the session ends. Aggregates in ``measures`` are taken while it is
+    written, without a pass of their own, and logged."""
+    if not measures:
+        return Cut(df, name).df
+    seen = Observation()
+    made = Cut(df.observe(seen, *(m.alias(k) for k, m in measures.items())), name).df
+    log.info("%s: %s", name, seen.get)
+    return made
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

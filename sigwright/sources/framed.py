@@ -1,14 +1,20 @@
 """Length-prefixed messages: a 4-byte little-endian size before each protobuf message, as a Spark data source.
 
-``register(spark)`` makes the format ``framed``; option ``message`` names the kind of message. Rows hold the
-encoded message in ``body``; ``decoded`` and ``encoded`` turn bodies into columns and back.
+``register(spark)`` makes the format ``framed``. Rows hold the encoded message in ``body``; ``decoded`` and
+``encoded`` turn bodies into columns and back. Files are reached through pyarrow's file systems (local, HDFS, S3
+and what else has a URI there); ``read_binary`` reads whatever Spark itself reads.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -40,8 +46,21 @@ def sql_type(message: str) -> str:
     return "struct<" + ", ".join(f"`{name}`: {of(kind)}" for name, _, kind in MESSAGES[message]) + ">"
 
 
+def arrow_type(message: str) -> pa.StructType:
+    """The Arrow type of a message."""
+    plain = {"int32": pa.int32(), "string": pa.string(), "bool": pa.bool_()}
+
+    def of(kind: str) -> pa.DataType:
+        if kind.startswith("*"):
+            return pa.list_(of(kind[1:]))
+        return plain[kind] if kind in plain else arrow_type(kind)
+
+    return pa.struct([(name, of(kind)) for name, _, kind in MESSAGES[message]])
+
+
+@functools.cache
 def message_class(message: str):
-    """The protobuf class of a message."""
+    """The protobuf class of a message, made once in a process."""
     from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
 
     proto = descriptor_pb2.FileDescriptorProto(name="sigwright_framed.proto", package="sigwright", syntax="proto2")
@@ -60,23 +79,44 @@ def message_class(message: str):
     return message_factory.GetMessageClass(pool.FindMessageTypeByName(f"sigwright.{message}"))
 
 
-def frames(data: bytes, limit: int | None = None) -> Iterator[bytes]:
-    """Bodies of framed messages; stops at the end, at a frame that is cut off, or at one above the limit."""
-    at = 0
-    while at + 4 <= len(data):
-        (size,) = struct.unpack_from("<i", data, at)
-        if size < 0 or at + 4 + size > len(data) or (limit is not None and size > limit):
-            return
-        yield data[at + 4 : at + 4 + size]
-        at += 4 + size
+class Damaged(ValueError):
+    """A frame that is cut off, has a negative size, or is above the limit."""
+
+
+def frames(data: bytes, limit: int | None = None, damaged: str = "raise") -> Iterator[bytes]:
+    """Bodies of framed messages. A frame that is cut off or above the limit raises Damaged; with damaged="stop" it
+    ends the messages."""
+    import io
+
+    return _frames(io.BytesIO(data), limit, damaged)
+
+
+def _frames(file, limit: int | None, damaged: str) -> Iterator[bytes]:
+    while head := file.read(4):
+        size = struct.unpack("<i", head)[0] if len(head) == 4 else -1
+        body = file.read(size) if size >= 0 and (limit is None or size <= limit) else b""
+        if size < 0 or len(body) < size:
+            if damaged == "stop":
+                return
+            raise Damaged(f"a frame of {size} bytes can't be read" if len(head) == 4 else "a frame is cut off in its size")
+        yield body
 
 
 def framed(bodies) -> bytes:
     return b"".join(struct.pack("<i", len(b)) + bytes(b) for b in bodies)
 
 
+def _located(path: str):
+    """(file system, path on it) of a URI or local path."""
+    from pyarrow import fs
+
+    path = re.sub("^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class FramedSource(DataSource):
-    """format("framed"): load(path) gives (path, body); save(path) writes one file a task."""
+    """format("framed"): load(path) gives (path, body); save(path) writes one file a task. Options: limit, the bytes
+    of the longest message; damaged, raise (the default) or stop."""
 
     @classmethod
     def name(cls) -> str:
@@ -89,97 +129,136 @@ class FramedSource(DataSource):
         return FramedReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return FramedWriter(self.options)
+        return FramedWriter(self.options["path"], overwrite)
 
 
 class FramedReader(DataSourceReader):
     def __init__(self, options):
-        import glob
-        import os
-
-        path = options["path"]
-        self.files = sorted(glob.glob(os.path.join(path, "*.framed")) if os.path.isdir(path) else glob.glob(path))
+        self.path = options["path"].rstrip("/")
         self.limit = int(options["limit"]) if "limit" in options else None
+        self.damaged = options.get("damaged", "raise")
 
     def partitions(self):
-        return [InputPartition(f) for f in self.files]
+        from pyarrow import fs
+
+        files, where = _located(self.path)
+        if files.get_file_info(where).type == fs.FileType.Directory:
+            found = sorted(x.path for x in files.get_file_info(fs.FileSelector(where)) if x.path.endswith(".framed"))
+        else:
+            found = [where]
+        return [InputPartition(f) for f in found]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            while len(head := f.read(4)) == 4:
-                (size,) = struct.unpack("<i", head)
-                if size < 0 or (self.limit is not None and size > self.limit) or len(body := f.read(size)) < size:
-                    return
+        files, _ = _located(self.path)
+        with files.open_input_stream(partition.value) as f:
+            for body in _frames(f, self.limit, self.damaged):
                 yield partition.value, body
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    name: str
+
+
 class FramedWriter(DataSourceWriter):
-    def __init__(self, options):
-        import os
+    """Each attempt of a task writes a file of its own into a folder for this save; commit moves the files of the
+    attempts that Spark names into place, and what else lies there goes."""
 
-        self.path = options["path"]
-        os.makedirs(self.path, exist_ok=True)
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.stage = path.rstrip("/"), overwrite, f"_staged-{uuid.uuid4().hex}"
 
     def write(self, rows) -> WriterCommitMessage:
-        import os
-        import uuid
-
-        with open(os.path.join(self.path, f"{uuid.uuid4().hex}.framed"), "wb") as f:
+        files, where = _located(self.path)
+        name = f"{uuid.uuid4().hex}.framed"
+        files.create_dir(f"{where}/{self.stage}", recursive=True)
+        with files.open_output_stream(f"{where}/{self.stage}/{name}") as f:
             for row in rows:
                 f.write(struct.pack("<i", len(row.body)) + bytes(row.body))
-        return WriterCommitMessage()
+        return Written(name)
+
+    def commit(self, messages) -> None:
+        from pyarrow import fs
+
+        files, where = _located(self.path)
+        files.create_dir(where, recursive=True)
+        before = [x.path for x in files.get_file_info(fs.FileSelector(where)) if x.path.endswith(".framed")] if self.overwrite else []
+        for message in messages:
+            if message is not None:
+                files.move(f"{where}/{self.stage}/{message.name}", f"{where}/{message.name}")
+        for old in before:
+            files.delete_file(old)
+        self._clear(files, where)
+
+    def abort(self, messages) -> None:
+        self._clear(*_located(self.path))
+
+    def _clear(self, files, where: str) -> None:
+        from pyarrow import fs
+
+        if files.get_file_info(f"{where}/{self.stage}").type != fs.FileType.NotFound:
+            files.delete_dir(f"{where}/{self.stage}")
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FramedSource)
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
+def read_binary(spark: SparkSession, path: str, damaged: str = "raise") -> DataFrame:
     """(path, body) of framed files in any store that Spark reads; a file is one task and held whole."""
 
-    def split(batches):
-        import pyarrow as pa
-
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                bodies = list(frames(content.as_py()))
+                bodies = list(frames(content.as_py(), damaged=damaged))
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(bodies), pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "path string, body binary")
 
 
+def read_single(spark: SparkSession, path: str) -> DataFrame:
+    """(path, body) of files that each hold one message without a size before it."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("body"))
+
+
+def _mapped(rows: DataFrame, ddl: str, convert: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield convert(batch)
+
+    return rows.mapInArrow(run, ddl)
+
+
 def decoded(rows: DataFrame, message: str) -> DataFrame:
-    """The columns of messages in ``body``; a body that is no such message raises."""
-    schema = sql_type(message)
+    """The columns of messages in ``body``; a null body gives nulls, one that is no such message raises."""
 
-    @F.udf(schema)
-    def parse(body):
-        return _plain(message_class(message).FromString(bytes(body)), message) if body is not None else None
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kind = message_class(message)
+        found = [_plain(kind.FromString(x.as_py()), message) if x.is_valid else {} for x in batch.column(0)]
+        return pa.RecordBatch.from_struct_array(pa.array(found, arrow_type(message)))
 
-    return rows.select(parse("body").alias("m")).select("m.*")
+    return _mapped(rows.select("body"), sql_type(message).removeprefix("struct<").removesuffix(">"), parse)
 
 
 def encoded(rows: DataFrame, message: str) -> DataFrame:
     """(body) of rows that have the message's columns."""
 
-    @F.udf("binary")
-    def build(row):
-        return _message(row.asDict(recursive=True), message).SerializeToString()
+    def build(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([_message(row, message).SerializeToString() for row in batch.to_pylist()], pa.binary())], names=["body"])
 
-    return rows.select(build(F.struct(*(name for name, _, _ in MESSAGES[message]))).alias("body"))
+    return _mapped(rows.select(*(name for name, _, _ in MESSAGES[message])), "body binary", build)
 
 
-def _plain(value, message: str):
-    out = []
+def _plain(value, message: str) -> dict:
+    out = {}
     for name, _, kind in MESSAGES[message]:
         base, got = kind.removeprefix("*"), getattr(value, name)
         if kind.startswith("*"):
-            out.append([_plain(x, base) if base in MESSAGES else x for x in got])
+            out[name] = [_plain(x, base) if base in MESSAGES else x for x in got]
         elif base in MESSAGES:
-            out.append(_plain(got, base))
+            out[name] = _plain(got, base)
         else:
-            out.append(got if value.HasField(name) else None)
-    return tuple(out)
+            out[name] = got if value.HasField(name) else None
+    return out
 
 
 def _message(row: dict, message: str):

@@ -56,6 +56,6 @@ def remembered(spark: SparkSession, name: str, version: int, make: Callable[[],
 
 
 def total_size(spark: SparkSession, path: str) -> int:
-    """Bytes of a file or of all files below a folder, in any store that Spark reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return int(where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength())
+    """Bytes of a file or of all files below a folder, in any store that Spark reads; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigwright.functions import dna
+from sigwright.operators.ranges import prefix_sums
 
 Paths = str | list[str]
 
@@ -39,13 +40,25 @@ def transcripts(genes: DataFrame) -> DataFrame:
     return genes.select("gid", each).select("gid", "tidx", F.col("t.tids").alias("tid"), F.col("t.seqs").alias("seq"))
 
 
+def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(path, number, value) of the lines of files, numbered from 0 in each file; files are split like any text.
+
+    Lines are counted in each block of a file first. Numbers inside a block follow the order in which a task reads
+    it; of blocks only their counts are gathered.
+    """
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", at)
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n") - F.col("least")
+    return lines.join(blocks.select("path", "block", before.alias("shift")), ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("number"), "value")
+
+
 def reads(spark: SparkSession, first: Paths, second: Paths | None = None, fastq: bool = False) -> DataFrame:
     """(mate, seq) of single or paired reads, any number of files a mate; ids and qualities are not read."""
 
     def mate(paths: Paths, number: int) -> DataFrame:
         if fastq:
-            lines = F.split("value", "\r?\n")
-            seqs = spark.read.text(paths, wholetext=True).select(F.explode(F.filter(lines, lambda _, i: i % 4 == 1)).alias("seq"))
+            seqs = numbered_lines(spark, paths).filter(F.col("number") % 4 == 1).select(F.regexp_replace("value", "\r$", "").alias("seq"))
         else:
             seqs = fasta(spark, paths, least=1).select("seq")
         return seqs.filter("seq <> ''").select(F.lit(number).cast("tinyint").alias("mate"), "seq")
@@ -78,12 +91,22 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
     )
 
 
+def on_main_chromosome(seqname: Column) -> Column:
+    """Whether a sequence is a chromosome with a number, X, Y or the mitochondrion (names may go on after these)."""
+    numbered = (seqname != "") & (F.translate(seqname, "0123456789", "") == "")
+    return numbered | seqname.startswith("X") | seqname.startswith("Y") | seqname.startswith("MT")
+
+
 def gtf(spark: SparkSession, paths: Paths, main_chromosomes: bool = False) -> DataFrame:
-    """parse_gtf of files, plain or gzipped; on request only chromosomes with a number, X, Y or MT."""
-    lines = spark.read.text(paths).select(F.monotonically_increasing_id().alias("line"), "value")
-    if main_chromosomes:
-        lines = lines.filter(F.col("value").rlike("^MT|^[XY]|^[0-9]*\t"))
-    return parse_gtf(lines)
+    """parse_gtf of files, plain or gzipped; on request only rows on_main_chromosome."""
+    rows = parse_gtf(spark.read.text(paths).select(F.monotonically_increasing_id().alias("line"), "value"))
+    return rows.filter(on_main_chromosome(F.col("seqname"))) if main_chromosomes else rows
+
+
+def write_genome(chromosomes: DataFrame, path: str, width: int = 60) -> None:
+    """FASTA of (seqname, seq) with lines of a width."""
+    lines = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    chromosomes.select(F.concat(F.lit(">"), "seqname", F.lit("\n"), lines).alias("value")).write.text(path)
 
 
 def gene_records(transcripts: DataFrame) -> DataFrame:
@@ -111,14 +134,24 @@ def read_overlaps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="gid1 string, gid2 string, dup long, total long")
 
 
+def significant(number: Column) -> Column:
+    """A number with six significant digits and without zeros behind them: plain from 0.0001 to below a million, else
+    with an exponent."""
+    text = F.format_string("%.6g", number)
+    return F.regexp_replace(F.regexp_replace(text, "(\\.[0-9]*?)0+($|e)", "$1$2"), "\\.($|e)", "$1")
+
+
+def abundance_lines(rows: DataFrame) -> DataFrame:
+    """(value): tid, length, reads, RPKM and TPM, tab-separated, in order of tid."""
+    numbers = [significant(F.col(c)) for c in ("est_reads", "rpkm", "tpm")]
+    return rows.orderBy("tid").select(F.concat_ws("\t", "tid", F.col("length").cast("string"), *numbers).alias("value"))
+
+
 def write_abundance(rows: DataFrame, path: str) -> None:
-    """tid, length, reads, RPKM and TPM with six significant digits, tab-separated, in order of tid."""
-    numbers = [F.format_string("%.6g", c).alias(c) for c in ("est_reads", "rpkm", "tpm")]
-    rows.orderBy("tid").select("tid", "length", *numbers).write.csv(path, sep="\t")
+    abundance_lines(rows).write.text(path)
 
 
 def numbered_genes(transcripts: DataFrame) -> DataFrame:
     """(idx, gid) by order of gid, for gene tables that come from no file."""
     ids = transcripts.select("gid").distinct()
-    n = Window.partitionBy(F.lit(0)).orderBy("gid")
-    return ids.select((F.row_number().over(n) - 1).cast("long").alias("idx"), "gid")
+    return prefix_sums(ids, [F.col("gid")], {"idx": F.lit(1).cast("long")}).select("idx", "gid")

@@ -11,7 +11,8 @@ from sigwright.operators.count import oriented_keys
 from sigwright.operators.estimate import estimate_genes, weight_classes
 from sigwright.operators.kmers import read_kmers
 from sigwright.options import EstimateOptions
-from sigwright.runtime import cut, shared_dir
+from sigwright.runtime import Cut, log, remove, removed_at_exit, shared_dir
+from sigwright.sources.text import significant
 
 
 def running_counts(reads: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -31,17 +32,26 @@ class CountJob:
     def __init__(self, reads: DataFrame, keys: DataFrame, k: int, interval: str | None = None):
         """interval: time between batches ("11 seconds"); without one, what is there is read and the job ends."""
         self.spark, self.keys, self.batches = keys.sparkSession, keys, 0
+        self.latest: DataFrame | None = None
+        self.written: list[str] = []
         self.folder = f"{shared_dir(self.spark)}/stream-{uuid.uuid4().hex}"
         writer = running_counts(reads, keys, k).writeStream.outputMode("complete").option("checkpointLocation", f"{self.folder}/state").foreachBatch(self._keep)
         self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
-        self.latest: DataFrame | None = None
 
     def _keep(self, batch: DataFrame, number: int) -> None:
         path = f"{self.folder}/counts-{number}"
         batch.write.mode("overwrite").parquet(path)
-        self.latest = self.spark.read.parquet(path)
+        self.latest = self.spark.read.schema(batch.schema).parquet(path)
+        if not self.batches:
+            removed_at_exit(self.spark, self.folder)
         self.batches += 1
+        log.info("batch %d of %s", number, self.folder)
         self.after_batch()
+        # whoever has asked for counts may still read the batch before this one
+        self.written.append(path)
+        for old in self.written[:-2]:
+            remove(self.spark, old)
+        self.written = self.written[-2:]
 
     def after_batch(self) -> None:
         """For jobs that do more."""
@@ -52,22 +62,39 @@ class CountJob:
         return key_totals(self.keys, self.latest if self.latest is not None else nothing)
 
     def finish(self, timeout: int | None = None) -> DataFrame:
-        """Waits for the end of the stream and gives the final counts."""
-        self.query.awaitTermination(timeout)
+        """Waits for the end of the stream and gives the final counts. Raises TimeoutError if the stream has not ended
+        after ``timeout`` seconds: counts so far are no final ones."""
+        if self.query.awaitTermination(timeout) is False:
+            raise TimeoutError(f"the stream has not ended after {timeout} seconds")
         return self.counts()
 
 
 class EstimateJob(CountJob):
-    """Estimates every gene again after each batch, beginning from the shares of the batch before."""
+    """Estimates every gene again after each batch, beginning from the shares of the batch before. With ``report`` the
+    profile is written there, as tab-separated text, after each batch, in place of the one before."""
 
-    def __init__(self, reads: DataFrame, keys: DataFrame, positions: DataFrame, transcripts: DataFrame, options: EstimateOptions, interval: str | None = "11 seconds"):
-        self.positions, self.transcripts, self.options = positions, transcripts, options
+    def __init__(
+        self, reads: DataFrame, keys: DataFrame, positions: DataFrame, transcripts: DataFrame, options: EstimateOptions, interval: str | None = "11 seconds", report: str | None = None
+    ):
+        self.positions, self.transcripts, self.options, self.report = positions, transcripts, options, report
         self.estimates: DataFrame | None = None
+        self.estimated: list[Cut] = []
         super().__init__(reads, keys, options.k, interval)
 
     def after_batch(self) -> None:
         classes = weight_classes(self.counts(), self.positions, self.transcripts)
-        self.estimates = cut(estimate_genes(classes, self.options, start=self.estimates), "estimates")
+        self.estimated.append(Cut(estimate_genes(classes, self.options, start=self.estimates), "estimates"))
+        self.estimates = self.estimated[-1].df
+        for old in self.estimated[:-2]:
+            old.drop()
+        self.estimated = self.estimated[-2:]
+        if self.report:
+            self.write_profile(self.report)
+
+    def write_profile(self, path: str) -> None:
+        """The profile as text, numbers with six significant digits, in order of tid."""
+        numbers = [significant(F.col(c)) for c in ("value", "per_base")]
+        self.profile().orderBy("tid").select(F.concat_ws("\t", "tid", *numbers).alias("value")).write.mode("overwrite").text(path)
 
     def profile(self) -> DataFrame:
         """(tid, value, per_base): density times length, and the density, of estimated transcripts."""

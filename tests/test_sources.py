@@ -1,11 +1,12 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from sigwright.operators import prepare
 from sigwright.sources import framed, store, text
 from sigwright.streaming.counts import CountJob, EstimateJob
-from sigwright.operators import count, select, index
+from sigwright.operators import count, estimate, index, select
 from sigwright.options import EstimateOptions
 
 
@@ -73,7 +74,9 @@ def test_overlaps_and_reports(spark, tmp_path):
     text.write_overlaps(pairs, str(tmp_path / "o"))
     assert text.read_overlaps(spark, str(tmp_path / "o")).collect() == pairs.collect()
     text.write_abundance(spark.createDataFrame([("t", 100, 1.23456789, 0.0, 1e6)], "tid string, length int, est_reads double, rpkm double, tpm double"), str(tmp_path / "r"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["t\t100\t1.23457\t0.00000\t1.00000e+06"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["t\t100\t1.23457\t0\t1e+06"]
+    numbers = spark.createDataFrame([(x,) for x in (0.1, 100.0, 123456.7, 1234567.0, 0.00001234567, 120.5, -2.5, 100000.0, 0.0001)], "x double")
+    assert [r[0] for r in numbers.coalesce(1).select(text.significant(F.col("x"))).collect()] == ["%.6g" % x for x in (0.1, 100.0, 123456.7, 1234567.0, 0.00001234567, 120.5, -2.5, 100000.0, 0.0001)]
 
 
 def test_framed_messages(spark, tmp_path):
@@ -87,7 +90,63 @@ def test_framed_messages(spark, tmp_path):
     assert sorted(again.collect()) == sorted(rows.collect())
     bodies = [b"abc", b"", b"\0" * 9]
     data = framed.framed(bodies)
-    assert list(framed.frames(data)) == bodies and list(framed.frames(data[:-1])) == bodies[:2] and list(framed.frames(data, limit=5)) == bodies[:2]
+    assert list(framed.frames(data)) == bodies and list(framed.frames(data[:-1], damaged="stop")) == bodies[:2] and list(framed.frames(data, limit=5, damaged="stop")) == bodies[:2]
+    for bad in (data[:-1], data + b"\x01", data + b"\xff\xff\xff\xff"):
+        with pytest.raises(framed.Damaged):
+            list(framed.frames(bad))
+    with pytest.raises(framed.Damaged):
+        list(framed.frames(data, limit=5))
+
+
+def test_framed_files_appear_when_all_tasks_are_done(spark, tmp_path):
+    framed.register(spark)
+    rows = framed.encoded(spark.range(40).selectExpr("concat('g', id) gid", "array() keys", "array('t') tids", "array(1) lengths").select("gid", F.expr("cast(null as " + framed.sql_type("SelectedKey") + ").keys").alias("keys"), "tids", "lengths"), "SelectedKey")
+    path = str(tmp_path / "f")
+    rows.repartition(5).write.format("framed").mode("append").save(path)
+    names = lambda: sorted(p.name for p in (tmp_path / "f").iterdir() if not p.name.startswith("_"))
+    before = names()
+    assert len(before) == 5 and all(n.endswith(".framed") for n in before) and len(list((tmp_path / "f").iterdir())) == 5
+    fails = F.when(F.rand(1) >= 0, F.raise_error(F.lit("no"))).cast("binary")
+    with pytest.raises(Exception, match="no"):
+        spark.range(8).repartition(4).select(F.when(F.col("id") == 7, fails).otherwise(F.lit(b"x")).alias("body")).write.format("framed").mode("append").save(path)
+    assert names() == before
+    rows.limit(3).write.format("framed").mode("overwrite").save(f"file:{path}")
+    assert framed.decoded(spark.read.format("framed").load(f"file://{path}"), "SelectedKey").count() == 3
+    (tmp_path / "one").write_bytes(rows.first().body)
+    assert framed.decoded(framed.read_single(spark, str(tmp_path / "one")), "SelectedKey").first().tids == ["t"]
+    assert framed.decoded(spark.createDataFrame([(None,)], "body binary"), "SelectedKey").first().gid is None
+
+
+def test_a_damaged_file_is_no_short_result(spark, tmp_path):
+    framed.register(spark)
+    (tmp_path / "a.framed").write_bytes(framed.framed([b"abc", b"de"])[:-1])
+    for read in (lambda: spark.read.format("framed").load(str(tmp_path)), lambda: framed.read_binary(spark, str(tmp_path))):
+        with pytest.raises(Exception, match="frame"):
+            read().collect()
+    assert spark.read.format("framed").option("damaged", "stop").load(str(tmp_path)).count() == framed.read_binary(spark, str(tmp_path), damaged="stop").count() == 1
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    records = [f"@r{i}\n{'ACGT' * (i % 7 + 1)}\n+\n{'@' * (4 * (i % 7 + 1))}" for i in range(500)]
+    for n in (1, 2):
+        (tmp_path / f"{n}.fq").write_text("\n".join(records[: 500 // n]) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = text.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 4
+        got = sorted((r.path[-4:], r.number, r.value) for r in lines.collect())
+        seqs = sorted(r.seq for r in text.reads(spark, [str(tmp_path / "1.fq"), str(tmp_path / "2.fq")], fastq=True).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == sorted((f"{n}.fq", i, x) for n in (1, 2) for i, x in enumerate("\n".join(records[: 500 // n]).split("\n")))
+    assert seqs == sorted(x.split("\n")[1] for n in (1, 2) for x in records[: 500 // n])
+
+
+def test_main_chromosomes(spark, tmp_path):
+    names = ["1", "22", "X", "Y", "MT", "GL1", "", "1a", "XY", "M", "chr1", "007"]
+    (tmp_path / "g").write_text("".join(f'{n}\ts\texon\t1\t2\t.\t+\t.\tgene_id "g";\n' for n in names))
+    assert sorted(r.seqname for r in text.gtf(spark, str(tmp_path / "g"), main_chromosomes=True).collect()) == sorted(["1", "22", "X", "Y", "MT", "XY", "007"])
 
 
 def test_store(spark, tmp_path):
@@ -122,6 +181,18 @@ def test_estimates_follow_a_stream(spark, tmp_path):
     for i in range(2):
         spark.createDataFrame([(seq[i : i + 50],)] * 3, "seq string").write.mode("append").parquet(str(tmp_path / "in"))
     reads = spark.readStream.schema("seq string").option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
-    job = EstimateJob(reads, keys, positions, tx, EstimateOptions(k=6, read_length=50), interval=None)
+    job = EstimateJob(reads, keys, positions, tx, EstimateOptions(k=6, read_length=50), interval=None, report=str(tmp_path / "report"))
     job.finish()
     assert [r.tid for r in job.profile().collect()] == ["t"] and job.profile().first().value > 0
+    assert (tmp_path / "report").is_dir() and [r.value.split("\t")[0] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["t"]
+    batch = estimate.estimate_genes(estimate.weight_classes(count.key_counts(keys, spark.read.parquet(str(tmp_path / "in")), 6), positions, tx), EstimateOptions(k=6, read_length=50))
+    assert job.estimates.first().density == pytest.approx(batch.first().density, abs=1e-6)
+
+
+def test_a_stream_that_goes_on_is_not_final(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    reads = spark.readStream.schema("seq string").parquet(str(tmp_path / "in"))
+    job = CountJob(reads, spark.createDataFrame([("g", "ATCG")], "gid string, key string"), 4, interval="1 second")
+    with pytest.raises(TimeoutError):
+        job.finish(2)
+    job.query.stop()
