@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sigwright.operators.ranges import prefix_sums
 from sigwright.runtime import Cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -38,21 +39,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     above. That is the level at which cap or level * weight, whichever is less, sums to the total: sources are
     capped in ascending order of cap / weight, and the level follows from sums over the capped ones before.
     """
-    whole = Window.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int"))
+    ranked = prefix_sums(sizes, [F.col("source").asc_nulls_last()], {"i": F.lit(1).cast("long")})
     ranked = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * max_epochs)
-    ranked = ranked.withColumn("total", F.sum("source_size").over(whole).cast("double")).withColumn("all_weight", F.sum("weight").over(whole))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "i")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
+    by_level = [F.col("cap") / F.col("weight"), F.col("i")]
+    steps = prefix_sums(ranked, by_level, {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    total = ranked.agg(F.sum("source_size").cast("double").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(total.size) - F.col("cap_before")) / (F.lit(total.weight) - F.col("weight_before"))
+    steps = steps.withColumn("level", level).filter(F.col("level") * F.col("weight") <= F.col("cap"))
     # the level of the first source that needs no cap holds for all that follow
-    common = F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), "i", "level"))).over(whole)["level"]
-    return ranked.withColumn("common", common).select(
-        *sizes.columns, F.least("cap", F.coalesce(F.col("common") * F.col("weight"), F.col("cap"))).alias("target")
-    )
+    common = steps.agg(F.min(F.struct(by_level[0].alias("at"), "i", "level"))["level"].alias("level")).first().level
+    target = F.col("cap") if common is None else F.least(F.col("cap"), F.lit(common) * F.col("weight"))
+    return ranked.select(*sizes.columns, target.alias("target"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str, source: str, more: tuple[Column, ...] = ()) -> DataFrame:

@@ -26,6 +26,8 @@ FAN = 16
 SCALE = 256
 #: Integers up to here are exact in double arithmetic.
 EXACT = 1 << 53
+#: Scores are held within the range of a long.
+LIMIT = float(1 << 63)
 #: Types that blocks are sent in, by code: the first that holds all components.
 KINDS = (np.int16, np.float32, np.float64)
 
@@ -56,7 +58,7 @@ def _packed(vectors: DataFrame, rows: int, others: int, me: str, other: str) ->
 
         def full(key) -> pa.RecordBatch:
             ids, data = zip(*waiting.pop(key), strict=True)
-            kind, block = packed(np.concatenate(data))
+            kind, block = narrowed(np.concatenate(data))
             heads = [pa.array([x], pa.int32()) for x in (*key, kind)]
             return pa.RecordBatch.from_arrays([*heads, pa.array([np.array(ids, np.int64).tobytes()]), pa.array([block])], names=[me, "dim", "kind", "ids", "data"])
 
@@ -75,7 +77,7 @@ def _packed(vectors: DataFrame, rows: int, others: int, me: str, other: str) ->
     return packed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def packed(flat: np.ndarray) -> tuple[int, bytes]:
+def narrowed(flat: np.ndarray) -> tuple[int, bytes]:
     """Code of the smallest of KINDS that holds whole numbers exactly, and the numbers in it."""
     most = np.abs(flat).max(initial=0)
     kind = 0 if most < 1 << 15 else 1 if most <= 1 << 24 else 2
@@ -86,7 +88,8 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     """(query id, row id, score) of each query's k best rows but its own, ties to the smaller row id.
 
     Products in doubles are exact while they and their sums stay below EXACT. Beyond, they are within a known
-    distance of the integer, and only rows that may be among the k best are computed again as integers.
+    distance of the integer, and only rows that may be among the k best are computed again as integers. Scores
+    outside the range of a long are held at its ends, and tie there.
     """
     none = np.zeros(0, np.int64)
     if not len(queries) or not len(rows):
@@ -106,17 +109,19 @@ def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
         keep = np.arange(len(at)) - np.searchsorted(at, at) < k
         return query_ids[at[keep]], row_ids[col[keep]], found[keep].astype(np.int64)
     miss = np.where(odd, size * (queries.shape[1] + 2) * 2.0**-52, 0.0)
-    low = scores - miss
+    low, high = (np.clip(x, -LIMIT, LIMIT) for x in (scores - miss, scores + miss))
+    low[own] = -np.inf
     least = np.partition(low, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
-    at, col = np.nonzero((scores + miss >= least[:, None]) & ~own)
+    at, col = np.nonzero((high >= least[:, None]) & ~own)
     starts = np.searchsorted(at, np.arange(len(queries) + 1))
     out: list[tuple[int, int, int]] = []
     for i in range(len(queries)):
         mine = col[starts[i] : starts[i + 1]]
-        whole = list(map(int, queries[i].tolist())) if odd[i, mine].any() else None
-        exact = [sum(a * int(b) for a, b in zip(whole, rows[j].tolist(), strict=True)) if odd[i, j] else int(scores[i, j]) for j in mine.tolist()]
-        ranked = sorted((-s, int(r)) for s, r in zip(exact, row_ids[mine].tolist(), strict=True))[:k]
-        out += [(int(query_ids[i]), r, _long(-s)) for s, r in ranked]
+        known = low[i, mine] == high[i, mine]
+        whole = None if known.all() else list(map(int, queries[i].tolist()))
+        exact = [int(scores[i, j]) if sure else sum(a * int(b) for a, b in zip(whole, rows[j].tolist(), strict=True)) for j, sure in zip(mine.tolist(), known.tolist(), strict=True)]
+        ranked = sorted((-_long(s), int(r)) for s, r in zip(exact, row_ids[mine].tolist(), strict=True))[:k]
+        out += [(int(query_ids[i]), r, -s) for s, r in ranked]
     return tuple(np.array([x[c] for x in out], np.int64) for c in range(3))
 
 

@@ -21,7 +21,7 @@ from sigwright.runtime import Cut, release_memory
 
 ORDERS = (4, 5, 6)
 BITS = 18
-#: Buckets kept by the model.
+#: Buckets kept by the model, those that tell the classes apart best: what a few labelled texts alone have is noise.
 FEATURES = 2048
 STEPS = 200
 THRESHOLD = 0.3
@@ -63,20 +63,21 @@ def buckets(text: str) -> Iterator[np.ndarray]:
             yield (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> ToxicModel:
     """Fits on a bounded sample of the labelled documents outside the held-out fold (see labelled.sample).
 
     With one class only, or no row, the model scores every text with the smoothed share of label 1. What
-    reaches the driver is bounded by 2**BITS counts and sample_rows * FEATURES indices.
+    reaches the driver is bounded by 2**BITS counts and sample_rows * features indices. features: buckets that the
+    model keeps; n-grams in others don't count.
     """
     chosen = Cut(sample(docs, labels, label, sample_rows).select("text", "label").repartition(24), "toxic-sample")
     try:
-        return _fit(chosen.df)
+        return _fit(chosen.df, features)
     finally:
         chosen.drop()
 
 
-def _fit(rows_in: DataFrame) -> ToxicModel:
+def _fit(rows_in: DataFrame, features: int) -> ToxicModel:
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +105,7 @@ def _fit(rows_in: DataFrame) -> ToxicModel:
     ratio = np.log(((p + 1) / (toxic + 2)) / ((q + 1) / (clean + 2)))
     share = (p + q + 1) / (clean + toxic + 2)
     worth = (p / toxic - q / clean) ** 2 / (share * (1 - share))
-    best = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
+    best = np.sort(np.argsort(-worth, kind="stable")[:features])
     slot[rows.bucket.to_numpy()[best]] = np.arange(1, len(best) + 1)
     model = ToxicModel(slot, np.append(0.0, ratio[best]), np.zeros(len(best) + 1), float(np.log(toxic / clean)))
 

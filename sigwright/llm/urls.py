@@ -24,8 +24,10 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("url_length", "host_length", "depth", "digit_ratio", "entropy", "params", "labels", "hyphens", "suffix_blocked", "suffix_seen")
-#: Bound of the labelled sample: URLs with the smallest hashes.
+#: Bound of the labelled sample: different URLs, chosen by their hashes.
 SAMPLE_ROWS = 50_000
+#: Parts that labelled URLs are dealt to by their hashes; a URL's suffix is judged by the other parts alone.
+FOLDS = 5
 TREES = 12
 DEPTH = 3
 BINS = 16
@@ -63,12 +65,15 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy, in bits, of the characters of a text; 0 for an empty one."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    sums = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-    return F.coalesce(sums, F.lit(0.0))
+    """Shannon entropy, in bits, of the characters of a text; 0 for an empty one. Characters are sorted and their runs
+    counted, so a long text costs little more than its length."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    weighed = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    begin = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+    step = lambda a, c: F.when(a["c"] == c, F.struct(c.alias("c"), (a["n"] + 1).alias("n"), a["sum"].alias("sum"))).otherwise(
+        F.struct(c.alias("c"), F.lit(1.0).alias("n"), (a["sum"] + weighed(a["n"])).alias("sum"))
+    )
+    return F.aggregate(chars, begin, step, lambda a: F.when(F.size(chars) > 0, F.log2(F.size(chars)) - (a["sum"] + weighed(a["n"])) / F.size(chars)).otherwise(F.lit(0.0)))
 
 
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
@@ -126,13 +131,18 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES) -> UrlModel:
-    """Boosted trees on rows with FEATURES, ``url`` and ``blocked`` 0/1: the sample_rows smallest hashes of URLs.
+    """Boosted trees on rows with FEATURES, ``url`` and ``blocked`` 0/1, a repeated URL as one.
 
-    With one class only, or no row, there are no trees and the bias is the smoothed log odds (no row: allow).
-    What reaches the driver is bounded: quantiles, and sums by node, feature and bin.
+    If there are more than sample_rows different URLs (by an estimate that is 15 % on the safe side), those whose
+    hashes lie below the share that is wanted are taken. With one class only, or no row, there are no trees and the
+    bias is the smoothed log odds (no row: allow). What reaches the driver is bounded: quantiles, and sums by node,
+    feature and bin.
     """
     doubles = [F.col(f).cast("double").alias(f) for f in FEATURES]
-    sample = Cut(labelled.orderBy(F.xxhash64("url"), "url").limit(sample_rows).select(*doubles, F.col("blocked").cast("double").alias("y")).repartition(4), "url-sample")
+    there = 1.15 * labelled.agg(F.approx_count_distinct("url").alias("n")).first().n
+    if there > sample_rows:
+        labelled = labelled.filter(F.pmod(F.xxhash64("url", F.lit(1)), F.lit(1 << 31)) < int(sample_rows / there * (1 << 31)))
+    sample = Cut(labelled.select("url", *doubles, F.col("blocked").cast("double").alias("y")).dropDuplicates(["url"]).drop("url").repartition(4), "url-sample")
     try:
         return _fit(sample.df, trees)
     finally:
@@ -207,8 +217,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RUL
     """id, host, path, rule, verdict and score of every row of pages.
 
     URLs that a rule fits are the labelled ones: the trees learn from them and give the verdict of all others
-    (block where the score is 0.5 or more). Suffix statistics, over all labelled URLs, are the share of blocked
-    ones among those with the same last host label, shrunk to the global share, and their number (log2).
+    (block where the score is 0.5 or more). Suffix statistics are the share of blocked ones among the labelled URLs
+    with the same last host label, shrunk to the global share, and their number (log2); for a labelled URL they are
+    taken over the parts that it is not in, so that no label stands among its own features.
     A null URL, or one without ``://``, has empty host and path and is judged by its features. Repeated rows
     stay. Other columns of pages are not read.
     """
@@ -218,14 +229,17 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", rules=RUL
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": rule, "known": verdict, "suffix": F.substring_index("host", ".", -1)})
     parts = parts.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+    parts = parts.withColumn("fold", F.when(F.col("known").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
     blocked = (F.col("known") == "block").cast("int")
-    by_suffix = parts.filter("known IS NOT NULL").groupBy("suffix").agg(F.sum(blocked).alias("b"), F.count("*").alias("n"))
-    by_suffix = Cut(by_suffix, "url-suffixes").df
-    total = by_suffix.agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
+    by_fold = parts.filter("known IS NOT NULL").groupBy("suffix", "fold").agg(F.sum(blocked).alias("own_b"), F.count("*").alias("own_n"))
+    by_fold = Cut(by_fold, "url-suffixes").df
+    by_suffix = by_fold.groupBy("suffix").agg(F.sum("own_b").alias("b"), F.sum("own_n").alias("n"))
+    total = by_fold.agg(F.sum("own_b").alias("b"), F.sum("own_n").alias("n")).first()
     prior = ((total.b or 0) + 0.5) / ((total.n or 0) + 1)
-    stats = by_suffix.select(F.col("suffix").alias("suffix_key"), ((F.col("b") + PRIOR_ROWS * prior) / (F.col("n") + PRIOR_ROWS)).alias("share"), F.log2(F.col("n") + 1).alias("seen"))
-    full = parts.join(stats, F.col("suffix") == F.col("suffix_key"), "left").withColumns(
-        {"suffix_blocked": F.coalesce("share", F.lit(prior)), "suffix_seen": F.coalesce("seen", F.lit(0.0)), "blocked": blocked}
+    none = F.lit(0).cast("long")
+    b, n = (F.coalesce(F.col(c), none) - F.coalesce(F.col(f"own_{c}"), none) for c in "bn")
+    full = parts.join(by_suffix, "suffix", "left").join(by_fold, ["suffix", "fold"], "left").withColumns(
+        {"suffix_blocked": (b + PRIOR_ROWS * prior) / (n + PRIOR_ROWS), "suffix_seen": F.log2(n + 1), "blocked": blocked}
     )
     model = fit(full.filter("known IS NOT NULL"), sample_rows)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.raw()))

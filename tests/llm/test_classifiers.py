@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import pytest
+
 from sigwright.llm import labelled, quality, toxicity
 from sigwright.llm.queries import QUERIES
 
@@ -31,6 +34,49 @@ def test_toxic_texts_are_found_in_the_held_out_fold(spark, documents):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_scores_equal_plain_dictionaries(spark, documents):
+    rows, labels = corpus(200)
+    rows += [(900, ""), (901, None), (902, "Grobnik ZWELP é\U0001f600 " * 50)]
+    known = spark.createDataFrame(labels, LABELS)
+    model = toxicity.fit(documents(rows), known, features=500)
+    assert 0 < len(model.ratio) - 1 <= 500
+    chosen = {b: (float(model.ratio[i]), float(model.weight[i])) for b, i in enumerate(model.slot.tolist()) if i}
+
+    def score(text):
+        chars = [ord(c) for c in f" {(text or '').lower()} "]
+        mine = set()
+        for n in (4, 5, 6):
+            for at in range(len(chars) - n + 1):
+                h = 0x9E3779B97F4A7C15
+                for c in chars[at : at + n]:
+                    h = (h ^ c) * 0x100000001B3D4E5F % (1 << 64)
+                mine.add((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64) >> (64 - toxicity.BITS))
+        mine &= chosen.keys()
+        length = max(1.0, math.sqrt(sum(chosen[b][0] ** 2 for b in mine)))
+        return 1 / (1 + math.exp(-(model.bias + sum(chosen[b][0] * chosen[b][1] for b in mine) / length)))
+
+    got = {r.doc_id: r.score for r in toxicity.score_documents(documents(rows), model, keep=("doc_id",)).collect()}
+    assert got == pytest.approx({i: score(t) for i, t in rows})
+
+
+def test_posteriors_of_sparse_sites_by_hand(spark, documents, monkeypatch):
+    """Two pseudo-documents, as _prior_rows has at least: sites of one and two documents, by the written formulas."""
+    monkeypatch.setattr(quality, "_prior_rows", lambda groups, mean: 2.0)
+    rows, labels = corpus(60)
+    sited = [(i, t, "large") for i, t in rows] + [(900, "ra", "one"), (901, "ra mo", "two"), (902, "RA!! MO!!", "two")]
+    got = {r.doc_id: r for r in quality.judge(documents(sited), spark.createDataFrame(labels, LABELS)).collect()}
+    p = {i: r.evidence for i, r in got.items()}
+    mean = (sum(p.values()) + 0.5) / (len(p) + 1)
+    assert got[900].host_posterior == pytest.approx(mean) and got[900].path_posterior == pytest.approx(mean)
+    for i, other in ((901, 902), (902, 901)):
+        host = (2 * mean + p[other]) / 3
+        path = (2 * host + p[other]) / 3
+        assert (got[i].host_posterior, got[i].path_posterior) == pytest.approx((host, path))
+        logit = lambda x: math.log(x / (1 - x))
+        clipped = min(1 - 1e-6, max(1e-6, p[i]))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(logit(clipped) + logit(path) - logit(mean)))))
+
+
 def test_held_out_labels_change_nothing(spark, documents):
     rows, labels = corpus(300)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]

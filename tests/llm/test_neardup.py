@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -108,5 +109,47 @@ def test_distance_covers_the_similarity():
     assert (r.binomial(neardup.SYMBOLS, 0.15, 200_000) > d).mean() < 1e-4 and d < neardup.SYMBOLS // 2
 
 
+def test_signatures_of_real_texts_stay_within_the_distance():
+    """The minima themselves, not a model of them: pairs of similarity 0.85 to 0.9 that the distance would lose."""
+    r = np.random.default_rng(4)
+    hasher, far = neardup.MinHasher(neardup.SYMBOLS), neardup.far_symbols(85, 100)
+    lost = pairs = 0
+    for _ in range(4000):
+        n = int(r.integers(40, 200))
+        swapped = int(n * r.uniform(0.053, 0.081))
+        words = [f"w{x}" for x in r.integers(0, 1 << 40, n + swapped)]
+        one, two = (np.unique(np.array([hash_of(w) for w in x], np.uint64)) for x in (words[:n], words[swapped:]))
+        both = len(np.intersect1d(one, two))
+        if 100 * both >= 85 * (len(one) + len(two) - both):
+            pairs += 1
+            a, b = (hasher.symbols_of(hasher.minima(x))[0] for x in (one, two))
+            lost += (a != b).sum() > far or not set(neardup.chunk_keys(a[None], far)[0].tolist()) & set(neardup.chunk_keys(b[None], far)[0].tolist())
+    assert pairs > 3000 and lost == 0
+
+
+def hash_of(word):
+    return int(neardup.xxhash.xxh3_64_intdigest(word))
+
+
+def test_repeated_rows_cost_no_squares(documents):
+    words = [f"a{i}" for i in range(120)]
+    one, two = " ".join(words), " ".join([*words[:60], "new", *words[61:]])
+    few = documents([(1, one), (2, two)])
+    neardup.near_duplicates(few).collect()
+    began = time.time()
+    assert {r.component_id for r in neardup.near_duplicates(few).collect()} == {1}
+    base = time.time() - began
+    many = documents([(1, one), (2, two)] * 3000).repartition(4)
+    began = time.time()
+    got = neardup.near_duplicates(many).collect()
+    assert time.time() - began < base + 15 and len(got) == 6000 and {r.component_id for r in got} == {1}
+
+
+def test_first_of_each_keeps_repeated_rows_once(documents):
+    text, other = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    got = neardup.first_of_each(documents([(1, text)] * 3 + [(2, text)] * 2 + [(1, other), (3, None), (3, None), (None, "x"), (None, "x")])).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got) == sorted([(1, text), (1, other), (3, ""), (0, "x"), (0, "x")])
+
+
 def test_query_equals_sql(spark, small):
     same_rows(QUERIES["op1_neardup"](spark, small), ORACLES["op1_neardup"], small)

@@ -72,8 +72,15 @@ def test_one_large_vector_costs_little():
 def test_all_large_vectors_equal_brute_force(spark):
     r = random.Random(5)
     rows = [(i, [float(np.float32(r.choice([1e20, -3e20, 7e19, 1.5, 1e20 + 1e13]))) for _ in range(3)]) for i in range(25)]
-    want = [(q, n, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, n, i, s in brute(rows, lambda i: i % 3 == 0, 5)]
-    assert run(spark, rows, tile=8, shard=32) == want
+    held = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    whole = [[math.floor(256 * x) for x in v] for _, v in rows]
+    want = []
+    for q in range(0, 25, 3):
+        found = sorted((-held(sum(a * b for a, b in zip(whole[q], w))), i) for i, w in enumerate(whole) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert run(spark, rows, tile=8, shard=32) == want and {s for *_, s in want} == {(1 << 63) - 1}
+    rows = [(i, [float(np.float32(r.choice([3e6, -3e6 + 1, 7e5, 1.5, 2999999.75]))) for _ in range(40)]) for i in range(25)]
+    assert run(spark, rows, tile=8, shard=32) == brute(rows, lambda i: i % 3 == 0, 5)
 
 
 def test_many_ties_go_to_small_ids(spark):

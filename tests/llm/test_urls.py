@@ -1,7 +1,10 @@
 import math
+import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +69,106 @@ def test_trees_learn_and_reruns_agree(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, urls.judge(df.repartition(5)).collect()))
 
 
+def brute_trees(x, y, trees):
+    """(bias, trees as nested (feature, edge, left, right) or leaf values) by looking at every split of every node."""
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    n, p = len(y), y.sum()
+    bias = math.log((p + 0.5) / (n - p + 1.5))
+    edges = [sorted({float(e) for e in np.percentile(x[:, f], [100 * i / urls.BINS for i in range(1, urls.BINS)])}) for f in range(x.shape[1])]
+    raw, out = np.full(n, bias), []
+    worth = lambda g, h: g * g / (h + urls.SHRINK)
+    for _ in range(trees):
+        g = np.floor(np.abs(sig(raw) - y) * urls.UNIT + 0.5) * np.sign(sig(raw) - y) / urls.UNIT
+        h = np.floor(sig(raw) * (1 - sig(raw)) * urls.UNIT + 0.5) / urls.UNIT
+
+        def grow(rows, depth):
+            best, chosen = 1e-6, None
+            for f in range(x.shape[1]):
+                for e in edges[f]:
+                    left = rows[x[rows, f] <= e]
+                    a, c = g[left].sum(), h[left].sum()
+                    gain = worth(a, c) + worth(g[rows].sum() - a, h[rows].sum() - c) - worth(g[rows].sum(), h[rows].sum())
+                    if 0 < len(left) < len(rows) and gain > best * (1 + 1e-9):
+                        best, chosen = gain, (f, e)
+            left = rows if chosen is None else rows[x[rows, chosen[0]] <= chosen[1]]
+            right = np.setdiff1d(rows, left)
+            if depth == urls.DEPTH - 1:
+                below = [-urls.RATE * g[r].sum() / (h[r].sum() + urls.SHRINK) for r in (left, right)]
+                raw[left] += below[0]
+                raw[right] += below[1]
+            else:
+                below = [grow(left, depth + 1), grow(right, depth + 1)]
+            return (*(chosen or (None, None)), *below)
+
+        out.append(grow(np.arange(n), 0))
+    return bias, out
+
+
+def test_trees_equal_brute_force(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        spam = r.random() < 0.4
+        host = f"{'win-' * r.randint(0, 2)}{r.randrange(999)}.{r.choice(['free', 'site', 'a'])}.{r.choice(['net', 'com', 'example.com'] if spam else ['com', 'com', 'net'])}"
+        rows.append((i, f"http://{host}/{r.choice(['es/', 'en/', 'fr/', 'x/', ''])}{'9' * r.randint(0, 9)}?{'a=1&' * r.randint(0, 3)}"))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    seen = {}
+    fit = urls.fit
+
+    def kept(labelled, sample_rows):
+        seen["x"] = labelled.select("url", *urls.FEATURES, "blocked").collect()
+        seen["model"] = fit(labelled, sample_rows, trees=3)
+        return seen["model"]
+
+    urls.fit = kept
+    try:
+        got = {x.page_id: x.score for x in urls.judge(df).collect()}
+    finally:
+        urls.fit = fit
+    by_url = {x.url: x for x in seen["x"]}
+    x = np.array([[float(v[f]) for f in urls.FEATURES] for v in by_url.values()])
+    y = np.array([float(v.blocked) for v in by_url.values()])
+    bias, trees = brute_trees(x, y, 3)
+    model = seen["model"]
+    assert model.bias == pytest.approx(bias) and len(model.trees) == 3 and 0 < y.sum() < len(y)
+
+    def value(tree, v):
+        while isinstance(tree, tuple):
+            tree = tree[2 if tree[0] is None or float(v[urls.FEATURES[tree[0]]]) <= tree[1] else 3]
+        return tree
+
+    labelled = {u: 1 / (1 + math.exp(-(bias + sum(value(t, v) for t in trees)))) for u, v in by_url.items()}
+    assert {i: got[i] for i, u in rows if u in labelled} == pytest.approx({i: labelled[u] for i, u in rows if u in labelled}, abs=1e-6)
+
+
+def test_suffixes_are_judged_by_other_parts(spark):
+    rows = [(i, f"http://h{i}.{'com' if i % 2 else 'net'}/{'es/' if i % 4 else 'x'}") for i in range(60)]
+    seen = {}
+    fit = urls.fit
+    urls.fit = lambda labelled, n: seen.setdefault("rows", labelled.select("url", "suffix", "fold", "blocked", "suffix_blocked", "suffix_seen").collect()) and fit(labelled, n)
+    try:
+        urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    finally:
+        urls.fit = fit
+    prior = (sum(r.blocked for r in seen["rows"]) + 0.5) / (len(seen["rows"]) + 1)
+    for r in seen["rows"]:
+        others = [o.blocked for o in seen["rows"] if o.suffix == r.suffix and o.fold != r.fold]
+        assert r.suffix_blocked == pytest.approx((sum(others) + 8 * prior) / (len(others) + 8)) and r.suffix_seen == pytest.approx(math.log2(len(others) + 1))
+
+
+def test_one_url_does_not_fill_the_sample(spark):
+    rows = [(i, "http://a.net/es/") for i in range(500)] + [(1000 + i, f"http://b{i}.com/") for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "cast(url like '%net%' as int) blocked", *(f"page_id {f}" for f in urls.FEATURES))
+    assert len(urls.fit(df, sample_rows=200).trees) > 0
+
+
+def test_long_hosts_cost_little(spark):
+    long = "".join(chr(0x4E00 + i % 20000) for i in range(200_000))
+    began = time.time()
+    got = urls.judge(spark.createDataFrame([(1, f"http://{long}/x"), (2, "http://a.com/")], "page_id long, url string")).collect()
+    assert len(got) == 2 and time.time() - began < 40
+
+
 def test_no_labelled_urls(spark):
     got = urls.judge(spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/"), (None, None)], "page_id long, url string")).collect()
     assert [r.verdict for r in got] == ["allow"] * 3
