@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwright.llm import media, mixing, neardup, pieces, quality, quotes, substrings, topk, toxicity, urls
+from sigwright.llm import language, media, mixing, neardup, pieces, quality, quotes, substrings, topk, toxicity, urls
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
@@ -73,6 +73,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every whole text of documents, learnt from lang outside the held-out fold."""
+    return language.judge_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_quotes": op2_quotes,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
+    "op11_language": op11_language,
 }
 
 ORACLES: dict[str, str] = {
