@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwright.llm import language, media, mixing, neardup, pieces, quality, quotes, substrings, topk, toxicity, urls
+from sigwright.llm import alignment, language, media, mixing, neardup, pieces, quality, quotes, substrings, topk, toxicity, urls
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
 TOKENIZER = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -78,6 +79,12 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of byte-level and piece tokens of every whole text of documents."""
+    made = alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(), keep=("doc_id",))
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_quotes": op2_quotes,
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
     "op11_language": op11_language,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {
