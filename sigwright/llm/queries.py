@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigwright.llm import alignment, language, media, mixing, neardup, pieces, quality, quotes, substrings, topk, toxicity, urls
+from sigwright.llm import alignment, language, media, mixing, neardup, pieces, quality, quotes, repair, substrings, topk, toxicity, urls
 from sigwright.runtime import table
 
 #: Where the public vocabularies are installed; a parameter of the operators.
@@ -85,6 +85,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage, repaired by the cheapest edits."""
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), times="times")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_quotes": op2_quotes,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pieces": op10_pieces,
     "op11_language": op11_language,
     "op12_alignment": op12_alignment,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -105,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op2_quotes": quotes.ORACLE,
     "op5_topk": topk.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op13_repair": repair.ORACLE,
 }
