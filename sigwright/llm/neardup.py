@@ -139,11 +139,11 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *
     marks = Cut(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("NOT kept OR n > 1"), "near-marks").df
     here = docs[id_col].cast("long")
     gone = marks.select(F.col("doc_id").alias("__gone"))
-    single = docs.join(gone, here == F.col("__gone"), "left_anti")
+    single = docs.join(gone, here == gone["__gone"], "left_anti")
     several = marks.filter("kept AND n > 1").select(F.col("doc_id").alias("__again"))
     if not several.limit(1).count():
         return single
-    return single.unionByName(docs.join(several, here == F.col("__again"), "left_semi").dropDuplicates([id_col, text]))
+    return single.unionByName(docs.join(several, here == several["__again"], "left_semi").dropDuplicates([id_col, text]))
 
 
 #: DuckDB SQL for op1: 3-word shingles, similarity 0.85.

@@ -17,7 +17,7 @@ from sigwright.runtime import Cut, shuffle_partitions
 #: Quote marks at the start of a line. One class of characters: groups would recurse on very many marks.
 MARKS = "^[ \\t>]*>"
 #: A line before a quotation that names its author, in the languages of the corpus.
-ATTRIBUTION = "(?i)^.{0,200}(?:wrote|writes|schrieb|a écrit|escribió)[ \\t]*:[ \\t]*$"
+ATTRIBUTION = "(?i)^.*(?:wrote|writes|schrieb|a écrit|escribió)[ \\t]*:[ \\t]*$"
 
 
 def quote_lines(text: Column) -> Column:
@@ -112,7 +112,7 @@ lines AS (
   FROM (SELECT id, conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM raw)),
 marked AS (
   SELECT *, level = 0 AND NOT (coalesce(lead(level) OVER (PARTITION BY id ORDER BY i), 0) > 0
-         AND regexp_matches(body, '(?i)^.{0,200}(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$')) AS own,
+         AND regexp_matches(body, '(?i)^.*(?:wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$')) AS own,
          trim(regexp_replace(lower(body), '[ \t\x0B\f]+', ' ', 'g')) AS line
   FROM lines),
 first AS (SELECT conv_id, line, min(turn) AS origin FROM marked WHERE own AND line <> '' GROUP BY ALL),

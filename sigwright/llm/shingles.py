@@ -75,8 +75,6 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _RANDOM = np.random.default_rng(64)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
-_POWER = _RANDOM.integers(1, 1 << 63, 1, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.cumprod(np.repeat(_POWER, 256))
 
 
 @dataclass
@@ -91,9 +89,8 @@ class FlatWords:
 
 
 def flat_words(texts: pa.Array) -> FlatWords:
-    """The words of a column of texts; null has none. A word's hash sums its bytes' random numbers times powers
-    of a random odd number, then mixes the sum."""
-    global _powers
+    """The words of a column of texts; null has none. A word's hash sums a mixed number for each of its bytes and the
+    byte's place, then mixes the sum."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -105,11 +102,14 @@ def flat_words(texts: pa.Array) -> FlatWords:
     end = np.flatnonzero(solid[1:-1] & (~solid[2:] | opening[1:])) + 1
     first = np.searchsorted(start, base)
     lengths = end - start
-    while len(lengths) and lengths.max() > len(_powers):
-        _powers = np.concatenate([_powers, _powers * _powers[-1]])
     heads = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(heads, lengths)
-    parts = _BYTE[data[solid[1:-1]]] * _powers[place]
+    parts = np.arange(1, lengths.sum() + 1, dtype=np.uint64) - np.repeat(heads.astype(np.uint64), lengths)
+    parts *= np.uint64(GOLDEN)
+    parts += _BYTE[data[solid[1:-1]]]
+    # a sum of products alone would be a polynomial, and different long words of few letters would share its value
+    parts ^= parts >> np.uint64(32)
+    parts *= np.uint64(0xD6E8FEB86659FD93)
+    parts ^= parts >> np.uint64(29)
     h = _mixed(np.add.reduceat(parts, heads)) if len(heads) else np.zeros(0, np.uint64)
     shift = np.repeat(base[:-1], np.diff(first))
     return FlatWords(h, start - shift, end - shift, first)

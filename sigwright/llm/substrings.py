@@ -42,7 +42,7 @@ class Options:
     num: int = 80
     den: int = 100
     radius: int = 4
-    least: int = 40
+    least: int = 20
     bridge: int = 6
 
 
@@ -352,8 +352,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", op
     """docs with the passages of repeated_passages cut out of the texts that hold them; documents of which nothing
     but blanks is left go. Rows without such passages stay as they are, in all columns."""
     spans = repeated_passages(docs, id_col, text, options)
-    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    joined = docs.join(spans, (docs[id_col].cast("long") == F.col("__id")) & (F.hash(docs[text]) == F.col("__hash")), "left").drop("__id", "__hash")
+    # names that no column of docs has, whatever its columns are called
+    mark = "_" * (1 + max(len(c) for c in docs.columns))
+    own_id, own_hash, cuts = (f"{mark}{c}" for c in ("id", "hash", "spans"))
+    spans = spans.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.collect_list(F.struct("first", "last")).alias(cuts))
+    joined = docs.join(spans, (docs[id_col].cast("long") == F.col(own_id)) & (F.hash(docs[text]) == F.col(own_hash)), "left").drop(own_id, own_hash)
     names = docs.columns
     at = names.index(text)
 

@@ -328,3 +328,26 @@ def test_families_of_lines_without_links_cost_no_squares(documents, spark):
 
     few, many = seconds(500), seconds(8000)
     assert many < few + 15, (few, many)
+
+
+def test_columns_of_any_name_stay(spark, documents):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(1, f"first {passage}"), (2, f"second one {passage} end")]).selectExpr("*", "1 AS __id", "2 AS __hash", "3 AS __spans", "4 AS _id", "5 AS text_hash")
+    got = {r.doc_id: r for r in substrings.deduplicated(docs).collect()}
+    assert got[1].text == f"first {passage}" and got[2].text.split() == ["second", "one", "end"]
+    assert all((r["__id"], r["__hash"], r["__spans"], r["_id"], r.text_hash) == (1, 2, 3, 4, 5) for r in got.values())
+
+
+def test_long_words_of_few_letters_have_hashes_of_their_own():
+    words = ["a"]
+    for n in range(1, 14):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+        words += [a, a.translate(str.maketrans("ab", "ba")), a[::-1] + "b", "b" * (1 << n)]
+    words = sorted(set(words))
+    assert len(set(substrings.flat_words(pa.array([" ".join(words)])).h.tolist())) == len(words)
+
+
+def test_one_huge_word(spark, documents):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(1, "x" * 3_000_000 + " " + passage), (2, "y" * 3_000_000 + " " + passage)])
+    assert [(r.doc_id, r["first"], r["last"]) for r in substrings.repeated_passages(docs).collect()] == [(2, 1, 61)]
