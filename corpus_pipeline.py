@@ -19,8 +19,9 @@ from sigwright.runtime import Cut, table
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels outside the held-out fold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, model, keep=tuple(docs.columns), score="__score")
-    return scored.filter(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    score = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    scored = toxicity.score_documents(docs, model, keep=tuple(docs.columns), score=score)
+    return scored.filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
