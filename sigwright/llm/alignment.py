@@ -35,7 +35,10 @@ CACHED_CHARS = 64
 PART_CHARS = 1 << 20
 #: Id pairs that are sent to every task, those that most documents hold; the counts of all others are joined.
 HEAVY = 1 << 19
+#: Labels are digits: 1 an end of A's token, 2 of B's, 3 of both.
 _SPAN = re.compile(rb"[^3]*3")
+#: A blank at an end of the text or beside another.
+_WIDE = re.compile(r"\A |\s | \s| \Z")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,7 +65,7 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
 def chunks(text: str) -> list[str]:
     """Pieces of blank + text that can be encoded alone, each without its first blank."""
     words = text.split(" ")
-    if all([w and not w[0].isspace() and not w[-1].isspace() for w in words]):
+    if not _WIDE.search(text):
         return words
     out = [words[0]]
     for w in words[1:]:
@@ -107,36 +110,46 @@ class Aligner:
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
+    def _encoded(self, fresh: list[str]) -> tuple[list, list]:
+        return [x.ids for x in self.a.encode_batch_fast([" " + c for c in fresh], add_special_tokens=False)], self.b.encode(fresh, num_threads=1)
+
     def _align(self, fresh: list[str]) -> dict[str, tuple | None]:
+        made_a, made_b = self._encoded(fresh)
+        raw = [(" " + c).encode() for c in fresh]
+        whole = b"".join(raw)
+        joined = [b"".join([size[i] for ids in made for i in ids]) for made, size in ((made_a, self.a_bytes), (made_b, self.b_bytes))]
         out: dict[str, tuple | None] = {}
-        both = zip(fresh, self.a.encode_batch([" " + c for c in fresh], add_special_tokens=False), self.b.encode(fresh, num_threads=1), strict=True)
-        kept = []
-        for chunk, a, b in both:
-            raw, ids = (" " + chunk).encode(), a.ids
-            if b"".join([self.a_bytes[i] for i in ids]) == raw == b"".join([self.b_bytes[i] for i in b]):
-                kept.append((chunk, ids, b, len(raw)))
-            else:
-                out[chunk] = None
-        if not kept:
+        if joined != [whole, whole]:  # some chunk is not what its tokens say
+            fits = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(made_a, made_b, raw, strict=True)]
+            out = {c: None for c, ok in zip(fresh, fits, strict=True) if not ok}
+            fresh, made_a, made_b, raw = ([x for x, ok in zip(rows, fits, strict=True) if ok] for rows in (fresh, made_a, made_b, raw))
+        if not fresh:
             return out
-        flat_a, flat_b = (np.array([i for x in kept for i in x[k]], np.int64) for k in (1, 2))
-        ends = np.cumsum([x[3] for x in kept])
+        many_a, many_b = [len(x) for x in made_a], [len(x) for x in made_b]
+        flat_a, flat_b = ([i for x in made for i in x] for made in (made_a, made_b))
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        ends = np.cumsum([len(x) for x in raw])
         labels = np.zeros(int(ends[-1]) + 1, np.uint8)
-        labels[np.cumsum(self.a_size[flat_a])] += 1
-        labels[np.cumsum(self.b_size[flat_b])] += 2
+        labels[np.cumsum(self.a_size[ids_a])] += 1
+        labels[np.cumsum(self.b_size[ids_b])] += 2
         at = np.flatnonzero(labels)
-        of_a, of_b = labels[at] & 1, labels[at] >> 1
-        pairs = (flat_a[np.cumsum(of_a) - of_a] * self.base + flat_b[np.cumsum(of_b) - of_b]).astype(np.int32)
-        until = np.searchsorted(at, ends, "right")
-        line, decimal, begin, first = (labels[1:] + ord("0")).tobytes(), self.decimal, 0, 0
-        for (chunk, a, b, _), end, last in zip(kept, ends.tolist(), until.tolist(), strict=True):
-            groups, i, j = [], 0, 0
-            for span in _SPAN.findall(line, begin, end):
-                m, n = i + span.count(b"1") + 1, j + span.count(b"2") + 1
-                groups.append(f"{decimal[a[i]] if m - i == 1 else ','.join([decimal[x] for x in a[i:m]])}|{decimal[b[j]] if n - j == 1 else ','.join([decimal[x] for x in b[j:n]])}")
-                i, j = m, n
-            out[chunk] = (";".join(groups), pairs[first:last].tobytes(), len(a), len(b), len(groups))
-            begin, first = end, last
+        ended = labels[at]
+        of_a, of_b = (ended & 1).astype(np.int64), (ended >> 1).astype(np.int64)
+        pairs = (ids_a[np.cumsum(of_a) - of_a] * self.base + ids_b[np.cumsum(of_b) - of_b]).astype(np.int32)
+        # bytes without an end say nothing: what is scanned are the ends alone
+        spans = _SPAN.findall((ended + ord("0")).tobytes())
+        in_a, in_b = (np.fromiter([1 if x == b"3" else x.count(mark) + 1 for x in spans], np.int64, len(spans)) for mark in (b"1", b"2"))
+        after_a, after_b = np.cumsum(in_a), np.cumsum(in_b)
+        decimal = self.decimal
+        groups = [f"{i}|{j}" for i, j in zip(ids_a[after_a - in_a].tolist(), ids_b[after_b - in_b].tolist(), strict=True)]
+        for g in np.flatnonzero((in_a > 1) | (in_b > 1)).tolist():
+            groups[g] = ",".join([decimal[i] for i in flat_a[after_a[g] - in_a[g] : after_a[g]]]) + "|" + ",".join([decimal[i] for i in flat_b[after_b[g] - in_b[g] : after_b[g]]])
+        until = np.searchsorted(at, ends, "right").tolist()
+        last_group = np.searchsorted(at[ended == 3], ends, "right").tolist()
+        first = begin = 0
+        for chunk, m, n, link, group in zip(fresh, many_a, many_b, until, last_group, strict=True):
+            out[chunk] = (";".join(groups[begin:group]), pairs[first:link].tobytes(), m, n, group - begin)
+            first, begin = link, group
         return out
 
     def align(self, texts: list[str | None]) -> list[tuple]:
