@@ -27,3 +27,5 @@ class EstimateOptions:
     max_rounds: int = 500_000
     least_count: float = 1e-7
     least_abundance: float = 0.1
+    #: Entries of a gene's weight classes up to which one task estimates it.
+    group_entries: int = 4_000_000

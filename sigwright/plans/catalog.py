@@ -6,6 +6,7 @@ and shares nothing with the operators but the definition of the synthetic sequen
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +93,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "cw": (("cls",), "SELECT * FROM (SELECT gid, weights, total_counts, occurrences, CAST(unnest(range(0, len(weights))) AS INTEGER) AS tidx, unnest(weights) AS w FROM cls) WHERE w > 0"),
     "kt": (("cw",), "SELECT gid, tidx, CAST(sum(w * occurrences) AS BIGINT) AS n_kmers FROM cw GROUP BY gid, tidx"),
     "live": (("cls",), "SELECT gid FROM cls GROUP BY gid HAVING max(total_counts) > 0"),
-    "pi0": (("tx", "live"), "SELECT gid, tidx, 1.0 / count(*) OVER (PARTITION BY gid) AS pi, 0.0::DOUBLE AS found FROM tx WHERE gid IN (SELECT gid FROM live)"),
+    "even": (("tx", "live"), "SELECT gid, tidx, 1.0 / count(*) OVER (PARTITION BY gid) AS pi FROM tx WHERE gid IN (SELECT gid FROM live)"),
     "smp": (("tx",), f"""SELECT gid, substring(seq, o + 1, {K}) AS kmer FROM (
         SELECT gid, seq, {K // 2 + 1} + i * ((len(seq) - {2 * K}) // 19) AS o FROM (SELECT *, unnest(range(0, 20)) AS i FROM tx))"""),
     "cont": (("smp", "gk"), """SELECT s.gid AS gid1, g.gid AS gid2, count(*) AS dup, any_value(t.total) AS total FROM smp s JOIN gk g ON g.kmer = s.kmer AND g.gid <> s.gid
@@ -116,11 +117,41 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "oex": (("exon",), """SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, CAST(coalesce(sum("end" - "start") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
         FROM exon WINDOW w AS (PARTITION BY gid, tid ORDER BY CASE WHEN strand = '+' THEN line ELSE -line END)"""),
 }
-for _i in range(ROUNDS):
-    _CTES[f"part{_i}"] = (("cw", "kt", f"pi{_i}"), f"SELECT cw.gid, weights, total_counts, cw.tidx, w * occurrences / n_kmers * pi AS x, sum(w * occurrences / n_kmers * pi) OVER (PARTITION BY cw.gid, weights) AS s FROM cw JOIN kt USING (gid, tidx) JOIN pi{_i} p ON p.gid = cw.gid AND p.tidx = cw.tidx")
-    _CTES[f"sum{_i}"] = ((f"part{_i}",), f"SELECT gid, tidx, sum(CASE WHEN s > 0 THEN total_counts * x / s ELSE 0 END) AS found FROM part{_i} GROUP BY gid, tidx")
-    _CTES[f"pi{_i + 1}"] = ((f"sum{_i}", f"pi{_i}"), f"SELECT gid, tidx, CASE WHEN all_found > 0 THEN found / all_found ELSE 0 END AS pi, found FROM (SELECT *, sum(found) OVER (PARTITION BY gid) AS all_found FROM (SELECT p.gid, p.tidx, CASE WHEN coalesce(s.found, 0) < 1e-7 THEN 0 ELSE s.found END AS found FROM pi{_i} p LEFT JOIN sum{_i} s ON s.gid = p.gid AND s.tidx = p.tidx))")
-_CTES["em"] = ((f"pi{ROUNDS}", "kt"), f"SELECT p.gid, p.tidx, p.found, coalesce(p.found / k.n_kmers, 0) AS density FROM pi{ROUNDS} p LEFT JOIN kt k ON k.gid = p.gid AND k.tidx = p.tidx")
+
+
+def _rounds(mark: str, classes: str, begin: str) -> None:
+    """Adds ROUNDS rounds over the class weights ``classes`` from the shares ``begin``, as pi<mark><round>, and their result
+    em<mark>."""
+    _CTES[f"pi{mark}0"] = ((begin,), f"SELECT gid, tidx, pi, 0.0::DOUBLE AS found FROM {begin}")
+    for i in range(ROUNDS):
+        _CTES[f"part{mark}{i}"] = ((classes, "kt", f"pi{mark}{i}"), f"SELECT c.gid, weights, total_counts, c.tidx, w * occurrences / n_kmers * pi AS x, sum(w * occurrences / n_kmers * pi) OVER (PARTITION BY c.gid, weights) AS s FROM {classes} c JOIN kt USING (gid, tidx) JOIN pi{mark}{i} p ON p.gid = c.gid AND p.tidx = c.tidx")
+        _CTES[f"sum{mark}{i}"] = ((f"part{mark}{i}",), f"SELECT gid, tidx, sum(CASE WHEN s > 0 THEN total_counts * x / s ELSE 0 END) AS found FROM part{mark}{i} GROUP BY gid, tidx")
+        _CTES[f"pi{mark}{i + 1}"] = ((f"sum{mark}{i}", f"pi{mark}{i}"), f"SELECT gid, tidx, CASE WHEN all_found > 0 THEN found / all_found ELSE 0 END AS pi, found FROM (SELECT *, sum(found) OVER (PARTITION BY gid) AS all_found FROM (SELECT p.gid, p.tidx, CASE WHEN coalesce(s.found, 0) < 1e-7 THEN 0 ELSE s.found END AS found FROM pi{mark}{i} p LEFT JOIN sum{mark}{i} s ON s.gid = p.gid AND s.tidx = p.tidx))")
+    _CTES[f"em{mark}"] = ((f"pi{mark}{ROUNDS}", "kt"), f"SELECT p.gid, p.tidx, p.found, coalesce(p.found / k.n_kmers, 0) AS density FROM pi{mark}{ROUNDS} p LEFT JOIN kt k ON k.gid = p.gid AND k.tidx = p.tidx")
+
+
+_rounds("", "cw", "even")
+# reads in two batches, those with even ids first: counts and estimates after the first, and what the second touches
+for _m, _of in (("a", "read_id % 2 = 0"), ("b", "read_id % 2 = 1")):
+    _CTES[f"r1{_m}"] = (("r1",), f"SELECT * FROM r1 WHERE {_of}")
+    for _name in ("rk", "kc", "cls", "cw", "live"):
+        _below, _text_of = _CTES[_name]
+        for _other in ("r1", "rk", "kc", "cls"):
+            _text_of = re.sub(rf"\b{_other}\b", f"{_other}{_m}", _text_of)
+        _CTES[f"{_name}{_m}"] = (tuple(f"{x}{_m}" if x in ("r1", "rk", "kc", "cls") else x for x in _below), _text_of)
+_CTES["evena"] = (("tx", "livea"), "SELECT gid, tidx, 1.0 / count(*) OVER (PARTITION BY gid) AS pi FROM tx WHERE gid IN (SELECT gid FROM livea)")
+_rounds("a", "cwa", "evena")
+_CTES["evenb"] = (("tx", "liveb", "ema"), "SELECT gid, tidx, CASE WHEN whole > 0 THEN density / whole ELSE fair END AS pi FROM (SELECT t.gid, t.tidx, 1.0 / count(*) OVER (PARTITION BY t.gid) AS fair, coalesce(density, 0) AS density, sum(coalesce(density, 0)) OVER (PARTITION BY t.gid) AS whole FROM tx t LEFT JOIN ema e ON e.gid = t.gid AND e.tidx = t.tidx WHERE t.gid IN (SELECT gid FROM liveb))")
+_rounds("b", "cw", "evenb")
+_CTES["online"] = (("ema", "emb"), "SELECT * FROM emb UNION ALL SELECT * FROM ema WHERE gid NOT IN (SELECT gid FROM emb)")
+_CTES["settled"] = (("cw", "kt", "even"), """SELECT gid, tidx, pi, 0.0::DOUBLE AS found, CAST(0 AS BIGINT) AS it, true AS active FROM even
+  UNION ALL SELECT gid, tidx, new_pi, found, it + 1, max(abs(new_pi - pi)) OVER (PARTITION BY gid) >= 1e-10 AND it < 500000
+  FROM (SELECT *, CASE WHEN sum(found) OVER (PARTITION BY gid) > 0 THEN found / sum(found) OVER (PARTITION BY gid) ELSE 0 END AS new_pi
+    FROM (SELECT gid, tidx, pi, it, CASE WHEN coalesce(sum(y), 0) < 1e-7 THEN 0 ELSE sum(y) END AS found
+      FROM (SELECT gid, tidx, pi, it, CASE WHEN s > 0 THEN total_counts * x / s ELSE 0 END AS y
+        FROM (SELECT e.gid, e.tidx, e.pi, e.it, c.total_counts, c.w * c.occurrences / k.n_kmers * e.pi AS x, sum(c.w * c.occurrences / k.n_kmers * e.pi) OVER (PARTITION BY e.gid, c.weights) AS s
+          FROM settled e LEFT JOIN kt k ON k.gid = e.gid AND k.tidx = e.tidx LEFT JOIN cw c ON c.gid = e.gid AND c.tidx = e.tidx WHERE e.active))
+      GROUP BY gid, tidx, pi, it))""")
 
 
 def _with(sql: str) -> str:
@@ -139,7 +170,7 @@ def _with(sql: str) -> str:
             sql = sql.replace("{" + name + "}", name)
     if not order:
         return sql
-    recursive = "RECURSIVE " * ("reach" in order)
+    recursive = "RECURSIVE " * bool({"reach", "settled"} & set(order))
     return f"WITH {recursive}" + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in order) + "\n" + sql
 
 
@@ -164,8 +195,8 @@ def _classes(spark: SparkSession, sf_dir: str) -> tuple[Keys, DataFrame]:
     return built, cut(estimate.weight_classes(counts, built.positions, built.transcripts), "classes")
 
 
-def _text(weights: str = "weights") -> F.Column:
-    return F.concat_ws(",", F.transform(weights, lambda w: w.cast("string"))).alias("weights")
+def _text() -> F.Column:
+    return F.concat_ws(",", estimate.dense_weights(F.col("n"), F.col("entries")).cast("array<string>")).alias("weights")
 
 
 # ---- scalar functions ---------------------------------------------------------------------------------
@@ -503,9 +534,12 @@ def em_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("total > 0")
 
 
-@register()
+@register("""SELECT e.gid, e.tidx, round(found, 4) AS n_reads_kmers, round(coalesce(found / n_kmers, 0), 6) AS density,
+  round(CASE WHEN sum(coalesce(found / n_kmers, 0)) OVER (PARTITION BY e.gid) > 0 THEN coalesce(found / n_kmers, 0) / sum(coalesce(found / n_kmers, 0)) OVER (PARTITION BY e.gid) ELSE 0 END, 6) AS share
+FROM {settled} e LEFT JOIN {kt} k ON k.gid = e.gid AND k.tidx = e.tidx WHERE NOT active""")
 def em_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return estimate.estimate_genes(_classes(spark, sf_dir)[1], OPTIONS)
+    rows = estimate.estimate_genes(_classes(spark, sf_dir)[1], OPTIONS)
+    return rows.select("gid", "tidx", F.round("n_reads_kmers", 4).alias("n_reads_kmers"), F.round("density", 6).alias("density"), F.round("share", 6).alias("share"))
 
 
 @register("""SELECT a.gid, a.tidx AS covering, b.tidx AS covered FROM {tx} a JOIN {tx} b ON a.gid = b.gid AND a.tidx <> b.tidx
@@ -739,12 +773,30 @@ def remembered_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.remembered(spark, "regions", 1, never, folder)
 
 
-@register("SELECT gid, round(sum(total_counts), 3) AS total FROM {cls} WHERE gid IN (SELECT gid FROM {live}) AND list_sum(weights) > 0 GROUP BY gid HAVING sum(total_counts) > 0")
+def _online(spark: SparkSession, sf_dir: str, report: str | None = None) -> EstimateJob:
+    """Estimates of reads that arrive in two batches; between them the job ends and is taken up again."""
+    built, reads = _built(spark, sf_dir), synth.first_mates(spark, sf_dir)
+    staged, folder = scratch(spark, "arriving"), scratch(spark, "online")
+    for part in range(2):
+        reads.filter(F.col("read_id") % 2 == part).repartition(4).write.mode("append").parquet(staged)
+        arriving = spark.readStream.schema(reads.schema).parquet(staged)
+        job = EstimateJob(arriving, built.keys, built.positions, built.transcripts, OPTIONS, interval=None, report=report, rounds=ROUNDS, folder=folder)
+        job.finish()
+    return job
+
+
+@register("SELECT gid, tidx, round(found, 6) AS n_reads_kmers, round(density, 6) AS density FROM {online}")
 def streaming_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates that follow a stream, after its end: all counts have found transcripts."""
-    built = _built(spark, sf_dir)
-    staged = Cut(synth.first_mates(spark, sf_dir).repartition(8), "reads")
-    arriving = spark.readStream.schema(staged.df.schema).option("maxFilesPerTrigger", 4).parquet(staged.path)
-    job = EstimateJob(arriving, built.keys, built.positions, built.transcripts, OPTIONS, interval=None)
-    job.finish()
-    return job.estimates.groupBy("gid").agg(F.round(F.sum("n_reads_kmers"), 3).alias("total")).filter("total > 0")
+    """Estimates by transcript after two batches, the second of which begins from the first and looks at its own genes only."""
+    return _online(spark, sf_dir).estimates.select("gid", "tidx", F.round("n_reads_kmers", 6).alias("n_reads_kmers"), F.round("density", 6).alias("density"))
+
+
+@register("""SELECT t.tid, CAST(format('{:.5e}', density * len(seq)) AS DOUBLE) AS value, CAST(format('{:.5e}', density) AS DOUBLE) AS per_base FROM {online} e JOIN {tx} t ON t.gid = e.gid AND t.tidx = e.tidx""")
+def online_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a stream, read back: of each transcript the line of the last batch that has one."""
+    report = scratch(spark, "profile")
+    _online(spark, sf_dir, report)
+    parts = F.split("value", "\t")
+    lines = spark.read.schema("value string, batch int").text(report).select("batch", parts[0].alias("tid"), *(parts[i].cast("double").alias(n) for i, n in ((1, "value"), (2, "per_base"))))
+    last = F.max_by(F.struct("value", "per_base"), "batch").alias("r")
+    return lines.groupBy("tid").agg(last).select("tid", "r.value", "r.per_base")

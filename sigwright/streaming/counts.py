@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sigwright.operators.count import oriented_keys
-from sigwright.operators.estimate import estimate_genes, weight_classes
+from sigwright.operators.estimate import key_classes, sparse_maximisation
 from sigwright.operators.kmers import read_kmers
 from sigwright.options import EstimateOptions
-from sigwright.runtime import Cut, log, remove, removed_at_exit, shared_dir
+from sigwright.runtime import Cut, log, remove, removed_at_exit, scratch, shared_dir
 from sigwright.sources.text import significant
+from sigwright.streaming.batches import BatchSink, latest
 
 
 def running_counts(reads: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -69,34 +74,123 @@ class CountJob:
         return self.counts()
 
 
-class EstimateJob(CountJob):
-    """Estimates every gene again after each batch, beginning from the shares of the batch before. With ``report`` the
-    profile is written there, as tab-separated text, after each batch, in place of the one before."""
+def key_hits(reads: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(gid, class, n) of a stream of reads: how often keys of a class occur. targets: (kmer, gid, class).
+
+    Hits are counted in each task before they are sent to their gene, so a gene with most of all hits is a few
+    rows a task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            some = pa.Table.from_batches([batch])
+            held.append(some.append_column("n", pa.array(np.ones(len(some), np.int64))).group_by(["gid", "class"]).aggregate([("n", "sum")]).rename_columns(["gid", "class", "n"]))
+            size += len(held[-1])
+            if size > 1 << 18:
+                held = [pa.concat_tables(held).group_by(["gid", "class"]).aggregate([("n", "sum")]).rename_columns(["gid", "class", "n"])]
+                if (size := len(held[0])) > 1 << 17:
+                    yield from held.pop().to_batches()
+                    size = 0
+        if held:
+            yield from pa.concat_tables(held).group_by(["gid", "class"]).aggregate([("n", "sum")]).rename_columns(["gid", "class", "n"]).to_batches()
+
+    found = read_kmers(reads, k).join(targets, "kmer").select("gid", "class")
+    return found.mapInArrow(count, "gid string, class string, n long")
+
+
+#: What is known of a gene: the classes of its keys, once, and counts and shares, after each batch with a hit.
+_CLASSES = "n int, names array<string>, tidx binary, weight binary, owner binary, occurrences binary"
+ESTIMATES = "gid string, tidx int, n_reads_kmers double, density double, share double, rounds long"
+
+
+class GeneEstimator(StatefulProcessor):
+    """Keeps the counts of a gene's classes as state and estimates the gene whenever a batch has hits of it, beginning from
+    the shares of its last estimate."""
+
+    def __init__(self, options: EstimateOptions, rounds: int | None):
+        self.options, self.rounds = options, rounds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.classes = handle.getValueState("classes", _CLASSES)
+        self.counts = handle.getValueState("counts", "counts binary, share binary")
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        entries = [x["entries"] for x in initialState.classes]
+        flat = [e for x in entries for e in x]
+        arrays = (np.array([e["tidx"] for e in flat], np.int32), np.array([e["weight"] for e in flat], np.int32), np.repeat(np.arange(len(entries)), [len(x) for x in entries]).astype(np.int32), np.array([x["occurrences"] for x in initialState.classes], np.int64))
+        self.classes.update((initialState.n, [x["class"] for x in initialState.classes], *(x.tobytes() for x in arrays)))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, names, tidx, weight, owner, occurrences = self.classes.get()
+        place = {name: i for i, name in enumerate(names)}
+        counts, share = np.zeros(len(names), np.int64), np.zeros(n)
+        if self.counts.exists():
+            raw, last = self.counts.get()
+            counts, share = np.frombuffer(bytes(raw), np.int64).copy(), np.frombuffer(bytes(last))
+        for row in rows:
+            counts[place[row["class"]]] += row.n
+        tidx, weight, owner = (np.frombuffer(bytes(x), np.int32) for x in (tidx, weight, owner))
+        begin = share if share.sum() > 0 else None
+        density, share, size, done = sparse_maximisation(tidx, weight.astype(float), owner, counts.astype(float), np.frombuffer(bytes(occurrences), np.int64).astype(float), n, begin, self.options, self.rounds)
+        self.counts.update((counts.tobytes(), share.tobytes()))
+        for i in range(n):
+            yield Row(gid=key[0], tidx=i, n_reads_kmers=float(density[i] * size[i]), density=float(density[i]), share=float(share[i]), rounds=done)
+
+    def close(self) -> None:
+        pass
+
+
+class EstimateJob:
+    """Estimates of genes that follow a stream of reads. Counts and shares are keyed state: a batch estimates the genes that
+    it has hits of, and no others.
+
+    Each batch's estimates go to ``folder``, by a sink that commits by number of the batch; so does, with ``report``,
+    the profile of the batch's transcripts as tab-separated text. A job with the folder of a job before it goes on
+    where that one ended; it must have the same keys and places.
+    """
 
     def __init__(
-        self, reads: DataFrame, keys: DataFrame, positions: DataFrame, transcripts: DataFrame, options: EstimateOptions, interval: str | None = "11 seconds", report: str | None = None
+        self, reads: DataFrame, keys: DataFrame, positions: DataFrame, transcripts: DataFrame, options: EstimateOptions, interval: str | None = "11 seconds", report: str | None = None, rounds: int | None = None, folder: str | None = None
     ):
-        self.positions, self.transcripts, self.options, self.report = positions, transcripts, options, report
-        self.estimates: DataFrame | None = None
-        self.estimated: list[Cut] = []
-        super().__init__(reads, keys, options.k, interval)
+        """interval: time between batches; without one, what is there is read and the job ends. rounds: of each estimate,
+        instead of as many as it takes to settle."""
+        spark = self.spark = keys.sparkSession
+        self.folder = folder or scratch(spark, "estimates")
+        self.lengths = transcripts.select("gid", "tidx", "tid", F.char_length("seq").alias("length"))
+        classed = Cut(key_classes(keys, positions), "key-classes").df
+        # one row for each orientation of a key: palindromes count for each equal one
+        targets = Cut(oriented_keys(keys).join(classed.select("gid", "key", "class"), ["gid", "key"]).select("kmer", "gid", "class"), "targets").df
+        sizes = transcripts.groupBy("gid").agg((F.max("tidx") + 1).alias("n"))
+        by_class = classed.groupBy("gid", "class").agg(F.any_value("entries").alias("entries"), F.count("*").alias("occurrences"))
+        known = by_class.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("class", "entries", "occurrences"))).alias("classes")).join(sizes, "gid").select("gid", "n", "classes")
+        spark.dataSource.register(BatchSink)
+        estimated = key_hits(reads, targets, options.k).groupBy("gid").transformWithState(GeneEstimator(options, rounds), ESTIMATES, "Append", "None", initialState=known.groupBy("gid"))
+        named = estimated.join(self.lengths, ["gid", "tidx"])
+        value = F.col("density") * F.col("length")
+        line = F.concat_ws("\t", "tid", significant(value), significant(F.col("density")))
+        rows = named.select("gid", "tidx", "tid", "n_reads_kmers", "density", "share", "rounds", value.alias("value"), line.alias("line"))
+        provider = "spark.sql.streaming.stateStore.providerClass"
+        before = spark.conf.get(provider)
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            writer = rows.writeStream.format("batches").outputMode("append").option("checkpointLocation", f"{self.folder}/state").option("path", f"{self.folder}/rows").option("report", report or "")
+            self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+        finally:
+            spark.conf.set(provider, before)
 
-    def after_batch(self) -> None:
-        classes = weight_classes(self.counts(), self.positions, self.transcripts)
-        self.estimated.append(Cut(estimate_genes(classes, self.options, start=self.estimates), "estimates"))
-        self.estimates = self.estimated[-1].df
-        for old in self.estimated[:-2]:
-            old.drop()
-        self.estimated = self.estimated[-2:]
-        if self.report:
-            self.write_profile(self.report)
-
-    def write_profile(self, path: str) -> None:
-        """The profile as text, numbers with six significant digits, in order of tid."""
-        numbers = [significant(F.col(c)) for c in ("value", "per_base")]
-        self.profile().orderBy("tid").select(F.concat_ws("\t", "tid", *numbers).alias("value")).write.mode("overwrite").text(path)
+    def finish(self, timeout: int | None = None) -> DataFrame:
+        """Waits for the end of the stream and gives the final estimates. Raises TimeoutError if it has not ended after
+        ``timeout`` seconds."""
+        if self.query.awaitTermination(timeout) is False:
+            raise TimeoutError(f"the stream has not ended after {timeout} seconds")
+        return self.estimates
+
+    @property
+    def estimates(self) -> DataFrame:
+        """(gid, tidx, tid, n_reads_kmers, density, share, rounds, value) of the last batch that has hits of a gene."""
+        return latest(self.spark, f"{self.folder}/rows", ["gid", "tidx"], f"{ESTIMATES}, tid string, value double").drop("batch")
 
     def profile(self) -> DataFrame:
         """(tid, value, per_base): density times length, and the density, of estimated transcripts."""
-        rows = self.transcripts.select("gid", "tidx", "tid", F.char_length("seq").alias("length")).join(self.estimates, ["gid", "tidx"])
-        return rows.select("tid", (F.col("density") * F.col("length")).alias("value"), F.col("density").alias("per_base"))
+        return self.estimates.select("tid", "value", F.col("density").alias("per_base"))

@@ -184,7 +184,7 @@ def test_estimates_follow_a_stream(spark, tmp_path):
     job = EstimateJob(reads, keys, positions, tx, EstimateOptions(k=6, read_length=50), interval=None, report=str(tmp_path / "report"))
     job.finish()
     assert [r.tid for r in job.profile().collect()] == ["t"] and job.profile().first().value > 0
-    assert (tmp_path / "report").is_dir() and [r.value.split("\t")[0] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["t"]
+    assert (tmp_path / "report").is_dir() and {r.value.split("\t")[0] for r in spark.read.text(str(tmp_path / "report")).collect()} == {"t"}
     batch = estimate.estimate_genes(estimate.weight_classes(count.key_counts(keys, spark.read.parquet(str(tmp_path / "in")), 6), positions, tx), EstimateOptions(k=6, read_length=50))
     assert job.estimates.first().density == pytest.approx(batch.first().density, abs=1e-6)
 
