@@ -584,7 +584,7 @@ def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _roots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     tx = cut(_tx(spark, sf_dir), "transcripts")
     genes = cut(text.numbered_genes(tx), "genes")
-    return tx, genes, similarity.clusters(genes, similarity.similarity_edges(similarity.containment(tx, K)))
+    return tx, genes, similarity.clusters(genes, similarity.Overlaps(tx, K).links())
 
 
 @register("SELECT idx, root FROM {root}")
