@@ -45,8 +45,21 @@ def chromosome_name(header: Column) -> Column:
 
 
 def gtf_attribute(extra: Column, name: str) -> Column:
-    """The quoted value of an attribute; null where it is missing or empty."""
-    return F.nullif(F.regexp_extract(extra, f'{name} "([^"]*)"', 1), F.lit(""))
+    """The quoted value of the first attribute with exactly this name; null where it is missing or empty.
+
+    The text is read from its start as names with values, quoted or not: what stands inside quotes is no attribute, and a
+    longer name that ends alike is another one.
+    """
+    items = F.regexp_extract_all(extra, F.lit("[^\\s\";]+\\s+(?:\"[^\"]*\"|[^\";]*)"), F.lit(0))
+    own = F.get(F.filter(items, lambda x: F.split(x, "\\s+", 2)[0] == name), F.lit(0))
+    value = F.ltrim(F.substr(own, F.lit(len(name) + 1)))
+    return F.nullif(F.when(value.startswith('"'), F.substring_index(F.substr(value, F.lit(2)), '"', 1)), F.lit(""))
+
+
+def mean_quality(quality: Column) -> Column:
+    """The mean of the Phred qualities that a FASTQ line writes (codes from 33 on); null for an empty one."""
+    codes = F.transform(F.sequence(F.lit(1), F.char_length(quality)), lambda i: F.ascii(F.substr(quality, i, F.lit(1))) - 33)
+    return F.when(quality != "", F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + x) / F.char_length(quality))
 
 
 def kmers(seq: Column, k: int, include_last: bool = False) -> Column:

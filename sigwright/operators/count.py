@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sigwright.functions import dna
 from sigwright.operators.kmers import read_kmers
+from sigwright.runtime import Cut
 
 
 #: Bytes of wanted k-mers (and 64 more for each) up to which they are sent to every task.
@@ -18,27 +19,30 @@ def oriented_keys(keys: DataFrame) -> DataFrame:
     return keys.select("gid", "key", F.explode(dna.orientations(F.col("key"))).alias("kmer"))
 
 
-def kmer_counts(reads: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(kmer, n) over the read k-mers that are wanted (distinct kmer rows).
+def kmer_counts(reads: DataFrame, wanted: DataFrame, k: int, weight: str | None = None, seen: Observation | None = None) -> DataFrame:
+    """(kmer, n) over the read k-mers that are wanted (distinct kmer rows). weight: a column of reads to sum instead of
+    counting each as one. seen observes ``kmers``, all read k-mers, on the way.
 
     Reads are the large side. If the wanted k-mers are few (they are counted first), they are sent to every
     task and cut the reads before anything is shuffled; else counts, combined per task, meet them.
     """
-    found, wanted = read_kmers(reads, k), wanted.select("kmer")
+    found, wanted = read_kmers(reads, k, keep=(weight,) if weight else ()), wanted.select("kmer")
+    if seen is not None:
+        found = found.observe(seen, F.count(F.lit(1)).alias("kmers"))
+    total = (F.sum(weight) if weight else F.count("*")).alias("n")
     held = wanted.agg(F.coalesce(F.sum(F.octet_length("kmer") + 64), F.lit(0)).alias("n")).first().n
     if held <= _BROADCAST_BYTES:
-        found = found.join(F.broadcast(wanted), "kmer", "left_semi")
-        return found.groupBy("kmer").agg(F.count("*").alias("n"))
-    return found.groupBy("kmer").agg(F.count("*").alias("n")).join(wanted, "kmer", "left_semi")
+        return found.join(F.broadcast(wanted), "kmer", "left_semi").groupBy("kmer").agg(total)
+    return found.groupBy("kmer").agg(total).join(wanted, "kmer", "left_semi")
 
 
-def key_counts(keys: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """(gid, key, count) of every key, summed over its orientations; keys that no read has count 0.
+def key_counts(keys: DataFrame, reads: DataFrame, k: int, weight: str | None = None) -> DataFrame:
+    """(gid, key, count) of every key, summed over its orientations; keys that no read has count 0. weight: as in kmer_counts.
 
     Orientations are made of keys, not of reads. Palindromes are summed once for each equal orientation.
     """
     oriented = oriented_keys(keys)
-    counted = kmer_counts(reads, oriented.select("kmer").distinct(), k)
+    counted = kmer_counts(reads, oriented.select("kmer").distinct(), k, weight)
     return oriented.join(counted, "kmer", "left").groupBy("gid", "key").agg(F.sum(F.coalesce("n", F.lit(0))).alias("count"))
 
 
@@ -47,11 +51,20 @@ def exact_counts(patterns: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     return patterns.select("kmer").distinct().join(kmer_counts(reads, patterns.select("kmer").distinct(), k), "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counted_with_statistics(reads: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, int, int]:
+    """(kmer_counts, written to the shared folder; hits; misses): read k-mers that are wanted (distinct kmer rows), and those
+    that are not. Both are observed while k-mers are counted, without a pass or a join of their own."""
+    seen, hit = Observation(), Observation()
+    counts = kmer_counts(reads, wanted, k, seen=seen).observe(hit, F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
+    written = Cut(counts, "kmer-counts").df
+    hits = hit.get["hits"]
+    return written, hits, seen.get["kmers"] - hits
+
+
 def lookup_statistics(reads: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """One row: hits, read k-mers that are wanted (distinct kmer rows), and misses, those that are not."""
-    by_kmer = read_kmers(reads, k).groupBy("kmer").agg(F.count("*").alias("n")).join(wanted.select("kmer").withColumn("hit", F.lit(1)), "kmer", "left")
-    hit = F.col("hit") == 1
-    return by_kmer.agg(F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("n"))), F.lit(0)).alias("misses"))
+    """One row: hits and misses, as counted_with_statistics has them."""
+    _, hits, misses = counted_with_statistics(reads, wanted, k)
+    return reads.sparkSession.createDataFrame([(hits, misses)], "hits long, misses long")
 
 
 def both_mates(first: DataFrame, second: DataFrame | None) -> DataFrame:

@@ -34,6 +34,6 @@ def gene_kmers(transcripts: DataFrame, k: int) -> DataFrame:
     return exploded(oriented, k, "gid").select("gid", "kmer").distinct()
 
 
-def read_kmers(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kmer) of all windows of reads, the last included, but for those with an N."""
-    return exploded(reads, k, seq=seq, include_last=True).select("kmer").filter(~F.col("kmer").contains("N"))
+def read_kmers(reads: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep ..., kmer) of all windows of reads, the last included, but for those with an N."""
+    return exploded(reads, k, *keep, seq=seq, include_last=True).select(*keep, "kmer").filter(~F.col("kmer").contains("N"))

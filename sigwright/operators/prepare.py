@@ -27,22 +27,28 @@ def mixed_strands(exons: DataFrame) -> DataFrame:
 BLOCK = 1 << 16
 
 
+def in_blocks(genome: DataFrame) -> DataFrame:
+    """(seqname, block, bases) of chromosomes that are rows (seqname, seq)."""
+    blocks = genome.select("seqname", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(F.char_length("seq"), F.lit(1)) - 1) / BLOCK))).alias("block"))
+    return blocks.select("seqname", "block", F.substr("seq", (F.col("block") * BLOCK + 1).cast("int"), F.lit(BLOCK)).alias("bases"))
+
+
 def with_sequence(exons: DataFrame, genome: DataFrame) -> DataFrame:
-    """exons with seq (null where the genome, (seqname, seq), lacks the chromosome) and has_seq.
+    """exons with seq (null where the genome lacks the chromosome) and has_seq. The genome is in blocks of BLOCK bases,
+    (seqname, block, bases), as sources.text.genome_blocks reads it, or small enough for rows (seqname, seq).
 
-    Chromosomes are cut into blocks, and exons meet the blocks they lie in: no row carries a chromosome, and
-    the genome, whose size is not bounded, is not broadcast. Exons beyond the end of a chromosome are cut or
-    empty. line must name a row.
+    Exons meet the blocks they lie in: no row carries a chromosome, and the genome, whose size is not bounded, is not
+    broadcast. Exons beyond the end of a chromosome are cut or empty. line must name a row.
     """
+    blocks = in_blocks(genome) if "seq" in genome.columns else genome
     first, last = F.col("start") - 1, F.col("end") - 2
     cover = F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK))
     parts = exons.filter("start >= 1 AND end > start").select("line", "seqname", first.alias("from"), (last + 1).alias("to"), F.explode(cover).alias("block"))
-    blocks = genome.filter("seq <> ''").select("seqname", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.char_length("seq") - 1) / BLOCK))).alias("block"))
-    blocks = blocks.select("seqname", "block", F.substr("seq", (F.col("block") * BLOCK + 1).cast("int"), F.lit(BLOCK)).alias("bases"))
     begin = F.greatest(F.col("from"), F.col("block") * BLOCK)
     piece = F.substr("bases", (begin - F.col("block") * BLOCK + 1).cast("int"), (F.least(F.col("to"), (F.col("block") + 1) * BLOCK) - begin).cast("int"))
     found = parts.join(blocks, ["seqname", "block"]).select("line", "block", piece.alias("piece")).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("block", "piece"))).alias("p"))
-    names = genome.select("seqname").distinct().withColumn("has_seq", F.lit(True))
+    # every chromosome has a block 0
+    names = blocks.filter("block = 0").select("seqname").distinct().withColumn("has_seq", F.lit(True))
     full = exons.join(found, "line", "left").join(names, "seqname", "left").withColumn("has_seq", F.coalesce("has_seq", F.lit(False)))
     joined = F.coalesce(F.array_join(F.transform("p", lambda x: x["piece"]), ""), F.lit(""))
     return full.withColumn("seq", F.when(F.col("has_seq"), joined)).select(*exons.columns, "seq", "has_seq")

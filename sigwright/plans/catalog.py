@@ -59,6 +59,12 @@ def _four(x: str) -> str:
     return f"[{x}, reverse({x}), reverse({_comp(x)}), {_comp(x)}]"
 
 
+def _attribute(name: str) -> str:
+    """SQL of a quoted attribute: text between quotes is every other part, and the part before it ends in the name."""
+    odd = f"list_filter(range(1, len(string_split(p[9], chr(34)))), lambda i: i % 2 = 1 AND regexp_full_match(string_split(p[9], chr(34))[i], '(.*[; ])?{name} +'))"
+    return f"nullif(string_split(p[9], chr(34))[{odd}[1] + 1], '')"
+
+
 _GID = "p_name || '#' || p_brand"
 _SEQ = " || ".join((_dna("p_brand"), _dna(f"'g' || {_GID}"), _dna("'p' || p_partkey"), _dna("'q' || p_partkey")))
 _READ_SQL = f"substring(seq, CAST(1 + (({{start}}) % (len(seq) - {READ} + 1)) AS BIGINT), {READ})"
@@ -105,12 +111,11 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "root": (("reach",), "SELECT idx, min(other) AS root FROM reach GROUP BY idx"),
     "gtfl": ((), f"""SELECT p_partkey * 3 + e AS line, concat_ws(chr(9), CASE WHEN p_partkey % 13 = 0 THEN 'GL1' ELSE CAST(len({_GID}) % 3 + 1 AS VARCHAR) END, 'synth', CASE WHEN (p_partkey + e) % 4 = 0 THEN 'CDS' ELSE 'exon' END,
           CAST((p_partkey * 37 + e * 101) % 1900 + 1 AS VARCHAR), CAST((p_partkey * 37 + e * 101) % 1900 + 1 + p_size % 40 + 9 AS VARCHAR), '.', CASE WHEN len({_GID}) % 2 = 0 THEN '+' ELSE '-' END, '.',
-          concat(CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'gene_id "' || {_GID} || '"; ' END, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'gene_name "' || p_name || '"; ' END,
+          concat(CASE WHEN p_partkey % 17 = 0 THEN 'ref_gene_id "R1"; note "x; gene_id "; ' ELSE '' END, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'gene_id "' || {_GID} || '"; ' END, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'gene_name "' || p_name || '"; ' END,
                  'transcript_id "T' || p_partkey || '"; gene_biotype "' || CASE WHEN p_partkey % 7 = 0 THEN 'pseudogene' ELSE 'protein_coding' END || '";')) AS value
         FROM (SELECT *, unnest(range(0, 3)) AS e FROM part)"""),
-    "gtf": (("gtfl",), """SELECT line, p[1] AS seqname, p[3] AS feature, CAST(p[4] AS INTEGER) AS "start", CAST(p[5] AS INTEGER) AS "end", p[7] AS strand,
-        nullif(regexp_extract(p[9], 'gene_id "([^"]*)"', 1), '') AS gid, coalesce(nullif(regexp_extract(p[9], 'gene_name "([^"]*)"', 1), ''), nullif(regexp_extract(p[9], 'gene_id "([^"]*)"', 1), '')) AS gname,
-        nullif(regexp_extract(p[9], 'transcript_id "([^"]*)"', 1), '') AS tid, nullif(regexp_extract(p[9], 'gene_biotype "([^"]*)"', 1), '') AS biotype
+    "gtf": (("gtfl",), f"""SELECT line, p[1] AS seqname, p[3] AS feature, CAST(p[4] AS INTEGER) AS "start", CAST(p[5] AS INTEGER) AS "end", p[7] AS strand,
+        {_attribute('gene_id')} AS gid, coalesce({_attribute('gene_name')}, {_attribute('gene_id')}) AS gname, {_attribute('transcript_id')} AS tid, {_attribute('gene_biotype')} AS biotype
         FROM (SELECT line, string_split(value, chr(9)) AS p FROM gtfl)"""),
     "exon": (("gtf",), """SELECT gid, gname, tid, seqname, strand, "start", "end" + 1 AS "end", line FROM gtf WHERE feature = 'exon' AND gid IS NOT NULL AND biotype = 'protein_coding'"""),
     "geno": ((), f"SELECT CAST(c AS VARCHAR) AS seqname, string_agg(s, '' ORDER BY n_nationkey) AS seq FROM (SELECT n_nationkey % 3 + 1 AS c, n_nationkey, {' || '.join(_dna(chr(39) + f'n{i}-' + chr(39) + ' || n_nationkey') for i in range(8))} AS s FROM nation) WHERE c < 3 GROUP BY c"),
@@ -443,6 +448,24 @@ def key_counts_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count.key_counts(keys, count.both_mates(synth.first_mates(spark, sf_dir), synth.second_mates(spark, sf_dir)), K)
 
 
+_QUALITY = "(33 + (read_id * 7 + {i} * 3) % 41)"
+
+
+@register(f"""SELECT gid, key, CAST(sum(coalesce(n, 0)) AS BIGINT) AS count FROM {{okey}} LEFT JOIN (
+  SELECT kmer, sum(weight) AS n FROM (SELECT weight, substring(seq, p + 1, {K}) AS kmer FROM (
+    SELECT seq, weight, unnest(range(0, len(seq) - {K} + 1)) AS p FROM (
+      SELECT seq, CAST(floor(list_avg(list_transform(range(0, len(seq)), lambda i: {_QUALITY.format(i='i')} - 33))) AS BIGINT) - 14 AS weight FROM {{r1}}) WHERE weight > 0)) WHERE kmer NOT LIKE '%N%' GROUP BY kmer) USING (kmer) GROUP BY gid, key""")
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of keys in FASTQ reads, each read with a weight from its mean quality, or none."""
+    path = scratch(spark, "fastq")
+    codes = F.transform(F.sequence(F.lit(0), F.char_length("seq") - 1), lambda i: F.char(F.lit(33) + (F.col("read_id") * 7 + i * 3) % 41))
+    record = F.concat(F.lit("@"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.array_join(codes, ""))
+    synth.first_mates(spark, sf_dir).select(record.alias("value")).write.text(path)
+    reads = text.weighed(text.fastq(spark, path), lambda seq, quality: F.floor(dna.mean_quality(quality)) - 14)
+    keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
+    return count.key_counts(keys, reads, K, weight="weight")
+
+
 @register("SELECT kmer, CAST(sum(n) AS BIGINT) AS n FROM (SELECT kmer, 0 AS n FROM {okey} UNION ALL SELECT kmer, 1 FROM {rk} WHERE kmer IN (SELECT kmer FROM {okey})) GROUP BY kmer")
 def exact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = cut(select.selected_keys(_regions(spark, sf_dir), K, M), "keys")
@@ -640,7 +663,10 @@ _CONCAT = """SELECT gid, CAST(row_number() OVER (PARTITION BY gid ORDER BY line,
 
 
 def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.assembled(prepare.with_sequence(_exons(spark, sf_dir), synth.genome(spark, sf_dir)))
+    """The genome is a file, read in blocks."""
+    path = scratch(spark, "genome")
+    text.write_genome(synth.genome(spark, sf_dir), path)
+    return prepare.assembled(prepare.with_sequence(_exons(spark, sf_dir), text.genome_blocks(spark, path, prepare.BLOCK)))
 
 
 @register(_CONCAT)
@@ -648,6 +674,14 @@ def exon_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembled(spark, sf_dir)
 
 
+@register("SELECT seqname, CAST(b AS BIGINT) AS block, substring(seq, b * 100 + 1, 100) AS bases FROM (SELECT seqname, seq, unnest(range(0, (len(seq) + 99) // 100)) AS b FROM {geno})")
+def genome_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chromosomes in blocks that lines of the file do not fit."""
+    path = scratch(spark, "genome")
+    text.write_genome(synth.genome(spark, sf_dir).withColumn("seqname", F.concat("seqname", F.lit(" dna:chromosome x"))), path)
+    return text.genome_blocks(spark, path, 100)
+
+
 @register(f"SELECT gid, '>' || gid || '|' || string_agg(tid, '|' ORDER BY tidx) || chr(10) || string_agg(seq, '|' ORDER BY tidx) AS value FROM ({_CONCAT}) WHERE has_seq GROUP BY gid")
 def gene_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.gene_records(_assembled(spark, sf_dir).filter("has_seq"))

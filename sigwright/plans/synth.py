@@ -76,7 +76,9 @@ def gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     gene = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat(F.lit('gene_id "'), gene_id(), F.lit('"; ')))
     name = F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit('gene_name "'), F.col("p_name"), F.lit('"; ')))
     kind = F.when(F.col("p_partkey") % 7 == 0, "pseudogene").otherwise("protein_coding")
-    extra = F.concat(gene, name, F.lit('transcript_id "T'), "p_partkey", F.lit('"; gene_biotype "'), kind, F.lit('";'))
+    # a name that ends like another, and a value that looks like an attribute
+    other = F.when(F.col("p_partkey") % 17 == 0, 'ref_gene_id "R1"; note "x; gene_id "; ').otherwise("")
+    extra = F.concat(other, gene, name, F.lit('transcript_id "T'), "p_partkey", F.lit('"; gene_biotype "'), kind, F.lit('";'))
     chromosome = F.when(F.col("p_partkey") % 13 == 0, "GL1").otherwise((F.char_length(gene_id()) % 3 + 1).cast("string"))
     strand = F.when(F.char_length(gene_id()) % 2 == 0, "+").otherwise("-")
     feature = F.when((F.col("p_partkey") + F.col("e")) % 4 == 0, "CDS").otherwise("exon")

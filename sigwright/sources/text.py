@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,14 +69,67 @@ def reads(spark: SparkSession, first: Paths, second: Paths | None = None, fastq:
     return one if second is None else one.unionByName(mate(second, 2))
 
 
+def fastq(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(path, record, seq, quality) of FASTQ records, from 0 in each file. Lines of a record meet by its number, as files are
+    split anywhere; readers that need no qualities use ``reads``, which moves nothing."""
+    lines = numbered_lines(spark, paths).filter(F.col("number") % 2 == 1)
+    line = lambda n: F.max(F.when(F.col("number") % 4 == n, F.regexp_replace("value", "\r$", "")))
+    return lines.groupBy("path", F.floor(F.col("number") / 4).alias("record")).agg(line(1).alias("seq"), line(3).alias("quality"))
+
+
+def weighed(records: DataFrame, weigh: Callable[[Column, Column], Column]) -> DataFrame:
+    """records (seq, quality, ...) with the weight that weigh(seq, quality) gives each; a null weight, or one of 0 or less,
+    drops the read. weigh may be made of column functions or be a pandas UDF."""
+    return records.withColumn("weight", weigh(F.col("seq"), F.col("quality"))).filter("weight > 0")
+
+
 def genome(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(seqname, seq) of chromosomes, whose lines may be many; named by the header up to its first blank."""
+    """(seqname, seq) of chromosomes, whose lines may be many; named by the header up to its first blank. A chromosome is
+    one row: for large ones there is genome_blocks."""
     rows = spark.read.option("lineSep", ">").text(paths).filter(F.trim("value") != "")
     head = F.regexp_extract("value", "\\A([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", "\\A[^\r\n]*", ""), "\\s+", "")
     return rows.select(dna.chromosome_name(head).alias("seqname"), body.alias("seq"))
 
 
+def genome_blocks(spark: SparkSession, paths: Paths, size: int = 1 << 16) -> DataFrame:
+    """(seqname, block, bases): each chromosome in blocks of ``size`` bases, from 0, the last one shorter. A chromosome
+    without bases has an empty block 0.
+
+    Files are read line by line wherever Spark splits them; no row ever holds a chromosome. A line's place is the
+    bases before it in its part of the file, and what the parts before have left of its chromosome: of the parts
+    only a row each is gathered.
+    """
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part")).withColumn("at", at)
+    text = F.regexp_replace("value", "\\s+", "")
+    head = F.col("value").startswith(">")
+    name = F.when(head, dna.chromosome_name(F.regexp_replace(F.substr("value", F.lit(2)), "\r$", "")))
+    rows = lines.select("path", "part", "at", name.alias("name"), F.when(head, "").otherwise(text).alias("bases"))
+    in_part = Window.partitionBy("path", "part").orderBy("at")
+    rows = rows.withColumn("section", F.count("name").over(in_part))
+    in_section = Window.partitionBy("path", "part", "section").orderBy("at")
+    size_of = F.char_length("bases").cast("long")
+    rows = rows.withColumns({"name": F.first("name").over(in_section), "before": F.sum(size_of).over(in_section) - size_of})
+    sections = rows.groupBy("path", "part", "section").agg(F.max("name").alias("name"), F.sum(size_of).alias("n"))
+    parts = sections.groupBy("path", "part").agg(F.max(F.struct("section", "name", "n")).alias("last"))
+    in_file = Window.partitionBy("path").orderBy("part")
+    # a run: the part that has the last header so far, and those behind it that have none
+    parts = parts.withColumns({"run": F.count("last.name").over(in_file), "so_far": F.last("last.name", ignorenulls=True).over(in_file)})
+    parts = parts.withColumn("bases_so_far", F.sum("last.n").over(Window.partitionBy("path", "run").orderBy("part")))
+    carried = parts.select("path", "part", F.lag("so_far").over(in_file).alias("from_name"), F.lag("bases_so_far").over(in_file).alias("from_bases"))
+    placed = rows.join(carried, ["path", "part"]).select(
+        F.coalesce("name", "from_name").alias("seqname"), (F.col("before") + F.when(F.col("name").isNull(), F.col("from_bases")).otherwise(0)).alias("offset"), "bases"
+    ).filter("seqname IS NOT NULL")
+    last = F.col("offset") + F.greatest(F.char_length("bases"), F.lit(1)) - 1
+    each = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / size), F.floor(last / size))))
+    begin = F.greatest(F.col("offset"), F.col("block") * size)
+    end = F.least(F.col("offset") + F.char_length("bases"), (F.col("block") + 1) * size)
+    piece = F.substr("bases", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
+    pieces = each.select("seqname", "block", begin.alias("begin"), piece.alias("piece")).filter("piece <> '' OR begin = 0")
+    return pieces.groupBy("seqname", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "piece"))), lambda x: x["piece"]), "").alias("bases"))
+
+
 def parse_gtf(lines: DataFrame) -> DataFrame:
     """Rows of GTF from (line, value): the nine columns, gid, gname, tid, tname and biotype.
 
