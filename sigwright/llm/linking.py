@@ -30,10 +30,14 @@ SET_BLOCK = 256
 def active_buckets(keys: DataFrame) -> DataFrame:
     """(key, id) rows of buckets with two ids or more; of buckets with the same members one stays."""
     keys = keys.select("key", "id").distinct()
+    return keys.join(_different(keys), "key")
+
+
+def _different(keys: DataFrame) -> DataFrame:
+    """(key) of distinct (key, id) rows with two ids or more; of keys with the same ids the least."""
     mark = F.xxhash64("id", F.lit(7)).cast("decimal(38,0)")
     by_key = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("z"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.sum(mark).alias("t"))
-    chosen = by_key.filter("n > 1").groupBy("n", "a", "z", "s", "t").agg(F.min("key").alias("key")).select("key")
-    return keys.join(chosen, "key")
+    return by_key.filter("n > 1").groupBy("n", "a", "z", "s", "t").agg(F.min("key").alias("key")).select("key")
 
 
 def linked_components(buckets: DataFrame | None, sets: DataFrame, num: int, den: int, far: int | None = None) -> DataFrame:
@@ -67,6 +71,8 @@ def linked_components(buckets: DataFrame | None, sets: DataFrame, num: int, den:
     open_ = labels.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 2 AND lo <> hi").select("key", "n")
     left = Cut(labels.join(open_, "key"), "meeting-open").df
     if left.limit(1).count():
+        # sets that share one rare shingle share many: they are compared under one of these
+        left = Cut(left.join(_different(left.select("key", "id").distinct()), "key"), "meeting-different").df
         found = Cut(_compared(left, sets, num, den), "tile-links").df
         roots = connected_components(links.unionByName(found), "a", "b").select(F.col("node").alias("id"), "root")
     keyed_cut.drop()
