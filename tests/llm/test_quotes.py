@@ -62,3 +62,23 @@ def test_query_equals_sql_and_is_native(spark, small):
     df = QUERIES["op2_quotes"](spark, small)
     assert not re.search("Python|Arrow|Pandas|RDDScan", df._jdf.queryExecution().toString())
     same_rows(df, ORACLES["op2_quotes"], small)
+
+
+WRAPPED = [
+    (1, 0, "user", "The first sentence is rather long and goes on. A second one follows it, does it not?\nAnd a third stands on a line of its own."),
+    (1, 1, "user", "Something else entirely. It has nothing to do with the rest."),
+    (1, 2, "assistant", "Bob wrote:\n> The first sentence is rather\n> long and goes on. A second one\n> follows it, does it not?\nYes it does."),
+    (1, 3, "user", "> A second one follows it, does it not? And a\n> third stands on a line of its own.\nGood."),
+    (1, 4, "user", f"{'x' * 400} wrote:\n> It has nothing to do\n> with the rest.\nTrue."),
+    (1, 5, "assistant", "> It has nothing\n\n> to do with the rest.\nnot one passage"),
+    (1, 6, "assistant", ">> Yes it\n>> does.\n> Good.\nfine"),
+]
+
+
+def test_wrapped_quotes_are_found_by_their_sentences(spark, tmp_path):
+    got = run(spark, WRAPPED)
+    assert {t: got[1, t].parent_turn for t in range(7)} == {0: None, 1: None, 2: 0, 3: 0, 4: 1, 5: None, 6: 3}
+    assert got[1, 2].text == "Yes it does." and got[1, 4].text == "True."
+    df = spark.createDataFrame(WRAPPED, KIND)
+    df.coalesce(1).toPandas().to_parquet(tmp_path / "conversations.parquet")
+    same_rows(quotes.link_quotes(df), ORACLES["op2_quotes"], str(tmp_path))
