@@ -1,14 +1,16 @@
 """Mixing sources to target weights (operator 6).
 
-Every document gets a key from a hash of its id; within its source the keys give the order. The hash space is
-cut into ranges, so that prefix sums of token counts need only the documents of one range plus the sums of
-the ranges before it: no task ever holds a whole source. A source's budget is first spent on whole epochs,
+Every document gets a key from a hash of its id, then its size and a hash of its text; within its source the keys give
+the order. The space of keys is cut into ranges, so that prefix sums of token counts need only the documents of one
+range plus the sums of the ranges before it: no task ever holds a whole source, or all documents of one id. A source's budget is first spent on whole epochs,
 then on the documents whose prefix sums lie under what is left; the document at the cut gives the part that
 is still missing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +24,12 @@ MAX_EPOCHS = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Documents aimed at in one range of one source's keys.
 RANGE_ROWS = 20_000
-#: Ranges are prefixes of the hexadecimal key, of so many digits at most.
-MAX_DIGITS = 6
+#: Digits of the part of a key that comes from the id, and of that and the size.
+ID_DIGITS, SIZE_DIGITS = 32, 48
+#: Ranges with so many times RANGE_ROWS documents are cut further.
+HOT = 4
+#: Sources up to which one task sorts their sums.
+FEW_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -32,7 +38,7 @@ def words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size) rows with their targets.
+    """(source, source_size) rows, written before, with their targets.
 
     Sources in code point order, null last, take the weights in turn and share the sum of all sizes. A target
     stops at max_epochs times its source's size; what is above goes to the others by weight until none is
@@ -40,10 +46,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     capped in ascending order of cap / weight, and the level follows from sums over the capped ones before.
     """
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int"))
-    ranked = prefix_sums(sizes, [F.col("source").asc_nulls_last()], {"i": F.lit(1).cast("long")})
+    few = sizes.count() <= FEW_SOURCES
+    ranked = prefix_sums(sizes, [F.col("source").asc_nulls_last()], {"i": F.lit(1).cast("long")}, few)
     ranked = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * max_epochs)
     by_level = [F.col("cap") / F.col("weight"), F.col("i")]
-    steps = prefix_sums(ranked, by_level, {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    steps = prefix_sums(ranked, by_level, {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, few)
     total = ranked.agg(F.sum("source_size").cast("double").alias("size"), F.sum("weight").alias("weight")).first()
     level = (F.lit(total.size) - F.col("cap_before")) / (F.lit(total.weight) - F.col("weight_before"))
     steps = steps.withColumn("level", level).filter(F.col("level") * F.col("weight") <= F.col("cap"))
@@ -54,28 +61,59 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str, source: str, more: tuple[Column, ...] = ()) -> DataFrame:
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    size = words(F.col(text))
+    of_id = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    key = F.concat(of_id, F.lpad(F.lower(F.hex(size)), 16, "0"), F.lpad(F.lower(F.hex(F.xxhash64(text))), 16, "0"))
     # a name that is never null, so that windows and joins by source share one partitioning
     name = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), name.alias("name"), words(F.col(text)).alias("size"), key.alias("key"), *more)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), name.alias("name"), size.alias("size"), key.alias("key"), *more)
+
+
+def _digits(rows: int, range_rows: int) -> int:
+    """Digits that cut so many rows, spread evenly, into ranges."""
+    digits = 0
+    while range_rows * 16**digits < rows:
+        digits += 1
+    return digits
+
+
+def _spans(sized: DataFrame, range_rows: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds span, the prefix of the key that names a row's range: as long as the largest source asks for. Where
+    one id has many documents, its range is cut by whole ids, and then by sizes and texts."""
+    largest = sized.groupBy("name").count().agg(F.max("count")).first()[0] or 0
+    first = F.substring("key", 1, _digits(largest, range_rows))
+    of_id = F.substring("key", 1, ID_DIGITS)
+    limit = HOT * range_rows
+    wide = Cut(sized.groupBy("name", first.alias("first")).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("name", "first"), "mix-wide").df
+    if not wide.limit(1).count():
+        return lambda rows: rows.withColumn("span", first)
+    inside = sized.withColumn("first", first).join(wide, ["name", "first"], "left_semi")
+    ids = Cut(inside.groupBy("name", of_id.alias("of_id")).agg(F.count("*").alias("n")).filter(F.col("n") > limit), "mix-ids").df
+    most = ids.agg(F.max("n")).first()[0] or 0
+    longest = F.substring("key", 1, SIZE_DIGITS + _digits(most, range_rows))
+
+    def cut_up(rows: DataFrame) -> DataFrame:
+        marked = rows.withColumns({"first": first, "of_id": of_id})
+        marked = marked.join(wide.withColumn("wide", F.lit(True)), ["name", "first"], "left").join(ids.select("name", "of_id", F.lit(True).alias("hot")), ["name", "of_id"], "left")
+        return marked.withColumn("span", F.when(F.col("hot"), longest).when(F.col("wide"), F.col("of_id")).otherwise(F.col("first"))).select(*rows.columns, "span")
+
+    return cut_up
 
 
 def _place(rows: DataFrame, sized: DataFrame, weights: tuple[float, ...], max_epochs: int, range_rows: int) -> DataFrame:
     """rows with source_size, target and taken; sized: the same rows, slim and already counted."""
-    digits, span, n = 0, range_rows, sized.count()
-    while span < n and digits < MAX_DIGITS:
-        digits, span = digits + 1, span * 16
-    prefix = F.substring("key", 1, digits)
-    spans = sized.groupBy("name", prefix.alias("span")).agg(F.sum("size").alias("span_size"), F.first("source").alias("source"))
+    cut_up = _spans(sized, range_rows)
+    spans = cut_up(sized).groupBy("name", "span").agg(F.sum("size").alias("span_size"), F.first("source").alias("source"))
     spans = Cut(spans, "mix-spans").df
-    targets = source_targets(spans.groupBy("name").agg(F.sum("span_size").alias("source_size"), F.first("source").alias("source")), weights, max_epochs)
+    sums = Cut(spans.groupBy("name").agg(F.sum("span_size").alias("source_size"), F.first("source").alias("source")), "mix-sources").df
+    targets = source_targets(sums, weights, max_epochs)
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     by_source = Window.partitionBy("name").orderBy("span")
     spans = spans.select("name", "span", (F.sum("span_size").over(by_source) - F.col("span_size")).alias("before")).join(targets, "name")
-    inside = Window.partitionBy("name", "span").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("span", prefix).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("name", "span").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut_up(rows).withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(spans.drop("source"), ["name", "span"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))
     return placed.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))

@@ -76,3 +76,14 @@ def test_words(spark):
 
 def test_query_equals_sql(spark, small):
     same_rows(QUERIES["op6_mixing"](spark, small), ORACLES["op6_mixing"], small)
+
+
+def test_many_documents_without_an_id_are_many_ranges(documents):
+    rows = [(None if i % 3 else i, " ".join(f"w{i}.{k}" for k in range(i * 13 % 40)), "hot" if i % 7 else "cold") for i in range(1200)] + [(None, "one text", "hot")] * 30
+    df = documents(rows).repartition(6)
+    sized = mixing._keyed(df, "doc_id", "text", "source")
+    spans = mixing._spans(sized, 20)(sized).groupBy("name", "span").count().toPandas()["count"]
+    assert spans.max() <= 100 and len(spans) > 30
+    assert Counter(map(tuple, mixing.mix(df, range_rows=20).collect())) == Counter(map(tuple, mixing.mix(df).collect()))
+    few, many = (Counter(map(tuple, mixing.materialise(df, range_rows=n).collect())) for n in (20, 20_000))
+    assert few == many
