@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -57,8 +58,16 @@ def counted_with_statistics(reads: DataFrame, wanted: DataFrame, k: int) -> tupl
     seen, hit = Observation(), Observation()
     counts = kmer_counts(reads, wanted, k, seen=seen).observe(hit, F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
     written = Cut(counts, "kmer-counts").df
-    hits = hit.get["hits"]
-    return written, hits, seen.get["kmers"] - hits
+    hits = _observed(hit, "hits")
+    return written, hits, _observed(seen, "kmers") - hits
+
+
+def _observed(observation: Observation, name: str) -> int:
+    """What was observed; 0 where the optimizer has seen that there are no rows and has left the observation out."""
+    try:
+        return observation.get[name]
+    except Py4JJavaError:
+        return 0
 
 
 def lookup_statistics(reads: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -239,13 +239,10 @@ def split_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""SELECT tid, n, CAST(i AS INTEGER) AS i, substring(seq, o + 1, {K}) AS sample FROM (
-  SELECT tid, n, seq, i, {K // 2 + 1} + i * (CASE WHEN n < {2 * K} THEN 1000000 ELSE (n - {2 * K}) // 19 END) AS o
-  FROM (SELECT tid, left(seq, n) AS seq, n, unnest(range(0, 20)) AS i FROM (SELECT tid, seq, CAST(unnest([1 + substring(tid, 2)::BIGINT % 70, len(seq)]) AS INTEGER) AS n FROM {{tx}}))) WHERE o <= n""")
+  SELECT tid, CAST(len(seq) AS INTEGER) AS n, seq, unnest(range(0, 20)) AS i, {K // 2 + 1} + unnest(range(0, 20)) * ((len(seq) - {2 * K}) // 19) AS o FROM {{tx}})""")
 def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole sequences, and short ones, which have a rule of their own."""
-    short = (1 + F.substr("tid", F.lit(2)).cast("long") % 70).cast("int")
-    both = _tx(spark, sf_dir).select("tid", "seq", F.explode(F.array(short, F.char_length("seq"))).alias("n"))
-    return both.select("tid", "n", F.substr("seq", F.lit(1), F.col("n")).alias("seq")).select("tid", "n", F.posexplode(dna.even_samples(F.col("seq"), K)).alias("i", "sample"))
+    """Whole sequences; shorter ones, which have a rule of their own, are in the tests."""
+    return _tx(spark, sf_dir).select("tid", F.char_length("seq").alias("n"), F.posexplode(dna.even_samples(F.col("seq"), K)).alias("i", "sample"))
 
 
 @register("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, m, CAST(greatest(10, least(50 + (10 - m) * 10, CAST(trunc((p_partkey - 20) / m) AS BIGINT))) AS INTEGER) AS stride FROM (SELECT p_partkey, CAST(unnest([3, 5, 10, 14]) AS INTEGER) AS m FROM part)")
@@ -782,6 +779,28 @@ def framed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("gid", F.col("t.id").alias("tid"), F.col("t.length").alias("length"), F.explode("t.signatures").alias("s")).select("gid", "tid", "s.seq", "length", "s.position")
 
 
+@register("SELECT tid AS id, seq FROM {tx}")
+def framed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of one file, which is read in parts of 16 kB by its index."""
+    framed.register(spark)
+    path = scratch(spark, "ranges")
+    rows = _tx(spark, sf_dir).select(F.col("tid").alias("id"), "seq", *(F.lit(None).cast(kind).alias(name) for name, kind in (("exons", "array<string>"), ("name", "string"), ("variants", "array<string>"))))
+    framed.encoded(rows.coalesce(1), "Transcript").coalesce(1).write.format("framed").option("span", 16 << 10).mode("append").save(path)
+    return framed.decoded(spark.read.format("framed").load(path), "Transcript").select("id", "seq")
+
+
+@register("SELECT s_name AS id, CAST(s_suppkey AS VARCHAR) AS name, CAST(s_nationkey AS VARCHAR) AS seqname, s_acctbal > 0 AS has_seq FROM supplier")
+def single_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that are a file each, without a size before them."""
+    framed.register(spark)
+    path = scratch(spark, "messages")
+    nothing = {name: F.lit(None).cast("array<string>" if kind.startswith("*") else kind.replace("32", "").replace("bool", "boolean")) for name, _, kind in framed.MESSAGES["Gene"]}
+    own = {"id": F.col("s_name"), "name": F.col("s_suppkey").cast("string"), "seqname": F.col("s_nationkey").cast("string"), "has_seq": F.col("s_acctbal") > 0}
+    rows = table(spark, sf_dir, "supplier").select(*(c.alias(name) for name, c in (nothing | own).items()))
+    framed.encoded(rows, "Gene").write.format("framed").option("single", "true").mode("append").save(path)
+    return framed.decoded(framed.read_single(spark, path), "Gene").select("id", "name", "seqname", "has_seq")
+
+
 @register(f"""SELECT tid, CAST(length AS INTEGER) AS length, CAST(format('{{:.5e}}', est_reads) AS DOUBLE) AS est_reads, CAST(format('{{:.5e}}', CASE WHEN s > 0 THEN est_reads / (length / 1000.0) / (s / 1e6) ELSE 0 END) AS DOUBLE) AS rpkm,
   CAST(format('{{:.5e}}', CASE WHEN d > 0 THEN est_reads / length / d * 1e6 ELSE 0 END) AS DOUBLE) AS tpm
 FROM (SELECT *, sum(est_reads) OVER () AS s, sum(est_reads / length) OVER () AS d FROM (

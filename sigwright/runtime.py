@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import logging
 import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 
 log = logging.getLogger("sigwright")
 
@@ -41,15 +43,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def removed_at_exit(spark: SparkSession, path: str) -> None:
-    """Has a path, which must be there, removed when the driver ends."""
-    for name in (path, f"/tmp/checkpoints/{spark.sparkContext.applicationId}"):
+    """Has a path, which must be there, removed when the driver ends; the folder of a local run too."""
+    own = [] if spark.conf.get("spark.checkpoint.dir", None) else [shared_dir(spark)]
+    for name in (path, *own):
         where = spark._jvm.org.apache.hadoop.fs.Path(name)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has; its date tells ``sweep`` how old it is."""
+    return f"{shared_dir(spark)}/{name}-{datetime.date.today():%Y%m%d}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession, days: int = 7) -> int:
+    """Removes what sessions that ended without cleaning up have left in the shared folder ``days`` ago or earlier; returns
+    how many folders went."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    limit, gone = f"{datetime.date.today() - datetime.timedelta(days):%Y%m%d}", 0
+    for status in files.listStatus(path) if files.exists(path) else ():
+        dated = re.fullmatch(r".+-(\d{8})-[0-9a-f]{32}", status.getPath().getName())
+        if dated and dated[1] <= limit:
+            gone += bool(files.delete(status.getPath(), True))
+    return gone
+
+
+_owners: list[Owner] = []
+
+
+class Owner:
+    """``with Owner(): ...`` removes, at its end, all cuts that were made inside. For long sessions: run a query and write its
+    result inside, and nothing of it stays in the shared folder."""
+
+    def __init__(self):
+        self.cuts: list[Cut] = []
+
+    def __enter__(self) -> Owner:
+        _owners.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owners.remove(self)
+        self.close()
+
+    def close(self) -> None:
+        while self.cuts:
+            self.cuts.pop().drop()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _fresh(spark, name)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
     removed_at_exit(spark, path)
@@ -65,8 +109,10 @@ class Cut:
 
     def __init__(self, df: DataFrame, name: str = "cut"):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = _fresh(self.spark, name)
         df.write.parquet(self.path)
+        for owner in _owners[-1:]:
+            owner.cuts.append(self)
         removed_at_exit(self.spark, self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -112,3 +158,28 @@ def release_memory() -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to: it does so when the driver collects them."""
     spark._jvm.System.gc()
+
+
+class Progress(StreamingQueryListener):
+    """Logs each batch of each stream: its number, rows, and what the plan observes (``DataFrame.observe``)."""
+
+    def onQueryStarted(self, event) -> None:
+        log.info("stream %s started", event.name or event.id)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen = {name: row.asDict() for name, row in p.observedMetrics.items()}
+        log.info("stream %s, batch %d: %d rows %s", p.name or p.id, p.batchId, p.numInputRows, seen)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        log.info("stream %s ended %s", event.id, event.exception or "")
+
+
+def watch(spark: SparkSession) -> Progress:
+    """Logs the progress of all streams of a session from now on; spark.streams.removeListener ends it."""
+    listener = Progress()
+    spark.streams.addListener(listener)
+    return listener

@@ -3,6 +3,10 @@
 ``register(spark)`` makes the format ``framed``. Rows hold the encoded message in ``body``; ``decoded`` and
 ``encoded`` turn bodies into columns and back. Files are reached through pyarrow's file systems (local, HDFS, S3
 and what else has a URI there); ``read_binary`` reads whatever Spark itself reads.
+
+A frame tells nothing of where another one begins, so a file alone can't be split. Beside each larger file lies an index
+of places at which frames begin; the parts between them are tasks of their own. Saving writes it, ``add_indexes`` makes it for
+files that come from elsewhere.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from sigwright.runtime import Cut
+
 #: Messages: field name, number, type ("*" repeated, capital: another message). Fixed values of the format.
 MESSAGES = {
     "Variant": (("abs_pos", 1, "int32"), ("rel_pos", 2, "int32"), ("ref_chr", 3, "string"), ("all_chr", 4, "string")),
@@ -91,8 +97,8 @@ def frames(data: bytes, limit: int | None = None, damaged: str = "raise") -> Ite
     return _frames(io.BytesIO(data), limit, damaged)
 
 
-def _frames(file, limit: int | None, damaged: str) -> Iterator[bytes]:
-    while head := file.read(4):
+def _frames(file, limit: int | None, damaged: str, until: int | None = None) -> Iterator[bytes]:
+    while (until is None or file.tell() < until) and (head := file.read(4)):
         size = struct.unpack("<i", head)[0] if len(head) == 4 else -1
         body = file.read(size) if size >= 0 and (limit is None or size <= limit) else b""
         if size < 0 or len(body) < size:
@@ -114,9 +120,36 @@ def _located(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+#: Bytes of the parts that a file is read in, at least.
+SPAN = 32 << 20
+
+
+def _index_of(path: str) -> str:
+    """The place of a file's index; Spark's readers pass over names like this."""
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/_{name}.index"
+
+
+def _write_index(files, path: str, size: int, starts: list[int]) -> None:
+    with files.open_output_stream(_index_of(path)) as f:
+        f.write(struct.pack(f"<{len(starts) + 1}q", size, *starts))
+
+
+def _listed(path: str) -> list[tuple[str, int]]:
+    """(path, size) of a framed file or of those in a folder."""
+    from pyarrow import fs
+
+    files, where = _located(path)
+    info = files.get_file_info(where)
+    if info.type != fs.FileType.Directory:
+        return [(where, info.size)]
+    return sorted((x.path, x.size) for x in files.get_file_info(fs.FileSelector(where)) if x.path.endswith(".framed"))
+
+
 class FramedSource(DataSource):
     """format("framed"): load(path) gives (path, body); save(path) writes one file a task. Options: limit, the bytes
-    of the longest message; damaged, raise (the default) or stop."""
+    of the longest message; damaged, raise (the default) or stop; span, the bytes of a part, when saving; single, to save each
+    message as a file without a size before it."""
 
     @classmethod
     def name(cls) -> str:
@@ -129,7 +162,19 @@ class FramedSource(DataSource):
         return FramedReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return FramedWriter(self.options["path"], overwrite)
+        return FramedWriter(self.options["path"], overwrite, int(self.options.get("span", SPAN)), self.options.get("single", "false") == "true")
+
+
+@dataclass
+class Part(InputPartition):
+    """Frames of a file that begin from start on and before end; the whole file where end is None."""
+
+    path: str
+    start: int = 0
+    end: int | None = None
+
+    def __post_init__(self):
+        self.value = self.path
 
 
 class FramedReader(DataSourceReader):
@@ -141,50 +186,77 @@ class FramedReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        files, where = _located(self.path)
-        if files.get_file_info(where).type == fs.FileType.Directory:
-            found = sorted(x.path for x in files.get_file_info(fs.FileSelector(where)) if x.path.endswith(".framed"))
-        else:
-            found = [where]
-        return [InputPartition(f) for f in found]
+        files, _ = _located(self.path)
+        out = []
+        for path, size in _listed(self.path):
+            starts = None
+            if size >= 8 and files.get_file_info(_index_of(path)).type == fs.FileType.File:
+                with files.open_input_stream(_index_of(path)) as f:
+                    raw = f.read()
+                whole, *starts = struct.unpack(f"<{len(raw) // 8}q", raw)
+                # an index of another state of the file says nothing
+                starts = starts if whole == size else None
+            out += [Part(path, a, b) for a, b in zip(starts, [*starts[1:], size], strict=True)] if starts else [Part(path)]
+        return out
 
     def read(self, partition):
         files, _ = _located(self.path)
-        with files.open_input_stream(partition.value) as f:
-            for body in _frames(f, self.limit, self.damaged):
-                yield partition.value, body
+        if partition.end is None:
+            with files.open_input_stream(partition.path) as f:
+                for body in _frames(f, self.limit, self.damaged):
+                    yield partition.path, body
+            return
+        with files.open_input_file(partition.path) as f:
+            f.seek(partition.start)
+            for body in _frames(f, self.limit, self.damaged, partition.end):
+                yield partition.path, body
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str
+    names: list[str]
 
 
 class FramedWriter(DataSourceWriter):
     """Each attempt of a task writes a file of its own into a folder for this save; commit moves the files of the
     attempts that Spark names into place, and what else lies there goes."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite, self.stage = path.rstrip("/"), overwrite, f"_staged-{uuid.uuid4().hex}"
+    def __init__(self, path: str, overwrite: bool, span: int = SPAN, single: bool = False):
+        self.path, self.overwrite, self.stage, self.span, self.single = path.rstrip("/"), overwrite, f"_staged-{uuid.uuid4().hex}", span, single
 
     def write(self, rows) -> WriterCommitMessage:
         files, where = _located(self.path)
-        name = f"{uuid.uuid4().hex}.framed"
         files.create_dir(f"{where}/{self.stage}", recursive=True)
-        with files.open_output_stream(f"{where}/{self.stage}/{name}") as f:
+        place = lambda name: f"{where}/{self.stage}/{name}"
+        if self.single:
+            names = []
+            for row in rows:
+                names.append(f"{uuid.uuid4().hex}.message")
+                with files.open_output_stream(place(names[-1])) as f:
+                    f.write(bytes(row.body))
+            return Written(names)
+        name, at, starts = f"{uuid.uuid4().hex}.framed", 0, [0]
+        with files.open_output_stream(place(name)) as f:
             for row in rows:
+                if at - starts[-1] >= self.span:
+                    starts.append(at)
                 f.write(struct.pack("<i", len(row.body)) + bytes(row.body))
-        return Written(name)
+                at += 4 + len(row.body)
+        if len(starts) == 1:
+            return Written([name])
+        _write_index(files, place(name), at, starts)
+        return Written([f"_{name}.index", name])
 
     def commit(self, messages) -> None:
         from pyarrow import fs
 
         files, where = _located(self.path)
         files.create_dir(where, recursive=True)
-        before = [x.path for x in files.get_file_info(fs.FileSelector(where)) if x.path.endswith(".framed")] if self.overwrite else []
+        ours = (".framed", ".framed.index", ".message")
+        before = [x.path for x in files.get_file_info(fs.FileSelector(where)) if x.path.endswith(ours)] if self.overwrite else []
         for message in messages:
-            if message is not None:
-                files.move(f"{where}/{self.stage}/{message.name}", f"{where}/{message.name}")
+            for name in message.names if message is not None else ():
+                files.move(f"{where}/{self.stage}/{name}", f"{where}/{name}")
         for old in before:
             files.delete_file(old)
         self._clear(files, where)
@@ -199,6 +271,32 @@ class FramedWriter(DataSourceWriter):
             files.delete_dir(f"{where}/{self.stage}")
 
 
+def add_indexes(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
+    """(path, parts) of the framed files below path, each of which has an index from now on: a task a file goes from frame to
+    frame and reads sizes only. A damaged frame ends the last part, for reading to find."""
+    found = [(name, size) for name, size in _listed(path) if size > span]
+    files = spark.createDataFrame(found, "path string, size long").repartition(max(1, len(found)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, _ = _located(path)
+                at, starts = 0, [0]
+                with store.open_input_file(name) as f:
+                    while at + 4 <= size:
+                        f.seek(at)
+                        (body,) = struct.unpack("<i", f.read(4))
+                        if body < 0 or at + 4 + body > size:
+                            break
+                        if at - starts[-1] >= span:
+                            starts.append(at)
+                        at += 4 + body
+                _write_index(store, name, size, starts)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(starts)], pa.int64())], names=["path", "parts"])
+
+    return Cut(files.mapInArrow(scan, "path string, parts long"), "framed-indexes").df
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FramedSource)
 

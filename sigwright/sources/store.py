@@ -49,9 +49,10 @@ def remembered(spark: SparkSession, name: str, version: int, make: Callable[[],
     folder = folder or f"{shared_dir(spark)}/remembered"
     path = lambda v: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}-{v}")
     files = path(version).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(path(version - 1), True)
     if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}-{version}/_SUCCESS")):
         make().write.mode("overwrite").parquet(path(version).toString())
+    # only now is there something in its place
+    files.delete(path(version - 1), True)
     return spark.read.parquet(path(version).toString())
 
 

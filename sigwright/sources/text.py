@@ -138,7 +138,7 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
     """
     parts = F.split(F.regexp_replace("value", "\\s+\\z", ""), "\t")
     rows = lines.filter(~F.col("value").startswith("#")).withColumn("p", parts).filter(F.size("p") == 9)
-    p = [F.col("p")[i] for i in range(9)]
+    p = [F.get("p", F.lit(i)) for i in range(9)]
     gid, tid = dna.gtf_attribute(p[8], "gene_id"), dna.gtf_attribute(p[8], "transcript_id")
     return rows.select(
         "line", p[0].alias("seqname"), p[1].alias("source"), p[2].alias("feature"), p[3].try_cast("int").alias("start"), p[4].try_cast("int").alias("end"), p[5].alias("score"), p[6].alias("strand"), p[7].alias("frame"), p[8].alias("extra"),

@@ -23,7 +23,9 @@ from sigwright.streaming.batches import BatchSink, latest
 def running_counts(reads: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     """(kmer, n) of a stream of reads (seq): a join with the fixed keys, then a count kept as state."""
     wanted = oriented_keys(keys).select("kmer").distinct()
-    return read_kmers(reads, k).join(wanted, "kmer").groupBy("kmer").agg(F.count("*").alias("n"))
+    found = read_kmers(reads, k).observe("lookups", F.count(F.lit(1)).alias("kmers"))
+    hits = found.join(wanted, "kmer").observe("found", F.count(F.lit(1)).alias("hits"))
+    return hits.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def key_totals(keys: DataFrame, counted: DataFrame) -> DataFrame:

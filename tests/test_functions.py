@@ -105,3 +105,25 @@ def test_bloom_sizes_and_filter(spark):
 def test_scaling_without_reads(spark):
     got = spark.range(1).select(dna.rpkm(F.lit(0.0), F.lit(100), F.lit(0.0)).alias("r"), dna.tpm(F.lit(0.0), F.lit(100), F.lit(0.0)).alias("t")).first()
     assert tuple(got) == (0, 0)
+
+
+def test_attributes_by_their_exact_names(spark):
+    texts = {
+        'ref_gene_id "X"; gene_id "Y";': "Y",
+        'gene_id "a b;c"; other "1"': "a b;c",
+        'note "x; gene_id "; gene_id "Z";': "Z",
+        'gene_id 5; gene_id "later"': None,
+        'gene_id "";': None,
+        'exon_number 3; gene_id "G"': "G",
+        'gene_id  "T";gene_name "n"': "T",
+        "": None,
+        'gene_idx "Q"; xgene_id "R"': None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "extra string")
+    got = {r.extra: r.v for r in df.select("extra", dna.gtf_attribute(F.col("extra"), "gene_id").alias("v")).collect()}
+    assert got == texts
+
+
+def test_mean_quality(spark):
+    df = spark.createDataFrame([("!",), ("I5!",), ("",), (None,)], "q string")
+    assert [r[0] for r in df.coalesce(1).select(dna.mean_quality(F.col("q"))).collect()] == [0.0, (40 + 20 + 0) / 3, None, None]

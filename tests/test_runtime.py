@@ -1,6 +1,7 @@
 import os
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,47 @@ def test_prefix_sums(spark, n):
     got = prefix_sums(rows, [F.col("v").desc(), F.col("x")], {"before": F.col("x"), "place": F.lit(1)}).collect()
     order = sorted(((i * 37 % 50, i % 3) for i in range(n)), key=lambda r: (-r[1], r[0]))
     assert sorted((r.place, r.x, r.v, r.before) for r in got) == [(i, x, v, sum(y for y, _ in order[:i])) for i, (x, v) in enumerate(order)]
+
+
+def test_an_owner_removes_what_was_cut_inside(spark):
+    before = runtime.Cut(spark.range(2), "outside")
+    with runtime.Owner() as outer:
+        one = runtime.Cut(spark.range(3), "inside")
+        with runtime.Owner():
+            two = runtime.cut(spark.range(4), "deeper")
+            assert two.count() == 4
+        assert one.df.count() == 3 and len(outer.cuts) == 1
+    assert before.df.count() == 2
+    for gone in (one.df, two):
+        with pytest.raises(Exception, match="(?i)exist|not found"):
+            gone.collect()
+
+
+def test_what_is_old_is_swept(spark):
+    from pathlib import Path
+
+    kept = runtime.Cut(spark.range(2), "young")
+    folder = Path(runtime.shared_dir(spark))
+    old = folder / ("crashed-20200101-" + "a" * 32)
+    old.mkdir()
+    (folder / "mine").mkdir(exist_ok=True)
+    assert runtime.sweep(spark, 7) == 1 and not old.exists() and (folder / "mine").exists()
+    assert kept.df.count() == 2
+
+
+def test_streams_are_logged(spark, tmp_path, caplog):
+    from sigwright.streaming.counts import CountJob
+
+    spark.createDataFrame([("ATCGATCG",), ("TTTT",)], "seq string").write.parquet(str(tmp_path / "in"))
+    listener = runtime.watch(spark)
+    try:
+        with caplog.at_level("INFO", logger="sigwright"):
+            job = CountJob(spark.readStream.schema("seq string").parquet(str(tmp_path / "in")), spark.createDataFrame([("g", "ATCG")], "gid string, key string"), 4)
+            job.finish()
+            for _ in range(50):
+                if any("'hits': 3" in m for m in caplog.messages):
+                    break
+                time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert any("'kmers': 6" in m and "'hits': 3" in m for m in caplog.messages)

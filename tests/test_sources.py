@@ -1,8 +1,11 @@
 import gzip
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sigwright.functions import dna
 from sigwright.operators import prepare
 from sigwright.sources import framed, store, text
 from sigwright.streaming.counts import CountJob, EstimateJob
@@ -196,3 +199,100 @@ def test_a_stream_that_goes_on_is_not_final(spark, tmp_path):
     with pytest.raises(TimeoutError):
         job.finish(2)
     job.query.stop()
+
+
+def test_a_large_file_is_read_in_parts(spark, tmp_path):
+    framed.register(spark)
+    path, span = str(tmp_path / "f"), 1 << 20
+    bodies = spark.range(4000).select(F.concat(F.repeat(F.col("id").cast("string"), 3000 + (F.col("id") % 7).cast("int")), F.lit("x")).cast("binary").alias("body"))
+    bodies.coalesce(1).write.format("framed").option("span", span).mode("append").save(path)
+    (file,) = (tmp_path / "f").glob("*.framed")
+    assert file.stat().st_size > 40 * span
+    digest = lambda df: sorted(r[0] for r in df.select(F.sha2("body", 256)).collect())
+    want = digest(bodies)
+    parts = spark.read.format("framed").load(path)
+    assert parts.rdd.getNumPartitions() > 30 and digest(parts) == want
+    most = parts.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("body")).alias("n")).agg(F.max("n")).first()[0]
+    assert most < 2 * span
+    assert digest(framed.read_binary(spark, path)) == want
+    # an index of another state of the file is not believed
+    with open(file, "ab") as f:
+        f.write(framed.framed([b"more"]))
+    again = spark.read.format("framed").load(path)
+    assert again.rdd.getNumPartitions() == 1 and again.count() == 4001
+    made = framed.add_indexes(spark, path, 4 * span).collect()
+    assert [r.path for r in made] == [str(file)] and 8 < made[0].parts < 14
+    anew = spark.read.format("framed").load(path)
+    assert anew.rdd.getNumPartitions() == made[0].parts and anew.count() == 4001
+    bodies.limit(2).write.format("framed").mode("overwrite").save(path)
+    assert spark.read.format("framed").load(path).count() == 2 and not list((tmp_path / "f").glob("_*.index"))
+
+
+def test_single_messages_are_files(spark, tmp_path):
+    framed.register(spark)
+    spark.range(5).select(F.concat(F.lit("m"), "id").cast("binary").alias("body")).write.format("framed").option("single", "true").mode("append").save(str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").iterdir())) == 5
+    assert sorted(bytes(r.body) for r in framed.read_single(spark, str(tmp_path / "m")).collect()) == [b"m0", b"m1", b"m2", b"m3", b"m4"]
+
+
+def test_genome_blocks_of_files_that_are_cut_anywhere(spark, tmp_path):
+    r = random.Random(8)
+    dna_of = lambda n: "".join(r.choice("ACGTN") for _ in range(n))
+    names = [("1", 5000), ("2", 0), ("3", 1), ("4", 777), ("5", 12_345), ("6", 64)]
+    want, texts = {}, ["", "", "junk before any header\n"]
+    for i, (name, n) in enumerate(names):
+        seq = dna_of(n)
+        want[name] = seq
+        width, end = (60, 61, 1, 70, 1000, 64)[i], "\r\n" if i == 3 else "\n"
+        texts[i % 3] += f">{name} dna:x{end}" + "".join(seq[k : k + width] + end for k in range(0, n, width)) + ("\n" if i == 2 else "")
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.fa").write_bytes(t.encode())
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for part, size in (("900", 100), ("150", 64), ("10000000", 5000)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+        try:
+            blocks = text.genome_blocks(spark, str(tmp_path), size).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        got = {(b.seqname, b.block): b.bases for b in blocks}
+        assert got == {(n, k // size): s[k : k + size] for n, s in want.items() for k in range(0, max(1, len(s)), size)}
+
+
+def test_exons_of_a_chromosome_in_blocks(spark, tmp_path):
+    r = random.Random(9)
+    seq = "".join(r.choice("ACGT") for _ in range(3 * prepare.BLOCK + 17))
+    (tmp_path / "g.fa").write_text(">c x\n" + "\n".join(seq[i : i + 60] for i in range(0, len(seq), 60)) + "\n>e\n")
+    places = [(1, 10), (prepare.BLOCK - 5, prepare.BLOCK + 5), (100, 3 * prepare.BLOCK), (len(seq) - 3, len(seq) + 50), (len(seq) + 9, len(seq) + 12)]
+    exons = spark.createDataFrame([("c", a, b, i) for i, (a, b) in enumerate(places)] + [("e", 1, 5, 90), ("no", 1, 5, 91)], "seqname string, start int, end int, line long")
+    got = {x.line: (x.seq, x.has_seq) for x in prepare.with_sequence(exons, text.genome_blocks(spark, str(tmp_path / "g.fa"), prepare.BLOCK)).collect()}
+    assert got == {i: (seq[a - 1 : b - 1], True) for i, (a, b) in enumerate(places)} | {90: ("", True), 91: (None, False)}
+
+
+def test_qualities_weigh_reads(spark, tmp_path):
+    rows = [("ACGTA", "IIIII"), ("ACGTA", "!!!!!"), ("GGGGG", "+5?I@"), ("", ""), ("TTTTT", "@+@+@")]
+    (tmp_path / "a.fq").write_text("".join(f"@r{i}\n{s}\r\n+\n{q}\r\n" for i, (s, q) in enumerate(rows)))
+    found = text.fastq(spark, str(tmp_path / "a.fq"))
+    assert sorted((r.record, r.seq, r.quality) for r in found.collect()) == [(i, s, q) for i, (s, q) in enumerate(rows)]
+    good = text.weighed(found, lambda seq, quality: F.when(dna.mean_quality(quality) >= 15, 2))
+    assert sorted((r.seq, r.weight) for r in good.collect()) == [("ACGTA", 2), ("GGGGG", 2), ("TTTTT", 2)]
+
+    @F.pandas_udf("double")
+    def share_of_good(quality: pd.Series) -> pd.Series:
+        return quality.map(lambda q: sum(c >= "5" for c in q) / max(1, len(q)))
+
+    weighed = text.weighed(found, lambda seq, quality: share_of_good(quality))
+    keys = spark.createDataFrame([("g", "ACG"), ("g", "GGG"), ("g", "AAA")], "gid string, key string")
+    got = {r.key: r["count"] for r in count.key_counts(keys, weighed, 3, weight="weight").collect()}
+    # TTT is the complement of AAA; a palindrome-like run counts for each equal orientation
+    plain = {r.key: r["count"] for r in count.key_counts(keys, weighed.select("seq"), 3).collect()}
+    assert got["ACG"] == pytest.approx(plain["ACG"] * 1.0) and got["GGG"] == pytest.approx(plain["GGG"] * 0.8) and got["AAA"] == pytest.approx(plain["AAA"] * 0.6)
+
+
+def test_lookups_are_observed_while_counting(spark, monkeypatch):
+    reads = spark.createDataFrame([("ACGTACGT",), ("TTTTTT",), ("ACNGT",)], "seq string").repartition(3)
+    wanted = spark.createDataFrame([("ACGT",), ("GGGG",)], "kmer string")
+    for bound in (1 << 20, 0):
+        monkeypatch.setattr(count, "_BROADCAST_BYTES", bound)
+        counts, hits, misses = count.counted_with_statistics(reads, wanted, 4)
+        assert {tuple(r) for r in counts.collect()} == {("ACGT", 2)} and (hits, misses) == (2, 6)
+        assert [tuple(r) for r in count.lookup_statistics(reads.limit(0), wanted, 4).collect()] == [(0, 0)]
