@@ -128,3 +128,62 @@ def test_driver_labels(spark):
     assert sum(r.predicted == labels[r.doc_id].toxic for r in toxic) >= 0.9 * len(toxic)
     kept = [r for r in QUERIES["op3_quality"](spark, folder).collect() if r.doc_id in labels]
     assert sum(r.keep == labels[r.doc_id].quality for r in kept) >= 0.98 * len(kept)
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.02, 0.2, 0.5])
+def test_priors_are_fitted_by_moments(spark, spread):
+    """Groups around a mean: pseudo-documents by the written formula, over plain numbers."""
+    r = random.Random(int(spread * 100))
+    groups = []
+    for _ in range(200):
+        centre = min(0.98, max(0.02, 0.6 + spread * r.uniform(-1, 1)))
+        groups.append([min(1.0, max(0.0, centre + r.uniform(-0.02, 0.02))) for _ in range(r.choice([1, 2, 3, 50]))])
+    unit = quality.UNIT
+    rows = [(len(g), sum(round(p * unit) for p in g), sum(round(round(p * unit) ** 2 / unit) for p in g)) for g in groups]
+    mean = sum(map(sum, groups)) / sum(map(len, groups))
+    total = weight = 0.0
+    for g in groups:
+        if len(g) > 1:
+            m = sum(g) / len(g)
+            noise = max(0.0, sum(p * p for p in g) / len(g) - m * m) / len(g)
+            total += len(g) * ((m - mean) ** 2 - noise)
+            weight += len(g)
+    want = quality.MOST_PRIOR if total <= 0 else min(quality.MOST_PRIOR, max(quality.LEAST_PRIOR, mean * (1 - mean) / (total / weight) - 1))
+    got = quality._prior_rows(spark.createDataFrame(rows, "n long, s long, q long"), mean)
+    assert got == pytest.approx(want, rel=1e-3)
+
+
+def test_posteriors_equal_a_loop(spark, documents):
+    """All documents of many sites, sparse ones among them, with the fitted priors: the hierarchy over plain numbers, given the
+    evidence."""
+    rows, labels = corpus(300)
+    r = random.Random(5)
+    sited = [(i, t, r.choice(["a", "b", f"s{i % 40}", None])) for i, t in rows]
+    got = {x.doc_id: x for x in quality.judge(documents(sited), spark.createDataFrame(labels, LABELS), path=quality.F.substring("text", 1, 1)).collect()}
+    p = {i: x.evidence for i, x in got.items()}
+    host = {i: s for i, _, s in sited}
+    path = {i: (s, t[:1]) for i, t, s in sited}
+    mean = (sum(p.values()) + 0.5) / (len(p) + 1)
+
+    def pseudo(site):
+        groups = {}
+        for i, s in site.items():
+            groups.setdefault(s, []).append(p[i])
+        total = weight = 0.0
+        for g in groups.values():
+            if len(g) > 1:
+                m = sum(g) / len(g)
+                total += len(g) * ((m - mean) ** 2 - max(0.0, sum(x * x for x in g) / len(g) - m * m) / len(g))
+                weight += len(g)
+        return quality.MOST_PRIOR if total <= 0 else min(quality.MOST_PRIOR, max(quality.LEAST_PRIOR, mean * (1 - mean) / (total / weight) - 1))
+
+    of_host, of_path = pseudo(host), pseudo(path)
+    logit = lambda x: math.log(min(1 - 1e-6, max(1e-6, x)) / (1 - min(1 - 1e-6, max(1e-6, x))))
+    for i in p:
+        same = [p[j] for j in p if j != i and host[j] == host[i]]
+        above = (of_host * mean + sum(same)) / (of_host + len(same))
+        near = [p[j] for j in p if j != i and path[j] == path[i]]
+        site = (of_path * above + sum(near)) / (of_path + len(near))
+        score = 1 / (1 + math.exp(-(logit(p[i]) + logit(site) - math.log(mean / (1 - mean)))))
+        assert (got[i].host_posterior, got[i].path_posterior) == pytest.approx((above, site), rel=2e-3)
+        assert got[i].score == pytest.approx(score, abs=5e-3)
