@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sigwright.functions import bloom, dna
 from sigwright.operators import count, estimate, index, kmers, prepare, select, similarity
+from sigwright.operators.ranges import prefix_sums
 from sigwright.options import ClusterOptions, EstimateOptions, SelectOptions
 from sigwright.plans import synth
 from sigwright.plans.stages import Keys, build_keys
@@ -813,6 +814,26 @@ def abundance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="tid string, length int, est_reads double, rpkm double, tpm double")
 
 
+@register("SELECT row_number() OVER (ORDER BY tid) - 1 AS place, tid FROM {tx}")
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lines in the order of its files: by transcript id."""
+    path = scratch(spark, "report")
+    rows = _tx(spark, sf_dir).select("tid", F.char_length("seq").alias("length"), *(F.lit(0.0).alias(c) for c in ("est_reads", "rpkm", "tpm")))
+    text.write_abundance(rows, path)
+    lines = prefix_sums(text.numbered_lines(spark, path), [F.col("path"), F.col("number")], {"place": F.lit(1).cast("long")})
+    return lines.select("place", F.split("value", "\t")[0].alias("tid"))
+
+
+@register("SELECT replace(gid, ' ', '_') AS gid, CAST(count(*) AS INTEGER) AS n_ids, CAST(count(*) + 1 AS INTEGER) AS n_seqs FROM {tx} GROUP BY gid HAVING count(*) % 2 = 0")
+def uneven_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes with an even number of transcripts get a sequence too many; a scan finds them."""
+    path = scratch(spark, "uneven")
+    records = text.gene_records(_unspaced(_tx(spark, sf_dir)))
+    more = F.when(F.size(F.split(F.substring_index("value", "\n", 1), "[|]")) % 2 == 1, F.concat("value", F.lit("|ACGT"))).otherwise(F.col("value"))
+    records.select(more.alias("value")).write.text(path)
+    return text.uneven_records(spark, path)
+
+
 @register("SELECT gid, tidx, position, n_windows FROM {reg}")
 def remembered_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made once, then read: the second call would raise if it made them again."""

@@ -24,6 +24,12 @@ def fasta(spark: SparkSession, paths: Paths, least: int = 3) -> DataFrame:
     return rows.select(F.get(parts, F.lit(0)).alias("header"), F.get(parts, F.lit(1)).alias("seq")).filter(F.char_length("seq") >= least)
 
 
+def uneven_records(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(gid, n_ids, n_seqs) of multi-transcript records that have more or fewer ids than sequences: what ``genes`` raises for."""
+    ids, seqs = dna.split_record(F.col("header")), dna.split_record(F.col("seq"))
+    return fasta(spark, paths).select(F.get(ids, F.lit(0)).alias("gid"), (F.size(ids) - 1).alias("n_ids"), F.size(seqs).alias("n_seqs")).filter("n_ids <> n_seqs")
+
+
 def genes(spark: SparkSession, paths: Paths) -> DataFrame:
     """(idx, gid, tids, seqs) of multi-transcript records ``>gid|tid|tid`` and ``seq|seq``.
 
