@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigwright.llm.kept import Kept
 from sigwright.llm.shingles import text_slices
 from sigwright.runtime import Cut, release_memory
 
 MARK = "▁"
-#: Chunks in one generation of a task's cache; it holds two, and what is met again stays. Longer chunks are not kept.
-CACHE_ENTRIES = 100_000
+#: Chunks in one generation of a worker's cache; it holds two, and what is met again stays. Longer chunks are not kept.
+CACHE_ENTRIES = 200_000
 CACHED_CHARS = 64
 #: Characters of a text that are encoded at once: longer texts are cut at the next place where they may be.
 PART_CHARS = 1 << 20
@@ -206,6 +207,18 @@ class Aligner:
             return [known[w] if w in known else made[w] for w in words]
 
 
+_aligners = Kept()
+
+
+def worker_aligner(byte_model: str, piece_model: bytes) -> Aligner:
+    """One aligner for each worker process."""
+    return _aligners.get((hash(byte_model), hash(piece_model)), lambda: Aligner(byte_model, piece_model))
+
+
+def rest() -> None:
+    _aligners.rest()
+
+
 def _aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str, keep: tuple[str, ...]) -> DataFrame:
     """``keep``, row (a number for each row), n_a, n_b, n_groups, n_links, groups_sha256, pairs and times of every row."""
     spark = docs.sparkSession
@@ -219,7 +232,8 @@ def _aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str, keep:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        aligner, row = Aligner(*models.value), TaskContext.get().partitionId() << 33
+        aligner = worker_aligner(*models.value)
+        row = TaskContext.get().partitionId() << 33
         for batch in text_slices(batches, len(keep), 1 << 20):
             found = aligner.align(batch.column(len(keep)).to_pylist())
             n = len(found)
@@ -229,7 +243,7 @@ def _aligned(docs: DataFrame, byte_path: str, piece_path: str, text: str, keep:
             columns += [pa.array([x[3] for x in found], pa.string()), pa.ListArray.from_arrays(ends, pa.array(pairs, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))]
             row += n
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=schema.names)
-        release_memory()
+        rest()
 
     return source.mapInArrow(run, schema)
 
