@@ -6,6 +6,7 @@ and read again, so none repeats the work before it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,25 @@ from pyspark.sql import functions as F
 
 from sigwright.llm import mixing, neardup, pieces, substrings, toxicity
 from sigwright.llm.queries import tokenizer_path
-from sigwright.runtime import Cut, table
+from sigwright.runtime import Cut, release_memory, release_shuffles, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def lean(stage: Stage) -> Stage:
+    """A stage that begins by letting go what stages before it have left in the driver: plans that nothing refers to any
+    more, with their shuffle files, and memory."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_memory()
+        release_shuffles(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@lean
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from the labels outside the held-out fold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -24,21 +41,25 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
+@lean
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     return neardup.first_of_each(docs)
 
 
+@lean
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that another document keeps are cut out; n_chars follows the text."""
     return _counted(substrings.deduplicated(docs), docs)
 
 
+@lean
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; n_chars follows the text."""
     return _counted(mixing.materialise(docs), docs)
 
 
+@lean
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text and what they decode to."""
     return pieces.encode_documents(docs, tokenizer_path(), keep=("doc_id", "lang", "source"), outputs=("n_tokens", "ids_sha256", "ids", "decoded"))
@@ -48,7 +69,7 @@ def _counted(made: DataFrame, docs: DataFrame) -> DataFrame:
     return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic),
     ("near_duplicates", near_copies),
     ("substrings", passages),
