@@ -104,3 +104,22 @@ def test_empty_genes(spark):
     assert found.pairs().collect() == [] and found.links().collect() == []
     genes = spark.createDataFrame([(0, "a"), (1, "b")], "idx long, gid string")
     assert similarity.cluster_transcripts(empty, genes, ClusterOptions(k=8)).count() == 2
+
+
+@pytest.mark.parametrize("k", [5, 12, 33])
+def test_overlaps_of_sequences_with_other_letters(spark, k):
+    r = random.Random(k)
+    pool = ["".join(r.choice("ACGTNaé" if i % 2 else "ACGT") for _ in range(60)) for i in range(8)]
+    tx = {(f"g{g:02}", t): "".join(r.choices(pool, k=2)) + "ACGT"[g % 4] for g in range(20) for t in range(2)}
+    df = frame(spark, tx)
+    want = plain_pairs(tx, [tuple(x) for x in similarity.gene_samples(df, k).collect()], k)
+    for heavy in (2, similarity.HEAVY):
+        assert {tuple(x) for x in similarity.Overlaps(df, k, heavy=heavy).pairs().collect()} == want and want
+
+
+def test_many_owners_stay_packed(spark):
+    """k-mers of 200 genes are joined in tasks: no vector of a gene is gathered for them."""
+    r = random.Random(9)
+    shared = "".join(r.choice("ACGT") for _ in range(80))
+    found = similarity.Overlaps(frame(spark, {(f"g{g:03}", 0): shared for g in range(200)}), 12)
+    assert found.vectors.count() == 0 and found.pairs().count() == 200 * 199
