@@ -63,6 +63,26 @@ def test_annotation_to_transcripts(spark, tmp_path):
     assert prepare.exon_rows(gtf, protein_coding_only=False).count() == 6
 
 
+def test_gtf_lines_are_cut_and_read_once(spark):
+    import re
+
+    extra = ['gene_id "a"; gene_idx "b"', 'xgene_id "b"; gene_id\x0b"n"; gene_id "c"', 'gene_id  x; gene_id "d"', 'note "x; gene_id "; gene_id "e"', 'note "open; gene_id "f"', 'gene_id "";', "", ";;\"gene_id \"g\"", 'gene_id   "h "; gene_id "i"', 'a"b gene_id "j"']
+    lines = ["\t".join(["1", "s", "exon", "5", "x", ".", "+", ".", x + ' ; gene_biotype "protein_coding"']) for x in extra]
+    lines = [*lines, "#" + lines[0], lines[0] + "\r\n", " \t", "", lines[0] + "\tmore", None]
+    gtf = text.parse_gtf(spark.createDataFrame(list(enumerate(lines)), "line int, value string"))
+
+    def named(line):
+        items = re.findall(r'[^\s";]+\s+(?:"[^"]*"|[^";]*)', line.split("\t")[8])
+        own = [x[len("gene_id") :].lstrip(" ") for x in items if re.split(r"\s+", x, maxsplit=1)[0] == "gene_id"]
+        return own[0][1:].split('"')[0] or None if own and own[0].startswith('"') else None
+
+    whole = [i for i in range(len(extra))] + [len(extra) + 1]
+    assert {r.line: r.gid for r in gtf.collect()} == {i: named(lines[i]) for i in whole}
+    assert {named(lines[i]) for i in whole} >= {"a", None, "e", "h "}
+    plan = prepare.exon_rows(gtf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
+
+
 def test_exons_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(prepare, "BLOCK", 4)
     chromosome = "ACGTTGCAAGGCTTACC"
