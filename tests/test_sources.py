@@ -83,6 +83,21 @@ def test_gtf_lines_are_cut_and_read_once(spark):
     assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
 
 
+def test_assembled_genes_are_made_once_for_a_store(spark, small, monkeypatch):
+    from sigwright.plans import catalog
+
+    made, rows = spark.sparkContext.accumulator(0), catalog._assembled(spark, small).localCheckpoint()
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(catalog, "_assembled", lambda *_: rows.mapInArrow(seen, rows.schema))
+    catalog.store_range(spark, small).collect()
+    assert made.value == rows.count()
+
+
 def test_exons_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(prepare, "BLOCK", 4)
     chromosome = "ACGTTGCAAGGCTTACC"
