@@ -101,3 +101,24 @@ def test_profile_of_a_stream_without_keys(spark, tmp_path):
 def test_even_sample_has_short_sequences_too(spark, small):
     lengths = {r.n for r in catalog.even_sample(spark, small).select("n").distinct().collect()}
     assert max(lengths) == 128 and min(lengths) < 24
+
+
+def test_hits_of_a_stream_are_counted_packed(spark, monkeypatch):
+    from collections import Counter
+
+    from sigwright.streaming import counts
+
+    reads = spark.createDataFrame([("ACGTACGTNACGA",), ("acgTACGT",), (None,), ("",), ("ACG",), ("ACGT" * 50,)], "seq string").repartition(3)
+    targets = spark.createDataFrame([("ACGT", "g", "c"), ("ACGT", "g", "c"), ("TACG", "g", "d"), ("gTAC", "h", "c"), ("AAAA", "h", "d")], "kmer string, gid string, class string")
+    kmers = [s[i : i + 4] for (s,) in reads.collect() if s for i in range(len(s) - 3) if "N" not in s[i : i + 4]]
+    expected = Counter()
+    for x, gid, name in map(tuple, targets.collect()):
+        expected[gid, name] += kmers.count(x)
+    for few in (counts.few_kmers, lambda _: None):
+        monkeypatch.setattr(counts, "few_kmers", few)
+        hits, got = counts.key_hits(reads, targets, 4), Counter()
+        for r in hits.collect():
+            got[r.gid, r["class"]] += r.n
+        assert +got == +expected
+        # no row for each window
+        assert "Generate" not in hits._jdf.queryExecution().optimizedPlan().toString()
