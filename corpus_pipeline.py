@@ -17,17 +17,26 @@ from sigwright.llm.queries import tokenizer_path
 from sigwright.runtime import Cut, release_memory, release_shuffles, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Characters of a plan's description in Spark's status store and event log.
+PLAN_TEXT = 4000
 
 
 def lean(stage: Stage) -> Stage:
     """A stage that begins by letting go what stages before it have left in the driver: plans that nothing refers to any
-    more, with their shuffle files, and memory."""
+    more, with their shuffle files, and memory. What Spark writes about a plan, anew with each of its steps, and keeps of a
+    thousand plans, is cut at PLAN_TEXT characters."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release_memory()
         release_shuffles(spark)
-        return stage(spark, docs, sf_dir)
+        name = "spark.sql.maxPlanStringLength"
+        before = spark.conf.get(name)
+        spark.conf.set(name, str(PLAN_TEXT))
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            spark.conf.set(name, before)
 
     return run_stage
 

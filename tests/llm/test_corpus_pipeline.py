@@ -43,3 +43,12 @@ def test_stages_are_the_operators(spark, small):
 
 def test_run_gives_the_last_stage(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "ids", "decoded"]
+
+
+def test_descriptions_of_plans_are_bounded_in_a_stage_only(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.maxPlanStringLength"
+    before, seen = spark.conf.get(name), []
+    corpus_pipeline.lean(lambda session, docs, _: seen.append(session.conf.get(name)) or docs)(spark, spark.range(1), "")
+    assert seen == [str(corpus_pipeline.PLAN_TEXT)] and spark.conf.get(name) == before
