@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigwright.operators.components import connected_components
-from sigwright.runtime import Cut
+from sigwright.runtime import Cut, release_shuffles
 
 #: Members of one block of a tile: of signatures, and of whole sets.
 SIG_BLOCK = 1024
@@ -50,7 +50,7 @@ def linked_components(buckets: DataFrame | None, sets: DataFrame, num: int, den:
         links = None
         members = sets.select("id", "set", F.col("id").alias("label"))
     else:
-        near = Cut(_near_components(buckets, sets.select("id", "sig"), far), "near").df
+        near = _near_components(buckets, sets.select("id", "sig"), far)
         sets = sets.select("id", "set")
         led = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         links = Cut(_verified(led, sets, num, den), "star-links").df
@@ -61,6 +61,7 @@ def linked_components(buckets: DataFrame | None, sets: DataFrame, num: int, den:
         members = marked.join(rest.select("root"), "root").select(F.col("node").alias("id"), "label").join(sets, "id").select("id", "set", "label")
     keyed_cut = Cut(_meeting(members, num, den), "meeting")
     keyed = keyed_cut.df
+    release_shuffles(sets.sparkSession)
     lead = keyed.groupBy("key").agg(F.min(F.struct("label", "id", "size")).alias("l"))
     led = keyed.join(lead, "key").filter((F.col("label") != F.col("l.label")) & _sizes_fit(F.col("size"), F.col("l.size"), num, den))
     stars = Cut(_verified(led.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct(), sets, num, den), "meeting-stars").df
@@ -74,11 +75,17 @@ def linked_components(buckets: DataFrame | None, sets: DataFrame, num: int, den:
         # sets that share one rare shingle share many: they are compared under one of these
         left = Cut(left.join(_different(left.select("key", "id").distinct()), "key"), "meeting-different").df
         found = Cut(_compared(left, sets, num, den), "tile-links").df
-        roots = connected_components(links.unionByName(found), "a", "b").select(F.col("node").alias("id"), "root")
+        if found.limit(1).count():
+            roots = _joined(roots, found)
     keyed_cut.drop()
     return roots
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) of components, given as such, that further links (a, b) join; the stars of roots stand for the links behind them."""
+    return connected_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links), "a", "b").select(F.col("node").alias("id"), "root")
+
+
 def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
     return den * F.least(x, y) >= num * F.greatest(x, y)
 
@@ -133,8 +140,8 @@ def _near_components(buckets: DataFrame, sigs: DataFrame, far: int) -> DataFrame
     pairs = buckets.join(lead, "key").filter("id <> l").select("id", "l").distinct()
     one, two = sigs.select("id", F.col("sig").alias("x")), sigs.select(F.col("id").alias("l"), F.col("sig").alias("y"))
     stars = Cut(pairs.join(one, "id").join(two, "l").filter(differing(F.col("x"), F.col("y")) <= far).select("id", "l"), "sig-links").df
-    roots = Cut(connected_components(stars, "id", "l"), "sig-roots").df
-    marked = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+    roots = connected_components(stars, "id", "l").withColumnRenamed("node", "id")
+    marked = buckets.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
     rest = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("n > 2 AND lo <> hi")
     members = marked.join(rest.select("key", "n"), "key").join(sigs, "id")
 
@@ -143,11 +150,13 @@ def _near_components(buckets: DataFrame, sigs: DataFrame, far: int) -> DataFrame
         ids = group.column("id").to_numpy()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
         links = sig_links(sig, group.column("label").to_numpy(), group.column("block").to_numpy(), far)
-        return pa.table({"id": pa.array([ids[i] for i, _ in links], pa.int64()), "l": pa.array([ids[j] for _, j in links], pa.int64())})
+        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
     tiles = _tiled(members, "key", SIG_BLOCK).select("key", "one", "two", "block", "id", "label", "sig")
-    found = tiles.groupBy("key", "one", "two").applyInArrow(compare, "id long, l long")
-    return connected_components(stars.unionByName(Cut(found.distinct(), "sig-tiles").df), "id", "l")
+    found = Cut(tiles.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long").distinct(), "sig-tiles").df
+    if found.limit(1).count():
+        roots = _joined(roots, found)
+    return roots.withColumnRenamed("id", "node")
 
 
 def differing(x: Column, y: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sigwright.llm.linking import active_buckets, linked_components
 from sigwright.llm.shingles import GOLDEN, MinHasher, shingle_set
 from sigwright.operators.components import connected_components
-from sigwright.runtime import Cut, release_memory
+from sigwright.runtime import Cut, Owner, release_memory, release_shuffles
 
 SYMBOLS = 48
 MISS = 1e-6
@@ -96,6 +96,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keys = Cut(nodes.select("id", "sig").mapInArrow(keyed, "key long, id long"), "keys")
     buckets = Cut(active_buckets(keys.df), "buckets").df
     keys.drop()
+    release_shuffles(docs.sparkSession)
     wanted = nodes.join(buckets.select("id").distinct(), "id").select("id", F.col("mark").alias("mark"))
     texts = source.join(wanted, source["doc_id"] == wanted["id"]).select("id", "mark", "text")
 
@@ -134,9 +135,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *
     Of rows that share a kept id and a text one stays, whatever their other columns; texts that differ all stay,
     as they are one document. Rows with a null id stay.
     """
-    judged = near_duplicates(docs, id_col, text, **options).select("doc_id", "kept")
-    # one look at the judgements serves both the documents that go and the ids with several rows
-    marks = Cut(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("NOT kept OR n > 1"), "near-marks").df
+    # one look at the judgements serves both the documents that go and the ids with several rows, and nothing else is needed then
+    with Owner() as owner:
+        judged = near_duplicates(docs, id_col, text, **options).select("doc_id", "kept")
+        marks = owner.keep(Cut(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("kept")).filter("NOT kept OR n > 1"), "near-marks")).df
     here = docs[id_col].cast("long")
     gone = marks.select(F.col("doc_id").alias("__gone"))
     single = docs.join(gone, here == gone["__gone"], "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from sigwright.llm.linking import linked_components
 from sigwright.llm.shingles import GOLDEN, FlatWords, _mixed, flat_words, ordered_shingles, text_slices
-from sigwright.runtime import Cut, release_memory, release_shuffles
+from sigwright.runtime import Cut, Owner, release_memory, release_shuffles
 
 NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -351,11 +351,13 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", options: Options = DEFAULT) -> DataFrame:
     """docs with the passages of repeated_passages cut out of the texts that hold them; documents of which nothing
     but blanks is left go. Rows without such passages stay as they are, in all columns."""
-    spans = repeated_passages(docs, id_col, text, options)
     # names that no column of docs has, whatever its columns are called
     mark = "_" * (1 + max(len(c) for c in docs.columns))
     own_id, own_hash, cuts = (f"{mark}{c}" for c in ("id", "hash", "spans"))
-    spans = spans.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.collect_list(F.struct("first", "last")).alias(cuts))
+    with Owner() as owner:
+        spans = repeated_passages(docs, id_col, text, options)
+        spans = owner.keep(Cut(spans.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(F.collect_list(F.struct("first", "last")).alias(cuts)), "spans")).df
+    release_shuffles(docs.sparkSession)
     joined = docs.join(spans, (docs[id_col].cast("long") == F.col(own_id)) & (F.hash(docs[text]) == F.col(own_hash)), "left").drop(own_id, own_hash)
     names = docs.columns
     at = names.index(text)

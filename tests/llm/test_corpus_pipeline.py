@@ -1,11 +1,13 @@
+import os
 from collections import Counter
+from pathlib import Path
 
 import sentencepiece
 
 import corpus_pipeline
 from sigwright.llm import mixing, neardup, substrings, toxicity
 from sigwright.llm.queries import tokenizer_path
-from sigwright.runtime import table
+from sigwright.runtime import shared_dir, table
 
 
 def test_stages_are_the_operators(spark, small):
@@ -45,6 +47,18 @@ def test_run_gives_the_last_stage(spark, small):
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "ids", "decoded"]
 
 
+def test_stages_leave_only_what_their_result_reads(spark, documents):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(1, text), (2, text), (3, text + " and some more"), (4, "here stands " + text), (5, "nothing of that")])
+    folder = Path(shared_dir(spark))
+    for stage, left in ((1, "near-marks"), (2, "spans")):
+        before = set(os.listdir(folder)) if folder.exists() else set()
+        got = corpus_pipeline.STAGES[stage][1](spark, docs, "")
+        assert [x.rsplit("-", 2)[0] for x in set(os.listdir(folder)) - before] == [left]
+        ids = [r.doc_id for r in got.orderBy("doc_id").collect()]
+        assert ids == ([1, 5] if stage == 1 else [1, 3, 4, 5])
+
+
 def test_descriptions_of_plans_are_bounded_in_a_stage_only(spark):
     import corpus_pipeline
 

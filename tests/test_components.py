@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from sigwright.operators import components
 from sigwright.operators.components import connected_components
 
 
@@ -33,3 +36,19 @@ def test_random_chain_star_and_cycles(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 14])
+def test_stars_take_no_round_and_paths_are_the_same_in_shuffles(spark, monkeypatch, sent):
+    written = []
+
+    class Counted(components.Cut):
+        def __init__(self, df, name):
+            written.append(name)
+            super().__init__(df, name)
+
+    monkeypatch.setattr(components, "Cut", Counted)
+    monkeypatch.setattr(components, "SENT_NODES", sent)
+    check(spark, [(i, 3) for i in range(3, 40)] + [(7, 3), (50, 41), (60, 60), (None, 2)])
+    assert written == ["components", "components-low"]
+    check(spark, [(9, 8), (8, 7), (7, 6), (6, 1), (20, 20), (30, 29), (30, 28), (28, 28)])

@@ -70,6 +70,17 @@ def test_an_owner_removes_what_was_cut_inside(spark):
             gone.collect()
 
 
+def test_an_owner_hands_on_what_it_keeps(spark):
+    with runtime.Owner() as outer:
+        with runtime.Owner() as owner:
+            kept, gone = owner.keep(runtime.Cut(spark.range(3), "kept")), runtime.Cut(spark.range(4), "gone")
+        assert kept.df.count() == 3 and outer.cuts == [kept]
+        with pytest.raises(Exception, match="(?i)exist|not found"):
+            gone.df.collect()
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        kept.df.collect()
+
+
 def test_what_is_old_is_swept(spark):
     from pathlib import Path
 
