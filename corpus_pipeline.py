@@ -19,17 +19,24 @@ from sigwright.runtime import Cut, release_memory, release_shuffles, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Characters of a plan's description in Spark's status store and event log.
 PLAN_TEXT = 4000
+#: Bytes of a batch of rows for a Python worker, and of what it makes of them: Spark's own bound is so high that a task's
+#: rows are one batch, which the executor, outside its heap, and the worker hold several times.
+BATCH_BYTES = 2 << 20
 
 
 def lean(stage: Stage) -> Stage:
     """A stage that begins by letting go what stages before it have left in the driver: plans that nothing refers to any
     more, with their shuffle files, and memory. What Spark writes about a plan, anew with each of its steps, and keeps of a
-    thousand plans, is cut at PLAN_TEXT characters."""
+    thousand plans, is cut at PLAN_TEXT characters. Batches get BATCH_BYTES unless the session has a bound of its own; this one
+    stays, as what a stage returns is computed later."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release_memory()
         release_shuffles(spark)
+        batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(batch, None) is None:
+            spark.conf.set(batch, str(BATCH_BYTES))
         name = "spark.sql.maxPlanStringLength"
         before = spark.conf.get(name)
         spark.conf.set(name, str(PLAN_TEXT))

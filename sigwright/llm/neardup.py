@@ -92,6 +92,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 flat = keys.ravel()
                 for at in range(0, len(flat), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 16)]), pa.array(ids[at : at + (1 << 16)])], names=["key", "id"])
+        release_memory()
 
     keys = Cut(nodes.select("id", "sig").mapInArrow(keyed, "key long, id long"), "keys")
     buckets = Cut(active_buckets(keys.df), "buckets").df

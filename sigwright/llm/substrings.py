@@ -377,5 +377,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", op
             columns = [c.take(pa.array(keep, pa.int64())) for c in batch.columns[: len(names)]]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        release_memory()
 
     return joined.mapInArrow(apply, docs.schema)

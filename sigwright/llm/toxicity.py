@@ -92,6 +92,7 @@ def _fit(rows_in: DataFrame, features: int) -> ToxicModel:
                 totals[int(y > 0)] += 1
         at = np.flatnonzero(docs.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(docs[0, at], totals[0])), pa.array(np.append(docs[1, at], totals[1]))], names=["bucket", "clean", "toxic"])
+        release_memory()
 
     rows = rows_in.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     total = rows[rows.bucket == -1]
@@ -113,6 +114,7 @@ def _fit(rows_in: DataFrame, features: int) -> ToxicModel:
         for batch in batches:
             found = [np.flatnonzero(model.present(value.as_py())).astype(np.int32).tobytes() for value in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["label", "features"])
+        release_memory()
 
     # rows are sorted: sums in the fit, and so the model, do not depend on the order of tasks
     fitted = sorted((r.label, bytes(r.features)) for r in rows_in.mapInArrow(indices, "label int, features binary").collect())

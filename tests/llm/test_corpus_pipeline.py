@@ -66,3 +66,36 @@ def test_descriptions_of_plans_are_bounded_in_a_stage_only(spark):
     before, seen = spark.conf.get(name), []
     corpus_pipeline.lean(lambda session, docs, _: seen.append(session.conf.get(name)) or docs)(spark, spark.range(1), "")
     assert seen == [str(corpus_pipeline.PLAN_TEXT)] and spark.conf.get(name) == before
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["n", "rows"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 500000) AS text")
+    try:
+        got = corpus_pipeline.lean(lambda session, docs, _: docs.mapInArrow(sizes, "n long, rows long"))(spark, rows, "").collect()
+        assert sum(r.rows for r in got) == 40 and max(r.n for r in got) <= corpus_pipeline.BATCH_BYTES + 1_000_000
+        spark.conf.set(name, "12345678")
+        corpus_pipeline.lean(lambda session, docs, _: docs)(spark, rows, "")
+        assert spark.conf.get(name) == "12345678"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_workers_that_cut_passages_give_memory_back(spark, documents, monkeypatch, tmp_path):
+    log = str(tmp_path / "released")
+
+    def released():
+        with open(log, "a") as f:
+            f.write("x")
+
+    monkeypatch.setattr(substrings, "release_memory", released)
+    text = " ".join(f"w{i}" for i in range(60))
+    got = substrings.deduplicated(documents([(1, text), (2, "here stands " + text)]))
+    open(log, "w").close()  # so far others did
+    assert got.count() == 2 and os.path.getsize(log)
