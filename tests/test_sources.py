@@ -32,6 +32,60 @@ def test_records_with_missing_sequences_raise(spark, tmp_path):
         text.genes(spark, str(tmp_path / "bad.fa")).collect()
 
 
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_pieces_of_gene_files_equal_whole_records(spark, tmp_path, size):
+    r = random.Random(size)
+    word = lambda: "".join(r.choice("ACGTé") for _ in range(r.choice([0, 1, 2, 5, 40])))
+    for f in range(4):
+        records = []
+        for g in range(r.choice([0, 1, 8])):
+            ids, seqs = zip(*[(f"t{i}" * r.randint(0, 3), word()) for i in range(r.choice([1, 2, 3, 50]))], strict=True)
+            lines = "|".join([f"g{g % 7}", *ids]), "|".join(seqs)
+            # the last empty one of a line does not count
+            lines = [x + "|" * (i == 0 and x.endswith("|") or (y == "" and len(ids) == 1)) for i, (x, y) in enumerate(zip(lines, (ids[-1], seqs[-1]), strict=True))]
+            lines[1] += "|" * (len(ids) > 1 and seqs[-1] == "")
+            records.append(">" + r.choice(["", "", " "]) + lines[0] + r.choice(["\n", "\r\n", " \t"]) + lines[1] + r.choice(["\n", "", "\n\n", " more|of it\n"]))
+        (tmp_path / f"{f}.fa").write_text("".join([*records, ">G|T\nAC\n", r.choice([">H|T|U\nAC|G", ">H|T|U\nAC|G|\n|"])]))
+    whole = sorted(map(str, text.transcripts(text.genes(spark, str(tmp_path))).collect()))
+    before = {x: spark.conf.get(x) for x in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for x in before:
+            spark.conf.set(x, str(size))
+        assert sorted(map(str, text.gene_transcripts(spark, str(tmp_path)).collect())) == whole and len(whole) >= 8
+    finally:
+        for x, value in before.items():
+            spark.conf.set(x, value)
+
+
+@pytest.mark.parametrize("record", [">G1|T1|T2\nATTA\n", ">G1\nATTA\n", ">G1|T1\nATT|A\n"])
+def test_pieces_of_records_with_missing_sequences_raise(spark, tmp_path, record):
+    (tmp_path / "bad.fa").write_text(record)
+    with pytest.raises(Exception, match="differ in number: G1"):
+        text.gene_transcripts(spark, str(tmp_path / "bad.fa")).collect()
+
+
+def test_no_row_holds_a_record_that_is_written_or_read(spark, tmp_path):
+    """A gene of 5,000 transcripts among genes with one, two or none to show: rows on the way have PIECE of them at most."""
+    rows = [("big", i, f"T{i}", "ACGT" * 8) for i in range(5000)] + [("a", 0, "x", "ACG"), ("b", 1, "z", ""), ("b", 0, "y", "ACGT"), ("c", 0, None, "ACGTT"), (None, 0, "n", "GGGG"), ("d", 70, "p", "AC"), ("d", 3, None, None), ("e", 0, None, None)]
+    tx = spark.createDataFrame(rows, "gid string, tidx int, tid string, seq string")
+    assert text._in_order(tx).agg(F.max(F.char_length("text"))).first()[0] == 33 * text.PIECE - 1
+
+    def line(gid, at):
+        return "|".join(r[at] for r in sorted((r for r in rows if r[0] == gid), key=lambda r: r[1]) if r[at] is not None)
+
+    want = {g: ">" + ("" if g is None else f"{g}|") + f"{line(g, 2)}\n{line(g, 3)}" for g in {r[0] for r in rows}}
+    assert dict(map(tuple, text.gene_records(tx).collect())) == want
+    text.write_genes(tx, str(tmp_path / "out"))
+    files = [p.read_text() for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
+    assert all(x.endswith("\n|") for x in files) and sorted("".join(x[:-1] for x in files)) == sorted("".join(x + "\n" for x in want.values()))
+    pieces = spark.read.option("lineSep", "|").text(str(tmp_path / "out"))
+    assert pieces.agg(F.max(F.char_length("value"))).first()[0] < 100
+    text.write_genes(tx.filter("gid IN ('big', 'a', 'd')").filter("tid IS NOT NULL"), str(tmp_path / "some"))
+    for got in (text.gene_transcripts(spark, str(tmp_path / "some")), text.transcripts(text.genes(spark, str(tmp_path / "some")))):
+        # two bases are no record
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] in ("big", "a"))
+
+
 def test_reads(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">r1 x\n".replace(" x", "") + "ACGT\n>r2\nGGNN\n")
     (tmp_path / "b.fq").write_text("@r1\nACGTA\n+\n@@@@@\n@r2\nTTT\n+r2\n>>>\n")
